@@ -20,8 +20,9 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-cases A-Z and nothing else; texts that are all ASCII take the faster lower()."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +67,13 @@ def saved(df: DataFrame, **options: str) -> DataFrame:
 def hash_pair(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes; together they name a value."""
     return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("second"), *columns).alias("h2")]
+
+
+def space_words(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), lambda w: w != "")
+
+
+def alnum_words(text: Column) -> Column:
+    """The words of letters, digits and all from \\x80 on, A-Z lower-cased; none for null."""
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_GAP, -1), lambda w: w != "")

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.llm import line_dedup, mixing, token_output
+from cartolake.llm import decontamination, line_dedup, mixing, pii, quality, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_pii": pii.op4_pii,
+    "op8_quality": quality.op8_quality,
     "op9_token_output": token_output.op9_token_output,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.llm import decontamination, line_dedup, mixing, pii, quality, token_output
+from cartolake.llm import chat, decontamination, line_dedup, mixing, pii, quality, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_pii": pii.op4_pii,
+    "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,
     "op9_token_output": token_output.op9_token_output,
     "op10_mixing": mixing.op10_mixing,
@@ -20,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op6_chat_formatting": chat.OP6_SQL,
+    "op7_url_filter": url_filter.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

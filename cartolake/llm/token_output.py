@@ -12,9 +12,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ from cartolake.llm.common import scratch_path, table
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 END_ID = 0
-#: Chunks between single spaces whose ids a worker remembers; then it starts anew.
-CACHED_CHUNKS = 250_000
+#: Chunks between single spaces whose ids a worker remembers.
+CACHED_CHUNKS = 400_000
+#: How byte-level BPE splits a text before merging (public GPT-2 pattern).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, part int, n_tokens int, tokens array<int>"
 
 
@@ -39,73 +43,163 @@ class ChunkEncoder:
 
     Byte-level BPE splits a text before its merges, and a single space between other characters
     always starts a piece; so the ids of a text are those of its chunks, one after another. A
-    text with two white-space characters side by side is encoded whole instead.
+    text with two white-space characters side by side is encoded whole instead. Chunks not met
+    before are split into the pieces that the merges stay within, and new pieces are encoded
+    together as one text. Chunks with characters that are seldom in such texts go alone.
     """
 
-    def __init__(self, path: str, limit: int = CACHED_CHUNKS) -> None:
+    def __init__(self, path: str, end_id: int, limit: int = CACHED_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.at_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.at_space[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        self.end_id, self.limit = end_id, limit
         self.adjacent = re.compile(r"\s\s")
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(1, dtype=np.int64)
+        # beyond these, two libraries may know different letters or white space
+        self.unsure = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+        self.pieces = regex.compile(PIECE).findall
+        self.line_break = self._encode(["\n"])[0][0]
+        self._forget_pieces()
+        #: Entry 0, under None, is the end id; a key is a chunk without its space, or a tuple of a text's first or blank last chunk as it is.
+        self.index: dict[str | tuple[str] | None, int] = {None: 0}
+        self.flat = np.array([end_id], dtype=np.int32)
+        self.starts = np.array([0, 1], dtype=np.int64)
+        self.uses = np.array([1], dtype=np.int64)
+
+    def _compact(self) -> None:
+        """Forgets chunks met once, and the least used ones beyond half the limit."""
+        order = np.argsort(-self.uses[1:], kind="stable")[: self.limit // 2] + 1
+        keep = np.zeros(len(self.uses), dtype=bool)
+        keep[order] = self.uses[order] > 1
+        keep[0] = True
+        sizes = np.diff(self.starts)
+        number = np.cumsum(keep) - 1
+        self.flat = self.flat[np.repeat(keep, sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.uses = (self.uses[keep] + 1) // 2
+        self.index = {k: int(number[i]) for k, i in self.index.items() if keep[i]}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.index) + len(chunks) > self.limit:
-            self.forget()
-        fresh = sorted(chunks)
-        found = self._encode(fresh)
-        n = len(self.index)
-        self.index.update({x: n + i for i, x in enumerate(fresh)})
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Puts entries at the end of the table; the number of the first."""
+        n = len(self.starts) - 1
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(sizes.sum()))])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        step = 64
-        for at in range(0, len(texts), step):
-            out += self._encode_some(texts[at : at + step])
-        return out
-
-    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[str] | None] = []
-        for text in texts:
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), dtype=np.int64)])
+        return n
+
+    def _learn(self, keys: list[str | tuple[str]]) -> None:
+        plain = [k for k in keys if type(k) is str]
+        single = [k for k in keys if type(k) is tuple]
+        if plain and self.unsure.search("".join(plain)):
+            single += [k for k in plain if self.unsure.search(k)]
+            plain = [k for k in plain if not self.unsure.search(k)]
+        if plain:
+            pieces = self.pieces(" " + " ".join(plain))
+            first = np.fromiter(map(str.startswith, pieces, repeat(" ")), dtype=bool, count=len(pieces))
+            at = self._pieces_at(pieces)
+            begin, n_ids = self.piece_starts[at], np.diff(self.piece_starts)[at]
+            ends = np.cumsum(n_ids)
+            ids = self.piece_flat[np.arange(ends[-1]) + np.repeat(begin - (ends - n_ids), n_ids)]
+            n = self._add(ids, np.add.reduceat(n_ids, np.flatnonzero(first)))
+            self.index.update(zip(plain, range(n, n + len(plain)), strict=True))
+        if single:
+            found = self._encode([" " + k if type(k) is str else k[0] for k in single])
+            n = self._add(np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
+            self.index.update(zip(single, range(n, n + len(single)), strict=True))
+
+    def _forget_pieces(self) -> None:
+        self.piece_index: dict[str, int] = {}
+        self.piece_flat = np.zeros(0, dtype=np.int32)
+        self.piece_starts = np.zeros(1, dtype=np.int64)
+
+    def _pieces_at(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of the pieces in their table. New ones are encoded together: at a space byte, or after a line break, one starts."""
+        at = np.fromiter(map(self.piece_index.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
+        if not missing:
+            return at
+        if len(self.piece_index) + len(missing) > self.limit:
+            self._forget_pieces()
+            missing = range(len(pieces))
+        fresh = dict.fromkeys([pieces[i] for i in missing])
+        spaced = [x for x in fresh if x[0] == " " and not x.isspace()]
+        blank = [x for x in fresh if x.isspace()]
+        other = [x for x in fresh if not x[0].isspace()]
+        for group, text in ((spaced, "".join(spaced)), (other, "".join([x + "\n" for x in other]))):
+            if group:
+                ids = np.array(self._encode([text])[0], dtype=np.int32)
+                if group is spaced:
+                    sizes = np.diff(np.append(np.flatnonzero(self.at_space[ids]), len(ids)))
+                else:
+                    breaks = np.flatnonzero(ids == self.line_break)
+                    sizes = np.diff(breaks, prepend=-1) - 1
+                    ids = ids[ids != self.line_break]
+                self._add_pieces(group, ids, sizes)
+        if blank:
+            found = self._encode(blank)
+            self._add_pieces(blank, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found]))
+        return np.fromiter(map(self.piece_index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _add_pieces(self, group: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.piece_starts) - 1
+        self.piece_flat = np.concatenate([self.piece_flat, ids])
+        self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + np.cumsum(sizes)])
+        self.piece_index.update(zip(group, range(n, n + len(group)), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, the end id after each text, and the number of ids of each text."""
+        if len(self.starts) > self.limit or len(self.flat) > 8 * self.limit:
+            self._compact()
+        keys: list[str | tuple[str] | None] = []
+        sizes, whole = [], []
+        for i, text in enumerate(texts):
+            n = len(keys)
             if self.adjacent.search(text):
-                parts.append(None)
+                whole.append((n, i))
+                keys.append(None)
             else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
-        known = self.index
-        missing = {x for p in parts if p for x in p if x not in known}
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                missing = {x for p in parts if p for x in p}
-            self._learn(missing)
-        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.index.__getitem__
-        out = []
-        for p in parts:
-            if p is None:
-                out.append(np.array(next(whole), dtype=np.int32))
-                continue
-            idx = np.fromiter(map(get, p), dtype=np.int64, count=len(p))
-            begin, n = self.starts[idx], self.starts[idx + 1] - self.starts[idx]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)
-            out.append(self.flat[at])
-        return out
+                parts = text.split(" ")
+                last = parts[-1]
+                parts[0] = (parts[0],)
+                if len(parts) > 1 and (not last or last[-1].isspace()):
+                    parts[-1] = (" " + last,)
+                keys += parts
+            keys.append(None)
+            sizes.append(len(keys) - n)
+        at = np.fromiter(map(self.index.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(list(dict.fromkeys([keys[i] for i in missing.tolist()])))
+            at[missing] = [self.index[keys[i]] for i in missing.tolist()]
+        if whole:
+            found = self._encode([texts[i] for _, i in whole])
+            n = self._add(np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
+            at[[place for place, _ in whole]] = np.arange(n, n + len(whole))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        begin = self.starts[at]
+        n_ids = self.starts[at + 1] - begin
+        ends = np.cumsum(n_ids)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n_ids), n_ids)]
+        last = np.cumsum(sizes) - 1
+        return ids, np.diff(ends[last], prepend=0).astype(np.int32) if len(last) else np.zeros(0, dtype=np.int32)
+
+
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> ChunkEncoder:
+    """The one of this worker process; tasks that follow one another in it share what it remembers."""
+    key = (path, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(path, end_id)
+    return _ENCODERS[key]
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
@@ -118,18 +212,14 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokenizer_path = tokenizer_path or default_tokenizer()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        own = encoder(tokenizer_path, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                found = encoder.encode([x or "" for x in b.column("text").to_pylist()])
-                sizes = np.array([len(x) + 1 for x in found], dtype=np.int32)
-                flat = np.full(int(sizes.sum()), end_id, dtype=np.int32)
-                offsets = np.zeros(len(found) + 1, dtype=np.int32)
+                ids, sizes = own.encode([x or "" for x in b.column("text").to_pylist()])
+                offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
                 np.cumsum(sizes, out=offsets[1:])
-                for x, o in zip(found, offsets, strict=False):
-                    flat[o : o + len(x)] = x
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "part", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "part", "n_tokens", "tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.spark_partition_id().alias("part"), "text")
@@ -144,11 +234,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     follow one another by length.
     """
     rows = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "part", "n_tokens")
-    return _with_start(rows)
+    return _with_start(rows, rows)
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
+def _with_start(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    parts = numbers.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy("part").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +258,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
 
     rows = spark.read.schema(SCHEMA).parquet(path)
-    rows = _with_start(rows.mapInArrow(digest, "doc_id long, part int, n_tokens int, ids_crc32 long"))
+    rows = _with_start(rows.mapInArrow(digest, "doc_id long, part int, n_tokens int, ids_crc32 long"), rows.select("part", "n_tokens"))
     return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.llm import chat, decontamination, line_dedup, mixing, pii, quality, token_output, url_filter
+from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, pii, quality, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_pii": pii.op4_pii,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op6_chat_formatting": chat.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,

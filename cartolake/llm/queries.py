@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, pii, quality, token_output, url_filter
+from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat_formatting": chat.op6_chat_formatting,

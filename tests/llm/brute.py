@@ -34,3 +34,23 @@ def pii_base(text: str | None) -> dict[str, list[tuple[int, int]]]:
 
 def pii_sha(text: str | None) -> str:
     return sha(",".join(f"{k}:{a}:{b}" for k, v in pii_base(text).items() for a, b in v))
+
+
+def repeats(docs: list[tuple[int | None, str | None]], length: int = 50) -> list[tuple]:
+    """(id, n_bytes, n_removed, n_spans, kept_sha) by a dictionary of all windows."""
+    top = 2**63 - 1
+    least: dict[bytes, int] = {}
+    data = [(top if i is None else i, (t or "").encode()) for i, t in docs]
+    for i, b in data:
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            least[w] = min(least.get(w, top), i)
+    out = []
+    for (doc, _), (i, b) in zip(docs, data, strict=True):
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if least[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((doc, len(b), sum(gone), len([r for r in bytes(gone).split(b"\0") if r]), sha(kept)))
+    return out

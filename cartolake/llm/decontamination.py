@@ -90,6 +90,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without any word in a benchmark passage, with all their columns."""
+    bad = decontaminate(docs, benchmark, window, id_col, text_col).filter("n_hit > 0")
+    bad = bad.select(F.col(id_col).alias("id"), "text_hash").distinct()
+    d, b = docs.alias("d"), bad.alias("b")
+    return d.join(b, F.col(f"d.{id_col}").eqNullSafe(F.col("b.id")) & (F.xxhash64(f"d.{text_col}") == F.col("b.text_hash")), "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256)

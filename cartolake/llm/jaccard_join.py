@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.llm.blocks import SpanHashes, block_rows, counts_of, key_counts, mixed, n_buckets, text_bytes
-from cartolake.llm.common import SPACES, saved, table
+from cartolake.llm.common import SPACES, WORD, saved, table
 from cartolake.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -188,7 +188,7 @@ def _class_links(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, text_hash, n_shingles, component_id (the least id reachable by links).
+    """One row for each row of docs: id, text_hash, n_shingles, component_id (the least id reachable by links), component (its name).
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct
     shingles of so many words; a text with fewer words is one shingle. Null texts and those
@@ -204,11 +204,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = saved(rows.select("id", "text_hash", "n", F.coalesce("label", "name").alias("label")))
     least = rows.filter("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
     out = rows.join(least, "label", "left")
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("label").alias("component"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but for near duplicates: of each component the row of the least id stays, with all its columns.
+
+    Rows without words are linked with nothing and stay. Of repeated rows one stays.
+    """
+    found = near_duplicates(docs, words, percent, id_col, text_col).withColumnRenamed(id_col, "id").filter("n_shingles > 0")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
+    best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    d = docs.withColumns({"_k_hash": F.xxhash64(text_col), "_k_words": F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)})
+    stay = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("_k_hash") == F.col("k_hash"))
+    wordy = d.filter("_k_words").join(best, stay, "left_semi").dropDuplicates([id_col, "_k_hash"])
+    return wordy.unionByName(d.filter("NOT _k_words")).drop("_k_hash", "_k_words")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85).drop("text_hash", "component")
 
 
 OP5_SQL = r"""

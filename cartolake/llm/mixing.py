@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import WORD, table
+from cartolake.llm.common import WORD, saved, table
 
 #: Rows of one key range of a source: the largest group that a task sorts.
 ROWS_PER_RANGE = 4096
@@ -51,50 +51,53 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[int, ..
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
-    """All rows of docs with _size, _source_size, _target and _copies (how often the mix takes the row).
+    """One row for each row of docs: id, text_hash, size, source_size, target, copies (how often the mix takes the row).
 
     A row is in the part epoch if at least half of it lies before the cut, so a source misses its
     target by half a row at most. Null or empty texts have size 0; a source of size 0 has target
     0 and its rows no copies. A null source is a source of its own, last in order. Repeated rows
     are rows of their own; which of several equal rows lies before the cut cannot be told apart.
-    Keys depend on the id and the seed alone, so reruns agree. Other columns pass through.
+    Keys depend on the id and the seed alone, so reruns agree. An empty table gives an empty result.
     """
-    keyed = docs.withColumns(
-        {
-            "_size": word_count(F.col(text_col)),
-            "_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "_no_src": F.col(source_col).isNull(),
-            "_key": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
-        }
-    )
-    return _placed(keyed, id_col, max_epochs, weights)
-
-
-def _placed(keyed: DataFrame, id_col: str, max_epochs: int, weights: tuple[int, ...]) -> DataFrame:
-    on = ["_src", "_no_src"]
-    sizes = keyed.groupBy(*on).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n_rows"))
-    targets = source_targets(sizes.withColumnsRenamed({"_src": "source_key", "_no_src": "no_source"}), max_epochs, weights)
-    targets = targets.withColumnsRenamed({"source_key": "_src", "no_source": "_no_src", "source_size": "_source_size", "n_rows": "_n", "target": "_target"})
-    targets = targets.withColumn("_ranges", F.ceil(F.col("_n") / ROWS_PER_RANGE).cast("long"))
-    rows = keyed.join(targets.select(*on, "_source_size", "_target", "_ranges"), on)
+    on = ["src", "no_src"]
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).isNull().alias("no_src"), key.alias("key"))
+    keyed = saved(keyed)
+    sizes = keyed.groupBy(*on).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    targets = source_targets(sizes.withColumnsRenamed({"src": "source_key", "no_src": "no_source"}), max_epochs, weights)
+    targets = targets.select(F.col("source_key").alias("src"), F.col("no_source").alias("no_src"), "source_size", "target", F.ceil(F.col("n_rows") / ROWS_PER_RANGE).cast("long").alias("ranges"))
+    rows = keyed.join(targets, on)
     # hash keys are even, so equal steps of the first 32 bits are ranges of about equal size
-    rows = rows.withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.col("_ranges"), 32))
-    sums = rows.groupBy(*on, "_range").agg(F.sum("_size").alias("_sum"))
-    earlier = Window.partitionBy(*on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*on, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    rows = rows.join(sums, [*on, "_range"])
-    within = Window.partitionBy(*on, "_range").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    epochs = F.least(F.lit(max_epochs), F.floor(F.col("_target") / F.col("_source_size")))
-    part = F.col("_target") - epochs * F.col("_source_size")
-    more = F.when((epochs < max_epochs) & (F.col("_start") + F.col("_size") / F.lit(2.0) < part), 1).otherwise(0)
-    copies = F.when(F.col("_source_size") > 0, epochs + more).otherwise(0).cast("int")
-    return rows.withColumn("_copies", copies).drop("_src", "_no_src", "_key", "_ranges", "_range", "_before", "_start")
+    rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges"), 32))
+    sums = rows.groupBy(*on, "range").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy(*on).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*on, "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    rows = rows.join(sums, [*on, "range"])
+    within = Window.partitionBy(*on, "range").orderBy("key", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))
+    part = F.col("target") - epochs * F.col("source_size")
+    more = F.when((epochs < max_epochs) & (F.col("start") + F.col("size") / F.lit(2.0) < part), 1).otherwise(0)
+    copies = F.when(F.col("source_size") > 0, epochs + more).otherwise(0).cast("int")
+    return rows.select(F.col("id").alias(id_col), "text_hash", "src", "no_src", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix takes it, with all their columns."""
+    taken = mix(docs, id_col, text_col, source_col, max_epochs, weights, seed).withColumnRenamed(id_col, "m_id")
+    taken = taken.groupBy("m_id", "text_hash", "src", "no_src").agg(F.array_sort(F.collect_list("copies")).alias("copies")).alias("m")
+    # equal rows are numbered, and share out what their copies are
+    d = docs.withColumns({"_m_hash": F.xxhash64(text_col), "_m_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_m_no": F.col(source_col).isNull()})
+    d = d.withColumn("_m_i", F.row_number().over(Window.partitionBy(id_col, "_m_hash", "_m_src", "_m_no").orderBy(F.lit(0)))).alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("m.m_id")) & (F.col("d._m_hash") == F.col("m.text_hash")) & (F.col("d._m_src") == F.col("m.src")) & (F.col("d._m_no") == F.col("m.no_src"))
+    n = F.get(F.col("m.copies"), F.col("d._m_i") - 1)
+    out = d.join(taken, same).filter(n > 0)
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias("_m_copy")).drop("_m_copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP10_SQL = r"""

@@ -164,15 +164,20 @@ def _estimates(vectors: DataFrame, on: list[str]) -> DataFrame:
     return fitted.join(limits, on).withColumn("_scale", scale).drop("_limit")
 
 
+def _group(column: str) -> Column:
+    """A name for each value; null has one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, cutoff: float = CUTOFF) -> DataFrame:
-    """One row for each row of docs: id, statistics, base_failed, distance, kept, and text_hash to tell rows of one id apart.
+    """One row for each row of docs: id, statistics, base_failed, distance, kept; text_hash, g_lang and g_source tell rows of one id apart.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of the words in
     3-word windows found twice or more. Of the others, the method rejects those beyond cutoff.
     A null language or source is a group of its own. Repeated rows are judged each, alike.
     A null or empty text has no words and fails. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for c, n in ((lang_col, "g_lang"), (source_col, "g_source"))])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), _group(lang_col).alias("g_lang"), _group(source_col).alias("g_source"))
     stats = saved(statistics(rows, "text", ("id", "text_hash", "g_lang", "g_source")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     vectors = _vectors(stats.withColumn("base_failed", failed))
@@ -184,9 +189,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     judged = vectors.join(groups.join(estimates, on).drop("g_fit"), ["g_lang", "g_source"], "left")
     judged = _distance(judged).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") * F.col("_scale")))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
-    return judged.select(F.col("id").alias(id_col), "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return judged.select(F.col("id").alias(id_col), "text_hash", "g_lang", "g_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that judge keeps, with all their columns."""
+    bad = judge(docs, id_col, text_col, lang_col, source_col).filter(~F.col("kept"))
+    bad = bad.select(F.col(id_col).alias("id"), "text_hash", "g_lang", "g_source").distinct()
+    d, b = docs.alias("d"), bad.alias("b")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("b.id")) & (F.xxhash64(f"d.{text_col}") == F.col("b.text_hash"))
+    return d.join(b, same & (_group(f"d.{lang_col}") == F.col("b.g_lang")) & (_group(f"d.{source_col}") == F.col("b.g_source")), "left_anti")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).drop("text_hash", "distance")
+    return judge(docs).drop("text_hash", "g_lang", "g_source", "distance")

@@ -25,7 +25,7 @@ from cartolake.llm.common import scratch_path, table
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 END_ID = 0
-#: Chunks between single spaces whose ids a worker remembers.
+#: Chunks between single spaces or line breaks whose ids a worker remembers.
 CACHED_CHUNKS = 400_000
 #: How byte-level BPE splits a text before merging (public GPT-2 pattern).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,8 +41,8 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """Encodes texts like tokenizer.encode, remembering chunks that start at a space.
 
-    Byte-level BPE splits a text before its merges, and a single space between other characters
-    always starts a piece; so the ids of a text are those of its chunks, one after another. A
+    Byte-level BPE splits a text before its merges, and a single space or line break between other
+    characters always starts a piece; so the ids of a text are those of its chunks, one after another. A
     text with two white-space characters side by side is encoded whole instead. Chunks not met
     before are split into the pieces that the merges stay within, and new pieces are encoded
     together as one text. Chunks with characters that are seldom in such texts go alone.
@@ -64,7 +64,7 @@ class ChunkEncoder:
         self.pieces = regex.compile(PIECE).findall
         self.line_break = self._encode(["\n"])[0][0]
         self._forget_pieces()
-        #: Entry 0, under None, is the end id; a key is a chunk without its space, or a tuple of a text's first or blank last chunk as it is.
+        #: Entry 0, under None, is the end id; a key is a chunk without its space (or with its line break), or a tuple of a text's first or blank last chunk as it is.
         self.index: dict[str | tuple[str] | None, int] = {None: 0}
         self.flat = np.array([end_id], dtype=np.int32)
         self.starts = np.array([0, 1], dtype=np.int64)
@@ -101,8 +101,8 @@ class ChunkEncoder:
             single += [k for k in plain if self.unsure.search(k)]
             plain = [k for k in plain if not self.unsure.search(k)]
         if plain:
-            pieces = self.pieces(" " + " ".join(plain))
-            first = np.fromiter(map(str.startswith, pieces, repeat(" ")), dtype=bool, count=len(pieces))
+            pieces = self.pieces("".join([k if k[0] == "\n" else " " + k for k in plain]))
+            first = np.fromiter([x[0] in " \n" for x in pieces], dtype=bool, count=len(pieces))
             at = self._pieces_at(pieces)
             begin, n_ids = self.piece_starts[at], np.diff(self.piece_starts)[at]
             ends = np.cumsum(n_ids)
@@ -110,7 +110,7 @@ class ChunkEncoder:
             n = self._add(ids, np.add.reduceat(n_ids, np.flatnonzero(first)))
             self.index.update(zip(plain, range(n, n + len(plain)), strict=True))
         if single:
-            found = self._encode([" " + k if type(k) is str else k[0] for k in single])
+            found = self._encode([k[0] if type(k) is tuple else k if k[0] == "\n" else " " + k for k in single])
             n = self._add(np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
             self.index.update(zip(single, range(n, n + len(single)), strict=True))
 
@@ -127,7 +127,7 @@ class ChunkEncoder:
             return at
         if len(self.piece_index) + len(missing) > self.limit:
             self._forget_pieces()
-            missing = range(len(pieces))
+            missing = list(range(len(pieces)))
         fresh = dict.fromkeys([pieces[i] for i in missing])
         spaced = [x for x in fresh if x[0] == " " and not x.isspace()]
         blank = [x for x in fresh if x.isspace()]
@@ -145,7 +145,8 @@ class ChunkEncoder:
         if blank:
             found = self._encode(blank)
             self._add_pieces(blank, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found]))
-        return np.fromiter(map(self.piece_index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        at[missing] = [self.piece_index[pieces[i]] for i in missing]
+        return at
 
     def _add_pieces(self, group: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.piece_starts) - 1
@@ -165,11 +166,11 @@ class ChunkEncoder:
                 whole.append((n, i))
                 keys.append(None)
             else:
-                parts = text.split(" ")
+                parts = text.replace("\n", " \n").split(" ")
                 last = parts[-1]
                 parts[0] = (parts[0],)
                 if len(parts) > 1 and (not last or last[-1].isspace()):
-                    parts[-1] = (" " + last,)
+                    parts[-1] = (last if last[:1] == "\n" else " " + last,)
                 keys += parts
             keys.append(None)
             sizes.append(len(keys) - n)

@@ -25,8 +25,8 @@ from cartolake.llm.blocks import KEY_BYTES, SpanHashes, block_rows, counts_of, i
 from cartolake.llm.common import saved, table
 
 LENGTH = 50
-#: Stretches of one anchor that a task compares by itself; more are spread by their windows.
-TOGETHER = 512
+#: Stretches of one anchor that a task compares by itself, a few MB; more are spread by their windows.
+TOGETHER = 1 << 16
 NO_ID = 2**63 - 1
 
 

@@ -54,3 +54,81 @@ def repeats(docs: list[tuple[int | None, str | None]], length: int = 50) -> list
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((doc, len(b), sum(gone), len([r for r in bytes(gone).split(b"\0") if r]), sha(kept)))
     return out
+
+
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TO_LOWER = str.maketrans(UP, LOW)
+
+
+def alnum(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(TO_LOWER))
+
+
+def words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def decontaminated(text: str | None, items: list[tuple[int | None, str | None]], window: int = 10) -> tuple[int, int, list[str]]:
+    w, hit, found = alnum(text), set(), set()
+    for item, passage in items:
+        p = alnum(passage)
+        for i in range(max(len(p) - window + 1, 1) if p else 0):
+            win = p[i : i + window]
+            for j in range(len(w) - len(win) + 1):
+                if w[j : j + len(win)] == win:
+                    hit |= set(range(j, j + len(win)))
+                    if item is not None:
+                        found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def line_dedup(docs: list[tuple[int | None, str | None]], least: int = 10) -> list[tuple]:
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(TO_LOWER)
+    having: dict[str, set] = {}
+    for i, t in docs:
+        for x in (t or "").split("\n"):
+            having.setdefault(key(x), set()).add(i)
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(having[key(x)]) < least]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def components(docs: list[tuple[int | None, str | None]], n: int, percent: int) -> list[tuple]:
+    sets = []
+    for _, t in docs:
+        w = words((t or "").translate(TO_LOWER))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    label = list(range(len(docs)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    groups: dict[int, list] = {}
+    for i in range(len(docs)):
+        groups.setdefault(root(i), []).append(i)
+    least = {r: min((docs[i][0] for i in g if docs[i][0] is not None), default=None) for r, g in groups.items()}
+    return [(docs[i][0], len(sets[i]), least[root(i)] if sets[i] else docs[i][0]) for i in range(len(docs))]
+
+
+def statistics(text: str | None) -> tuple[int, int, int, int, int]:
+    from collections import Counter
+
+    text = text or ""
+    w = words(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    seen, covered = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if seen[x] > 1:
+            covered |= {i, i + 1, i + 2}
+    lines = [x for x in text.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)

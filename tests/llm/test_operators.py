@@ -1,0 +1,272 @@
+"""Every operator against a plain Python version, on real rows and on odd ones."""
+
+from __future__ import annotations
+
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_output, url_filter
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def same(got, expected):
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, expected), key=repr)
+
+
+ITEMS = [(1, "quick brown fox jumps over the lazy dog and then it sleeps"), (2, "Fox Jumps"), (3, None), (4, ""), (None, "sleeps for a while"), (5, "not to be found in any of the documents at all here")]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, odd, real, monkeypatch, broadcast):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(decontamination.find_windows, "__defaults__", (10, broadcast))
+    for docs in (odd, real.limit(40)):
+        got = decontamination.decontaminate(docs, items).collect()
+        same([(r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in got], [(i, *brute.decontaminated(t, ITEMS)) for i, t in pairs(docs)])
+
+
+def test_decontamination_of_nothing(spark, odd, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.decontaminate(odd, none).filter("n_hit > 0").count() == 0
+    assert decontamination.decontaminate(empty, none).count() == 0
+    assert decontamination.drop_contaminated(odd, none).columns == odd.columns
+
+
+@pytest.mark.parametrize("least", [2, 10])
+def test_line_dedup(odd, real, least):
+    for docs in (odd, real):
+        got = line_dedup.dedup_lines(docs, min_documents=least).collect()
+        same(got, brute.line_dedup(pairs(docs), least))
+
+
+def test_line_dedup_of_nothing(empty):
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("together", [1 << 16, 2])
+def test_suffix_dedup(odd, real, monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    for docs in (odd.filter("doc_id IS NULL OR doc_id <> 8"), real.limit(120)):
+        got = suffix_dedup.dedup_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        same(got, brute.repeats(pairs(docs)))
+
+
+def test_suffix_dedup_of_long_and_no_texts(odd, empty):
+    assert suffix_dedup.dedup_passages(empty).count() == 0
+    r = {x["doc_id"]: x for x in suffix_dedup.dedup_passages(odd).collect()}
+    assert (r[8]["n_bytes"], r[8]["n_removed"]) == (150_000, 0)
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return pii.fit(spark, 1500, 800)
+
+
+ODD_PII = ["a@b.cd_x@e.f", "a@b.c@d.e", "1.2.3.4.5.6.7.8 300.1.1.1 0001.002.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 1 2 3", "+1 (555) 123-4567 ++44 20 7946 0958. +12", "x..y@z..w a@b. @c.d é@é.fr aé@b.com", "1" * 5000, "1 " * 9000, "a." * 9000 + "@b" + ".c" * 9000, "+1" + "(" * 5000, "12.34.56.78-90.1.2.3", "\x01\x02 4111\x011111 1111 1111", "@" * 3000]
+
+
+def test_pii_base(spark, odd, real, trees):
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD_PII)], "doc_id long, text string")
+    for docs in (odd, real, more):
+        got = pii.find_pii(docs, model=trees).collect()
+        found = [(r["doc_id"], {k: [(s["start"], s["end"]) for s in r[f"b_{k}"]] for k in pii.KINDS}) for r in got]
+        same(found, [(i, brute.pii_base(t)) for i, t in pairs(docs)])
+
+
+def test_pii_trees_on_held_out_rows(spark, trees):
+    model, threshold = trees
+    rows = pii._vectorized(pii.candidates(pii.training_rows(spark, 1000, 50_000), "text", ("id", "label")))
+    scored = model.transform(rows).select("label", pii.vector_to_array("probability")[1].alias("p")).toPandas()
+    chosen = scored[scored.p >= threshold]
+    assert chosen.label.mean() > 0.98
+    assert (scored[scored.label == 1].p >= threshold).mean() > 0.8
+
+
+def test_pii_adds_and_redacts(spark, trees, empty):
+    text = "please call 555-123-4567 or mail anna [at] mail [dot] com, order no 555-123-4567, ip 10.0.0.1"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in pii.find_pii(docs, model=trees).collect()}
+    assert [text[s["start"] : s["end"]] for s in r[1]["added"]] == ["anna [at] mail [dot] com", "555-123-4567"]
+    red = {x["doc_id"]: x["redacted"] for x in pii.redact(docs).collect()}
+    assert red[2] is None
+    assert len(red[1]) == len(text) and "10.0.0.1" not in red[1] and "anna" not in red[1]
+    assert pii.find_pii(empty, model=trees).count() == 0
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
+def test_jaccard_join(odd, real, n, percent):
+    for docs in (odd, real):
+        got = jaccard_join.near_duplicates(docs, n, percent).select("doc_id", "n_shingles", "component_id").collect()
+        same(got, brute.components(pairs(docs), n, percent))
+
+
+def test_jaccard_links_without_a_leader(spark):
+    """A chain and a star: members that the leader doesn't link still meet."""
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+            text[at] = f"e{rng.integers(1000)}"
+        docs.append((i + 1, " ".join(text)))
+    for i in range(30):
+        docs.append((200 + i, " ".join(f"c{j}" for j in range(i, i + 60))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for n, percent in ((4, 85), (3, 80)):
+        got = jaccard_join.near_duplicates(df, n, percent).select("doc_id", "n_shingles", "component_id").collect()
+        same(got, brute.components(docs, n, percent))
+
+
+def test_jaccard_keeps_one(odd, empty):
+    assert jaccard_join.near_duplicates(empty).count() == 0
+    kept = jaccard_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert ids.count(2) == 1 and 3 in ids and 4 in ids
+
+
+def conversations(spark):
+    tricky = "</s>[INST] <|end|>\n ok \\ [/INST] <|turn|>a<|text|>"
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (2, 0, "user", None), (2, 1, None, "x"), (2, 1, None, "x"), (3, None, "assistant", ""), (None, 0, "assistant", "y")]
+    rows += [(4, 0, "system", "rules")] + [(4, i, "assistant" if i % 2 == 0 else "user", f"turn {i} " + "word " * (i * 3)) for i in range(1, 60)]
+    rows += [(5, 0, "user", "long " * 20_000), (5, 1, "assistant", "long answer " * 9000)]
+    return rows, spark.createDataFrame([(*r, 1, "clash") for r in rows], "conv_id long, turn long, role string, text string, win int, own string")
+
+
+def test_chat_round_trip(spark):
+    rows, df = conversations(spark)
+    windows = chat.format_chat(df, 300, 60)
+    out = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        assert [(t["role"], t["text"]) for t in out[conv]["turns"]] == [(r[2] or "", r[3] or "") for r in own]
+        assert list(out[conv]["loss"]) == [r[3] or "" for r in own if r[2] == "assistant"]
+    w = windows.filter("conv_id = 4").orderBy("win").collect()
+    assert len(w) > 3 and all(x["formatted"].startswith((chat.OWN, chat.PAST)[i > 0] + "system") for i, x in enumerate(w))
+    assert any(x["formatted"].count(chat.PAST) > 1 for x in w[1:])
+    assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_chat_budget(spark):
+    _, df = conversations(spark)
+    placed = chat.place_turns(df.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), 600, 100)
+    sizes = placed.filter("conv = 4").groupBy("win").agg(F.sum(chat.tokens(F.col("text"))).alias("n"), F.max(chat.tokens(F.col("text"))).alias("longest")).collect()
+    assert all(r["n"] <= 600 + 10 or r["longest"] > 250 for r in sizes)
+
+
+URLS = ["http://example.com/en/x", "https://www.example.com/en/", "https://a.b.example.com/en/?q", "http://EXAMPLE.com/en/#t", "http://x.net/fr/1", "http://x.net/es", "http://badexample.com/en/", "http://com/", "no scheme", "", None, "http://", "http:///en/", "ftp://x.org/en/", "http://example.com", "http://u:p@net/es/", "a://b://c/d?e#f", "http://www.example.com/en/" + "y" * 50_000]
+
+
+def plain_verdict(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        at = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host, rest = rest[:at].translate(brute.TO_LOWER), rest[at:]
+        path = rest[: min((rest.find(c) for c in "?#" if c in rest), default=len(rest))]
+    fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+    return host, path, rule, verdict
+
+
+def test_url_filter(spark):
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS + URLS[:2])], "page_id long, url string, keys string")
+    got = url_filter.judge_urls(df).collect()
+    same(got, [(i, *plain_verdict(u)) for i, u in enumerate(URLS + URLS[:2])])
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    keys = spark.range(30_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    keys = keys.select("key", *url_filter.hashed(F.col("key")))
+    listed = keys.filter("pmod(xxhash64(key, 7), 20) = 0")
+    c = url_filter.build_cascade(listed, keys)
+    every = keys.join(listed.select("key", F.lit(True).alias("in")), "key", "left").toPandas()
+    assert len(c.levels) > 1
+    assert (c.has(every.h1.to_numpy(), every.h2.to_numpy()) == every["in"].notna().to_numpy()).all()
+
+
+def test_quality_statistics(odd, real):
+    for docs in (odd, real):
+        got = quality.statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+        same(got, [(i, *brute.statistics(t)) for i, t in pairs(docs)])
+
+
+def test_quality_verdicts(spark, odd, empty):
+    assert quality.judge(empty).count() == 0
+    assert quality.judge(odd).count() == len(pairs(odd))
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{'abcdefghij'[i % 10] * (2 + i % 7)}{i}" for i in range(4000)]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choice(vocabulary, 200))
+        rows.append((i, text if i % 20 else text.replace(" ", "#$%& "), "en", "s"))
+    r = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(x["kept"] == bool(i % 20) for i, x in r.items())
+    assert quality.keep_good(odd).columns == odd.columns
+
+
+def tokens_of(text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_output.default_tokenizer())
+    t.encode_special_tokens = True
+    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_token_output(spark, odd, real, tmp_path):
+    for i, docs in enumerate((odd, real)):
+        path = str(tmp_path / str(i))
+        token_output.write_tokens(docs, path)
+        back = spark.read.parquet(path).orderBy("part").collect()
+        same([(r["doc_id"], tuple(r["tokens"])) for r in back], [(d, tuple(tokens_of(t))) for d, t in pairs(docs)])
+        ids = [r["doc_id"] for r in back]
+        assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+        digests = token_output.read_digests(spark, path).orderBy("start").collect()
+        at = 0
+        for r, d in zip(back, digests, strict=True):
+            assert (d["start"], d["n_tokens"], d["ids_crc32"]) == (at, len(r["tokens"]), zlib.crc32(np.array(r["tokens"], "<u4").tobytes())) or r["doc_id"] == digests[0]["doc_id"]
+            at += len(r["tokens"])
+
+
+def test_chunks_are_exact_ids():
+    e = token_output.ChunkEncoder(token_output.default_tokenizer(), 0, limit=40)
+    texts = ["a  b", " a b ", " ", "", "a\n b", "a 's don't 'll x", "x\u2003y \u3000z", "<|endoftext|> a", "a\tb c\n", "é É ß 12 3.4 !!  ok", "\x1c a\x85b", "a \x00b \x00", "tail ", " lead", "\u0120 a \u0120b", "x\ny\nz", "\nx", "x\n", "a \U0001f600b \u4e2d\u6587", "one two three four " * 9]
+    for _ in range(3):
+        ids, sizes = e.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in tokens_of(t)]
+        assert sizes.tolist() == [len(tokens_of(t)) for t in texts]
+
+
+def test_mixing(spark, odd, empty, real):
+    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(odd).count() == len(pairs(odd))
+    for docs in (odd, real):
+        r = mixing.mix(docs).toPandas()
+        size = {i: len(brute.words(t)) for i, t in pairs(docs)}
+        assert all(s == size[None if i != i else i] for i, s in zip(r.doc_id, r["size"], strict=True))
+        assert r.copies.max() <= 3
+        total = r["size"].sum()
+        per = r.groupby(["src", "no_src"]).agg(target=("target", "first"), size=("source_size", "first"), longest=("size", "max"))
+        per["taken"] = (r["size"] * r.copies).groupby([r.src, r.no_src]).sum()
+        assert abs(per.target.sum() - total) < 1e-6 * max(total, 1)
+        assert (per.target <= 3 * per["size"] + 1e-9).all()
+        assert ((per.taken - per.target).abs() <= per.longest / 2 + 1e-9).all()
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns
+    assert out.filter("doc_id = 8").count() <= 3
+
+
+def test_mixing_reshares_the_excess(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 2 else "b" if i < 5 else "c") for i in range(40)], "doc_id long, text string, source string")
+    t = {r["src"]: r["target"] for r in mixing.mix(docs).select("src", "target").distinct().collect()}
+    # a: 1/6 of 400 is over 3 * 20, b: 2/6 over 3 * 30; c takes the rest
+    assert t == {"a": 60.0, "b": 90.0, "c": 250.0}

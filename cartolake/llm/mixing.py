@@ -66,13 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = keyed.groupBy(*on).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes.withColumnsRenamed({"src": "source_key", "no_src": "no_source"}), max_epochs, weights)
     targets = targets.select(F.col("source_key").alias("src"), F.col("no_source").alias("no_src"), "source_size", "target", F.ceil(F.col("n_rows") / ROWS_PER_RANGE).cast("long").alias("ranges"))
-    rows = keyed.join(targets, on)
+    # written, so Spark knows the size: a small table is broadcast and no row moves to the task of its source
+    rows = keyed.join(saved(targets), on)
     # hash keys are even, so equal steps of the first 32 bits are ranges of about equal size
     rows = rows.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges"), 32))
     sums = rows.groupBy(*on, "range").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy(*on).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*on, "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
-    rows = rows.join(sums, [*on, "range"])
+    rows = rows.join(saved(sums), [*on, "range"])
     within = Window.partitionBy(*on, "range").orderBy("key", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))

@@ -6,8 +6,8 @@ ANCHOR bytes and is made only at anchors: of each window of `length` bytes the p
 prefix hashes least, so equal windows have equal anchors. Positions whose name no other
 document has are dropped. The second round names, for the others, the longest stretch that its
 windows span; a stretch that a smaller id has too is settled whole. Only what still differs
-within an anchor's name, one copy of each stretch, goes to the last round, where windows of the
-full length are named. Anchors that very many stretches share are sorted by rank pairs: the
+within an anchor's name, every copy of a stretch whose id is its least, goes to the last round,
+where windows of the full length are named. Anchors that very many stretches share are sorted by rank pairs: the
 names of a window's first and last bytes.
 """
 
@@ -145,7 +145,7 @@ def _stretches(docs: DataFrame, length: int, id_col: str, text_col: str) -> Data
             codes[order[bounds[bucket] : bounds[bucket + 1]]] = np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
         code = codes[entry]
         gone = (code == 0) | (ids > ids[new][entry])
-        open_ = new & (code == 2)
+        open_ = ~gone & (code == 2)
         n_docs = t.num_rows
         by_doc = np.lexsort((first, doc))
         g = by_doc[gone[by_doc]]

@@ -58,6 +58,18 @@ def test_suffix_dedup(odd, real, monkeypatch, together):
         same(got, brute.repeats(pairs(docs)))
 
 
+def test_suffix_dedup_of_a_stretch_repeated_within_the_least_id(spark):
+    """All copies lose what a smaller id has, in one document and in several rows of one id."""
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows = []
+    for i in range(0, 120, 3):
+        p, q, r = some(60), some(60), some(60)
+        rows += [(i, some(60) + q + some(60)), (i + 1, f"{p}{q}{r}{some(200)}{p}{q}{r}"), (i + 1, f"{some(70)}{p}{q}{r}"), (i + 2, p + q + r)]
+    got = suffix_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    same(got, brute.repeats(rows))
+
+
 def test_suffix_dedup_of_long_and_no_texts(odd, empty):
     assert suffix_dedup.dedup_passages(empty).count() == 0
     r = {x["doc_id"]: x for x in suffix_dedup.dedup_passages(odd).collect()}

@@ -2,7 +2,7 @@
 
 Statistics of whole texts are turned into a vector for each document. For each language and
 source a minimum covariance determinant estimate is fitted by concentration steps: from a
-start at medians, mean and covariance of the closest three quarters, again and again.
+start at medians, mean and covariance of the closest half, until the half stays the same.
 Vectors far from it by Mahalanobis distance are rejected. Everything is DataFrame work;
 quantiles of distances come from counts of distance classes, so that no group meets in one task.
 """
@@ -19,11 +19,12 @@ from cartolake.llm.common import WORD, saved, space_words, table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Share of a group that the estimate is made from, and the chi-square quantile (4 degrees) of it.
-COVERAGE = 0.75
-CHI2_COVERAGE = 5.385
+COVERAGE = 0.5
+CHI2_COVERAGE = 3.357
 #: Squared distance beyond which a vector is rejected: the chi-square quantile (4 degrees) of 1 - 1e-9.
 CUTOFF = 47.0
-STEPS = 3
+#: Concentration ends when no group's limit moves; a group whose limit goes round ends here.
+MAX_STEPS = 30
 #: Groups of fewer rows are judged with the other small groups of their language.
 MIN_GROUP = 50
 #: Classes of squared distances per power of two, for quantiles.
@@ -147,19 +148,24 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _estimates(vectors: DataFrame, on: list[str]) -> DataFrame:
-    """Mean, Cholesky factor and scale of each group after STEPS concentration steps."""
+    """Mean, Cholesky factor and scale of each group after concentration steps until no limit class changes."""
     middle = vectors.groupBy(*on).agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m_{f}") for f in FEATURES])
     spread = vectors.join(middle, on)
     spread = spread.groupBy(*on, *[f"m_{f}" for f in FEATURES]).agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 10000).alias(f"a_{f}") for f in FEATURES])
     d = len(FEATURES)
     start = [(F.sqrt(F.pow(F.col(f"a_{FEATURES[i]}") * 1.4826, 2) + FLOOR[FEATURES[i]]) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
     fitted = saved(spread.select(*on, *[f"m_{f}" for f in FEATURES], *start))
-    for _ in range(STEPS):
-        near = _classes(_distance(vectors.join(fitted, on)))
-        near = near.join(_limits(near, on), on).filter(F.col("_class") <= F.col("_limit"))
+    vectors = saved(vectors)
+    near = _classes(_distance(vectors.join(fitted, on)))
+    limits = saved(_limits(near, on))
+    for _ in range(MAX_STEPS):
+        near = near.join(limits, on).filter(F.col("_class") <= F.col("_limit"))
         fitted = saved(_fit(near.select(*on, *FEATURES), on))
-    limits = _limits(_classes(_distance(vectors.join(fitted, on))), on)
-    # three quarters of a normal group lie within CHI2_COVERAGE; a tighter group isn't stretched
+        near = _classes(_distance(vectors.join(fitted, on)))
+        before, limits = limits.withColumnRenamed("_limit", "_before"), saved(_limits(near, on))
+        if not limits.join(before, on).filter("_limit <> _before").limit(1).count():
+            break
+    # half of a normal group lie within CHI2_COVERAGE; a tighter group isn't stretched
     scale = F.lit(CHI2_COVERAGE) / F.greatest(F.pow(F.lit(2.0), (F.col("_limit") + 1) / CLASSES), F.lit(CHI2_COVERAGE))
     return fitted.join(limits, on).withColumn("_scale", scale).drop("_limit")
 

@@ -226,6 +226,20 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def quality_rows(n, junk):
+    """Rows of 200 ordinary words, and those that junk changes."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{'abcdefghij'[i % 10] * (2 + i % 7)}{i}" for i in range(4000)]
+    return [(i, junk(i, " ".join(rng.choice(vocabulary, 200))), "en", "s") for i in range(n)]
+
+
+def test_quality_rejects_a_third_of_one_kind(spark):
+    rows = quality_rows(300, lambda i, text: text if i % 3 else text.replace(" ", " #$%&#$%&#$%& "))
+    r = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x["base_failed"] for x in r.values() if x["doc_id"] % 3)
+    assert all(x["kept"] == bool(i % 3) for i, x in r.items())
+
+
 def tokens_of(text):
     from tokenizers import Tokenizer
 

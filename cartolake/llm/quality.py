@@ -21,8 +21,8 @@ MAX_REPEAT_PERCENT = 50
 #: Share of a group that the estimate is made from, and the chi-square quantile (4 degrees) of it.
 COVERAGE = 0.5
 CHI2_COVERAGE = 3.357
-#: Squared distance beyond which a vector is rejected: the chi-square quantile (4 degrees) of 1 - 1e-9.
-CUTOFF = 47.0
+#: Squared distance beyond which a vector is rejected: the chi-square quantile (4 degrees) of 0.999.
+CUTOFF = 18.467
 #: Concentration ends when no group's limit moves; a group whose limit goes round ends here.
 MAX_STEPS = 30
 #: Groups of fewer rows are judged with the other small groups of their language.
@@ -96,14 +96,12 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 def _vectors(stats: DataFrame) -> DataFrame:
     """Transformed statistics: logarithm of the mean word, square roots of shares."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    # the share of repeated words that chance brings grows with the text; its part is taken off
-    chance = F.lit(0.06) * F.log1p(n / 1000)
     return stats.withColumns(
         {
             "v_len": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
             "v_sym": F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 1.0)),
             "v_line": F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 5.0)),
-            "v_rep": F.sqrt(F.greatest(F.lit(0.0), F.col("n_repeat_words") / (n + 25) - chance)),
+            "v_rep": F.sqrt(F.col("n_repeat_words") / (n + 25)),
         }
     )
 

@@ -240,6 +240,14 @@ def test_quality_rejects_a_third_of_one_kind(spark):
     assert all(x["kept"] == bool(i % 3) for i, x in r.items())
 
 
+def test_quality_rejects_repeats_within_the_base_limit(spark):
+    """Two in five words repeat, where no other document of the group repeats any."""
+    rows = quality_rows(200, lambda i, text: text if i else " ".join(text.split()[:120] + text.split()[:40] + text.split()[120:160]))
+    r = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (r[0]["n_repeat_words"], r[0]["base_failed"]) == (80, False)
+    assert all(x["kept"] == bool(i) for i, x in r.items())
+
+
 def tokens_of(text):
     from tokenizers import Tokenizer
 

@@ -8,27 +8,27 @@ the tokens, or the tokens of a few documents without the rest.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartolake.llm.blocks import text_bytes
 from cartolake.llm.common import scratch_path, table
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 END_ID = 0
-#: Chunks between single spaces or line breaks whose ids a worker remembers.
-CACHED_CHUNKS = 400_000
-#: How byte-level BPE splits a text before merging (public GPT-2 pattern).
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces whose ids a worker remembers, and bytes of texts that it encodes at once.
+CACHED_PIECES = 500_000
+SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, part int, n_tokens int, tokens array<int>"
 
 
@@ -38,168 +38,194 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class ChunkEncoder:
-    """Encodes texts like tokenizer.encode, remembering chunks that start at a space.
+class PieceEncoder:
+    """Encodes texts like tokenizer.encode, looking up the pieces that merges stay within.
 
-    Byte-level BPE splits a text before its merges, and a single space or line break between other
-    characters always starts a piece; so the ids of a text are those of its chunks, one after another. A
-    text with two white-space characters side by side is encoded whole instead. Chunks not met
-    before are split into the pieces that the merges stay within, and new pieces are encoded
-    together as one text. Chunks with characters that are seldom in such texts go alone.
+    Byte-level BPE splits a text into pieces before its merges, so the ids of a text are those of
+    its pieces, one after another. Pieces of a whole batch are cut by the classes of its
+    characters (letter, digit, white space, other; asked of the tokenizer itself), made distinct
+    by Arrow, and only distinct pieces are looked up; new ones are encoded together as one text. A
+    text that holds the string of an added token goes to the plain call, and so does every text
+    if the tokenizer splits in another way.
     """
 
-    def __init__(self, path: str, end_id: int, limit: int = CACHED_CHUNKS) -> None:
+    LETTER, DIGIT, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+
+    def __init__(self, path: str, end_id: int, limit: int = CACHED_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.at_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.at_space[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
         self.end_id, self.limit = end_id, limit
-        self.adjacent = re.compile(r"\s\s")
-        # beyond these, two libraries may know different letters or white space
-        self.unsure = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
-        self.pieces = regex.compile(PIECE).findall
-        self.line_break = self._encode(["\n"])[0][0]
-        self._forget_pieces()
-        #: Entry 0, under None, is the end id; a key is a chunk without its space (or with its line break), or a tuple of a text's first or blank last chunk as it is.
-        self.index: dict[str | tuple[str] | None, int] = {None: 0}
-        self.flat = np.array([end_id], dtype=np.int32)
-        self.starts = np.array([0, 1], dtype=np.int64)
-        self.uses = np.array([1], dtype=np.int64)
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        self.by_piece = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["model"].get("dropout")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        if self.by_piece:
+            vocabulary = self.tokenizer.get_vocab()
+            self.at_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.at_space[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
+            self.line_break = self._encode(["\n"])[0][0]
+            self.classes = np.full(0x110000, self.UNKNOWN, dtype=np.uint8)
+            self.classes[:128] = [self._class_of(chr(c)) for c in range(128)]
+            #: Entry 0, under None, is the end id.
+            self.index: dict[bytes | None, int] = {None: 0}
+            self.flat = np.array([end_id], dtype=np.int32)
+            self.starts = np.array([0, 1], dtype=np.int64)
+            self.uses = np.array([2], dtype=np.int64)
+
+    def _class_of(self, c: str) -> int:
+        """A letter joins a letter, a digit a digit, another character another one; white space joins none of them."""
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return next((k for k, beside in ((self.LETTER, "a"), (self.DIGIT, "1"), (self.OTHER, "!")) if len(split(beside + c)) == 1), self.SPACE)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _compact(self) -> None:
-        """Forgets chunks met once, and the least used ones beyond half the limit."""
-        order = np.argsort(-self.uses[1:], kind="stable")[: self.limit // 2] + 1
+        """Forgets pieces that one slice alone had, and the least used ones beyond half the limit."""
         keep = np.zeros(len(self.uses), dtype=bool)
-        keep[order] = self.uses[order] > 1
+        keep[np.argsort(-self.uses, kind="stable")[: self.limit // 2 + 1]] = True
+        keep &= self.uses > 1
         keep[0] = True
         sizes = np.diff(self.starts)
         number = np.cumsum(keep) - 1
         self.flat = self.flat[np.repeat(keep, sizes)]
         self.starts = np.concatenate([[0], np.cumsum(sizes[keep])])
-        self.uses = (self.uses[keep] + 1) // 2
+        self.uses = self.uses[keep]
         self.index = {k: int(number[i]) for k, i in self.index.items() if keep[i]}
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Puts entries at the end of the table; the number of the first."""
+    def _add(self, group: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.starts) - 1
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(sizes), dtype=np.int64)])
-        return n
-
-    def _learn(self, keys: list[str | tuple[str]]) -> None:
-        plain = [k for k in keys if type(k) is str]
-        single = [k for k in keys if type(k) is tuple]
-        if plain and self.unsure.search("".join(plain)):
-            single += [k for k in plain if self.unsure.search(k)]
-            plain = [k for k in plain if not self.unsure.search(k)]
-        if plain:
-            pieces = self.pieces("".join([k if k[0] == "\n" else " " + k for k in plain]))
-            first = np.fromiter([x[0] in " \n" for x in pieces], dtype=bool, count=len(pieces))
-            at = self._pieces_at(pieces)
-            begin, n_ids = self.piece_starts[at], np.diff(self.piece_starts)[at]
-            ends = np.cumsum(n_ids)
-            ids = self.piece_flat[np.arange(ends[-1]) + np.repeat(begin - (ends - n_ids), n_ids)]
-            n = self._add(ids, np.add.reduceat(n_ids, np.flatnonzero(first)))
-            self.index.update(zip(plain, range(n, n + len(plain)), strict=True))
-        if single:
-            found = self._encode([k[0] if type(k) is tuple else k if k[0] == "\n" else " " + k for k in single])
-            n = self._add(np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
-            self.index.update(zip(single, range(n, n + len(single)), strict=True))
-
-    def _forget_pieces(self) -> None:
-        self.piece_index: dict[str, int] = {}
-        self.piece_flat = np.zeros(0, dtype=np.int32)
-        self.piece_starts = np.zeros(1, dtype=np.int64)
-
-    def _pieces_at(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces in their table. New ones are encoded together: at a space byte, or after a line break, one starts."""
-        at = np.fromiter(map(self.piece_index.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
-        missing = np.flatnonzero(at < 0).tolist()
-        if not missing:
-            return at
-        if len(self.piece_index) + len(missing) > self.limit:
-            self._forget_pieces()
-            missing = list(range(len(pieces)))
-        fresh = dict.fromkeys([pieces[i] for i in missing])
-        spaced = [x for x in fresh if x[0] == " " and not x.isspace()]
-        blank = [x for x in fresh if x.isspace()]
-        other = [x for x in fresh if not x[0].isspace()]
-        for group, text in ((spaced, "".join(spaced)), (other, "".join([x + "\n" for x in other]))):
-            if group:
-                ids = np.array(self._encode([text])[0], dtype=np.int32)
-                if group is spaced:
-                    sizes = np.diff(np.append(np.flatnonzero(self.at_space[ids]), len(ids)))
-                else:
-                    breaks = np.flatnonzero(ids == self.line_break)
-                    sizes = np.diff(breaks, prepend=-1) - 1
-                    ids = ids[ids != self.line_break]
-                self._add_pieces(group, ids, sizes)
-        if blank:
-            found = self._encode(blank)
-            self._add_pieces(blank, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found]))
-        at[missing] = [self.piece_index[pieces[i]] for i in missing]
-        return at
-
-    def _add_pieces(self, group: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.piece_starts) - 1
-        self.piece_flat = np.concatenate([self.piece_flat, ids])
-        self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + np.cumsum(sizes)])
-        self.piece_index.update(zip(group, range(n, n + len(group)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.index.update(zip(group, range(n, n + len(group)), strict=True))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encodes new pieces together: one starts at a space byte, or after a line break."""
+        texts = [x.decode() for x in fresh]
+        blank = [bool(self.classes[ord(t[-1])] == self.SPACE) for t in texts]
+        for kind in ("spaced", "other", "blank"):
+            use = [i for i, t in enumerate(texts) if (kind == "blank") == blank[i] and (kind == "blank" or (kind == "spaced") == (t[0] == " "))]
+            if not use:
+                continue
+            if kind == "blank":
+                found = self._encode([texts[i] for i in use])
+                ids, sizes = np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found])
+            elif kind == "spaced":
+                ids = np.array(self._encode(["".join([texts[i] for i in use])])[0], dtype=np.int32)
+                sizes = np.diff(np.append(np.flatnonzero(self.at_space[ids]), len(ids)))
+            else:
+                ids = np.array(self._encode(["".join([texts[i] + "\n" for i in use])])[0], dtype=np.int32)
+                sizes = np.diff(np.flatnonzero(ids == self.line_break), prepend=-1) - 1
+                ids = ids[ids != self.line_break]
+            self._add([fresh[i] for i in use], ids, sizes)
+
+    def _char_classes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the bytes of texts: the class of each character at its first byte, carried to its further bytes, and whether a byte is such a further one."""
+        out = self.classes[data]
+        high = data >= 0x80
+        if not high.any():
+            return out, high
+        at = np.flatnonzero(data >= 0xC0)
+        lead = data[at].astype(np.int32)
+        size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+        code = lead & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            code[more] = (code[more] << 6) | (data[at[more] + k] & 0x3F)
+        kinds = self.classes[code]
+        if (kinds == self.UNKNOWN).any():
+            for c in np.unique(code[kinds == self.UNKNOWN]).tolist():
+                self.classes[c] = self._class_of(chr(c))
+            kinds = self.classes[code]
+        out[at] = kinds
+        for k in range(1, 4):
+            more = size > k
+            out[at[more] + k] = kinds[more]
+        return out, high & (data < 0xC0)
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin, by the public byte-level BPE pattern: contractions, then runs of one class with one space before them, then white space."""
+        kind, further = self._char_classes(data)
+        n = len(data)
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[offsets] = True
+        begins = begins[:-1]
+        space = kind == self.SPACE
+        cut = np.empty(n, dtype=bool)
+        cut[:1] = True
+        # of equal neighbours none begins; a single space stays with what follows
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut[1:] &= (data[:-1] != 0x20) | space[1:]
+        cut |= begins
+        # of a run of white space before something the last character stands by itself, or goes with what follows
+        gap = np.flatnonzero(space[1:] & space[:-1]) + 1
+        if len(gap):
+            first = gap[~further[gap] & ~begins[gap]]
+            width = 1 + (data[first] >= 0xC0) + (data[first] >= 0xE0) + (data[first] >= 0xF0)
+            after = first + width
+            inside = after < n
+            after_at = np.minimum(after, n - 1)
+            cut[first[inside & ~space[after_at] & ~begins[after_at]]] = True
+        quote = np.flatnonzero((data == 0x27) & cut)
+        quote = quote[quote + 1 < n]
+        if len(quote):
+            one, two = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+            short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8)) & ~begins[quote + 1]
+            long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+            long &= (quote + 2 < n) & ~begins[quote + 1] & ~begins[np.minimum(quote + 2, n - 1)]
+            for found, size in ((quote[short], 2), (quote[long & ~short], 3)):
+                cut[found + 1] = False
+                end = found + size
+                cut[end[end < n]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, the end id after each text, and the number of ids of each text."""
-        if len(self.starts) > self.limit or len(self.flat) > 8 * self.limit:
+        if not self.by_piece:
+            found = [[*x, self.end_id] for x in self._encode([x or "" for x in texts.to_pylist()])]
+            return np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int32)
+        data, offsets = text_bytes(pc.fill_null(texts, ""))
+        if len(self.index) > self.limit:
             self._compact()
-        keys: list[str | tuple[str] | None] = []
-        sizes, whole = [], []
-        for i, text in enumerate(texts):
-            n = len(keys)
-            if self.adjacent.search(text):
-                whole.append((n, i))
-                keys.append(None)
-            else:
-                parts = text.replace("\n", " \n").split(" ")
-                last = parts[-1]
-                parts[0] = (parts[0],)
-                if len(parts) > 1 and (not last or last[-1].isspace()):
-                    parts[-1] = (last if last[:1] == "\n" else " " + last,)
-                keys += parts
-            keys.append(None)
-            sizes.append(len(keys) - n)
-        at = np.fromiter(map(self.index.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys([keys[i] for i in missing.tolist()])))
-            at[missing] = [self.index[keys[i]] for i in missing.tolist()]
-        if whole:
-            found = self._encode([texts[i] for _, i in whole])
-            n = self._add(np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
-            at[[place for place, _ in whole]] = np.arange(n, n + len(whole))
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        cuts = self._cuts(data, offsets)
+        bounds = np.append(cuts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        number = np.fromiter(map(self.index.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            self._learn([distinct[i] for i in missing])
+            number[missing] = [self.index[distinct[i]] for i in missing]
+        self.uses[number] += 1
+        # the end id after the pieces of each text
+        last = np.searchsorted(cuts, offsets[1:])
+        at = np.insert(number[pieces.indices.to_numpy()], last, 0)
+        last += np.arange(len(last))
         begin = self.starts[at]
         n_ids = self.starts[at + 1] - begin
         ends = np.cumsum(n_ids)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n_ids), n_ids)]
-        last = np.cumsum(sizes) - 1
-        return ids, np.diff(ends[last], prepend=0).astype(np.int32) if len(last) else np.zeros(0, dtype=np.int32)
+        sizes = np.diff(ends[last], prepend=0).astype(np.int32)
+        alone = [i for x in self.added for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)).tolist()]
+        if alone:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in set(alone):
+                parts[i] = np.array([*self._encode([texts[i].as_py()])[0], self.end_id], dtype=np.int32)
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int32)
+        return ids, sizes
 
 
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> ChunkEncoder:
+def encoder(path: str, end_id: int) -> PieceEncoder:
     """The one of this worker process; tasks that follow one another in it share what it remembers."""
     key = (path, end_id)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, end_id)
+        _ENCODERS[key] = PieceEncoder(path, end_id)
     return _ENCODERS[key]
 
 
@@ -207,17 +233,20 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Writes (doc_id, part, n_tokens, tokens) to path in ascending order of ids, null ids first.
 
     part is the number of the range of ids that a file holds. A null text is an empty one and
-    has the end id alone. Repeated rows are written as often as they occur. An empty table
-    gives files without rows. Texts are encoded whole, whatever their length.
+    has the end id alone. Repeated rows are written as often as they occur. Ids are whole numbers. An empty table
+    gives files without rows. Texts are encoded whole, whatever their length; the string of an added
+    token in a text becomes its id, as the library has it. Further columns are left out.
     """
     tokenizer_path = tokenizer_path or default_tokenizer()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                ids, sizes = own.encode([x or "" for x in b.column("text").to_pylist()])
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(upto, np.arange(SLICE_BYTES, upto[-1] if len(upto) else 0, SLICE_BYTES)) + 1
+            for at, end in pairwise(np.unique([0, *cuts, batch.num_rows]).tolist()):
+                b = batch.slice(at, end - at)
+                ids, sizes = own.encode(b.column("text"))
                 offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
                 np.cumsum(sizes, out=offsets[1:])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "part", "n_tokens", "tokens"])

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_output, url_filter
 
+SF = "/root/testdata/sf0.001"
+
 
 def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
@@ -142,7 +146,11 @@ def test_jaccard_keeps_one(odd, empty):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert ids.count(2) == 1 and 3 in ids and 4 in ids
+    linked = brute.components(pairs(odd), jaccard_join.WORDS, jaccard_join.PERCENT)
+    least = {i for i, n, c in linked if n and i == c}
+    assert sorted((i for i in ids if i in least), key=repr) == sorted(least, key=repr)
+    assert {i for i, n, c in linked if n and i != c}.isdisjoint(ids)
+    assert 3 in ids and 4 in ids
 
 
 def conversations(spark):
@@ -248,36 +256,69 @@ def test_quality_rejects_repeats_within_the_base_limit(spark):
     assert all(x["kept"] == bool(i) for i, x in r.items())
 
 
-def tokens_of(text):
+@cache
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(token_output.default_tokenizer())
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(token_output.default_tokenizer())
+
+
+def tokens_of(text):
+    return [*plain_tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_token_output(spark, odd, real, tmp_path):
     for i, docs in enumerate((odd, real)):
         path = str(tmp_path / str(i))
         token_output.write_tokens(docs, path)
-        back = spark.read.parquet(path).orderBy("part").collect()
+        back = sorted(spark.read.parquet(path).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]))
         same([(r["doc_id"], tuple(r["tokens"])) for r in back], [(d, tuple(tokens_of(t))) for d, t in pairs(docs)])
         ids = [r["doc_id"] for r in back]
         assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
         digests = token_output.read_digests(spark, path).orderBy("start").collect()
         at = 0
         for r, d in zip(back, digests, strict=True):
-            assert (d["start"], d["n_tokens"], d["ids_crc32"]) == (at, len(r["tokens"]), zlib.crc32(np.array(r["tokens"], "<u4").tobytes())) or r["doc_id"] == digests[0]["doc_id"]
+            assert (d["doc_id"], d["start"], d["n_tokens"], d["ids_crc32"]) == (r["doc_id"], at, len(r["tokens"]), zlib.crc32(np.array(r["tokens"], "<u4").tobytes()))
             at += len(r["tokens"])
 
 
-def test_chunks_are_exact_ids():
-    e = token_output.ChunkEncoder(token_output.default_tokenizer(), 0, limit=40)
-    texts = ["a  b", " a b ", " ", "", "a\n b", "a 's don't 'll x", "x\u2003y \u3000z", "<|endoftext|> a", "a\tb c\n", "é É ß 12 3.4 !!  ok", "\x1c a\x85b", "a \x00b \x00", "tail ", " lead", "\u0120 a \u0120b", "x\ny\nz", "\nx", "x\n", "a \U0001f600b \u4e2d\u6587", "one two three four " * 9]
-    for _ in range(3):
-        ids, sizes = e.encode(texts)
-        assert ids.tolist() == [i for t in texts for i in tokens_of(t)]
-        assert sizes.tolist() == [len(tokens_of(t)) for t in texts]
+TEXTS = ["a  b", " a b ", " ", "", None, "a\n b", "a 's don't 'll x", "x\u2003y \u3000z", "<|endoftext|> a", "b<|endoftext|>", "a\tb c\n", "é É ß 12 3.4 !!  ok", "\x1c a\x85b", "a \x00b \x00", "tail ", " lead", "\u0120 a \u0120b", "x\ny\nz", "\nx", "x\n", "a \U0001f600b \u4e2d\u6587", "one two three four " * 9]
+
+
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_pieces_are_exact_ids(limit):
+    rng = np.random.default_rng(8)
+    parts = [*"ab'strevmld12!.é", " ", " ", " ", "\n", "\t", "  ", "'ll", "\u3000", "\u0301", "\u4e2d", "\U0001f600", "\u0663", "\x85", "<|endoftext|>"]
+    texts = TEXTS + ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(2000)]
+    e = token_output.PieceEncoder(token_output.default_tokenizer(), 0, limit)
+    for _ in range(2):
+        for at in range(0, len(texts), 300):
+            some = texts[at : at + 300]
+            ids, sizes = e.encode(pa.array(some, pa.string()))
+            expected = [tokens_of(t) for t in some]
+            assert ids.tolist() == [i for x in expected for i in x]
+            assert sizes.tolist() == [len(x) for x in expected]
+
+
+def test_other_tokenizers_take_the_plain_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, sizes = token_output.PieceEncoder(path, 7).encode(pa.array(TEXTS, pa.string()))
+    expected = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 7] for t in TEXTS]
+    assert ids.tolist() == [i for x in expected for i in x] and sizes.tolist() == [len(x) for x in expected]
+
+
+def test_token_query(spark):
+    """The query against the plain call, over its whole table."""
+    rows = sorted(pairs(spark.read.parquet(f"{SF}/documents.parquet")))
+    expected, at = [], 0
+    for i, text in rows:
+        ids = tokens_of(text)
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in token_output.op9_token_output(spark, SF).orderBy("start").collect()] == expected
 
 
 def test_mixing(spark, odd, empty, real):

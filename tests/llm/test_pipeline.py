@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def tokens_of(text):
-    from test_operators import tokens_of as f
+    from test_llm_operators import tokens_of as f
 
     return f(text)
 

@@ -34,31 +34,69 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.regexp_count(text, F.lit(WORD)) * 4 / 3).cast("long") + TURN_TOKENS
 
 
+def _with_starts(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """Adds n, at (place in the conversation), system, stride, start (tokens of the turns before it, without the system turn) and longs (turns before it longer than stride).
+
+    Rows are range-sorted by conversation and order; each range adds up its own turns and takes
+    what the ranges before it hold of the same conversation, at most one row a range.
+    """
+    order = ["turn", "role", "text"]
+    t = rows.withColumn("n", tokens(F.col("text"))).repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id())
+    t = saved(t)
+    conv, within = Window.partitionBy("conv"), Window.partitionBy("conv", "part")
+    first = F.min(F.struct(*order, "n"))
+    parts = t.groupBy("conv", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("sum"), first.alias("first"))
+    opening = F.first("first").over(conv.orderBy("part"))
+    parts = parts.withColumn("s", F.when(opening["role"] == "system", opening["n"]).otherwise(0))
+    parts = parts.withColumn("stride", F.greatest(F.floor((budget - history - F.col("s")) / 2), F.lit(history)))
+    # a range's long turns can be counted once the stride is known
+    told = t.join(parts.select(F.col("conv").alias("p_conv"), F.col("part").alias("p_part"), "stride"), F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part")))
+    longs = told.filter(F.col("n") > F.col("stride")).groupBy("conv", "part").agg(F.count("*").alias("longs"))
+    longs = longs.select(F.col("conv").alias("l_conv"), F.col("part").alias("l_part"), "longs")
+    parts = parts.join(longs, F.col("conv").eqNullSafe(F.col("l_conv")) & (F.col("part") == F.col("l_part")), "left")
+    before = conv.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("rows", "sum", "longs")]
+    parts = saved(parts.select(F.col("conv").alias("p_conv"), F.col("part").alias("p_part"), "s", "stride", *upto))
+    t = t.join(parts, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part"))).drop("p_conv", "p_part")
+    sums = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("at", F.col("rows_before") + F.row_number().over(within.orderBy(*order)))
+    t = t.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
+    t = t.withColumn("long", ~F.col("system") & (F.col("n") > F.col("stride")))
+    start = F.col("sum_before") + F.coalesce(F.sum("n").over(sums), F.lit(0)) - F.when(F.col("system"), 0).otherwise(F.col("s"))
+    # the system turn is no long turn, but counts among those of the ranges before
+    counted = F.coalesce(F.sum(F.col("long").cast("long")).over(sums), F.lit(0)) + F.col("longs_before")
+    counted = counted - ((F.col("rows_before") > 0) & (F.col("s") > F.col("stride"))).cast("long")
+    return t.withColumns({"start": start, "longs": counted})
+
+
 def place_turns(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """rows (conv, turn, role, text) as (conv, at, role, text, win, own): each turn once with own, and again where it is repeated.
 
-    A turn starts at the sum of the tokens before it; its window is that over half of what the
-    budget leaves beside history. So a window keeps to the budget unless one turn is longer than
-    the half; turns stay whole. The turn of role system that comes first is in every window.
+    The system turn, the first one if its role is system, is in every window and is charged to
+    each: half of what the budget leaves beside it and history is the stride. A turn starts at the
+    sum of the tokens before it; windows are the strides that turns start in, and a turn longer
+    than the stride has one of its own. So a window keeps to the budget, unless one turn doesn't
+    fit beside the system turn and history, or the system turn leaves less than three times
+    history; turns stay whole. win orders the windows of a conversation.
     """
-    stride = (budget - history) // 2
-    if not 0 < history <= stride:
+    if not 0 < history <= (budget - history) // 2:
         raise ValueError("history must be positive and at most a third of the budget")
-    conv = Window.partitionBy("conv")
-    order = conv.orderBy("turn", "role", "text")
-    t = rows.withColumn("n", tokens(F.col("text"))).withColumn("at", F.row_number().over(order))
-    t = t.withColumn("start", F.sum("n").over(conv.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    t = t.withColumn("win", F.floor(F.col("start") / stride))
-    later = conv.orderBy("win").rangeBetween(1, Window.unboundedFollowing)
-    t = t.withColumns({"next_win": F.min("win").over(later), "next_start": F.min("start").over(later)})
-    system = (F.col("at") == 1) & (F.col("role") == "system")
-    t = t.withColumn("later", F.when(system, F.collect_set("win").over(later)))
+    t = _with_starts(rows, budget, history)
+    section = F.col("longs") * 2 + F.col("long").cast("long")
+    t = t.withColumn("win", section * F.lit(1 << 40) + F.floor(F.col("start") / F.col("stride")))
+    t = saved(t.select("conv", "at", "role", "text", "start", "system", "win"))
+    windows = t.groupBy("conv", "win").agg(F.min("start").alias("first_start"))
+    by_win = Window.partitionBy("conv").orderBy("win")
+    windows = windows.select(F.col("conv").alias("w_conv"), F.col("win").alias("w_win"), F.lead("win").over(by_win).alias("next_win"), F.lead("first_start").over(by_win).alias("next_start"), (F.row_number().over(by_win) > 1).alias("later"))
+    windows = saved(windows)
+    same = F.col("conv").eqNullSafe(F.col("w_conv"))
+    near = ~F.col("system") & (F.col("start") >= F.col("next_start") - history)
     own = F.array(F.struct(F.col("win").alias("win"), F.lit(True).alias("own")))
-    again = lambda wins: F.transform(wins, lambda w: F.struct(w.alias("win"), F.lit(False).alias("own")))
-    near = F.col("start") >= F.col("next_start") - history
-    none = F.array().cast("array<bigint>")
-    wins = F.when(system, F.coalesce("later", none)).when(near, F.array("next_win")).otherwise(none)
-    return t.select("conv", "at", "role", "text", F.explode(F.concat(own, again(wins))).alias("w")).select("conv", "at", "role", "text", "w.win", "w.own")
+    again = F.when(near, F.array(F.struct(F.col("next_win").alias("win"), F.lit(False).alias("own")))).otherwise(F.array().cast("array<struct<win:bigint,own:boolean>>"))
+    turns = t.join(windows, same & (F.col("win") == F.col("w_win"))).select("conv", "at", "role", "text", F.explode(F.concat(own, again)).alias("w"))
+    turns = turns.select("conv", "at", "role", "text", "w.win", "w.own")
+    head = t.filter("system").join(windows.filter("later"), same).select("conv", "at", "role", "text", F.col("w_win").alias("win"), F.lit(False).alias("own"))
+    return turns.union(head)
 
 
 def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -66,7 +104,7 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
 
     Null roles and texts are empty; null turns come first, and turns of one number follow by role
     and text. Repeated rows are turns of their own. A null conv_id is one conversation.
-    An empty table has no windows.
+    An empty table has no windows. Texts of any length stay whole; further columns are left out.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
@@ -88,7 +126,10 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Conversations from their windows: conv_id, turns (role, text) in order, loss (texts under the mask), formatted_chars."""
+    """Conversations from their windows: conv_id, turns (role, text) in order, loss (texts under the mask), formatted_chars.
+
+    A conversation is one row, so one task holds its turns.
+    """
     parts = F.filter(F.split("formatted", r"<\|end\|>\n", -1), lambda p: p.startswith(OWN))
 
     def turn(p: Column) -> Column:
@@ -121,10 +162,16 @@ WITH c AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
          (ceil(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) * 4 / 3.0) + 6)::BIGINT AS n
   FROM c
+), y AS (
+  SELECT *, i = 1 AND role = 'system' AS sys, coalesce(max(CASE WHEN i = 1 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id), 0) AS s FROM n
 ), s AS (
-  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) - n AS start FROM n
+  SELECT *, CASE WHEN sys THEN 0 ELSE sum(n) OVER (PARTITION BY conv_id ORDER BY i) - n - s END AS start,
+         greatest(256, floor((2048 - 256 - s) / 2.0)::BIGINT) AS stride
+  FROM y
+), l AS (
+  SELECT *, sum((NOT sys AND n > stride)::BIGINT) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM s
 ), w AS (
-  SELECT *, floor(start / 896.0)::BIGINT AS win FROM s
+  SELECT *, (CASE WHEN NOT sys AND n > stride THEN 2 * upto - 1 ELSE 2 * upto END) * 1099511627776 + floor(start / stride::DOUBLE)::BIGINT AS win FROM l
 ), f AS (
   SELECT conv_id, win, min(start) AS first_start FROM w GROUP BY conv_id, win
 ), g AS (

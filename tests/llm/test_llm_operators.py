@@ -175,11 +175,47 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
-def test_chat_budget(spark):
-    _, df = conversations(spark)
-    placed = chat.place_turns(df.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), 600, 100)
-    sizes = placed.filter("conv = 4").groupBy("win").agg(F.sum(chat.tokens(F.col("text"))).alias("n"), F.max(chat.tokens(F.col("text"))).alias("longest")).collect()
-    assert all(r["n"] <= 600 + 10 or r["longest"] > 250 for r in sizes)
+def plain_windows(turns, budget, history):
+    """Sizes of the windows of one conversation of (role, tokens)."""
+    system = turns[0][1] if turns[0][0] == "system" else 0
+    stride = max((budget - history - system) // 2, history)
+    start, longs, wins = 0, 0, {}
+    for role, n in turns[1:] if system else turns:
+        long = n > stride
+        wins.setdefault((longs * 2 + long, start // stride), []).append((start, n))
+        start, longs = start + n, longs + long
+    if system:
+        wins.setdefault((0, 0), [])
+    out, past = [], []
+    for key in sorted(wins):
+        first = wins[key][0][0] if wins[key] else 0
+        out.append(system + sum(n for s, n in past if s >= first - history) + sum(n for _, n in wins[key]))
+        past = wins[key]
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history"), [(600, 100), (2048, 256)])
+def test_chat_budget(spark, budget, history):
+    rng = np.random.default_rng(2)
+    rows = []
+    for conv in range(12):
+        system = [0, 1, 300, 600][conv % 4]
+        if system:
+            rows.append((conv, 0, "system", "s " * system))
+        top = [20, 300, 600][conv % 3]
+        rows += [(conv, i + 1, "user", "w " * int(rng.integers(1, top))) for i in range(60)]
+    rows += [(20, 0, "system", "s " * 600), (20, 1, "user", "u " * 600), (20, 2, "user", "v " * 600)]
+    df = spark.createDataFrame(rows, "conv long, turn long, role string, text string")
+    placed = chat.place_turns(df, budget, history).withColumn("n", chat.tokens(F.col("text")))
+    sizes = {}
+    for r in placed.groupBy("conv", "win").agg(F.sum("n").alias("n")).orderBy("conv", "win").collect():
+        sizes.setdefault(r["conv"], []).append(r["n"])
+    for conv in {r[0] for r in rows}:
+        turns = [(r[2], -(-len(r[3].split()) * 4 // 3) + chat.TURN_TOKENS) for r in rows if r[0] == conv]
+        assert sizes[conv] == plain_windows(turns, budget, history)
+        system = turns[0][1] if turns[0][0] == "system" else 0
+        if system <= budget - 3 * history and all(n <= budget - history - system for _, n in turns[1:]):
+            assert max(sizes[conv]) <= budget
 
 
 URLS = ["http://example.com/en/x", "https://www.example.com/en/", "https://a.b.example.com/en/?q", "http://EXAMPLE.com/en/#t", "http://x.net/fr/1", "http://x.net/es", "http://badexample.com/en/", "http://com/", "no scheme", "", None, "http://", "http:///en/", "ftp://x.org/en/", "http://example.com", "http://u:p@net/es/", "a://b://c/d?e#f", "http://www.example.com/en/" + "y" * 50_000]

@@ -56,7 +56,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without white space at both ends, A-Z lower-cased; keys of at least min_points code points
     in at least min_documents distinct ids lose all their lines. A null id counts as one id;
     a null or empty text is one empty line, whose key is too short. Repeated rows of one id
-    count once and get the same bitmap.
+    count once and get the same bitmap. Ids are whole numbers. Texts are taken whole, whatever
+    their length; an empty table has no bitmaps; further columns are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _lines(F.col(text_col)).alias("lines"))
     rows = rows.select("id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
@@ -67,7 +68,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     marked = saved(placed.mapInArrow(_first_occurrences, "h1 long, h2 long, id0 long, no_id boolean, text_hash long, pos int, n int, first boolean"))
     common = marked.filter("first").groupBy("h1", "h2").count().filter(F.col("count") >= min_documents).select("h1", "h2")
-    dropped = marked.join(common, ["h1", "h2"], "left_semi")
+    # written, so Spark knows the size: a small list is broadcast and a line's rows don't meet in one task
+    dropped = marked.join(saved(common), ["h1", "h2"], "left_semi")
     per_doc = dropped.groupBy("id0", "no_id", "text_hash").agg(F.first("n").alias("n"), F.collect_set("pos").alias("gone"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

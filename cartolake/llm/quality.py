@@ -29,6 +29,8 @@ MAX_STEPS = 30
 MIN_GROUP = 50
 #: Classes of squared distances per power of two, for quantiles.
 CLASSES = 32
+#: Classes of a feature per unit, for medians.
+MEDIAN_CLASSES = 2048
 FEATURES = ("v_len", "v_sym", "v_line", "v_rep")
 #: Added to the variances, so that a group of equal values doesn't reject the first that differs.
 FLOOR = {"v_len": 0.0025, "v_sym": 0.0025, "v_line": 0.01, "v_rep": 0.01}
@@ -133,12 +135,24 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_d2", sum((F.col(z) * F.col(z) for z in solved[1:]), F.col(solved[0]) * F.col(solved[0])))
 
 
-def _limits(rows: DataFrame, on: list[str]) -> DataFrame:
-    """_limit: the class of _d2 that COVERAGE of each group reaches, from counts of classes."""
-    counts = rows.groupBy(*on, "_class").count()
+def _reached(counts: DataFrame, on: list[str], share: float) -> DataFrame:
+    """Of counts (on, _class, count): _limit, the least class up to which there is share of each group."""
     by_class = Window.partitionBy(*on).orderBy("_class")
     counts = counts.withColumn("_upto", F.sum("count").over(by_class)).withColumn("_all", F.sum("count").over(Window.partitionBy(*on)))
-    return counts.filter(F.col("_upto") >= F.col("_all") * COVERAGE).groupBy(*on).agg(F.min("_class").alias("_limit"))
+    return counts.filter(F.col("_upto") >= F.col("_all") * share).groupBy(*on).agg(F.min("_class").alias("_limit"))
+
+
+def _limits(rows: DataFrame, on: list[str]) -> DataFrame:
+    """_limit: the class of _d2 that COVERAGE of each group reaches, from counts of classes."""
+    return _reached(rows.groupBy(*on, "_class").count(), on, COVERAGE)
+
+
+def _medians(rows: DataFrame, on: list[str], values: dict[str, Column], prefix: str) -> DataFrame:
+    """Columns prefix + name: the middle of the class, of 1 / MEDIAN_CLASSES width, that holds each group's median."""
+    classes = F.array(*[F.struct(F.lit(k).alias("f"), F.floor(v * MEDIAN_CLASSES).alias("c")) for k, v in values.items()])
+    counts = rows.select(*on, F.explode(classes).alias("x")).groupBy(*on, F.col("x.f").alias("_f"), F.col("x.c").alias("_class")).count()
+    middle = (F.col("_limit") + 0.5) / MEDIAN_CLASSES
+    return _reached(counts, [*on, "_f"], 0.5).groupBy(*on).agg(*[F.max(F.when(F.col("_f") == k, middle)).alias(prefix + k) for k in values])
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -147,13 +161,14 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 def _estimates(vectors: DataFrame, on: list[str]) -> DataFrame:
     """Mean, Cholesky factor and scale of each group after concentration steps until no limit class changes."""
-    middle = vectors.groupBy(*on).agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"m_{f}") for f in FEATURES])
-    spread = vectors.join(middle, on)
-    spread = spread.groupBy(*on, *[f"m_{f}" for f in FEATURES]).agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 10000).alias(f"a_{f}") for f in FEATURES])
+    vectors = saved(vectors)
+    # tables of one row a group are written before each join: of known size, they are broadcast and no row moves to the task of its group
+    middle = saved(_medians(vectors, on, {f: F.col(f) for f in FEATURES}, "m_"))
+    away = {f: F.abs(F.col(f) - F.col(f"m_{f}")) for f in FEATURES}
+    spread = saved(_medians(vectors.join(middle, on), on, away, "a_")).join(middle, on)
     d = len(FEATURES)
     start = [(F.sqrt(F.pow(F.col(f"a_{FEATURES[i]}") * 1.4826, 2) + FLOOR[FEATURES[i]]) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
     fitted = saved(spread.select(*on, *[f"m_{f}" for f in FEATURES], *start))
-    vectors = saved(vectors)
     near = _classes(_distance(vectors.join(fitted, on)))
     limits = saved(_limits(near, on))
     for _ in range(MAX_STEPS):
@@ -179,7 +194,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     base_failed: fewer than min_words words, or more than max_repeat_percent of the words in
     3-word windows found twice or more. Of the others, the method rejects those beyond cutoff.
     A null language or source is a group of its own. Repeated rows are judged each, alike.
-    A null or empty text has no words and fails. An empty table gives an empty result.
+    A null or empty text has no words and fails; a text of any length is judged whole. An empty
+    table gives an empty result. Further columns are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), _group(lang_col).alias("g_lang"), _group(source_col).alias("g_source"))
     stats = saved(statistics(rows, "text", ("id", "text_hash", "g_lang", "g_source")))
@@ -187,10 +203,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     vectors = _vectors(stats.withColumn("base_failed", failed))
     fine = vectors.filter(~F.col("base_failed"))
     sizes = fine.groupBy("g_lang", "g_source").agg(F.count("*").alias("_n"))
-    groups = sizes.select("g_lang", "g_source", F.when(F.col("_n") >= MIN_GROUP, F.col("g_source")).otherwise("small").alias("g_fit"))
+    groups = saved(sizes.select("g_lang", "g_source", F.when(F.col("_n") >= MIN_GROUP, F.col("g_source")).otherwise("small").alias("g_fit")))
     on = ["g_lang", "g_fit"]
     estimates = _estimates(fine.join(groups, ["g_lang", "g_source"]).select(*on, *FEATURES), on)
-    judged = vectors.join(groups.join(estimates, on).drop("g_fit"), ["g_lang", "g_source"], "left")
+    judged = vectors.join(saved(groups.join(estimates, on).drop("g_fit")), ["g_lang", "g_source"], "left")
     judged = _distance(judged).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") * F.col("_scale")))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return judged.select(F.col("id").alias(id_col), "text_hash", "g_lang", "g_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

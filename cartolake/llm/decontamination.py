@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import alnum_words, table
+from cartolake.llm.common import alnum_words, saved, table
 
 WINDOW = 10
 #: Item windows are broadcast up to this many; beyond it they are joined by a shuffle.
@@ -30,7 +30,8 @@ def _with_rarest(windows: DataFrame, docs_words: DataFrame, small: bool) -> Data
     """Adds the word of each window that the corpus has least, and where it first stands in the window."""
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
     counts = docs_words.select(F.explode("w").alias("word")).join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").count()
-    rows = windows.select("win", "items", F.posexplode("win").alias("off", "word")).join(counts, "word", "left")
+    # one row for each word of the windows, written so that a small table is broadcast: a common word's windows don't meet in one task
+    rows = windows.select("win", "items", F.posexplode("win").alias("off", "word")).join(saved(counts), "word", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "off")).alias("r")
     return rows.groupBy("win").agg(rarest, F.first("items").alias("items")).select("win", "items", F.col("r.word").alias("word"), F.col("r.off").alias("off"), F.col("r.n").alias("n"))
 
@@ -71,7 +72,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     A word is hit inside any occurrence of a window. Null texts have no words; null or empty
     items have no windows; a null item id hits without being named. Rows that repeat an id are
-    told apart by their text and judged each. Empty tables on either side give no hits.
+    told apart by their text and judged each. Empty tables on either side give no hits. Texts are
+    worked whole, whatever their length; further columns are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     windows = item_windows(benchmark, window, item_col, item_text_col)

@@ -21,7 +21,7 @@ def _cells(points: DataFrame, keys: list[str], min_points: int, members: bool) -
     return full.select(*alone.columns).unionByName(alone)
 
 
-def grid_clusters(points: DataFrame, radius: float = 0.05, min_points: int = 2, members: bool = True) -> DataFrame:
+def grid_clusters(points: DataFrame, radius: float = 0.05, min_points: int = 2, members: bool = False) -> DataFrame:
     """(cx, cy, count, x, y, members) for points (fid, x, y): cells of twice the radius, centroids as means.
 
     members collects a cell's ids, so leave it out where a cell may hold a large part of all points.
@@ -32,11 +32,24 @@ def grid_clusters(points: DataFrame, radius: float = 0.05, min_points: int = 2,
 
 
 def hierarchical_clusters(points: DataFrame, min_zoom: int, max_zoom: int, radius: float, members: bool = False) -> DataFrame:
-    """grid_clusters for each zoom z at radius / 2^z, two points at least: one pass, each point in a cell of every zoom."""
+    """grid_clusters for each zoom z at radius / 2^z, two points at least.
+
+    Cells nest, so points are summed once, at the deepest zoom, and those sums over all zooms; a
+    cell of one point is that point. members explodes the points themselves over the zooms.
+    """
     size = F.lit(radius * 2.0) / F.pow(F.lit(2.0), F.col("z").cast("double"))
-    rows = points.select("fid", "x", "y", F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))).alias("z"))
-    cells = rows.select("fid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    return _cells(cells, ["z", "cx", "cy"], 2, members)
+    zooms = F.sequence(F.lit(min_zoom), F.lit(max_zoom))
+    if members:
+        rows = points.select("fid", "x", "y", F.explode(zooms).alias("z"))
+        cells = rows.select("fid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+        return _cells(cells, ["z", "cx", "cy"], 2, members)
+    deep = radius * 2.0 / 2.0**max_zoom
+    cells = points.select("x", "y", F.floor(F.col("x") / deep).alias("cx"), F.floor(F.col("y") / deep).alias("cy"))
+    sums = cells.groupBy("cx", "cy").agg(F.count("*").alias("count"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    up = sums.withColumn("z", F.explode(zooms))
+    above = lambda c: F.expr(f"shiftright({c}, {max_zoom} - z)").alias(c)
+    up = up.select("z", above("cx"), above("cy"), "count", "x", "y").groupBy("z", "cx", "cy").agg(*[F.sum(c).alias(c) for c in ("count", "x", "y")])
+    return up.select("z", "cx", "cy", "count", (F.col("x") / F.col("count")).alias("x"), (F.col("y") / F.col("count")).alias("y"))
 
 
 def neighbours(points: DataFrame, eps: float) -> DataFrame:

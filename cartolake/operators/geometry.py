@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,28 +51,50 @@ def _turned(pts: Column) -> Column:
     return F.concat(F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 1, 1))
 
 
+def _ring(pts: Column) -> Column:
+    """One fold over a path: cross (shoelace sum), cx, cy (weighted sums), len (without the closing edge), x, y (the last point)."""
+    at = lambda k: F.coalesce(F.get(pts, F.lit(0))[k], F.lit(0.0)).alias(k)
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("cross", "cx", "cy", "len")], at("x"), at("y"))
+
+    def step(s: Column, p: Column) -> Column:
+        c = s["x"] * p["y"] - p["x"] * s["y"]
+        size = F.sqrt((p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"]))
+        return F.struct((s["cross"] + c).alias("cross"), (s["cx"] + (s["x"] + p["x"]) * c).alias("cx"), (s["cy"] + (s["y"] + p["y"]) * c).alias("cy"), (s["len"] + size).alias("len"), p["x"].alias("x"), p["y"].alias("y"))
+
+    def closed(s: Column) -> Column:
+        x, y = F.get(pts, F.lit(0))["x"], F.get(pts, F.lit(0))["y"]
+        c = s["x"] * y - x * s["y"]
+        ring = F.size(pts) >= 3
+        close = lambda v: F.when(ring, v).otherwise(0.0)
+        return F.struct(close((s["cross"] + c) / 2.0).alias("area"), close(s["cx"] + (s["x"] + x) * c).alias("cx"), close(s["cy"] + (s["y"] + y) * c).alias("cy"), s["len"].alias("len"))
+
+    return F.aggregate(pts, zero, step, closed)
+
+
+def rings(geom: Column) -> Column:
+    """For each path: hole, and area (signed), cx, cy (weighted sums), len of one fold. area, length and centroid take it in place of a geometry's paths."""
+    return F.transform(geom["paths"], lambda p: F.struct(p["hole"].alias("hole"), _ring(p["pts"]).alias("m")))
+
+
 def signed_area(pts: Column) -> Column:
     """Half the shoelace sum of a ring, closed by itself; 0 for fewer than three points."""
-    cross = F.zip_with(pts, _turned(pts), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.when(F.size(pts) >= 3, _sum(cross) / 2.0).otherwise(0.0)
+    return _ring(pts)["area"]
 
 
 def path_length(pts: Column) -> Column:
-    n = F.greatest(F.size(pts) - 1, F.lit(0))
-    steps = F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda a, b: F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)))
-    return _sum(steps)
+    return _ring(pts)["len"]
 
 
-def area(geom: Column) -> Column:
-    """Exteriors less holes, of all parts; 0 for points and lines."""
-    parts = F.transform(geom["paths"], lambda p: F.when(p["hole"], -F.abs(signed_area(p["pts"]))).otherwise(F.abs(signed_area(p["pts"]))))
+def area(geom: Column, folded: Column | None = None) -> Column:
+    """Exteriors less holes, of all parts; 0 for points and lines. folded: rings(geom), if it is a column already."""
+    parts = F.transform(rings(geom) if folded is None else folded, lambda r: F.when(r["hole"], -F.abs(r["m"]["area"])).otherwise(F.abs(r["m"]["area"])))
     return F.when(geometry_type(geom) == "Polygon", _sum(parts)).otherwise(0.0)
 
 
-def length(geom: Column, compat: bool = False) -> Column:
+def length(geom: Column, compat: bool = False, folded: Column | None = None) -> Column:
     """Length of lines, and of rings with holes as they are. compat leaves MultiPolygon at 0."""
     lines = ["LineString", "Polygon", "MultiLineString"] + ([] if compat else ["MultiPolygon"])
-    return F.when(geom["kind"].isin(lines), _sum(F.transform(geom["paths"], lambda p: path_length(p["pts"])))).otherwise(0.0)
+    return F.when(geom["kind"].isin(lines), _sum(F.transform(rings(geom) if folded is None else folded, lambda r: r["m"]["len"]))).otherwise(0.0)
 
 
 def _mean(pts: Column) -> Column:
@@ -81,37 +103,52 @@ def _mean(pts: Column) -> Column:
     return F.struct(at("x").alias("x"), at("y").alias("y"))
 
 
-def _ring_centroid(pts: Column) -> Column:
-    a = signed_area(pts)
-    pairs = lambda k: F.zip_with(pts, _turned(pts), lambda p, q: (p[k] + q[k]) * (p["x"] * q["y"] - q["x"] * p["y"]))
-    at = lambda k: F.when(F.abs(a) < 1e-10, 0.0).otherwise(_sum(pairs(k)) / (F.when(F.abs(a) < 1e-10, 1.0).otherwise(a) * 6.0))
-    return F.struct(at("x").alias("x"), at("y").alias("y"))
+def _centre(m: Column, k: str) -> Column:
+    flat = F.abs(m["area"]) < 1e-10
+    return F.when(flat, 0.0).otherwise(m["c" + k] / (F.when(flat, 1.0).otherwise(m["area"]) * 6.0))
 
 
-def centroid(geom: Column, compat: bool = False) -> Column:
+def centroid(geom: Column, compat: bool = False, folded: Column | None = None) -> Column:
     """Mean of the vertices of points and lines; area centre of a polygon's exterior (0, 0 if it has no area).
 
     Multi polygons take the area-weighted mean of their parts; compat gives (0, 0) for multi lines
     and multi polygons.
     """
-    exteriors = F.transform(F.filter(geom["paths"], lambda p: ~p["hole"]), lambda p: p["pts"])
-    weights = F.transform(exteriors, lambda r: F.abs(signed_area(r)))
-    total = _sum(weights)
-    weighted = lambda k: F.when(total > 0, _sum(F.zip_with(weights, exteriors, lambda w, r: w * _ring_centroid(r)[k])) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0)
-    multi = F.struct(weighted("x").alias("x"), weighted("y").alias("y"))
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    out = F.when(geom["kind"] == "Polygon", _ring_centroid(F.get(exteriors, F.lit(0))))
+    exteriors = F.filter(rings(geom) if folded is None else folded, lambda r: ~r["hole"])
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, r: Column) -> Column:
+        w = F.abs(r["m"]["area"])
+        return F.struct((s["w"] + w).alias("w"), (s["x"] + w * _centre(r["m"], "x")).alias("x"), (s["y"] + w * _centre(r["m"], "y")).alias("y"))
+
+    def mean(s: Column) -> Column:
+        at = lambda k: F.when(s["w"] > 0, s[k] / F.when(s["w"] > 0, s["w"]).otherwise(1.0)).otherwise(0.0)
+        return F.struct(at("x").alias("x"), at("y").alias("y"))
+
+    first = F.transform(F.slice(exteriors, 1, 1), lambda r: F.struct(_centre(r["m"], "x").alias("x"), _centre(r["m"], "y").alias("y")))
+    nowhere = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    out = F.when(geom["kind"] == "Polygon", F.coalesce(F.get(first, F.lit(0)), nowhere))
     if compat:
-        out = out.when(geom["kind"].isin("MultiPolygon", "MultiLineString"), zero)
-    return out.when(geom["kind"] == "MultiPolygon", multi).otherwise(_mean(vertices(geom)))
+        out = out.when(geom["kind"].isin("MultiPolygon", "MultiLineString"), nowhere)
+    return out.when(geom["kind"] == "MultiPolygon", F.aggregate(exteriors, zero, add, mean)).otherwise(_mean(vertices(geom)))
+
+
+def measures(df: DataFrame, geom: str) -> DataFrame:
+    """Adds area, length and centroid of a geometry column, with one fold over each path."""
+    rows = df.withColumn("_rings", rings(F.col(geom)))
+    folded, g = F.col("_rings"), F.col(geom)
+    return rows.withColumns({"area": area(g, folded), "length": length(g, folded=folded), "centroid": centroid(g, folded=folded)}).drop("_rings")
 
 
 def envelope(geom: Column) -> Column:
     """min_x, min_y, max_x, max_y over all vertices; for none the largest and smallest doubles, swapped."""
-    pts = vertices(geom)
     top = 1.7976931348623157e308
-    at = lambda pick, k, empty, name: F.coalesce(pick(F.transform(pts, lambda p: p[k])), F.lit(empty)).alias(name)
-    return F.struct(at(F.array_min, "x", top, "min_x"), at(F.array_min, "y", top, "min_y"), at(F.array_max, "x", -top, "max_x"), at(F.array_max, "y", -top, "max_y"))
+    none = F.struct(F.lit(top).alias("min_x"), F.lit(top).alias("min_y"), F.lit(-top).alias("max_x"), F.lit(-top).alias("max_y"))
+
+    def wider(s: Column, p: Column) -> Column:
+        return F.struct(F.least(s["min_x"], p["x"]).alias("min_x"), F.least(s["min_y"], p["y"]).alias("min_y"), F.greatest(s["max_x"], p["x"]).alias("max_x"), F.greatest(s["max_y"], p["y"]).alias("max_y"))
+
+    return F.aggregate(geom["paths"], none, lambda s, path: F.aggregate(path["pts"], s, wider))
 
 
 def to_screen(pts: Column, box: tuple[float, float, float, float], width: int, height: int) -> Column:

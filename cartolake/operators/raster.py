@@ -7,12 +7,20 @@ canvas is never held by one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolake.functions.values import byte, color
 
 KEYS = ["canvas", "layer_ord", "fid"]
+#: Polygons that a task scans together.
+POLYGONS = 2048
 
 
 def _range(low: Column, high: Column, n: int) -> Column:
@@ -102,28 +110,68 @@ def strokes(segs: DataFrame, width: int, height: int, cap: str = "butt", smooth:
     return hit.select(*KEYS, "px", "py", faded(F.col("rgba"), F.col("_c")).alias("rgba") if smooth else "rgba")
 
 
+def _spans(rings: pa.Array, width: int, height: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Polygon, scan line, first pixel and number of pixels of each span of the polygons, even-odd, by polygon and line."""
+    owner = pc.list_parent_indices(rings).to_numpy()
+    paths = rings.flatten()
+    sizes = pc.fill_null(pc.list_value_length(paths), 0).to_numpy()
+    x, y = (v.to_numpy(zero_copy_only=False).astype(np.float64) for v in paths.flatten().flatten()[:2])
+    begins = np.cumsum(sizes) - sizes
+    after = np.arange(len(x)) + 1
+    full = sizes > 0
+    after[begins[full] + sizes[full] - 1] = begins[full]
+    polygon = np.repeat(owner, sizes)
+    ax, ay, bx, by = x, y, x[after], y[after]
+    use = (np.repeat(sizes, sizes) >= 3) & (ay != by) & np.isfinite(ax + ay + bx + by)
+    ax, ay, bx, by, polygon = ax[use], ay[use], bx[use], by[use], polygon[use]
+    first = np.maximum(np.ceil(np.minimum(ay, by) * samples - 0.5), 0).astype(np.int64)
+    last = np.minimum(np.ceil(np.maximum(ay, by) * samples - 0.5) - 1, height * samples - 1).astype(np.int64)
+    edge, line = _ranges(first, np.maximum(last - first + 1, 0))
+    at = (line + 0.5) / samples
+    cross = ax[edge] + (at - ay[edge]) * (bx[edge] - ax[edge]) / (by[edge] - ay[edge])
+    polygon = polygon[edge]
+    order = np.lexsort((cross, line, polygon))
+    polygon, line, cross = polygon[order], line[order], cross[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (polygon[1:] != polygon[:-1]) | (line[1:] != line[:-1])
+    starts = np.flatnonzero(new)
+    place = np.arange(len(line)) - starts[np.cumsum(new) - 1] if len(line) else line
+    left = np.flatnonzero((place % 2 == 0) & np.append(~new[1:], False)) if len(line) else line
+    low = np.maximum(np.ceil(cross[left] - 0.5), 0).astype(np.int64)
+    high = np.minimum(np.ceil(cross[left + 1] - 0.5) - 1, width - 1).astype(np.int64)
+    return polygon[left], line[left], low, np.maximum(high - low + 1, 0)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first, first + 1 and so on, n of each, and whose they are."""
+    whose = np.repeat(np.arange(len(n)), n)
+    return whose, np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n) + first[whose]
+
+
 def fills(polygons: DataFrame, width: int, height: int, samples: int = 1) -> DataFrame:
     """Polygons (keys, rings array of point arrays on screen, rgba) as pixels, even-odd with holes.
 
-    Each ring edge is generated onto the scan lines it crosses; the sorted crossings of a line give
-    its spans. samples > 1 takes that many lines a pixel row and covers by their share.
+    A polygon's edges meet the scan lines where the polygon lies; the sorted crossings of a line
+    give its spans, in Arrow batches without a shuffle. samples > 1 takes that many lines a pixel
+    row and covers by their share.
     """
-    edges = polygons.select(*KEYS, "rgba", F.explode("rings").alias("r"))
-    n = F.size("r")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", (i + 1) % n).alias("b")))
-    edges = edges.filter(n >= 3).select(*KEYS, "rgba", F.explode(pairs).alias("e")).filter("e.a.y <> e.b.y")
-    low, high = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
-    first, last = F.ceil(low * samples - 0.5), F.ceil(high * samples - 0.5) - 1
-    rows = edges.withColumn("line", F.explode(_range(first, last, height * samples)))
-    y = (F.col("line") + 0.5) / samples
-    x = F.col("e.a.x") + (y - F.col("e.a.y")) * (F.col("e.b.x") - F.col("e.a.x")) / (F.col("e.b.y") - F.col("e.a.y"))
-    lines = rows.groupBy(*KEYS, "line").agg(F.sort_array(F.collect_list(x)).alias("xs"), F.first("rgba").alias("rgba"))
-    spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", i * 2).alias("a"), F.get("xs", i * 2 + 1).alias("b")))
-    lines = lines.filter(F.size("xs") >= 2).withColumn("s", F.explode(spans))
-    pixels = lines.withColumn("px", F.explode(_range(F.ceil(F.col("s.a") - 0.5), F.ceil(F.col("s.b") - 0.5) - 1, width)))
-    pixels = pixels.withColumn("py", F.floor(F.col("line") / samples).cast("int"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, POLYGONS):
+                b = whole.slice(at, POLYGONS)
+                polygon, line, low, n = _spans(b.column("rings"), width, height, samples)
+                whose = pa.array(polygon)
+                cells = [pa.array(v.astype(np.int32)) for v in (line // samples, low, low + n - 1)]
+                rows = pa.RecordBatch.from_arrays([*[b.column(k).take(whose) for k in KEYS], b.column("rgba").take(whose), *cells], names=[*KEYS, "rgba", "py", "_a", "_b"])
+                yield rows.filter(pa.array(n > 0))
+
+    own = polygons.select(*KEYS, "rgba", "rings")
+    schema = T.StructType([*[f for f in own.schema.fields if f.name != "rings"], *[T.StructField(k, T.IntegerType()) for k in ("py", "_a", "_b")]])
+    spans = own.filter("rings IS NOT NULL").mapInArrow(scan, schema)
+    pixels = spans.select(*KEYS, F.explode(F.sequence("_a", "_b")).alias("px"), "py", "rgba")
     if samples == 1:
-        return pixels.select(*KEYS, "px", "py", "rgba")
+        return pixels
     share = F.count("*") / F.lit(float(samples))
     hit = pixels.groupBy(*KEYS, "px", "py").agg(share.alias("_c"), F.first("rgba").alias("rgba"))
     return hit.select(*KEYS, "px", "py", faded(F.col("rgba"), F.col("_c")).alias("rgba"))

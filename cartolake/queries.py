@@ -241,9 +241,8 @@ def tile_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS fid, ((1 + o_custkey % 7) * (1 + o_orderkey % 5))::DOUBLE AS area, (2 * (1 + o_custkey % 7) + 2 * (1 + o_orderkey % 5))::DOUBLE AS perimeter, round((1 + o_custkey % 7) / 2e0, 9) AS cx, round((1 + o_orderkey % 5) / 2e0, 9) AS cy, (1 + o_custkey % 7)::DOUBLE AS max_x, (1 + o_orderkey % 5)::DOUBLE AS max_y FROM orders")
 def geom_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.col("geom")
-    rows = rings(spark, sf_dir).withColumns({"c": geometry.centroid(g), "e": geometry.envelope(g)})
-    return rows.select("fid", geometry.area(g).alias("area"), geometry.length(g).alias("perimeter"), F.round("c.x", 9).alias("cx"), F.round("c.y", 9).alias("cy"), F.col("e.max_x").alias("max_x"), F.col("e.max_y").alias("max_y"))
+    rows = geometry.measures(rings(spark, sf_dir), "geom").withColumn("e", geometry.envelope(F.col("geom")))
+    return rows.select("fid", "area", F.col("length").alias("perimeter"), F.round("centroid.x", 9).alias("cx"), F.round("centroid.y", 9).alias("cy"), F.col("e.max_x").alias("max_x"), F.col("e.max_y").alias("max_y"))
 
 
 @query("SELECT o_orderkey AS fid, 'POLYGON ((0 0, ' || w || ' 0, ' || w || ' ' || h || ', 0 ' || h || ', 0 0))' AS wkt, TRUE AS same FROM (SELECT o_orderkey, 1 + o_custkey % 7 AS w, 1 + o_orderkey % 5 AS h FROM orders)")

@@ -92,7 +92,7 @@ def test_dbscan(spark):
 
 def test_grid_clusters_keep_all_points(spark):
     df = spark.createDataFrame([(i, (i % 7) * 0.4 - 1.2, (i % 3) * 0.9) for i in range(60)], "fid long, x double, y double")
-    out = cluster.grid_clusters(df, 0.5, 4).collect()
+    out = cluster.grid_clusters(df, 0.5, 4, members=True).collect()
     assert sum(r["count"] for r in out) == 60
     assert sorted(m for r in out for m in r["members"]) == list(range(60))
 

@@ -15,7 +15,7 @@ from cartolake.functions.values import COLOR_TYPE, color
 CATEGORICAL = ((228, 26, 28), (55, 126, 184), (77, 175, 74), (152, 78, 163), (255, 127, 0), (255, 255, 51), (166, 86, 40), (247, 129, 191), (153, 153, 153))
 FLANNERY = 0.5716
 #: Natural breaks hold k * n numbers on the driver; more distinct values are refused.
-MAX_DISTINCT = 20_000
+MAX_DISTINCT = 200_000
 
 
 def equal_interval(df: DataFrame, column: str, k: int) -> list[float]:
@@ -54,7 +54,10 @@ def quantile(df: DataFrame, column: str, k: int, rows_per_range: int = 1 << 20)
 
 
 def natural_breaks(df: DataFrame, column: str, k: int, max_distinct: int = MAX_DISTINCT) -> list[float]:
-    """Fisher-Jenks breaks over the sorted distinct values; with k of them or fewer, all but the first."""
+    """Fisher-Jenks breaks over the sorted distinct values; with k of them or fewer, all but the first.
+
+    The values come to the driver, MAX_DISTINCT at most: O(k n log n) there.
+    """
     rows = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").distinct().orderBy("v").limit(max_distinct + 1).toPandas()
     x = rows["v"].to_numpy()
     if len(x) > max_distinct:
@@ -68,12 +71,19 @@ def natural_breaks(df: DataFrame, column: str, k: int, max_distinct: int = MAX_D
     first = np.zeros((k + 1, n + 1), dtype=np.int32)
     for c in range(1, k + 1):
         new = np.full(n + 1, np.inf)
-        for end in range(c, n + 1):
-            starts = np.arange(c - 1, end)
+        # the best start never falls as the end grows, so halves are searched within the bounds of their middle
+        open_ = [(c, n, c - 1, n - 1)]
+        while open_:
+            low, high, left, right = open_.pop()
+            if low > high:
+                continue
+            end = (low + high) // 2
+            starts = np.arange(left, min(right, end - 1) + 1)
             spread = s2[end] - s2[starts] - (s1[end] - s1[starts]) ** 2 / (end - starts)
             total = cost[starts] + spread
             at = int(np.argmin(total))
             new[end], first[c, end] = total[at], starts[at]
+            open_ += [(low, end - 1, left, int(starts[at])), (end + 1, high, int(starts[at]), right)]
         cost = new
     breaks, end = [], n
     for c in range(k, 1, -1):

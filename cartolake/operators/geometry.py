@@ -169,7 +169,7 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(ring, _turned(ring), crosses), F.lit(False), lambda s, c: s != c)
 
 
-def offset_line(pts: Column, distance: float) -> Column:
+def offset_line(pts: Column, distance: Column | float) -> Column:
     """Each vertex moved along its normal: ends by their edge's, others by the renormalised mean of both."""
     n = F.size(pts)
 

@@ -100,12 +100,18 @@ def along_line(pts: Column, text: Column, widths: Column, offset: float = 0.0, m
     text_width = F.aggregate(widths, F.lit(0.0), lambda a, b: a + b)
     start = (total - text_width) / 2.0
 
+    # bound once: an expression that is used again would be computed again
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
     def one(middle: Column, i: Column) -> Column:
-        p = at_distance(pts, start + middle)
-        return F.struct(F.get(chars, i).alias("ch"), (p["x"] - F.sin(p["angle"]) * offset).alias("x"), (p["y"] + F.cos(p["angle"]) * offset).alias("y"), p["angle"].alias("angle"))
+        lifted = lambda p: F.struct(F.get(chars, i).alias("ch"), (p["x"] - F.sin(p["angle"]) * offset).alias("x"), (p["y"] + F.cos(p["angle"]) * offset).alias("y"), p["angle"].alias("angle"))
+        return let(at_distance(pts, start + middle), lifted)
+
+    def smooth(placed: Column) -> Column:
+        n = F.greatest(F.size(placed) - 1, F.lit(0))
+        turns = F.zip_with(F.slice(placed, 1, n), F.slice(placed, 2, n), lambda a, b: F.abs(b["angle"] - a["angle"]))
+        sharp = F.exists(turns, lambda d: F.when(d > math.pi, 2 * math.pi - d).otherwise(d) > max_turn)
+        return F.when(~sharp & F.forall(placed, lambda p: p["angle"].isNotNull()), placed)
 
-    placed = F.transform(sums, one)
-    turns = F.zip_with(F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))), F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))), lambda a, b: F.abs(b["angle"] - a["angle"]))
-    sharp = F.exists(turns, lambda d: F.when(d > math.pi, 2 * math.pi - d).otherwise(d) > max_turn)
     fits = (F.length(text) > 0) & (F.size(pts) >= 2) & (text_width <= total * LINE_SHARE)
-    return F.when(fits, F.when(~sharp & F.forall(placed, lambda p: p["angle"].isNotNull()), placed))
+    return F.when(fits, let(F.transform(sums, one), smooth))

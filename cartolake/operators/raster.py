@@ -58,15 +58,18 @@ def segments(lines: DataFrame, dashes: list[float] | None = None) -> DataFrame:
     """
     if dashes is not None and sum(dashes) <= 0:
         raise ValueError("a dash pattern needs a length")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("pts") - 1), lambda i: F.struct(F.get("pts", i - 1).alias("a"), F.get("pts", i).alias("b")))
-    size = lambda s: F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], 2) + F.pow(s["b"]["y"] - s["a"]["y"], 2))
-    rows = lines.filter(F.size("pts") >= 2).withColumn("_s", pairs)
-    sized = F.transform("_s", size)
-    rows = rows.withColumn("_n", sized).select("*", F.posexplode("_s").alias("_i", "_seg"))
-    at = F.aggregate(F.slice("_n", 1, F.col("_i")), F.lit(0.0), lambda a, b: a + b)
-    rows = rows.withColumns({"at": at, "_len": size(F.col("_seg"))})
-    ends = {"x0": F.col("_seg.a.x"), "y0": F.col("_seg.a.y"), "x1": F.col("_seg.b.x"), "y1": F.col("_seg.b.y")}
-    rows = rows.withColumns(ends)
+    zero = F.struct(F.lit(0.0).alias("upto"), F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double,at:double,len:double>>").alias("segs"), F.get("pts", F.lit(0)).alias("p"))
+
+    def grow(s: Column, q: Column) -> Column:
+        size = F.sqrt(F.pow(q["x"] - s["p"]["x"], 2) + F.pow(q["y"] - s["p"]["y"], 2))
+        seg = F.struct(s["p"]["x"].alias("x0"), s["p"]["y"].alias("y0"), q["x"].alias("x1"), q["y"].alias("y1"), s["upto"].alias("at"), size.alias("len"))
+        return F.struct((s["upto"] + size).alias("upto"), F.concat(s["segs"], F.array(seg)).alias("segs"), q.alias("p"))
+
+    # lengths first, in one pass, so that a segment's row doesn't carry its line
+    cut = F.aggregate(F.slice("pts", 2, F.size("pts") - 1), zero, grow, lambda s: s["segs"])
+    rows = lines.filter(F.size("pts") >= 2).withColumn("_s", cut).drop("pts")
+    rows = rows.select(*[c for c in rows.columns if c != "_s"], F.posexplode("_s").alias("_i", "_seg"))
+    rows = rows.select("*", *[F.col(f"_seg.{c}").alias("_len" if c == "len" else c) for c in ("x0", "y0", "x1", "y1", "at", "len")])
     if dashes is not None:
         pattern = dashes if len(dashes) % 2 == 0 else dashes * 2
         total, starts = float(sum(pattern)), [float(sum(pattern[:i])) for i in range(len(pattern))]
@@ -79,7 +82,7 @@ def segments(lines: DataFrame, dashes: list[float] | None = None) -> DataFrame:
         mid = lambda p, q, t: F.col(p) + (F.col(q) - F.col(p)) * F.col(t) / F.col("_len")
         rows = rows.select("*", mid("x0", "x1", "_a").alias("_x0"), mid("y0", "y1", "_a").alias("_y0"), mid("x0", "x1", "_b").alias("_x1"), mid("y0", "y1", "_b").alias("_y1")).drop("x0", "y0", "x1", "y1")
         rows = rows.withColumnsRenamed({"_x0": "x0", "_y0": "y0", "_x1": "x1", "_y1": "y1"}).drop("_k", "_on", "_a", "_b")
-    return rows.drop("_s", "_n", "_seg", "_len", "pts").withColumnRenamed("_i", "seg")
+    return rows.drop("_seg", "_len").withColumnRenamed("_i", "seg")
 
 
 def strokes(segs: DataFrame, width: int, height: int, cap: str = "butt", smooth: bool = False) -> DataFrame:
@@ -188,10 +191,14 @@ def over(under: Column, top: Column) -> Column:
 
 
 def blend(pixels: DataFrame) -> DataFrame:
-    """(canvas, px, py, rgba): what lies on each pixel, folded in paint order."""
-    stack = F.sort_array(F.collect_list(F.struct("layer_ord", "fid", "rgba")))
+    """(canvas, px, py, rgba): what lies on each pixel, folded in paint order. Rows with a true column `solid`, if there is one, take the pixel as they are.
+
+    A pixel's stack is one array: a canvas of tiles keeps it to what a tile draws there.
+    """
+    solid = F.coalesce(F.col("solid"), F.lit(False)) if "solid" in pixels.columns else F.lit(False)
+    stack = F.sort_array(F.collect_list(F.struct("layer_ord", "fid", "rgba", solid.alias("solid"))))
     rows = pixels.groupBy("canvas", "px", "py").agg(stack.alias("s"))
-    return rows.select("canvas", "px", "py", F.aggregate("s", color(0, 0, 0, 0), lambda a, b: over(a, b["rgba"])).alias("rgba"))
+    return rows.select("canvas", "px", "py", F.aggregate("s", color(0, 0, 0, 0), lambda a, b: F.when(b["solid"], b["rgba"]).otherwise(over(a, b["rgba"]))).alias("rgba"))
 
 
 def overwrite(pixels: DataFrame) -> DataFrame:

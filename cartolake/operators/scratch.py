@@ -18,10 +18,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; only where that is unset, a temporary one is set."""
+    """df written to the folder of spark.checkpoint.dir and read back; where that is unset, a temporary one in local mode and an error on a cluster."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cartolake-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"

@@ -55,24 +55,21 @@ def keyframes(df: DataFrame, start: float, end: float, frames: int, window: floa
 def trajectory_at(points: DataFrame, times: list[float] | DataFrame, entity: str = "entity", t: str = "t", x: str = "x", y: str = "y") -> DataFrame:
     """(entity, at, x, y) for each time: between the first pair of points around it, the end points beyond.
 
-    Every point knows its successor by a window over its entity; a segment is generated into the
-    whole-second buckets of the asked times it can hold only if times is a table, else it meets
-    the few literal times directly.
+    times is a list of seconds, asked of every entity, or a table (entity, at) of any size: an
+    as-of join from both sides. Asked times are put among the entity's points; one window carries
+    the last point before each, another the first at or after it. A time without points of its entity
+    has no row.
     """
-    w = Window.partitionBy(entity).orderBy(t, x, y)
-    rows = points.select(F.col(entity), F.col(t).cast("double").alias("t0"), F.col(x).alias("x0"), F.col(y).alias("y0"))
-    w = Window.partitionBy(entity).orderBy("t0", "x0", "y0")
-    n = F.row_number().over(w)
-    seg = rows.withColumns({"t1": F.lead("t0").over(w), "x1": F.lead("x0").over(w), "y1": F.lead("y0").over(w), "first": n == 1})
-    asked = F.explode(F.array(*[F.lit(float(v)) for v in times])) if isinstance(times, list) else None
-    if asked is None:
-        raise TypeError("times is a list of seconds")
-    seg = seg.withColumn("at", asked)
-    at, t0, t1 = F.col("at"), F.col("t0"), F.col("t1")
-    before_all = F.col("first") & (at <= t0)
-    within = (at > t0) & (at <= t1)
-    after_all = t1.isNull() & (at > t0)
-    seg = seg.filter(before_all | F.coalesce(within, F.lit(False)) | after_all)
-    part = F.when(before_all | after_all | (t1 == t0), 0.0).otherwise((at - t0) / F.when(t1 == t0, 1.0).otherwise(t1 - t0))
-    place = lambda a, b: F.when(part == 0, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * part)
-    return seg.select(entity, "at", place("x0", "x1").alias("x"), place("y0", "y1").alias("y"))
+    own = points.select(F.col(entity).alias("_e"), F.col(t).cast("double").alias("_t"), F.struct(F.col(t).cast("double").alias("t"), F.col(x).alias("x"), F.col(y).alias("y")).alias("_p")).filter("_t IS NOT NULL")
+    if isinstance(times, DataFrame):
+        asked = times.select(F.col(entity).alias("_e"), F.col("at").cast("double").alias("_t")).filter("_t IS NOT NULL")
+    else:
+        asked = own.select("_e").distinct().select("_e", F.explode(F.array(*[F.lit(float(v)) for v in times])).alias("_t"))
+    rows = own.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    nearest = F.last("_p", ignorenulls=True)
+    before = Window.partitionBy("_e").orderBy("_t", F.col("_asked").desc(), "_p.x", "_p.y").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_e").orderBy(F.col("_t").desc(), "_asked", F.col("_p.x").desc(), F.col("_p.y").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumns({"_a": nearest.over(before), "_b": nearest.over(after)}).filter("_asked AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    part = (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
+    place = lambda c: F.when(F.col("_a").isNull(), F.col(f"_b.{c}")).when(F.col("_b").isNull(), F.col(f"_a.{c}")).otherwise(F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * part)
+    return found.select(F.col("_e").alias(entity), F.col("_t").alias("at"), place("x").alias("x"), place("y").alias("y"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Zooms that features are looked up at together; more are refused.
+MAX_ZOOMS = 32
+
+
 def tile_x(lon: Column, n: Column | float) -> Column:
     """Column of tiles for n tiles across; below 0 it stays 0."""
     return F.greatest(F.lit(0).cast("long"), F.floor((lon + 180.0) / 360.0 * n))
@@ -84,8 +88,11 @@ def features_in_tiles(vertices: DataFrame, tiles: DataFrame, id_col: str = "fid"
     compat counts a vertex on an edge to the tiles on both sides, as closed bounds do. Polygons
     that hold a tile without a vertex in it are not found. vertices: one row a vertex.
     """
-    zooms = tiles.select("z").distinct()
-    rows = vertices.select(id_col, F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).crossJoin(F.broadcast(zooms.limit(32)))
+    zooms = [r["z"] for r in tiles.select("z").distinct().limit(MAX_ZOOMS + 1).collect()]
+    if len(zooms) > MAX_ZOOMS:
+        raise ValueError(f"tiles of more than {MAX_ZOOMS} zooms")
+    every = F.array(*[F.lit(z) for z in zooms]) if zooms else F.array().cast("array<int>")
+    rows = vertices.select(id_col, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), F.explode(every).alias("z"))
     n = tiles_across(F.col("z"))
     last = (n - 1).cast("long")
     x, y = F.least(tile_x(F.col("_lon"), n), last), F.least(tile_y(F.col("_lat"), n), last)

@@ -164,4 +164,4 @@ def with_sprites(styled: DataFrame, sprites: DataFrame, name_col: str = "name")
 
 
 def color_text(c: Column) -> Column:
-    return F.concat(F.lit("rgba("), F.concat_ws(",", *[c[p].cast("string") for p in "rgba"]), F.lit(")"))
+    return F.when(c.isNotNull(), F.concat(F.lit("rgba("), F.concat_ws(",", *[c[p].cast("string") for p in "rgba"]), F.lit(")")))

@@ -21,9 +21,9 @@ def read_geojson(spark: SparkSession, path: str, points_only: bool = False, stri
     return features_of(docs.withColumn("_file", F.col("_metadata.file_path")), points_only, strict)
 
 
-def features_of(docs: DataFrame, points_only: bool = False, strict: bool = False) -> DataFrame:
-    """The same for rows with an array `features`; fid numbers the features of a document."""
-    rows = docs.select(F.posexplode("features").alias("fid", "f"))
+def features_of(docs: DataFrame, points_only: bool = False, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for rows with an array `features`, with the columns of keep; fid numbers the features of a document."""
+    rows = docs.select(*keep, F.posexplode("features").alias("fid", "f"))
     c = F.col("f.geometry.coordinates")
     as_points = lambda a: F.transform(a, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).cast(POINTS)
     cast = lambda depth: F.try_variant_get(c, "$", "array<" * depth + "double" + ">" * depth)
@@ -45,7 +45,7 @@ def features_of(docs: DataFrame, points_only: bool = False, strict: bool = False
             continue
         value = F.struct(F.lit(name).alias("kind"), paths.alias("paths")).cast(GEOMETRY)
         geom = F.when(kind == name, value) if geom is None else geom.when(kind == name, value)
-    out = rows.select("fid", F.regexp_replace(kind, "^Multi", "").alias("geometry_type"), geom.alias("geom"), F.col("f.properties").alias("props"))
+    out = rows.select(*keep, "fid", F.regexp_replace(kind, "^Multi", "").alias("geometry_type"), geom.alias("geom"), F.col("f.properties").alias("props"))
     good = F.col("geom").isNotNull() & F.coalesce(F.size("geom.paths") > 0, F.lit(False)) & ~F.exists(F.flatten(F.transform("geom.paths", lambda p: p["pts"])), lambda p: p["x"].isNull() | p["y"].isNull())
     if strict:
         return out.withColumn("geom", F.when(good | F.lit(points_only) & (F.col("geometry_type") != "Point"), F.col("geom")).otherwise(F.raise_error(F.lit("a feature without usable geometry")).cast(GEOMETRY))).filter(F.col("geom").isNotNull())

@@ -257,3 +257,35 @@ def test_stream_trajectories(spark, tmp_path):
     batches = [[(1, 0.0, 0.0, 0.0), (1, 1.0, 1.0, 1.0)], [(1, 3.0, 2.0, 2.0), (2, 0.0, 5.0, 5.0)]]
     out = streamed(spark, tmp_path, "stream_paths", windows.trajectory_segments, batches, kind)
     assert {(r["entity"], r["t0"], r["t1"]) for r in out} == {(1, 0.0, 1.0), (1, 1.0, 3.0)}
+
+
+def test_render_blends_in_paint_order(spark):
+    """A half-clear line over a fill, in one call: source over, channels cut."""
+    from cartolake.operators import render
+    from cartolake.plans.style import StyleError, parse_style
+
+    square = geometry.geometry("Polygon", F.array(*[geometry.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (8, 0), (8, 8), (0, 8), (0, 0))]))
+    features = spark.range(1).select(F.col("id").alias("fid"), square.alias("geom"))
+    style = parse_style({"layers": [{"id": "a", "paint": {"fill-color": "#0000ff"}}, {"id": "b", "paint": {"line-color": "#ff0000", "line-width": 2, "line-opacity": 0.5}}]})
+    out = {(r["px"], r["py"]): tuple(r["rgba"]) for r in render.render(features, style, (0.0, 0.0, 16.0, 16.0), 16, 16).collect()}
+    # y goes down: the square fills rows 8 to 15
+    assert out[4, 12] == (0, 0, 255, 255)
+    assert out[4, 8] == (127, 0, 128, 255) and out[4, 7] == (255, 0, 0, 127)
+    assert (12, 12) not in out and {(x, y) for x, y in out if x < 7 and y > 8} == {(x, y) for x in range(7) for y in range(9, 16)}
+    with pytest.raises(ValueError):
+        render.render(features, style, (0.0, 0.0, 1.0, 1.0), 0, 4)
+    style.layers = []
+    with pytest.raises(StyleError):
+        render.render(features, style, (0.0, 0.0, 1.0, 1.0), 4, 4)
+
+
+def test_bevels_close_the_outer_corner(spark):
+    from cartolake.operators import raster, render
+    from cartolake.functions import values
+
+    line = F.array(*[geometry.point(F.lit(x), F.lit(y)) for x, y in ((2, 4), (10, 4), (10, 12))])
+    lines = spark.range(1).select(F.lit("a").alias("canvas"), F.lit(0).alias("layer_ord"), F.col("id").alias("fid"), line.alias("pts"), F.lit(4.0).alias("line_width"), values.color(0, 0, 0).alias("rgba"))
+    found = {j: {(r["px"], r["py"]) for r in render._line_pixels(lines, 16, 16, "butt", j, None).collect()} for j in ("bevel", "round")}
+    plain = {(r["px"], r["py"]) for r in raster.strokes(raster.segments(lines), 16, 16).collect()}
+    assert plain < found["bevel"] <= found["round"]
+    assert (10, 3) in found["bevel"] and (11, 2) not in found["bevel"]

@@ -8,7 +8,7 @@ import numbers
 import duckdb
 import pytest
 
-from cartolake import queries
+from cartolake import form_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -1,6 +1,6 @@
 """Documents in blocks, and counts of hashed keys over all blocks.
 
-A block is a few MB of documents, dealt by a hash of their ids. Each block sends its distinct
+A block is a few MB of documents, dealt by a hash of their ids and texts. Each block sends its distinct
 keys once, as sorted arrays for each bucket of keys; buckets are counted and answer each block
 in its own order. A key that a third of all rows have is one entry for each block, and no task
 holds more than a bucket or a block.
@@ -28,7 +28,7 @@ def block_rows(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = B
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     n_blocks = int(max(1, (size["b"] + 64 * size["n"]) // block_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "text_hash", "text"), n_blocks
+    return rows.select(F.pmod(F.xxhash64("id", "text_hash"), F.lit(n_blocks)).cast("int").alias("block"), "id", "text_hash", "text"), n_blocks
 
 
 def n_buckets(n_blocks: int) -> int:

@@ -25,6 +25,8 @@ from cartolake.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Members that one task verifies against a class at once.
 MEMBERS = 256
+#: Entries of a shingle's list that one task pairs with its strays.
+LIST = 1024
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(SPACES.encode())] = True
@@ -177,12 +179,21 @@ def _class_links(classes: DataFrame, percent: int) -> DataFrame:
     # lists that still hold two components: their postings outside the component of the leader meet the others
     labelled = members.join(label, F.col("name") == F.col("node"), "left").select("name", "n", "prefix_name", F.coalesce("label", "name").alias("label"))
     labelled = saved(labelled)
-    entries = posted.select("prefix_name", "n", "token", "place").join(labelled, ["prefix_name", "n"])
+    # members of a group in one component are one unit; units are paired and filtered, and only then expanded
+    units = labelled.select("prefix_name", "n", "label").distinct()
+    entries = posted.select("prefix_name", "n", "token", "place").join(units, ["prefix_name", "n"])
     led = leaders.select("token", F.col("name").alias("lead")).join(labelled.select(F.col("name").alias("lead"), F.col("label").alias("lead_label")), "lead")
-    entries = entries.join(led.select("token", "lead_label"), "token")
-    stray = entries.filter("label <> lead_label")
-    pairs = stray.alias("x").join(entries.alias("y"), "token").filter((F.col("x.label") != F.col("y.label")) & _close("x", "y", percent))
-    pairs = pairs.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+    entries = saved(entries.join(led.select("token", "lead_label"), "token").withColumn("stray", F.col("label") != F.col("lead_label")))
+    # a long list is dealt over salts: its strays go to each of them
+    salts = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST).cast("int").alias("salts"), F.max("stray").alias("any")).filter("any").select("token", "salts")
+    entries = entries.join(saved(salts), "token").withColumn("u", F.struct("prefix_name", "n", "label"))
+    x = entries.filter("stray").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "u", "n", "place").alias("x")
+    y = entries.select("token", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), "u", "n", "place").alias("y")
+    met = x.join(y, ["token", "salt"]).filter((F.col("x.u.label") != F.col("y.u.label")) & _close("x", "y", percent))
+    met = met.select(F.least("x.u", "y.u").alias("u"), F.greatest("x.u", "y.u").alias("v")).distinct()
+    own = labelled.select(F.struct("prefix_name", "n", "label").alias("unit"), "name")
+    pairs = met.join(own.select(F.col("unit").alias("u"), F.col("name").alias("u_name")), "u").join(own.select(F.col("unit").alias("v"), F.col("name").alias("v_name")), "v")
+    pairs = pairs.select(F.least("u_name", "v_name").alias("a"), F.greatest("u_name", "v_name").alias("b"))
     more = saved(_verified(pairs, sets, percent))
     return components(links.union(more)) if more.limit(1).count() else label
 
@@ -194,7 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     shingles of so many words; a text with fewer words is one shingle. Null texts and those
     without words have no shingles and no links. Repeated rows are linked to each other. A null
     id counts as no id: it links, but is never the least unless alone. Empty tables give empty
-    results. Sets are compared as 64-bit hashes of their shingles.
+    results. Sets are compared as 64-bit hashes of their shingles. Ids are whole numbers; texts are
+    taken whole, whatever their length; further columns are left out.
     """
     sets = saved(_sets(docs, id_col, text_col, words, percent))
     able = sets.filter(F.col("members").isNotNull())
@@ -214,9 +226,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     """
     found = near_duplicates(docs, words, percent, id_col, text_col).withColumnRenamed(id_col, "id").filter("n_shingles > 0")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
-    d = docs.withColumns({"_k_hash": F.xxhash64(text_col), "_k_words": F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)})
-    stay = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("_k_hash") == F.col("k_hash"))
+    best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash")).alias("k")
+    d = docs.withColumns({"_k_hash": F.xxhash64(text_col), "_k_words": F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)}).alias("d")
+    stay = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k_id")) & (F.col("d._k_hash") == F.col("k.k_hash"))
     wordy = d.filter("_k_words").join(best, stay, "left_semi").dropDuplicates([id_col, "_k_hash"])
     return wordy.unionByName(d.filter("NOT _k_words")).drop("_k_hash", "_k_words")
 

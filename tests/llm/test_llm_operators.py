@@ -177,8 +177,27 @@ def test_jaccard_links_without_a_leader(spark):
         same(got, brute.components(docs, n, percent))
 
 
+@pytest.mark.parametrize("size", [1024, 3])
+def test_jaccard_splits_long_lists(spark, monkeypatch, size):
+    """Chains of texts that share a passage: units without the leader's label meet in dealt lists."""
+    monkeypatch.setattr(jaccard_join, "LIST", size)
+    rng = np.random.default_rng(7)
+    common = [f"c{i}" for i in range(30)]
+    docs = []
+    for chain in range(12):
+        words = common + [f"d{chain}.{i}" for i in range(60)]
+        for i in range(5):
+            docs.append((len(docs), " ".join(words)))
+            words = list(words)
+            for at in rng.choice(90, 2, replace=False):
+                words[at] = f"x{rng.integers(10_000)}"
+    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 75).select("doc_id", "n_shingles", "component_id").collect()
+    same(got, brute.components(docs, 3, 75))
+
+
 def test_jaccard_keeps_one(odd, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
+    odd = odd.withColumns({"k_id": F.lit(1), "k_hash": F.lit("clash")})
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]

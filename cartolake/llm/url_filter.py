@@ -148,7 +148,8 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     """One row for each row of pages: id, host, path, rule (host and path, or null), verdict.
 
     A rule fits its host and the hosts below it, if the path starts with the rule's; the longest
-    wins. Urls that no rule fits, null ones too, get the default. Every row is judged by itself,
+    wins. Urls that no rule fits, null ones too, get the default; an empty table gives an empty
+    result, and further columns are left out. Every row is judged by itself,
     so repeated rows are no matter. Rule paths must start with / (an empty path fits no rule).
     """
     spark = pages.sparkSession

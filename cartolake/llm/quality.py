@@ -2,14 +2,16 @@
 
 Statistics of whole texts are turned into a vector for each document. For each language and
 source a minimum covariance determinant estimate is fitted by concentration steps: from a
-start at medians, mean and covariance of the closest half, until the half stays the same.
+start at medians, mean and covariance of the closest half, as long as the determinant falls.
 Vectors far from it by Mahalanobis distance are rejected. Everything is DataFrame work;
 quantiles of distances come from counts of distance classes, so that no group meets in one task.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from functools import reduce
+from itertools import combinations_with_replacement, count
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,9 @@ COVERAGE = 0.5
 CHI2_COVERAGE = 3.357
 #: Squared distance beyond which a vector is rejected: the chi-square quantile (4 degrees) of 0.999.
 CUTOFF = 18.467
-#: Concentration ends when no group's limit moves; a group whose limit goes round ends here.
-MAX_STEPS = 30
+#: A step counts if it takes at least this share off a group's determinant; a group settles at the first that doesn't.
+#: FLOOR keeps determinants above a fixed value, so every group settles.
+LEAST_FALL = 0.001
 #: Groups of fewer rows are judged with the other small groups of their language.
 MIN_GROUP = 50
 #: Classes of squared distances per power of two, for quantiles.
@@ -35,6 +38,8 @@ FEATURES = ("v_len", "v_sym", "v_line", "v_rep")
 #: Added to the variances, so that a group of equal values doesn't reject the first that differs.
 FLOOR = {"v_len": 0.0025, "v_sym": 0.0025, "v_line": 0.01, "v_rep": 0.01}
 _BITS = 20
+#: Columns of an estimate: means, and the Cholesky factor of the covariance.
+_PARTS = [f"m_{f}" for f in FEATURES] + [f"c_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
 def _repeat_words(words: str) -> tuple[dict[str, Column], Column]:
@@ -109,7 +114,7 @@ def _vectors(stats: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Mean and Cholesky factor of the covariance for each group: columns m_<f> and c_<i>_<j>."""
+    """Mean and Cholesky factor of the covariance for each group, columns m_<f> and c_<i>_<j>, and _det, the determinant."""
     d = len(FEATURES)
     moments = [F.avg(f).alias(f"m_{f}") for f in FEATURES]
     moments += [F.covar_pop(FEATURES[j], FEATURES[i]).alias(f"s_{i}_{j}") for j, i in combinations_with_replacement(range(d), 2)]
@@ -120,7 +125,8 @@ def _fit(rows: DataFrame, on: list[str]) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
             t = t.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"c_{j}_{j}"))
-    return t.select(*on, *[f"m_{f}" for f in FEATURES], *[f"c_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    root = reduce(mul, [F.col(f"c_{i}_{i}") for i in range(d)])
+    return t.select(*on, *_PARTS, (root * root).alias("_det"))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -160,7 +166,7 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _estimates(vectors: DataFrame, on: list[str]) -> DataFrame:
-    """Mean, Cholesky factor and scale of each group after concentration steps until no limit class changes."""
+    """Mean, Cholesky factor and scale of each group, after concentration steps until its determinant no longer falls by LEAST_FALL."""
     vectors = saved(vectors)
     # tables of one row a group are written before each join: of known size, they are broadcast and no row moves to the task of its group
     middle = saved(_medians(vectors, on, {f: F.col(f) for f in FEATURES}, "m_"))
@@ -168,19 +174,27 @@ def _estimates(vectors: DataFrame, on: list[str]) -> DataFrame:
     spread = saved(_medians(vectors.join(middle, on), on, away, "a_")).join(middle, on)
     d = len(FEATURES)
     start = [(F.sqrt(F.pow(F.col(f"a_{FEATURES[i]}") * 1.4826, 2) + FLOOR[FEATURES[i]]) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)]
-    fitted = saved(spread.select(*on, *[f"m_{f}" for f in FEATURES], *start))
-    near = _classes(_distance(vectors.join(fitted, on)))
-    limits = saved(_limits(near, on))
-    for _ in range(MAX_STEPS):
-        near = near.join(limits, on).filter(F.col("_class") <= F.col("_limit"))
-        fitted = saved(_fit(near.select(*on, *FEATURES), on))
-        near = _classes(_distance(vectors.join(fitted, on)))
-        before, limits = limits.withColumnRenamed("_limit", "_before"), saved(_limits(near, on))
-        if not limits.join(before, on).filter("_limit <> _before").limit(1).count():
+    # the start is no estimate from a half: the first step counts whatever its determinant
+    moved = saved(spread.select(*on, *[f"m_{f}" for f in FEATURES], *start, F.lit(float("inf")).alias("_det")))
+    steps = []
+    for step in count():
+        near = _classes(_distance(vectors.join(moved, on)))
+        at = saved(moved.join(_limits(near, on), on).withColumn("_step", F.lit(step)))
+        if step:
+            steps.append(at)
+        # groups that have settled are in no later table, and their rows leave the work
+        half = _classes(_distance(vectors.join(at, on))).filter(F.col("_class") <= F.col("_limit"))
+        before = at.select(*on, F.col("_det").alias("_before"))
+        moved = saved(_fit(half.select(*on, *FEATURES), on).join(before, on).filter(F.col("_det") < F.col("_before") * (1 - LEAST_FALL)).drop("_before"))
+        if moved.isEmpty():
             break
+    if not steps:  # no rows
+        steps = [at]
+    last = F.max_by(F.struct(*_PARTS, "_limit"), "_step").alias("e")
+    fitted = reduce(DataFrame.union, steps).groupBy(*on).agg(last).select(*on, "e.*")
     # half of a normal group lie within CHI2_COVERAGE; a tighter group isn't stretched
     scale = F.lit(CHI2_COVERAGE) / F.greatest(F.pow(F.lit(2.0), (F.col("_limit") + 1) / CLASSES), F.lit(CHI2_COVERAGE))
-    return fitted.join(limits, on).withColumn("_scale", scale).drop("_limit")
+    return fitted.withColumn("_scale", scale).drop("_limit")
 
 
 def _group(column: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+
 
 def sha(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
@@ -132,3 +134,39 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
             covered |= {i, i + 1, i + 2}
     lines = [x for x in text.split("\n") if words(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def quality(docs: list[tuple], floor: np.ndarray, half_chi2: float, cutoff: float, least_fall: float, classes: int, median_classes: int, min_group: int) -> list[tuple]:
+    """For each (id, text, lang, source): id, statistics, base_failed, kept; the estimates by numpy, each group for itself."""
+    rows, groups = [], {}
+    for i, text, lang, source in docs:
+        n, chars, symbols, dup, rep = statistics(text)
+        failed = n < 50 or 100 * rep > 50 * n
+        lines = sum(1 for x in (text or "").split("\n") if words(x))
+        v = [np.log(max(chars, 1) / max(n, 1)), np.sqrt(symbols / (chars + 1)), np.sqrt(dup / (lines + 5)), np.sqrt(rep / (max(n, 1) + 25))]
+        rows.append([i, n, chars, symbols, dup, rep, failed, not failed])
+        if not failed:
+            groups.setdefault((lang, source), []).append((len(rows) - 1, v))
+    fits = {}
+    for (lang, source), members in groups.items():
+        fits.setdefault((lang, source if len(members) >= min_group else ("small",)), []).extend(members)
+    for members in fits.values():
+        x = np.array([v for _, v in members])
+        least = (len(x) + 1) // 2 - 1
+        median = lambda a: (np.sort(np.floor(a * median_classes), axis=0)[least] + 0.5) / median_classes
+        far = lambda m, s: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(s), x - m)
+        class_of = lambda d2: np.floor(np.log2(np.maximum(d2, 1e-6)) * classes)
+        mean = median(x)
+        cov, det = np.diag((median(np.abs(x - mean)) * 1.4826) ** 2 + floor), np.inf
+        while True:
+            at = class_of(far(mean, cov))
+            limit = np.sort(at)[least]
+            half = x[at <= limit]
+            new = np.cov(half.T, bias=True) + np.diag(floor)
+            if not np.linalg.det(new) < det * (1 - least_fall):
+                break
+            mean, cov, det = half.mean(axis=0), new, np.linalg.det(new)
+        scale = half_chi2 / max(2.0 ** ((limit + 1) / classes), half_chi2)
+        for (at, _), d2 in zip(members, far(mean, cov) * scale, strict=True):
+            rows[at][-1] = not d2 > cutoff
+    return [tuple(r) for r in rows]

@@ -325,6 +325,21 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def quality_by_hand(docs):
+    floor = np.array([quality.FLOOR[f] for f in quality.FEATURES])
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    return brute.quality(rows, floor, quality.CHI2_COVERAGE, quality.CUTOFF, quality.LEAST_FALL, quality.CLASSES, quality.MEDIAN_CLASSES, quality.MIN_GROUP)
+
+
+def test_quality_query_equals_plain_estimates(spark, odd):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    sf = "/root/testdata/sf0.01"
+    expected = quality_by_hand(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert len({r[-2:] for r in expected}) == 3
+    same(quality.op8_quality(spark, sf).select(*columns).collect(), expected)
+    same(quality.judge(odd).select(*columns).collect(), quality_by_hand(odd))
+
+
 def quality_rows(n, junk):
     """Rows of 200 ordinary words, and those that junk changes."""
     rng = np.random.default_rng(4)

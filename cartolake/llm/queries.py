@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartolake.llm import chat, decontamination, jaccard_join, line_dedup, mixing, phrases, pii, quality, spelling, suffix_dedup, token_output, url_filter
+from cartolake.llm import chat, decontamination, html_text, jaccard_join, line_dedup, mixing, phrases, pii, quality, spelling, suffix_dedup, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_token_output": token_output.op9_token_output,
     "op10_mixing": mixing.op10_mixing,
+    "op11_html_text": html_text.op11_html_text,
     "op12_collocations": phrases.op12_collocations,
     "op13_spelling": spelling.op13_spelling,
 }
@@ -30,6 +31,7 @@ ORACLES: dict[str, str] = {
     "op6_chat_formatting": chat.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_html_text": html_text.OP11_SQL,
     "op12_collocations": phrases.OP12_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }

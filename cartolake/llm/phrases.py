@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import duckdb
@@ -29,13 +30,17 @@ TOP = 2000
 NO_LANG = "und"
 BREAK = r"[.,;:!?\x0A-\x0D]"
 #: Bytes of pieces in a block: the unit that a task holds at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: What duckdb may hold in memory for a bucket; the rest goes to the task's temporary folder.
 DUCKDB_MEMORY = "256MB"
 
 PIECES = "lang string, run string, m long, block long"
-REQUESTS = "lang string, gram string, block long, w long"
-_REQUEST_SCHEMA = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("block", pa.int64()), ("w", pa.int64())])
+#: A message from a block to a bucket: n-grams by language, a line feed between, and the weights of all.
+REQUESTS = "bucket int, block long, asked array<struct<lang:string,grams:string>>, w array<long>"
+#: To a block: those of its n-grams that are frequent; without a block: one n-gram and its count.
+ANSWERS = "block long, known array<struct<lang:string,grams:string>>, lang string, gram string, f long"
+_REQUEST_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("asked", pa.list_(pa.struct([("lang", pa.string()), ("grams", pa.string())]))), ("w", pa.list_(pa.int64()))])
+_FLAT_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("w", pa.int64())])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +62,9 @@ def _merged(rows: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, run, m, block): the distinct pieces with a word, words joined by a space, and how often each occurs."""
     parts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), BREAK, -1)).alias("part"))
-    parts = parts.select("lang", F.btrim(F.regexp_replace("part", r"[\x20\x09]+", " ")).alias("run")).filter(F.col("run") != "")
+    wide = F.contains("part", F.lit("  ")) | F.contains("part", F.lit("\t"))
+    run = F.when(wide, F.regexp_replace("part", r"[\x20\x09]+", " ")).otherwise(F.col("part"))
+    parts = parts.select("lang", F.btrim(run).alias("run")).filter(F.col("run") != "")
     return _merged(parts.withColumn("m", F.lit(1).cast("long")))
 
 
@@ -66,42 +73,59 @@ class _Grams:
 
     def __init__(self, lang: pa.Array, run: pa.Array, n: int) -> None:
         lists = pc.split_pattern(run, " ")
-        words = lists.flatten().dictionary_encode()
-        self.code, self.words = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
-        self.lang = lang
-        self.row = np.repeat(np.arange(len(run)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words, tongues = lists.flatten().dictionary_encode(), lang.dictionary_encode()
+        self.code, self.words = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        self.tongue, self.langs = tongues.indices.to_numpy(zero_copy_only=False), tongues.dictionary
+        self.row = np.repeat(np.arange(len(run), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         size = max(len(self.words), 1)
-        at, key = np.arange(len(self.code)), lang.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row] * size + self.code
+        at, key = np.arange(len(self.code), dtype=np.int32), self.tongue[self.row].astype(np.int64) * size + self.code
         for j in range(1, n):
             _, key = np.unique(key, return_inverse=True)
-            fits = np.zeros(len(at), dtype=bool)
-            inside = at + j < len(self.code)
-            fits[inside] = self.row[at[inside] + j] == self.row[at[inside]]
+            fits = at < len(self.code) - j
+            fits[fits] = self.row[at[fits] + j] == self.row[at[fits]]
             at, key = at[fits], key[fits] * size + self.code[at[fits] + j]
-        _, self.first, self.key = np.unique(key, return_index=True, return_inverse=True)
-        self.at, self.n = at, n
-
-    def langs(self) -> pa.Array:
-        return self.lang.take(pa.array(self.row[self.at[self.first]]))
+        _, first, self.key = np.unique(key, return_index=True, return_inverse=True)
+        self.at, self.start, self.n = at, at[first], n
 
     def names(self) -> pa.Array:
-        start = self.at[self.first]
-        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.code[start + j])) for j in range(self.n)], " ")
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.code[self.start + j])) for j in range(self.n)], " ")
+
+    def buckets(self, count: int) -> np.ndarray:
+        """The bucket of each distinct n-gram, the same in every block."""
+        word = np.array([zlib.crc32(w.encode()) for w in self.words.to_pylist()], dtype=np.uint64)
+        h = np.zeros(len(self.start), dtype=np.uint64)
+        for j in range(self.n):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[self.code[self.start + j]]
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % count
 
 
 def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _requests(n: int):
+def _joined(offsets: np.ndarray, texts: pa.Array, by: str) -> pa.Array:
+    """The texts between offsets, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), by)
+
+
+def _requests(n: int, buckets: int):
     """For each block, its distinct n-grams with their weights, sent to the buckets."""
 
     def of(rows: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         g = _Grams(_plain(t.column("lang")), _plain(t.column("run")), n)
-        weight = np.zeros(len(g.first), dtype=np.int64)
+        weight = np.zeros(len(g.start), dtype=np.int64)
         np.add.at(weight, g.key, t.column("m").to_numpy()[g.row[g.at]])
-        return pa.RecordBatch.from_arrays([g.langs(), g.names(), pa.array(np.full(len(weight), block)), pa.array(weight)], schema=_REQUEST_SCHEMA)
+        tongues = max(len(g.langs), 1)
+        to = g.buckets(buckets) * tongues + g.tongue[g.row[g.start]]
+        order = np.argsort(to, kind="stable")
+        kinds, heads = np.unique(to[order], return_index=True)
+        grams = _joined(np.append(heads, len(order)), g.names().take(pa.array(order)), "\n")
+        told, first = np.unique(kinds // tongues, return_index=True)
+        parts = pa.StructArray.from_arrays([g.langs.take(pa.array(kinds % tongues)), grams], ["lang", "grams"])
+        asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(kinds)), pa.int32()), parts)
+        w = pa.ListArray.from_arrays(pa.array(np.append(heads[first], len(order)), pa.int32()), pa.array(weight[order]))
+        return pa.RecordBatch.from_arrays([pa.array(told.astype(np.int32)), pa.array(np.full(len(told), block)), asked, w], schema=_REQUEST_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, block = [], None
@@ -121,17 +145,28 @@ def _requests(n: int):
     return run
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages as rows of one n-gram."""
+    for b in batches:
+        parts = b.column("asked").flatten()
+        grams = pc.split_pattern(parts.field("grams"), "\n")
+        part = pc.list_parent_indices(grams)
+        yield pa.RecordBatch.from_arrays([b.column("block").take(pc.list_parent_indices(b.column("asked"))).take(part), parts.field("lang").take(part), grams.flatten(), b.column("w").flatten()], schema=_FLAT_SCHEMA)
+
+
 def _counted(min_count: int):
-    """Sums a bucket's requests in duckdb and answers each with its n-gram's count, if that is min_count at least."""
+    """Sums a bucket's requests in duckdb, tells n-grams of min_count at least and answers each block with those that it asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="cartolake-")
         con = duckdb.connect(f"{folder}/bucket.duckdb", config={"threads": "1", "memory_limit": DUCKDB_MEMORY, "temp_directory": folder, "preserve_insertion_order": "false"})
         try:
-            asked = pa.RecordBatchReader.from_batches(_REQUEST_SCHEMA, (pa.RecordBatch.from_arrays(b.columns, schema=_REQUEST_SCHEMA) for b in batches))  # noqa: F841  duckdb reads it by name
+            asked = pa.RecordBatchReader.from_batches(_FLAT_SCHEMA, _flat(batches))  # noqa: F841  duckdb reads it by name
             con.execute("CREATE TABLE requests AS SELECT * FROM asked")
             con.execute(f"CREATE TABLE counts AS SELECT lang, gram, sum(w)::BIGINT AS f FROM requests GROUP BY lang, gram HAVING sum(w) >= {int(min_count)}")
-            yield from con.sql("SELECT lang, gram, block, f FROM requests JOIN counts USING (lang, gram)").to_arrow_reader(1 << 16)
+            yield from con.sql("SELECT NULL::BIGINT AS block, NULL::STRUCT(lang VARCHAR, grams VARCHAR)[] AS known, lang, gram, f FROM counts").to_arrow_reader(1 << 16)
+            known = "SELECT block, lang, string_agg(gram, chr(10)) AS grams FROM requests JOIN counts USING (lang, gram) GROUP BY block, lang"
+            yield from con.sql(f"SELECT block, list({{'lang': lang, 'grams': grams}}) AS known, NULL::VARCHAR AS lang, NULL::VARCHAR AS gram, NULL::BIGINT AS f FROM ({known}) GROUP BY block").to_arrow_reader(1 << 8)
         finally:
             con.close()
             shutil.rmtree(folder, ignore_errors=True)
@@ -145,8 +180,11 @@ def _cut(n: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         lang, m = _plain(rows.column("lang")), rows.column("m").to_numpy()
         g = _Grams(lang, _plain(rows.column("run")), n)
+        known = _plain(answers.column("known")).flatten()
+        told = pc.split_pattern(known.field("grams"), "\n")
+        whose = known.field("lang").take(pc.list_parent_indices(told))
         # an n-gram has no line feed, so the last one parts it from the language
-        known = pc.is_in(pc.binary_join_element_wise(g.langs(), g.names(), "\n"), value_set=pc.binary_join_element_wise(_plain(answers.column("lang")), _plain(answers.column("gram")), "\n"))
+        known = pc.is_in(pc.binary_join_element_wise(lang.take(pa.array(g.row[g.start])), g.names(), "\n"), value_set=pc.binary_join_element_wise(whose, told.flatten(), "\n"))
         start = g.at[np.asarray(known)[g.key]] if len(g.at) else g.at
         follows = np.zeros(len(start), dtype=bool)
         follows[1:] = (start[1:] == start[:-1] + 1) & (g.row[start[1:]] == g.row[start[:-1]])
@@ -156,8 +194,7 @@ def _cut(n: int):
         first, size = start[heads[long]], (ends - heads)[long] + n - 1
         offsets = np.concatenate([[0], np.cumsum(size)])
         inside = np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])
-        words = g.words.take(pa.array(g.code[inside]))
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words).cast(pa.list_(pa.string())), " ")
+        joined = _joined(offsets, g.words.take(pa.array(g.code[inside])), " ")
         return pa.table({"lang": lang.take(pa.array(g.row[first])), "run": joined, "m": pa.array(m[g.row[first]], pa.int64())})
 
     return run
@@ -168,13 +205,16 @@ def frequent_phrases(parts: DataFrame, max_words: int = MAX_WORDS, min_count: in
 
     Parts of a phrase are as frequent as it at least, so cut pieces lose no such phrase.
     """
+    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = []
     for n in range(1, max_words + 1):
-        asked = parts.mapInArrow(_requests(n), REQUESTS).repartition("lang", "gram")
-        answers = saved(asked.mapInArrow(_counted(min_count), "lang string, gram string, block long, f long"), compression="zstd")
-        levels.append(answers.groupBy("lang", "gram").agg(F.first("f").alias("f")).select("lang", F.col("gram").alias("phrase"), F.lit(n).alias("words"), "f"))
+        asked = parts.mapInArrow(_requests(n, partitions), REQUESTS).repartitionById(partitions, F.col("bucket"))
+        answers = saved(asked.mapInArrow(_counted(min_count), ANSWERS), compression="zstd")
+        levels.append(answers.filter("block IS NULL").select("lang", F.col("gram").alias("phrase"), F.lit(n).alias("words"), "f"))
         if n < max_words:
-            cut = parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(n), "lang string, run string, m long")
+            # later pieces have a word more than n anyway
+            long = parts.filter(F.contains("run", F.lit(" "))) if n == 1 else parts
+            cut = long.groupBy("block").cogroup(answers.filter("block IS NOT NULL").select("block", "known").groupBy("block")).applyInArrow(_cut(n), "lang string, run string, m long")
             parts = _merged(cut)
     out = levels[0]
     for level in levels[1:]:

@@ -5,17 +5,23 @@ Breaks are a few numbers from one aggregate; values are then classified by compa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.functions.values import COLOR_TYPE, color
+from cartolake.operators.ranges import carried, in_ranges
+from cartolake.operators.scratch import kept
 
 #: The public ColorBrewer Set1 colours.
 CATEGORICAL = ((228, 26, 28), (55, 126, 184), (77, 175, 74), (152, 78, 163), (255, 127, 0), (255, 255, 51), (166, 86, 40), (247, 129, 191), (153, 153, 153))
 FLANNERY = 0.5716
-#: Natural breaks hold k * n numbers on the driver; more distinct values are refused.
-MAX_DISTINCT = 200_000
+#: Values of a segment of natural breaks, which one task solves.
+SEGMENT_ROWS = 1 << 16
 
 
 def equal_interval(df: DataFrame, column: str, k: int) -> list[float]:
@@ -24,72 +30,164 @@ def equal_interval(df: DataFrame, column: str, k: int) -> list[float]:
     return [] if low is None or k < 2 else [low + (high - low) / k * i for i in range(1, k)]
 
 
-def quantile(df: DataFrame, column: str, k: int, rows_per_range: int = 1 << 20) -> list[float]:
+def quantile(df: DataFrame, column: str, k: int) -> list[float]:
     """Breaks at the sorted values of index min(i * n // k, n - 1), exactly, duplicates kept.
 
     Values are counted, the counts range-partitioned and summed; only the k - 1 wanted ranks come
     to the driver, so no task sorts all rows.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    counts = values.groupBy("v").count().repartitionByRange("v")
-    placed = counts.withColumn("part", F.spark_partition_id())
-    from cartolake.operators.scratch import kept
-
-    placed = kept(placed)
-    parts = placed.groupBy("part").agg(F.sum("count").alias("s"), F.min("v").alias("first")).orderBy("first").collect()
-    n = sum(p["s"] for p in parts)
+    placed = carried(in_ranges(values.groupBy("v").count(), "v"), "part", before=F.col("count"))
+    n = values.count()
     if not n or k < 2:
         return []
     ranks = [min(i * n // k, n - 1) for i in range(1, k)]
-    offsets, done = [], 0
-    for p in parts:
-        offsets.append((p["part"], done))
-        done += p["s"]
-    before = placed.sparkSession.createDataFrame(offsets, "part int, before long")
-    w = Window.partitionBy("part").orderBy("v")
-    upto = placed.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("count").over(w))
+    upto = placed.withColumn("upto", F.col("before") + F.sum("count").over(Window.partitionBy("part").orderBy("v")))
     wanted = upto.withColumn("rank", F.explode(F.array(*[F.lit(r).cast("long") for r in sorted(set(ranks))]))).filter("rank < upto AND rank >= upto - count")
     found = {r["rank"]: r["v"] for r in wanted.select("rank", "v").collect()}
     return [found[r] for r in ranks]
 
 
-def natural_breaks(df: DataFrame, column: str, k: int, max_distinct: int = MAX_DISTINCT) -> list[float]:
-    """Fisher-Jenks breaks over the sorted distinct values; with k of them or fewer, all but the first.
+def _spread(s1: np.ndarray, s2: np.ndarray, start: np.ndarray, end: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Squared deviations of the values start..end - 1 from their mean, from sums before start and before end."""
+    return np.maximum((e2 - s2) - (e1 - s1) ** 2 / (end - start), 0.0)
+
+
+def _best_starts(starts: DataFrame, wanted: list[tuple[int, int, int, float, float]]) -> DataFrame:
+    """(end, cost, start) for ends (end, left, right, s1, s2): the cheapest of the starts left..right below each.
 
-    The values come to the driver, MAX_DISTINCT at most: O(k n log n) there.
+    Every block of starts (block, i, s1, s2, cost) tries the ends that it can serve; the least of
+    all blocks comes out, ties to the smallest start.
     """
-    rows = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").distinct().orderBy("v").limit(max_distinct + 1).toPandas()
-    x = rows["v"].to_numpy()
-    if len(x) > max_distinct:
-        raise ValueError(f"more than {max_distinct} distinct values; classify a rounded column")
-    if len(x) <= k:
-        return [float(v) for v in x[1:]]
-    s1, s2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-    n = len(x)
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
-    first = np.zeros((k + 1, n + 1), dtype=np.int32)
-    for c in range(1, k + 1):
-        new = np.full(n + 1, np.inf)
-        # the best start never falls as the end grows, so halves are searched within the bounds of their middle
-        open_ = [(c, n, c - 1, n - 1)]
-        while open_:
-            low, high, left, right = open_.pop()
-            if low > high:
+    asked = np.array(wanted)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, s1, s2, cost = (b.column(c).to_numpy() for c in ("i", "s1", "s2", "cost"))
+            order = np.argsort(i)
+            i, s1, s2, cost = i[order], s1[order], s2[order], cost[order]
+            found = []
+            for end, left, right, e1, e2 in asked[(asked[:, 1] <= i[-1]) & (asked[:, 2] >= i[0])] if len(i) else ():
+                x, y = np.searchsorted(i, left), np.searchsorted(i, min(right, end - 1), side="right")
+                if y > x:
+                    total = cost[x:y] + _spread(s1[x:y], s2[x:y], i[x:y], end, e1, e2)
+                    at = int(np.argmin(total))
+                    found.append((int(end), float(total[at]), int(i[x + at])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], names=["end", "cost", "start"])
+
+    tried = starts.select("i", "s1", "s2", "cost").mapInArrow(best, "end long, cost double, start long")
+    return tried.groupBy("end").agg(F.min(F.struct("cost", "start")).alias("m")).select("end", "m.cost", "m.start")
+
+
+def _segment_costs(key: tuple, ends: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """The cheapest start of each end of a segment, among the starts that its bounds leave; halves within the bounds of their middle."""
+    ends, starts = ends.sort_values("i"), starts.sort_values("i")
+    e, e1, e2 = (ends[c].to_numpy() for c in ("i", "s1", "s2"))
+    i, s1, s2, before = (starts[c].to_numpy() for c in ("i", "s1", "s2", "cost"))
+    cost, first = np.full(len(e), np.inf), np.zeros(len(e), dtype=np.int64)
+    open_ = [(0, len(e) - 1, 0, len(i) - 1)]
+    while open_:
+        low, high, left, right = open_.pop()
+        if low > high:
+            continue
+        mid = (low + high) // 2
+        last = min(right, int(np.searchsorted(i, e[mid])) - 1)
+        x = slice(left, last + 1)
+        total = before[x] + _spread(s1[x], s2[x], i[x], e[mid], e1[mid], e2[mid])
+        at = left + int(np.argmin(total))
+        cost[mid], first[mid] = total[at - left], i[at]
+        open_ += [(low, mid - 1, left, at), (mid + 1, high, at, right)]
+    return pd.DataFrame({"i": e, "s1": e1, "s2": e2, "cost": cost, "start": first})
+
+
+def _next_layer(sums: DataFrame, layer: DataFrame, n: int, c: int, rows: int) -> DataFrame:
+    """(i, s1, s2, cost, start): costs of c + 1 classes for the first i values, from the layer of c classes.
+
+    The best start never falls as the end grows. So ends at every `rows`-th place are solved first,
+    by rounds that leave sixteenths of the bounds, and bound the starts of all ends between them:
+    each segment of ends then meets a stretch of starts, and all stretches together are the layer
+    once. A segment that still has too many starts is cut into smaller ones.
+    """
+    spark = sums.sparkSession
+    solved: dict[int, int] = {}
+
+    def ends_at(wanted: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float, float]]:
+        keys = spark.createDataFrame(wanted, "i long, left long, right long")
+        return [tuple(r) for r in sums.join(F.broadcast(keys), "i").select("i", "left", "right", "s1", "s2").collect()]
+
+    segments: list[tuple[int, int, int, int]] = []
+    alone: list[tuple[int, int, int]] = []
+    open_ = [(c + 1, n, c, n - 1)]
+    while open_:
+        wanted: dict[int, tuple[int, int]] = {}
+        cuts = []
+        for low, high, left, right in open_:
+            if right - left < 4 * rows and high - low < rows:
+                segments.append((low, high, left, right))
+                continue
+            if high - low < 2:  # still too many starts: each end on its own, over blocks of starts
+                alone += [(end, left, right) for end in range(low, high + 1)]
                 continue
-            end = (low + high) // 2
-            starts = np.arange(left, min(right, end - 1) + 1)
-            spread = s2[end] - s2[starts] - (s1[end] - s1[starts]) ** 2 / (end - starts)
-            total = cost[starts] + spread
-            at = int(np.argmin(total))
-            new[end], first[c, end] = total[at], starts[at]
-            open_ += [(low, end - 1, left, int(starts[at])), (end + 1, high, int(starts[at]), right)]
-        cost = new
-    breaks, end = [], n
-    for c in range(k, 1, -1):
-        end = int(first[c, end])
-        breaks.append(float(x[end]))
-    return breaks[::-1]
+            step = max(1, (high - low + 1) // 16)
+            points = list(range(low + step - 1, high, step))
+            wanted |= dict.fromkeys(points, (left, right))
+            cuts.append((low, high, left, right, points))
+        open_ = []
+        if not wanted:
+            break
+        solved |= {r["end"]: r["start"] for r in _best_starts(layer, ends_at([(k, *v) for k, v in wanted.items()])).collect()}
+        for low, high, left, right, points in cuts:
+            for point in points:
+                open_.append((low, point, left, solved[point]))
+                low, left = point + 1, solved[point]
+            open_.append((low, high, left, right))
+    spans = [(k, *s) for k, s in enumerate(segments)]
+    # few segments for many values; a range join would be a loop, so numbers of blocks are joined
+    block = lambda c: (F.col(c) / F.lit(rows)).cast("long")
+    of = lambda a, b: spark.createDataFrame(spans, "segment long, low long, high long, left long, right long").select("segment", F.col(a).alias("from"), F.col(b).alias("to"), F.explode(F.sequence(block(a), block(b))).alias("block"))
+    within = lambda df, a, b: df.withColumn("block", block("i")).join(F.broadcast(of(a, b)), "block").filter(F.col("i").between(F.col("from"), F.col("to")))
+    ends = within(sums, "low", "high").select("segment", "i", "s1", "s2")
+    starts = within(layer, "left", "right").select("segment", "i", "s1", "s2", "cost")
+    solved_segments = ends.groupBy("segment").cogroup(starts.groupBy("segment")).applyInPandas(_segment_costs, "i long, s1 double, s2 double, cost double, start long")
+    if alone:
+        found = _best_starts(layer, ends_at(alone)).join(sums, F.col("end") == F.col("i"))
+        solved_segments = solved_segments.unionByName(found.select("i", "s1", "s2", "cost", "start"))
+    return kept(solved_segments)
+
+
+def natural_breaks(df: DataFrame, column: str, k: int, rows: int = SEGMENT_ROWS) -> list[float]:
+    """Fisher-Jenks breaks over the sorted distinct values; with k of them or fewer, all but the first.
+
+    The dynamic programme runs layer by layer, a layer a class: values lie in ranges with sums
+    carried over them, and each layer is a few jobs over tables, tasks of `rows` ends. Only places
+    and bounds of segments come to the driver, one for `rows` values.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").distinct()
+    middle = values.agg(F.avg("v").alias("m"), F.count("*").alias("n")).first()
+    n = middle["n"]
+    if n <= k or k < 2:
+        return [r["v"] for r in values.orderBy("v").collect()[1:]] if n <= k else []
+    x = F.col("v") - F.lit(middle["m"])
+    placed = carried(in_ranges(values, "v"), "part", before=F.lit(1), b1=x, b2=x * x)
+    upto = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    inside = Window.partitionBy("part").orderBy("v")
+    place = (F.col("before") + F.row_number().over(inside) - 1).cast("long")
+    starts = placed.select("v", place.alias("i"), (F.col("b1") + zero(F.sum(x).over(upto))).alias("s1"), (F.col("b2") + zero(F.sum(x * x).over(upto))).alias("s2"))
+    starts = kept(starts)
+    total = values.agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2")).first()
+    end = values.sparkSession.createDataFrame([(n, total["s1"], total["s2"])], "i long, s1 double, s2 double")
+    sums = kept(starts.select("i", "s1", "s2").unionByName(end))  # sums of the i values before a place
+    one = F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / F.col("i"))
+    layers = [kept(sums.filter("i > 0").select("i", "s1", "s2", one.alias("cost"), F.lit(0).cast("long").alias("start")))]
+    for c in range(1, k - 1):
+        layers.append(_next_layer(sums, layers[-1], n, c, rows))
+    last = _best_starts(layers[-1], [(n, k - 1, n - 1, total["s1"], total["s2"])]).first()
+    places = [last["start"]]
+    for layer in layers[:0:-1]:
+        places.append(layer.filter(F.col("i") == places[-1]).first()["start"])
+    found = {r["i"]: r["v"] for r in starts.join(F.broadcast(values.sparkSession.createDataFrame([(p,) for p in places], "i long")), "i").select("i", "v").collect()}
+    return [found[p] for p in reversed(places)]
 
 
 def standard_deviation(df: DataFrame, column: str, spread: float = 2.0) -> list[float]:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartolake.operators.ranges import in_ranges
+from cartolake.operators.scratch import kept
+
 
 def time_value(df: DataFrame, column: str) -> Column:
     """Seconds from numbers, numeric texts or timestamps; null where there are none."""
@@ -56,9 +59,10 @@ def trajectory_at(points: DataFrame, times: list[float] | DataFrame, entity: str
     """(entity, at, x, y) for each time: between the first pair of points around it, the end points beyond.
 
     times is a list of seconds, asked of every entity, or a table (entity, at) of any size: an
-    as-of join from both sides. Asked times are put among the entity's points; one window carries
-    the last point before each, another the first at or after it. A time without points of its entity
-    has no row.
+    as-of join from both sides. Points and asked times lie in ranges of entity and time, so one
+    entity may fill many tasks; the last and the first point that a range has of an entity, a row
+    each, are carried over the ranges after and before it. A time without points of its entity
+    has no row; nor has a null time. Entities may be null.
     """
     own = points.select(F.col(entity).alias("_e"), F.col(t).cast("double").alias("_t"), F.struct(F.col(t).cast("double").alias("t"), F.col(x).alias("x"), F.col(y).alias("y")).alias("_p")).filter("_t IS NOT NULL")
     if isinstance(times, DataFrame):
@@ -66,10 +70,20 @@ def trajectory_at(points: DataFrame, times: list[float] | DataFrame, entity: str
     else:
         asked = own.select("_e").distinct().select("_e", F.explode(F.array(*[F.lit(float(v)) for v in times])).alias("_t"))
     rows = own.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    # rows of one entity and time share a range, so ranges end between times
+    ranges = in_ranges(rows, "_e", "_t", part="_part")
+    order = F.struct("_t", "_p.x", "_p.y")
+    ends = ranges.filter("NOT _asked").groupBy("_part", "_e").agg(F.max_by("_p", order).alias("_end"), F.min_by("_p", order).alias("_begin"))
+    ends = kept(ranges.select("_part", "_e").distinct().join(ends.withColumnsRenamed({"_part": "_q", "_e": "_f"}), F.col("_part").eqNullSafe(F.col("_q")) & F.col("_e").eqNullSafe(F.col("_f")), "left"))
+    over = Window.partitionBy("_e").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("_e").orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    told = ends.select(F.col("_part").alias("_q"), F.col("_e").alias("_f"), F.last("_end", ignorenulls=True).over(over).alias("_from"), F.last("_begin", ignorenulls=True).over(back).alias("_to"))
     nearest = F.last("_p", ignorenulls=True)
-    before = Window.partitionBy("_e").orderBy("_t", F.col("_asked").desc(), "_p.x", "_p.y").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_e").orderBy(F.col("_t").desc(), "_asked", F.col("_p.x").desc(), F.col("_p.y").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumns({"_a": nearest.over(before), "_b": nearest.over(after)}).filter("_asked AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    before = Window.partitionBy("_part", "_e").orderBy("_t", F.col("_asked").desc(), "_p.x", "_p.y").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_part", "_e").orderBy(F.col("_t").desc(), "_asked", F.col("_p.x").desc(), F.col("_p.y").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranges.withColumns({"_a": nearest.over(before), "_b": nearest.over(after)}).filter("_asked")
+    found = found.join(told, F.col("_part").eqNullSafe(F.col("_q")) & F.col("_e").eqNullSafe(F.col("_f")))
+    found = found.withColumns({"_a": F.coalesce("_a", "_from"), "_b": F.coalesce("_b", "_to")}).filter("_a IS NOT NULL OR _b IS NOT NULL")
     part = (F.col("_t") - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     place = lambda c: F.when(F.col("_a").isNull(), F.col(f"_b.{c}")).when(F.col("_b").isNull(), F.col(f"_a.{c}")).otherwise(F.col(f"_a.{c}") + (F.col(f"_b.{c}") - F.col(f"_a.{c}")) * part)
     return found.select(F.col("_e").alias(entity), F.col("_t").alias("at"), place("x").alias("x"), place("y").alias("y"))

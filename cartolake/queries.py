@@ -289,6 +289,15 @@ def class_jenks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classes(df, "p_size", classify.natural_breaks(df, "p_size", 4))
 
 
+@query()
+def class_jenks_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all prices; SQL can't run the programme on so many values, tests compare it on few."""
+    df = read(spark, sf_dir, "lineitem")
+    breaks = classify.natural_breaks(df, "l_extendedprice", 4)
+    rows = df.select(classify.classify(F.col("l_extendedprice"), breaks).alias("class"), "l_extendedprice")
+    return rows.groupBy("class").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
 @query("SELECT p_partkey, round(3e0 + pow(least(1e0, greatest(0e0, (p_size - 1e0) / 49e0)), 0.5716e0) * 17e0, 6) AS flannery, 3e0 + least(1e0, greatest(0e0, (p_size - 1e0) / 49e0)) * 17e0 AS linear FROM part")
 def prop_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "part")

@@ -110,8 +110,6 @@ def test_natural_breaks_are_the_best(spark):
     best = min(itertools.combinations(range(1, len(distinct)), 2), key=cost)
     assert cost([distinct.index(b) for b in got]) == pytest.approx(cost(best))
     assert classify.natural_breaks(df.limit(0), "v", 3) == []
-    with pytest.raises(ValueError, match="distinct"):
-        classify.natural_breaks(df, "v", 3, max_distinct=2)
 
 
 def test_breaks_of_odd_columns(spark):

@@ -226,11 +226,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     """
     found = near_duplicates(docs, words, percent, id_col, text_col).withColumnRenamed(id_col, "id").filter("n_shingles > 0")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("k"))
-    best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash")).alias("k")
-    d = docs.withColumns({"_k_hash": F.xxhash64(text_col), "_k_words": F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)}).alias("d")
-    stay = F.col(f"d.{id_col}").eqNullSafe(F.col("k.k_id")) & (F.col("d._k_hash") == F.col("k.k_hash"))
-    wordy = d.filter("_k_words").join(best, stay, "left_semi").dropDuplicates([id_col, "_k_hash"])
-    return wordy.unionByName(d.filter("NOT _k_words")).drop("_k_hash", "_k_words")
+    best = best.select(F.col("k.id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    # rows travel in one column, so no name of theirs meets a helper's
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).rlike(WORD).alias("wordy"))
+    stay = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+    wordy = d.filter("wordy").join(best, stay, "left_semi").dropDuplicates(["id", "hash"])
+    return wordy.unionByName(d.filter("NOT wordy")).select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,10 +57,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target by half a row at most. Null or empty texts have size 0; a source of size 0 has target
     0 and its rows no copies. A null source is a source of its own, last in order. Repeated rows
     are rows of their own; which of several equal rows lies before the cut cannot be told apart.
-    Keys depend on the id and the seed alone, so reruns agree. An empty table gives an empty result.
+    Keys depend on the seed and the id, on the text where the id is null, so reruns agree. An empty table gives an empty result.
     """
     on = ["src", "no_src"]
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.encode(text_col, "UTF-8")), F.lit(""))))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).isNull().alias("no_src"), key.alias("key"))
     keyed = saved(keyed)
     sizes = keyed.groupBy(*on).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -88,12 +88,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = mix(docs, id_col, text_col, source_col, max_epochs, weights, seed).withColumnRenamed(id_col, "m_id")
     taken = taken.groupBy("m_id", "text_hash", "src", "no_src").agg(F.array_sort(F.collect_list("copies")).alias("copies")).alias("m")
     # equal rows are numbered, and share out what their copies are
-    d = docs.withColumns({"_m_hash": F.xxhash64(text_col), "_m_src": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_m_no": F.col(source_col).isNull()})
-    d = d.withColumn("_m_i", F.row_number().over(Window.partitionBy(id_col, "_m_hash", "_m_src", "_m_no").orderBy(F.lit(0)))).alias("d")
-    same = F.col(f"d.{id_col}").eqNullSafe(F.col("m.m_id")) & (F.col("d._m_hash") == F.col("m.text_hash")) & (F.col("d._m_src") == F.col("m.src")) & (F.col("d._m_no") == F.col("m.no_src"))
-    n = F.get(F.col("m.copies"), F.col("d._m_i") - 1)
+    # rows travel in one column, so no name of theirs meets a helper's
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), F.col(source_col).isNull().alias("no"))
+    d = d.withColumn("i", F.row_number().over(Window.partitionBy("id", "hash", "src", "no").orderBy(F.lit(0)))).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("m.m_id")) & (F.col("d.hash") == F.col("m.text_hash")) & (F.col("d.src") == F.col("m.src")) & (F.col("d.no") == F.col("m.no_src"))
+    n = F.get(F.col("m.copies"), F.col("d.i") - 1)
     out = d.join(taken, same).filter(n > 0)
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), n)).alias("_m_copy")).drop("_m_copy")
+    return out.select("d.row", F.explode(F.sequence(F.lit(1), n)).alias("copy")).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src, md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS k,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size
   FROM documents
 ), s AS (

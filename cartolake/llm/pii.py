@@ -309,18 +309,15 @@ def _above(thresholds: dict[str, float]) -> Column:
 
 
 def _apart(spans: Column) -> Column:
-    """Of spans (start, end, kind, p) in order of start: of those that overlap, the likelier, and of equal ones the first."""
-    typed = "array<struct<kind:string,start:int,end:int>>"
-    zero = F.struct(F.array().cast(typed).alias("done"), F.lit(None).cast("struct<start:int,end:int,kind:string,p:double>").alias("last"))
-    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    closed = lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(plain(a["last"]))))
+    """Of spans (start, end, kind, p) those that overlap no likelier one that stays, in order of start; of equally likely ones the first stays."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    likely = F.array_sort(F.transform(spans, lambda s: F.struct((-s["p"]).alias("less"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(a: Column, s: Column) -> Column:
-        meets = a["last"].isNotNull() & (s["start"] < a["last"]["end"])
-        better = F.when(s["p"] > a["last"]["p"], s).otherwise(a["last"])
-        return F.struct(F.when(meets, a["done"]).otherwise(closed(a)).alias("done"), F.when(meets, better).otherwise(s).alias("last"))
+    def step(kept: Column, s: Column) -> Column:
+        meets = F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
 
-    return F.aggregate(F.array_sort(spans), zero, step, closed)
+    return F.transform(F.array_sort(F.aggregate(likely, none, step)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Labels: greedy placement on canvases, wrapping, and text along lines.
 
-Placement on one canvas is sequential, so canvases are the unit of distribution: a canvas is a
-screen or a tile, and its labels fit one task. Labels of different canvases don't see each other.
+Placement goes in rounds over tiles of each canvas and gives what one pass over its labels would.
+Labels of different canvases don't see each other.
 """
 
 from __future__ import annotations
@@ -13,61 +13,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.operators.geometry import at_distance, path_length
+from cartolake.operators.scratch import kept
 
 PADDING = 2.0
+#: Labels that a tile of a canvas should hold: what one task decides in a round.
+LABELS_A_TILE = 20_000
 MAX_TURN = 0.4
 LINE_SHARE = 0.8
 
+Box = tuple[float, float, float, float]
+#: Rows of a tile: boxes that stand, labels of its own, and labels of other tiles within reach.
+PLACED, OWN, FOREIGN = 0, 1, 2
 
-def _free(taken: list[tuple[float, float, float, float]], grid: dict[tuple[int, int], list[int]], box: tuple[float, float, float, float]) -> bool:
+
+def _overlaps(boxes: dict[tuple[int, int], list[Box]], box: Box) -> bool:
+    return any(box[0] < t[2] and box[2] > t[0] and box[1] < t[3] and box[3] > t[1] for cell in _cells(box) for t in boxes.get(cell, ()))
+
+
+def _add(boxes: dict[tuple[int, int], list[Box]], box: Box) -> None:
     for cell in _cells(box):
-        for i in grid.get(cell, ()):
-            t = taken[i]
-            if box[0] < t[2] and box[2] > t[0] and box[1] < t[3] and box[3] > t[1]:
-                return False
-    return True
+        boxes.setdefault(cell, []).append(box)
 
 
-def _cells(box: tuple[float, float, float, float], size: float = 50.0) -> list[tuple[int, int]]:
+def _cells(box: Box, size: float = 50.0) -> list[tuple[int, int]]:
     xs = range(math.floor(box[0] / size), math.floor(box[2] / size) + 1)
     return [(x, y) for x in xs for y in range(math.floor(box[1] / size), math.floor(box[3] / size) + 1)]
 
 
-def place_labels(labels: DataFrame, width: float, height: float, padding: float = PADDING, by_priority: bool = True, lower_left: bool = True) -> DataFrame:
-    """Labels (canvas, fid, text, x, y, width, height, priority) that find room, with their place.
+_DECIDED = "uid long, px double, py double"
 
-    by_priority: highest priority first, ties by fid, at the wanted place or beside it (right, left,
-    above, below, and the corners). Else in order of fid at the wanted place alone, ignoring
-    priority and the canvas's edge. Boxes are padded on both sides. Without lower_left that
-    corner isn't tried.
-    """
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["priority", "fid"] if by_priority else ["fid"]
-        pdf = pdf.sort_values(order, ascending=[False, True] if by_priority else [True], kind="stable")
-        pad = padding if by_priority else 0.0
-        taken: list[tuple[float, float, float, float]] = []
-        grid: dict[tuple[int, int], list[int]] = {}
+def _decide(width: float, height: float, pad: float, by_priority: bool, lower_left: bool):
+    """One tile's part of a round: its own labels in order, as far as no earlier label nearby is open."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order = ["priority", "fid", "uid"] if by_priority else ["fid", "uid"]
+        there = pdf[pdf["kind"] == PLACED]
+        pdf = pdf[pdf["kind"] != PLACED].sort_values(order, ascending=[False, True, True] if by_priority else True, kind="stable")
+        taken: dict[tuple[int, int], list[Box]] = {}
+        waiting: dict[tuple[int, int], list[Box]] = {}
+        for r in there.itertuples(index=False):
+            _add(taken, (r.x0, r.y0, r.x1, r.y1))
         out = []
         for r in pdf.itertuples(index=False):
+            reach = (r.x0, r.y0, r.x1, r.y1)
+            if r.kind == FOREIGN or _overlaps(waiting, reach):
+                _add(waiting, reach)
+                continue
             dx, dy = r.width + 2 * pad, r.height + 2 * pad
             moves = [(0, 0), (dx, 0), (-dx, 0), (0, -dy), (0, dy), (dx, -dy), (-dx, -dy), (dx, dy)] + ([(-dx, dy)] if lower_left else [])
+            at = (None, None)
             for mx, my in moves if by_priority else moves[:1]:
                 x, y = r.x + mx, r.y + my
                 if by_priority and (x < 0 or y < 0 or x + r.width > width or y + r.height > height):
                     continue
                 box = (x - pad, y - pad, x + r.width + pad, y + r.height + pad)
-                if _free(taken, grid, box):
-                    for cell in _cells(box):
-                        grid.setdefault(cell, []).append(len(taken))
-                    taken.append(box)
-                    out.append((r.canvas, r.fid, r.text, x, y, r.width, r.height, r.priority))
+                if not _overlaps(taken, box):
+                    _add(taken, box)
+                    at = (x, y)
                     break
-        return pd.DataFrame(out, columns=["canvas", "fid", "text", "x", "y", "width", "height", "priority"])
+            out.append((r.uid, *at))
+        return pd.DataFrame(out, columns=["uid", "px", "py"]).astype({"uid": "int64", "px": "float64", "py": "float64"})
 
-    schema = "canvas string, fid long, text string, x double, y double, width double, height double, priority int"
+    return run
+
+
+def place_labels(labels: DataFrame, width: float, height: float, padding: float = PADDING, by_priority: bool = True, lower_left: bool = True, per_tile: int = LABELS_A_TILE) -> DataFrame:
+    """Labels (canvas, fid, text, x, y, width, height, priority) that find room, with their place.
+
+    by_priority: highest priority first, ties by fid, at the wanted place or beside it (right, left,
+    above, below, and the corners). Else in order of fid at the wanted place alone, ignoring
+    priority and the canvas's edge. Boxes are padded on both sides. Without lower_left that
+    corner isn't tried. The result is that of one pass over all labels of a canvas, but goes in
+    rounds: a label is decided once all earlier labels that could touch it are. Each tile of a
+    canvas decides its own labels as far as none waits for a label of another tile; tiles lie
+    elsewhere in the next round. Tiles hold about per_tile labels, more where many stand on one spot. Labels
+    without a place or a size are left out.
+    """
+    pad = float(padding) if by_priority else 0.0
+    dx, dy = (F.col("width") + 2 * pad, F.col("height") + 2 * pad) if by_priority else (F.lit(0.0), F.lit(0.0))
     rows = labels.select(F.col("canvas").cast("string").alias("canvas"), F.col("fid").cast("long").alias("fid"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")], F.col("priority").cast("int").alias("priority"))
-    return rows.groupBy("canvas").applyInPandas(place, schema)
+    rows = rows.dropna(subset=["x", "y", "width", "height"])
+    reach = {"x0": F.col("x") - dx - pad, "y0": F.col("y") - dy - pad, "x1": F.col("x") + F.col("width") + dx + pad, "y1": F.col("y") + F.col("height") + dy + pad}
+    rows = kept(rows.withColumns(reach).withColumns({"uid": F.monotonically_increasing_id(), "sheet": F.coalesce(F.concat(F.lit("="), F.col("canvas")), F.lit(""))}))
+    most = rows.agg(F.max(F.greatest(F.col("x1") - F.col("x"), F.col("x") - F.col("x0"))).alias("rx"), F.max(F.greatest(F.col("y1") - F.col("y"), F.col("y") - F.col("y0"))).alias("ry"), F.max("x").alias("hx"), F.min("x").alias("lx"), F.max("y").alias("hy"), F.min("y").alias("ly"), F.count("*").alias("n"), F.approx_count_distinct("sheet").alias("sheets")).first()
+    if not most["n"]:
+        return rows.select("canvas", "fid", "text", "x", "y", "width", "height", "priority")
+    share = math.sqrt(max((most["hx"] - most["lx"]) * (most["hy"] - most["ly"]) * most["sheets"] * per_tile / most["n"], 1.0))
+    side = {"x": max(share, 4 * most["rx"]), "y": max(share, 4 * most["ry"])}
+    open_, placed, parts, turn = rows, None, [], 0
+    while True:
+        tile = lambda c, axis: F.floor((c + side[axis] * (turn % 3) / 3) / side[axis])  # noqa: E731, B023
+        spread = lambda df: df.withColumn("tx", F.explode(F.sequence(tile(F.col("x0") - most["rx"], "x"), tile(F.col("x1") + most["rx"], "x")))).withColumn("ty", F.explode(F.sequence(tile(F.col("y0") - most["ry"], "y"), tile(F.col("y1") + most["ry"], "y"))))  # noqa: E731, B023
+        columns = ["sheet", "uid", "fid", "priority", "x", "y", "width", "height", "x0", "y0", "x1", "y1"]
+        here = spread(open_.select(*columns, tile(F.col("x"), "x").alias("ox"), tile(F.col("y"), "y").alias("oy")))
+        here = here.withColumn("kind", F.when((F.col("tx") == F.col("ox")) & (F.col("ty") == F.col("oy")), OWN).otherwise(FOREIGN)).drop("ox", "oy")
+        own = open_.select("sheet", tile(F.col("x"), "x").alias("tx"), tile(F.col("y"), "y").alias("ty")).distinct()
+        if placed is not None:
+            here = here.unionByName(spread(placed).withColumn("kind", F.lit(PLACED)), allowMissingColumns=True)
+        here = here.join(own, ["sheet", "tx", "ty"], "left_semi")
+        decided = kept(here.groupBy("sheet", "tx", "ty").applyInPandas(_decide(width, height, pad, by_priority, lower_left), _DECIDED))
+        fits = kept(rows.join(decided.filter("px IS NOT NULL"), "uid"))
+        parts.append(fits.select("canvas", "fid", "text", F.col("px").alias("x"), F.col("py").alias("y"), "width", "height", "priority"))
+        boxes = fits.select("sheet", (F.col("px") - pad).alias("x0"), (F.col("py") - pad).alias("y0"), (F.col("px") + F.col("width") + pad).alias("x1"), (F.col("py") + F.col("height") + pad).alias("y1"))
+        placed = boxes if placed is None else placed.unionByName(boxes)
+        open_ = kept(open_.join(decided.select("uid"), "uid", "left_anti"))
+        if not open_.limit(1).count():
+            break
+        turn += 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def wrap(text: Column, max_width: float | None, size: float = 1.0) -> Column:

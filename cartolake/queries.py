@@ -443,7 +443,28 @@ def line_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.blend(raster.strokes(raster.segments(rows, [4, 2]), 64, 64, "round")).select("canvas", "px", "py", color_text(F.col("rgba")).alias("color"))
 
 
-@query()
+LABEL_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT *, row_number() OVER (PARTITION BY canvas ORDER BY priority DESC, fid) AS k
+  FROM (SELECT tx || '/' || ty AS canvas, fid, class AS text, (fid * 37 % 240)::DOUBLE AS x, (fid * 91 % 240)::DOUBLE AS y,
+               (length(class) * 6)::DOUBLE AS width, 8e0 AS height, (fid % 5)::INT AS priority
+        FROM (SELECT fid, class, {TILE_SQL.format(n=16)} FROM {POINTS_SQL}))
+), step AS (
+  SELECT DISTINCT canvas, 0::BIGINT AS k, NULL::BIGINT AS fid, []::STRUCT(x DOUBLE, y DOUBLE, r DOUBLE, b DOUBLE)[] AS taken, NULL::STRUCT(x DOUBLE, y DOUBLE, r DOUBLE, b DOUBLE) AS spot FROM l
+  UNION ALL
+  SELECT canvas, k, fid, CASE WHEN spot IS NULL THEN taken ELSE list_append(taken, spot) END, spot
+  FROM (SELECT l.canvas, l.k, l.fid, s.taken, list_filter(
+          list_transform([(0, 0), (1, 0), (-1, 0), (0, -1), (0, 1), (1, -1), (-1, -1), (1, 1), (-1, 1)],
+            lambda m: {{'x': l.x + m[1] * (l.width + 4) - 2, 'y': l.y + m[2] * (l.height + 4) - 2, 'r': l.x + m[1] * (l.width + 4) + l.width + 2, 'b': l.y + m[2] * (l.height + 4) + l.height + 2}}),
+          lambda c: c.x >= -2 AND c.y >= -2 AND c.r <= 258 AND c.b <= 258
+            AND len(list_filter(s.taken, lambda t: c.x < t.r AND c.r > t.x AND c.y < t.b AND c.b > t.y)) = 0)[1] AS spot
+        FROM step s JOIN l ON l.canvas = s.canvas AND l.k = s.k + 1)
+)
+SELECT l.canvas, l.fid, l.text, spot.x + 2 AS x, spot.y + 2 AS y, l.width, l.height, l.priority FROM step JOIN l USING (canvas, k) WHERE spot IS NOT NULL
+"""
+
+
+@query(LABEL_SQL)
 def label_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tiles.tile_of(F.col("x"), F.col("y"), 4)
     rows = points(spark, sf_dir).select(F.concat_ws("/", t["x"], t["y"]).alias("canvas"), "fid", F.col("class").alias("text"), (F.col("fid") * 37 % 240).alias("x"), (F.col("fid") * 91 % 240).alias("y"), (F.length("class") * 6).alias("width"), F.lit(8).alias("height"), (F.col("fid") % 5).alias("priority"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.operators import classify, cluster, ranges, temporal
+from cartolake.operators import classify, cluster, labels, ranges, temporal
 
 
 def dbscan_by_hand(pts, eps, least):
@@ -93,3 +93,32 @@ def test_numbers_follow_the_order(spark):
     got = [r["number"] for r in ranges.numbered(df, "v").orderBy("v").collect()]
     assert got == list(range(1000))
     assert ranges.numbered(df.limit(0), "v").count() == 0
+
+
+def placed_by_hand(rows, width, height, pad, by_priority, lower_left=True):
+    """The labels of all canvases in one pass, without cells or tiles."""
+    taken, out = {}, set()
+    for c, fid, text, x, y, w, h, p in sorted(rows, key=lambda r: (-r[7] if by_priority else 0, r[1])):
+        dx, dy = w + 2 * pad, h + 2 * pad
+        spots = [(x, y), (x + dx, y), (x - dx, y), (x, y - dy), (x, y + dy), (x + dx, y - dy), (x - dx, y - dy), (x + dx, y + dy)] + [(x - dx, y + dy)] * lower_left
+        for a, b in spots if by_priority else spots[:1]:
+            if by_priority and (a < 0 or b < 0 or a + w > width or b + h > height):
+                continue
+            q = pad if by_priority else 0
+            box = (a - q, b - q, a + w + q, b + h + q)
+            if not any(box[0] < t[2] and box[2] > t[0] and box[1] < t[3] and box[3] > t[1] for t in taken.get(c, ())):
+                taken.setdefault(c, []).append(box)
+                out.add((c, fid, text, a, b, w, h, p))
+                break
+    return out
+
+
+@pytest.mark.parametrize(("seed", "by_priority", "lower_left"), [(1, True, True), (2, True, False), (3, False, True)])
+def test_labels_in_rounds_equal_one_pass(spark, seed, by_priority, lower_left):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", None, "b"]), i, f"t{i}", float(rng.randint(0, 560)), float(rng.randint(0, 300)), float(rng.randint(4, 40)), 8.0, rng.randint(0, 4)) for i in range(500)]
+    rows += [("row", 1000 + i, "r", 30.0 * i, 10.0, 29.0, 8.0, 1) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("a", 9, "no place", None, 1.0, 1.0, 1.0, 9)], "canvas string, fid long, text string, x double, y double, width double, height double, priority int")
+    out = labels.place_labels(df, 600, 320, by_priority=by_priority, lower_left=lower_left, per_tile=12)
+    assert {tuple(r) for r in out.collect()} == placed_by_hand(rows, 600, 320, 2.0, by_priority, lower_left)
+    assert labels.place_labels(df.limit(0), 600, 320).count() == 0

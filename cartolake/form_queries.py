@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +100,21 @@ def sld_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.col("line-color").alias("line"), F.col("line-width").alias("width"), F.col("fill-color").alias("fill"), F.col("fill-opacity").alias("opacity"), F.col("sources")["line-color"].alias("line_from"))
 
 
-@query("SELECT * FROM (VALUES ('all', 0, NULL::DOUBLE, '#000000', '#cccccc', 1e0), ('done', 1, NULL, '#00ff00', NULL, NULL), ('dear', 2, NULL, NULL, '#ff0000', 0.5e0), ('near', 3, round(log2(559082264 / 1000e0), 4), '#123456', NULL, NULL)) t(rule, priority, min_zoom, line, fill, opacity)")
+@query("SELECT n_name AS rule, n_nationkey AS priority, CASE WHEN n_nationkey % 3 > 0 THEN round(log2(559082264 / (n_nationkey * 1000e0)), 4) END AS min_zoom, CASE WHEN n_nationkey % 2 = 0 THEN '#0000' || printf('%02x', n_nationkey) END AS line, CASE WHEN n_nationkey % 2 = 1 THEN '#' || printf('%02x', n_nationkey) || '0000' END AS fill, CASE WHEN n_nationkey % 2 = 1 THEN 0.5e0 END AS opacity FROM nation")
 def sld_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line and fill rules written as a document and read again."""
-    again = sld.parse_sld(sld.to_sld(sld.parse_sld(SLD), "a <layer> & more"))
+    """A document of line and fill rules, one a nation, written and read again."""
+    named = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    par = lambda k, v: f'<se:SvgParameter name="{k}">{v}</se:SvgParameter>'
+
+    def rule(n: int, name: str) -> str:
+        scale = f"<se:MaxScaleDenominator>{n * 1000}</se:MaxScaleDenominator>" if n % 3 else ""
+        line = f"<se:LineSymbolizer><se:Stroke>{par('stroke', f'#0000{n:02x}')}</se:Stroke></se:LineSymbolizer>"
+        fill = f"<se:PolygonSymbolizer><se:Fill>{par('fill', f'#{n:02x}0000')}{par('fill-opacity', '0.5')}</se:Fill></se:PolygonSymbolizer>"
+        return f"<se:Rule><se:Name>{name}</se:Name>{scale}{fill if n % 2 else line}</se:Rule>"
+
+    head, tail = SLD[: SLD.index("<se:Rule>")], SLD[SLD.rindex("</se:Rule>") + len("</se:Rule>") :]
+    text = head + "".join(rule(r["n_nationkey"], r["n_name"]) for r in named) + tail
+    again = sld.parse_sld(sld.to_sld(sld.parse_sld(text), "a <layer> & more"))
     value = lambda r, k: r.values[k][1] if k in r.values else None
     rows = [(r.name, r.priority, None if r.min_zoom is None else round(r.min_zoom, 4), value(r, "line-color"), value(r, "fill-color"), value(r, "fill-opacity")) for r in again]
     return spark.createDataFrame(rows, "rule string, priority int, min_zoom double, line string, fill string, opacity double")
@@ -155,34 +168,40 @@ def _drawn(*steps: tuple[int, list[tuple[int, int]]]) -> bytes:
     return out
 
 
-def _shapes_tile() -> bytes:
-    """Two layers: points, lines and polygons with all kinds of values, and an empty one."""
+def _shapes_tile(k: int, name: str) -> bytes:
+    """Two layers: points, lines and polygons, k times as large, with all kinds of values, and an empty one."""
+    draw = lambda *steps: _drawn(*[(c, [(x * k, y * k) for x, y in places]) for c, places in steps])
     field = lambda n, b: _varint(n << 3 | 2) + _varint(len(b)) + b
     square = lambda x, y, s: [(1, [(x, y)]), (2, [(s, 0), (0, s), (-s, 0)]), (7, [])]
     back = lambda x, y, s: [(1, [(x, y)]), (2, [(0, s), (s, 0), (0, -s)]), (7, [])]
     shapes = [
-        (1, _drawn((1, [(64, 64), (64, 0)])), b"\x00\x00"),
-        (2, _drawn((1, [(0, 0)]), (2, [(128, 0), (0, 128)])), b"\x01\x01"),
-        (2, _drawn((1, [(0, 0)]), (2, [(128, 0)]), (1, [(0, 64)]), (2, [(-64, 0)])), b"\x02\x02"),
-        (3, _drawn(*square(0, 0, 128)), b"\x00\x03\x09\x09"),
-        (3, _drawn(*square(0, 0, 128), *back(32, -96, 64)), b"\x01\x04"),
-        (3, _drawn(*square(0, 0, 64), *square(64, 0, 64)), b"\x02\x05"),
+        (1, draw((1, [(64, 64), (64, 0)])), b"\x00\x00"),
+        (2, draw((1, [(0, 0)]), (2, [(128, 0), (0, 128)])), b"\x01\x01"),
+        (2, draw((1, [(0, 0)]), (2, [(128, 0)]), (1, [(0, 64)]), (2, [(-64, 0)])), b"\x02\x02"),
+        (3, draw(*square(0, 0, 128)), b"\x00\x03\x09\x09"),
+        (3, draw(*square(0, 0, 128), *back(32, -96, 64)), b"\x01\x04"),
+        (3, draw(*square(0, 0, 64), *square(64, 0, 64)), b"\x02\x05"),
     ]
     import struct
 
-    found = [field(1, b"Oslo"), _varint(5 << 3) + _varint(7), _varint(3 << 3 | 1) + struct.pack("<d", 2.5), _varint(6 << 3) + _varint(9), _varint(7 << 3) + b"\x01", _varint(2 << 3 | 5) + struct.pack("<f", 0.25)]
+    found = [field(1, name.encode()), _varint(5 << 3) + _varint(7), _varint(3 << 3 | 1) + struct.pack("<d", 2.5), _varint(6 << 3) + _varint(9), _varint(7 << 3) + b"\x01", _varint(2 << 3 | 5) + struct.pack("<f", 0.25)]
     features = [field(2, field(2, tags) + b"\x18" + bytes([kind]) + field(4, commands)) for kind, commands, tags in shapes]
     layer = field(1, b"shapes") + b"".join(features) + b"".join(field(3, k) for k in (b"a", b"b", b"c")) + b"".join(field(4, v) for v in found) + b"\x28" + _varint(256)
     return field(3, layer) + field(3, field(1, b"other"))
 
 
-@query("SELECT * FROM (VALUES (0, 'MultiPoint', 2, 0e0, 0e0, 'Oslo', NULL::DOUBLE, NULL::BOOLEAN), (1, 'LineString', 3, 1e0, 0e0, NULL, NULL, NULL), (2, 'MultiLineString', 4, 0.75e0, 0e0, NULL, 2.5e0, NULL), (3, 'Polygon', 5, 2e0, 0.25e0, NULL, NULL, NULL), (4, 'Polygon', 10, 3e0, 0.1875e0, NULL, NULL, TRUE), (5, 'MultiPolygon', 10, 2e0, 0.125e0, NULL, 0.25e0, NULL)) t(fid, kind, vertices, length, area, a, c, b)")
+def _part_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"path": b["p_partkey"].astype(str), "content": [_shapes_tile(1 + n % 3, brand) for n, brand in zip(b["p_partkey"], b["p_brand"], strict=True)]})
+
+
+@query("SELECT p_partkey::VARCHAR AS path, fid, kind, vertices, length * k AS length, area * k * k AS area, CASE WHEN named THEN p_brand END AS a, c, b FROM (VALUES (0, 'MultiPoint', 2, 0e0, 0e0, TRUE, NULL::DOUBLE, NULL::BOOLEAN), (1, 'LineString', 3, 1e0, 0e0, NULL, NULL, NULL), (2, 'MultiLineString', 4, 0.75e0, 0e0, NULL, 2.5e0, NULL), (3, 'Polygon', 5, 2e0, 0.25e0, NULL, NULL, NULL), (4, 'Polygon', 10, 3e0, 0.1875e0, NULL, NULL, TRUE), (5, 'MultiPolygon', 10, 2e0, 0.125e0, NULL, 0.25e0, NULL)) t(fid, kind, vertices, length, area, named, c, b), (SELECT *, 1 + p_partkey % 3 AS k FROM part)")
 def mvt_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points, lines, a hole by its winding, and two parts, in a layer found by name; tags that point nowhere are dropped."""
-    files = spark.createDataFrame([("a", bytearray(_shapes_tile()))], "path string, content binary")
+    """A tile a part: points, lines, a hole by its winding, and two parts, in a layer found by name; tags that point nowhere are dropped."""
+    files = read(spark, sf_dir, "part").select("p_partkey", "p_brand").mapInPandas(_part_tiles, "path string, content binary")
     g = F.col("geom")
     out = vector_tiles.decode_tiles(files).filter(F.col("layer") == "shapes")
-    return out.select("fid", F.col("geom.kind").alias("kind"), F.size(geometry.vertices(g)).alias("vertices"), geometry.length(g).alias("length"), geometry.area(g).alias("area"), vector_tiles.prop("a", "string").alias("a"), vector_tiles.prop("c", "number").alias("c"), vector_tiles.prop("b", "boolean").alias("b"))
+    return out.select("path", "fid", F.col("geom.kind").alias("kind"), F.size(geometry.vertices(g)).alias("vertices"), geometry.length(g).alias("length"), geometry.area(g).alias("area"), vector_tiles.prop("a", "string").alias("a"), vector_tiles.prop("c", "number").alias("c"), vector_tiles.prop("b", "boolean").alias("b"))
 
 
 _UNIQUE = '{"renderer":{"type":"uniqueValue","field1":"A","field2":"B","fieldDelimiter":"-","defaultSymbol":{"type":"esriSLS","style":"esriSLSSolid","color":[0,0,0,255],"width":0.75},"uniqueValueInfos":[{"value":"x-1","symbol":{"type":"esriSLS","style":"esriSLSDash","color":[255,0,0,255],"width":1.5}}]},"transparency":25}'
@@ -190,30 +209,43 @@ _FILL = '{"renderer":{"type":"simple","symbol":{"type":"esriSFS","style":"esriSF
 _LABEL = '{"renderer":{"type":"simple","symbol":{"type":"esriSMS","style":"esriSMSSquare","color":[1,2,3,255]}},"labelingInfo":[{"labelExpression":"[NAME]","labelPlacement":"esriServerPointLabelPlacementAboveRight","symbol":{"color":[0,0,255,255],"font":{"size":9},"haloColor":[255,255,255,255],"haloSize":1.5}}]}'
 
 
-def _esri_docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("u", "Line", _UNIQUE), ("f", "Polygon", _FILL), ("m", "Point", _LABEL)], "id string, geometry string, info_json string")
+def _esri_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents a part, with its brand as a value and its size in colours."""
+    kinds = [("u", "Line", _UNIQUE), ("f", "Polygon", _FILL), ("m", "Point", _LABEL)]
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("g"), F.lit(d).alias("d")) for k, g, d in kinds])).alias("s")
+    text = F.replace(F.replace("s.d", F.lit("x-1"), "p_brand"), F.lit("[1,2,3,"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(",2,3,")))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", every).select(F.concat("s.k", "p_partkey").alias("id"), F.col("s.g").alias("geometry"), text.alias("info_json"))
+
 
+_MATCH = """'["match",["concat",["to-string",["get","A"]],"-",["to-string",["get","B"]]],"' || p_brand || '",'"""
 
-@query("""SELECT * FROM (VALUES
- ('u-line', 'line-color', '["match",["concat",["to-string",["get","A"]],"-",["to-string",["get","B"]]],"x-1","rgba(255,0,0,1)","rgba(0,0,0,1)"]'),
- ('u-line', 'line-width', '["match",["concat",["to-string",["get","A"]],"-",["to-string",["get","B"]]],"x-1",2.0,1.0]'),
- ('u-line', 'line-opacity', '0.75'), ('u-line', 'line-dasharray', NULL),
- ('f-fill', 'fill-color', '"rgba(1,2,3,0.502)"'), ('f-outline', 'line-color', '"rgba(9,9,9,1)"'), ('f-outline', 'line-width', '1.33'),
- ('m-circle', 'circle-color', '"rgba(1,2,3,1)"'), ('m-circle', 'circle-radius', '5.33')) t(layer, prop, value) WHERE value IS NOT NULL""")
+
+@query(f"""SELECT kind || p_partkey || layer AS layer, prop, value FROM (
+ SELECT p_partkey, unnest([
+  {{'kind': 'u', 'layer': '-line', 'prop': 'line-color', 'value': {_MATCH} || '"rgba(255,0,0,1)","rgba(0,0,0,1)"]'}},
+  {{'kind': 'u', 'layer': '-line', 'prop': 'line-width', 'value': {_MATCH} || '2.0,1.0]'}},
+  {{'kind': 'u', 'layer': '-line', 'prop': 'line-opacity', 'value': '0.75'}},
+  {{'kind': 'u', 'layer': '-line', 'prop': 'line-dasharray', 'value': '[4.0,3.0]'}},
+  {{'kind': 'f', 'layer': '-fill', 'prop': 'fill-color', 'value': '"rgba(' || p_size || ',2,3,0.502)"'}},
+  {{'kind': 'f', 'layer': '-outline', 'prop': 'line-color', 'value': '"rgba(9,9,9,1)"'}},
+  {{'kind': 'f', 'layer': '-outline', 'prop': 'line-width', 'value': '1.33'}},
+  {{'kind': 'm', 'layer': '-circle', 'prop': 'circle-color', 'value': '"rgba(' || p_size || ',2,3,1)"'}},
+  {{'kind': 'm', 'layer': '-circle', 'prop': 'circle-radius', 'value': '5.33'}}], recursive := true) FROM part)""")
 def esri_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique values over two fields with a default, opacity from transparency, a hatched fill with an outline, and a default size."""
-    out = drawing_info.layers(_esri_docs(spark))
-    return out.select("layer", F.explode("properties").alias("prop", "value")).filter("prop <> 'line-dasharray'")
+    """Unique values over two fields with a default, the first dash pattern, opacity from transparency, a hatched fill with an outline, and a default size."""
+    out = drawing_info.layers(_esri_docs(spark, sf_dir))
+    return out.select("layer", F.explode("properties").alias("prop", "value"))
 
 
-@query("""SELECT * FROM (VALUES ('f', 'renderer.symbol', 'a hatch becomes solid'), ('m', 'renderer.symbol', 'drawn as a circle')) t(id, path, reason)""")
+@query("""SELECT t.id || p_partkey AS id, path, reason FROM part, (VALUES ('f', 'renderer.symbol', 'a hatch becomes solid'), ('m', 'renderer.symbol', 'drawn as a circle'),
+ ('u', 'renderer.symbol.style', 'one dash pattern for all classes, the first is taken')) t(id, path, reason)""")
 def esri_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing_info.losses(_esri_docs(spark)).filter("reason NOT LIKE '%dash%'")
+    return drawing_info.losses(_esri_docs(spark, sf_dir))
 
 
-@query("""SELECT 'm' AS id, '["concat",["to-string",["get","NAME"]]]' AS text_field, 12e0 AS size, 'rgba(0,0,255,1)' AS color, 'rgba(255,255,255,1)' AS halo_color, 2e0 AS halo_width""")
+@query("""SELECT 'm' || p_partkey AS id, '["concat",["to-string",["get","NAME"]]]' AS text_field, 12e0 AS size, 'rgba(0,0,255,1)' AS color, 'rgba(255,255,255,1)' AS halo_color, 2e0 AS halo_width FROM part""")
 def esri_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing_info.labels(_esri_docs(spark)).filter("id = 'm'").select("id", "text_field", "size", "color", "halo_color", "halo_width")
+    return drawing_info.labels(_esri_docs(spark, sf_dir)).select("id", "text_field", "size", "color", "halo_color", "halo_width")
 
 
 # geometry, tiles, time
@@ -419,8 +451,15 @@ def svg_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", path.alias("path"), line.alias("line"), text.alias("label"), svg.graticule_interval(s).alias("interval_degrees"), svg.nice_round(s).alias("nice"))
 
 
-@query("SELECT * FROM (VALUES ('A4', FALSE, 2480, 3507, 2244, 3271, '0 0 210 297'), ('A3', TRUE, 4960, 3507, 4724, 3271, '0 0 420 297')) t(size, landscape, width, height, map_width, map_height, view_box)")
+def _part_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        pages = [Page("A3" if n % 2 else "A4", landscape=n % 2 == 1, dpi=100.0 + size) for n, size in zip(b["p_partkey"], b["p_size"], strict=True)]
+        rows = [(n, p.size, p.landscape, *p.pixels, *p.map_pixels, p.view_box) for n, p in zip(b["p_partkey"], pages, strict=True)]
+        yield pd.DataFrame(rows, columns=["p_partkey", "size", "landscape", "width", "height", "map_width", "map_height", "view_box"])
+
+
+@query("SELECT p_partkey, size, landscape, trunc(w / 25.4e0 * dpi)::INT AS width, trunc(h / 25.4e0 * dpi)::INT AS height, trunc((w - 20) / 25.4e0 * dpi)::INT AS map_width, trunc((h - 20) / 25.4e0 * dpi)::INT AS map_height, '0 0 ' || w || ' ' || h AS view_box FROM (SELECT p_partkey, 100e0 + p_size AS dpi, CASE WHEN p_partkey % 2 = 1 THEN 'A3' ELSE 'A4' END AS size, p_partkey % 2 = 1 AS landscape, CASE WHEN p_partkey % 2 = 1 THEN 420 ELSE 210 END AS w, 297 AS h FROM part)")
 def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = [Page("A4"), Page("A3", landscape=True)]
-    rows = [(p.size, p.landscape, *p.pixels, *p.map_pixels, p.view_box) for p in pages]
-    return spark.createDataFrame(rows, "size string, landscape boolean, width int, height int, map_width int, map_height int, view_box string")
+    """A page a part, at a resolution by its size."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return rows.mapInPandas(_part_pages, "p_partkey long, size string, landscape boolean, width int, height int, map_width int, map_height int, view_box string")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -367,29 +368,51 @@ def easing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # terrain and symbols
 
-_DEM_SQL = "(SELECT (i // 64)::INT AS r, (i % 64)::INT AS c, (((i // 64) * 7 + (i % 64) * 13) % 50)::DOUBLE AS e FROM range(0, 4096) t(i))"
+#: Heights of a grid 50 cells wide, one cell an order.
+_DEM_SQL = "(SELECT (o_orderkey // 50)::INT AS r, (o_orderkey % 50)::INT AS c, (o_custkey % 50)::DOUBLE AS e FROM orders)"
 
 
-def dem(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    row, col = F.floor(i / 64).cast("int"), (i % 64).cast("int")
-    return spark.range(4096).select(row.alias("row"), col.alias("col"), ((row * 7 + col * 13) % 50).cast("double").alias("elev"))
+def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(F.floor(i / 50).cast("int").alias("row"), (i % 50).cast("int").alias("col"), (F.col("o_custkey") % 50).cast("double").alias("elev"))
 
 
-@query(f"WITH d AS {_DEM_SQL}, n AS (SELECT r, c, e, lag(e) OVER w AS w1, lead(e) OVER w AS e1 FROM d WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT r, c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m JOIN n u USING (c) JOIN n l USING (c, r) WHERE FALSE) SELECT m.r AS \"row\", m.c AS col, (CASE WHEN m.r IN (0, 63) OR m.c IN (0, 63) THEN 128 ELSE greatest(0, least(255, floor(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(dy, -dx) END)))))  END)::INT AS shade FROM (SELECT m.r, m.c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m LEFT JOIN n u ON u.r = m.r - 1 AND u.c = m.c LEFT JOIN n l ON l.r = m.r + 1 AND l.c = m.c) m")
+@query(f"WITH d AS {_DEM_SQL}, n AS (SELECT r, c, e, lag(e) OVER w AS w1, lead(e) OVER w AS e1 FROM d WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT r, c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m JOIN n u USING (c) JOIN n l USING (c, r) WHERE FALSE) SELECT m.r AS \"row\", m.c AS col, (CASE WHEN m.r IN (0, (SELECT max(r) FROM d)) OR m.c IN (0, 49) THEN 128 ELSE greatest(0, least(255, floor(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(dy, -dx) END)))))  END)::INT AS shade FROM (SELECT m.r, m.c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m LEFT JOIN n u ON u.r = m.r - 1 AND u.c = m.c LEFT JOIN n l ON l.r = m.r + 1 AND l.c = m.c) m")
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.hillshade(dem(spark), 64, 64, cell=10.0)
+    rows = read(spark, sf_dir, "orders").count() // 50
+    return terrain.hillshade(dem(spark, sf_dir), 50, rows, cell=10.0)
 
 
 @query(f"WITH t AS (SELECT r, c, e, least(1, greatest(0, e / 49e0)) AS t FROM {_DEM_SQL}), q AS (SELECT *, least(3, floor(t * 4))::INT AS q FROM t), s AS (SELECT *, (t - q * 0.25) * 4 AS s FROM q) SELECT r AS \"row\", c AS col, 'rgba(' || floor(CASE q WHEN 0 THEN 40 + 150 * s WHEN 1 THEN 190 + 50 * s WHEN 2 THEN 240 - 40 * s ELSE 200 + 55 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 140 + 70 * s WHEN 1 THEN 210 - 60 * s WHEN 2 THEN 150 - 50 * s ELSE 100 + 155 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 40 + 20 * s WHEN 1 THEN 60 + 20 * s WHEN 2 THEN 80 + 50 * s ELSE 130 + 125 * s END)::INT || ',255)' AS color, CASE WHEN abs(e % 25) < 0.01 THEN 'index' ELSE 'intermediate' END AS contour FROM s")
 def hypsometric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dem(spark)
+    d = dem(spark, sf_dir)
     return d.select("row", "col", color_text(terrain.hypsometric(F.col("elev"), 0, 49)).alias("color"), terrain.contour_class(F.col("elev"), 25.0).alias("contour"))
 
 
-@query()
+CONTOUR_SQL = f"""
+WITH d AS {_DEM_SQL}, cell AS (
+  SELECT a.r, a.c, a.e AS e0, b.e AS e1, x.e AS e2, y.e AS e3
+  FROM d a JOIN d b ON b.r = a.r AND b.c = a.c + 1 JOIN d x ON x.r = a.r + 1 AND x.c = a.c JOIN d y ON y.r = a.r + 1 AND y.c = a.c + 1
+), corner AS (
+  SELECT r, c, [{{'x': c::DOUBLE, 'y': r::DOUBLE, 'e': e0}}, {{'x': c + 1e0, 'y': r::DOUBLE, 'e': e1}}, {{'x': c::DOUBLE, 'y': r + 1e0, 'e': e2}}] AS t FROM cell
+  UNION ALL SELECT r, c, [{{'x': c + 1e0, 'y': r + 1e0, 'e': e3}}, {{'x': c::DOUBLE, 'y': r + 1e0, 'e': e2}}, {{'x': c + 1e0, 'y': r::DOUBLE, 'e': e1}}] FROM cell
+), high AS (
+  SELECT *, unnest(range(ceil(least(t[1].e, t[2].e, t[3].e) / 10)::BIGINT, floor(greatest(t[1].e, t[2].e, t[3].e) / 10)::BIGINT + 1)) * 10e0 AS level FROM corner
+), hit AS (
+  SELECT r, c, level, list_filter(list_transform([(1, 2), (2, 3), (3, 1)], lambda k:
+           CASE WHEN (t[k[1]].e < level) <> (t[k[2]].e < level) THEN {{'x': t[k[1]].x + (t[k[2]].x - t[k[1]].x) * ((level - t[k[1]].e) / (t[k[2]].e - t[k[1]].e)),
+                                                                      'y': t[k[1]].y + (t[k[2]].y - t[k[1]].y) * ((level - t[k[1]].e) / (t[k[2]].e - t[k[1]].e))}} END), lambda h: h IS NOT NULL) AS h
+  FROM high
+)
+SELECT r AS "row", c AS col, level, CASE WHEN abs(level % 50) < 0.01 THEN 'index' ELSE 'intermediate' END AS kind,
+       h[1].x AS x1, h[1].y AS y1, h[2].x AS x2, h[2].y AS y2
+FROM hit WHERE len(h) = 2
+"""
+
+
+@query(CONTOUR_SQL)
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.contour_lines(dem(spark))
+    return terrain.contour_lines(dem(spark, sf_dir))
 
 
 @query("SELECT p_partkey, CASE WHEN d < 0 THEN 'DEPIT' WHEN d < 5 THEN 'DEPVS' WHEN d < 30 THEN 'DEPMD' ELSE 'DEPDW' END AS token, CASE WHEN d < 0 THEN 'rgba(93,133,120,255)' WHEN d < 5 THEN 'rgba(120,153,153,255)' WHEN d < 30 THEN 'rgba(133,150,163,255)' ELSE 'rgba(120,140,160,255)' END AS dusk, d < 30 AS danger FROM (SELECT p_partkey, p_size - 5e0 AS d FROM part)")
@@ -477,7 +500,7 @@ def svg_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fid", svg.circle(F.col("x"), F.col("y"), F.lit(2.0), F.lit("#123456")).alias("element"))
 
 
-def _tile_bytes(layer: str, x: int, y: int) -> bytes:
+def _tile_bytes(layer: str, x: int, y: int, name: str) -> bytes:
     """One point with one property, encoded by hand."""
     field = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
     zig = lambda n: (n << 1) ^ (n >> 31)
@@ -489,23 +512,34 @@ def _tile_bytes(layer: str, x: int, y: int) -> bytes:
         return out + bytes([n])
 
     feature = field(2, b"\x00\x00") + b"\x18\x01" + field(4, b"\x09" + varint(zig(x)) + varint(zig(y)))
-    return field(3, field(1, layer.encode()) + field(2, feature) + field(3, b"name") + field(4, field(1, b"Oslo")) + b"\x28\x80\x20")
+    return field(3, field(1, layer.encode()) + field(2, feature) + field(3, b"name") + field(4, field(1, name.encode())) + b"\x28\x80\x20")
+
+
+def _event_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        tiles_ = [_tile_bytes("places", i * 37 % 4096, i * 91 % 4096, kind) if i % 10 != 3 else b"\x1a\xff\x00" for i, kind in zip(b["event_id"], b["event_type"], strict=True)]
+        yield pd.DataFrame({"path": b["event_id"].astype(str), "content": tiles_})
 
 
-@query("SELECT 'a' AS path, 'places' AS layer, 1024 / 4096e0 AS x, 1 - 2048 / 4096e0 AS y, 'Oslo' AS name, NULL::VARCHAR AS error UNION ALL SELECT 'b', NULL, NULL, NULL, NULL, 'broken field'")
+@query("SELECT event_id::VARCHAR AS path, CASE WHEN ok THEN 'places' END AS layer, CASE WHEN ok THEN (event_id * 37 % 4096) / 4096e0 END AS x, CASE WHEN ok THEN 1 - (event_id * 91 % 4096) / 4096e0 END AS y, CASE WHEN ok THEN event_type END AS name, CASE WHEN NOT ok THEN 'broken field' END AS error FROM (SELECT *, event_id % 10 <> 3 AS ok FROM events)")
 def mvt_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("a", bytearray(_tile_bytes("places", 1024, 2048))), ("b", bytearray(b"\x1a\xff\x00"))], "path string, content binary")
+    """A tile an event, one in ten of them broken."""
+    files = read(spark, sf_dir, "events").select("event_id", "event_type").mapInPandas(_event_tiles, "path string, content binary")
     out = vector_tiles.decode_tiles(files)
     p = F.get(geometry.vertices(F.col("geom")), F.lit(0))
     return out.select("path", "layer", p["x"].alias("x"), p["y"].alias("y"), vector_tiles.prop("name", "string").alias("name"), "error")
 
 
-@query("SELECT 'pop' AS id, 'pop-circle' AS layer, '[\"step\",[\"get\",\"POP\"],\"rgba(0,0,0,0)\",0.0,\"rgba(255,0,0,1)\",10.0,\"rgba(0,0,255,0.502)\"]' AS color, '[\"step\",[\"get\",\"POP\"],0.0,0.0,4.0,10.0,8.0]' AS radius UNION ALL SELECT 'one', 'one-circle', '\"rgba(1,2,3,1)\"', '5.33'")
+@query("""SELECT 'pop' || p_partkey AS id, 'pop' || p_partkey || '-circle' AS layer, '["step",["get","POP"],"rgba(0,0,0,0)",0.0,"rgba(' || p_size || ',0,0,1)",' || p_size || '.0,"rgba(0,0,255,0.502)"]' AS color, '["step",["get","POP"],0.0,0.0,4.0,' || p_size || '.0,8.0]' AS radius FROM part
+UNION ALL SELECT 'one' || p_partkey, 'one' || p_partkey || '-circle', '"rgba(' || p_size || ',2,3,1)"', round(p_size * 2 / 3e0, 2)::VARCHAR FROM part""")
 def esri_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents a part, with its size as break, colour and marker size."""
     marker = lambda c, s: '{"type":"esriSMS","style":"esriSMSCircle","color":' + c + ',"size":' + s + "}"
-    pop = '{"renderer":{"type":"classBreaks","field":"POP","minValue":0,"classBreakInfos":[{"classMaxValue":10,"symbol":' + marker("[255,0,0,255]", "6") + '},{"classMaxValue":20,"symbol":' + marker("[0,0,255,128]", "12") + "}]}}"
-    one = '{"renderer":{"type":"simple","symbol":' + marker("[1,2,3]", "8") + "}}"
-    docs = spark.createDataFrame([("pop", "Point", pop), ("one", "Point", one)], "id string, geometry string, info_json string")
+    pop = '{"renderer":{"type":"classBreaks","field":"POP","minValue":0,"classBreakInfos":[{"classMaxValue":@,"symbol":' + marker("[@,0,0,255]", "6") + '},{"classMaxValue":60,"symbol":' + marker("[0,0,255,128]", "12") + "}]}}"
+    one = '{"renderer":{"type":"simple","symbol":' + marker("[@,2,3]", "@") + "}}"
+    part = read(spark, sf_dir, "part")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k, d in (("pop", pop), ("one", one))]))
+    docs = part.select("p_partkey", F.col("p_size").cast("string").alias("n"), kinds.alias("s")).select(F.concat("s.k", "p_partkey").alias("id"), F.lit("Point").alias("geometry"), F.replace("s.d", F.lit("@"), "n").alias("info_json"))
     out = drawing_info.layers(docs)
     return out.select("id", "layer", F.col("properties")["circle-color"].alias("color"), F.col("properties")["circle-radius"].alias("radius"))
 

@@ -154,7 +154,11 @@ def losses(docs: DataFrame, id_col: str = "id", info_col: str = "info_json", geo
         (F.col("symbol_style").isin(*HATCHES), "a hatch becomes solid"),
     ]
     own = F.array(*[F.when(cond, F.struct(where.alias("path"), F.lit(t).alias("reason"))) for cond, t in per_class])
-    return first.unionByName(c.select("id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("l")).select("id", "l.path", "l.reason"))
+    own = c.select("id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("l")).select("id", "l.path", "l.reason")
+    patterns = c.filter("geometry IN ('line', 'polygon') AND line_width > 0").groupBy("id", "geometry").agg(F.count_distinct(F.coalesce(F.to_json("dash"), F.lit("none"))).alias("n"))
+    path = F.when(F.col("geometry") == "line", "renderer.symbol.style").otherwise("renderer.symbol.outline.style")
+    mixed = patterns.filter("n > 1").select("id", path.alias("path"), F.lit("one dash pattern for all classes, the first is taken").alias("reason"))
+    return first.unionByName(own).unionByName(mixed)
 
 
 def _branches(prop: Column, quoted: bool) -> Column:
@@ -193,14 +197,14 @@ def layers(docs: DataFrame, id_col: str = "id", info_col: str = "info_json", geo
         F.max(F.col("radius") > 0).alias("has_marker"),
         F.max(F.col("line_width") > 0).alias("has_line"),
         F.max(F.col("color") != TRANSPARENT).alias("has_fill"),
-        F.min_by("dash", "ord").alias("dash"),
+        F.min_by(F.struct("dash"), F.when(F.col("line_width") > 0, F.when(F.col("ord") < 0, 2**31 - 1).otherwise(F.col("ord")))).alias("first"),
     )
     pairs = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.coalesce(F.get("steps", i)["lower"] > F.get("steps", i - 1)["lower"], F.lit(True)))
     g = g.filter((F.col("kind") != "classBreaks") | (F.size("steps") == 0) | F.forall(pairs, lambda x: x))
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
     seen = lambda *e: F.map_from_entries(F.filter(F.array(*e), lambda x: x["value"].isNotNull()))
     layer = lambda kind, when, *e: F.when(when, F.struct(F.lit(kind).alias("kind"), seen(*e).alias("properties")))
-    dash = F.to_json("dash")
+    dash = F.to_json("first.dash")
     found = F.array(
         layer("circle", (F.col("geometry") == "point") & F.col("has_marker"), entry("circle-color", F.col("color")), entry("circle-radius", F.col("radius")), entry("circle-opacity", F.col("opacity"))),
         layer("fill", (F.col("geometry") == "polygon") & F.col("has_fill"), entry("fill-color", F.col("color")), entry("fill-opacity", F.col("opacity"))),

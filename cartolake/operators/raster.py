@@ -88,7 +88,8 @@ def segments(lines: DataFrame, dashes: list[float] | None = None) -> DataFrame:
 def strokes(segs: DataFrame, width: int, height: int, cap: str = "butt", smooth: bool = False) -> DataFrame:
     """Segments (keys, x0, y0, x1, y1, line_width, rgba) as pixels, each pixel of a line once.
 
-    A pixel is covered if its centre is within half the width of the segment. Round caps (and
+    A pixel is covered if its centre is within half the width of the segment; each row of pixels
+    gives the span that the band of the segment has there. Round caps (and
     joins) come from the distance to the end points, square caps from segments that are longer by
     half the width; smooth covers edges by distance.
     """
@@ -97,7 +98,15 @@ def strokes(segs: DataFrame, width: int, height: int, cap: str = "butt", smooth:
     size2 = dx * dx + dy * dy
     edge = 0.5 if smooth else 0.0
     reach = half * (2.0 if cap == "square" else 1.0) + 1
-    rows = _onto(segs, F.floor(F.least("x0", "x1") - reach), F.floor(F.least("y0", "y1") - reach), F.ceil(F.greatest("x0", "x1") + reach), F.ceil(F.greatest("y0", "y1") + reach), width, height)
+    clip = lambda v, n: F.least(F.lit(float(n)), F.greatest(F.lit(-1.0), v))
+    rows = segs.withColumn("py", F.explode(_range(clip(F.floor(F.least("y0", "y1") - reach), height), clip(F.ceil(F.greatest("y0", "y1") + reach), height), height)))
+    # the band of the segment's line meets a row of pixels in one span; only that is tried, not the segment's box
+    low, high = F.floor(F.least("x0", "x1") - reach), F.ceil(F.greatest("x0", "x1") + reach)
+    slope = F.when(dy != 0, dx / F.when(dy != 0, dy).otherwise(1.0))
+    middle = F.col("x0") + (F.col("py") + 0.5 - F.col("y0")) * slope
+    spread = (half + edge) * F.sqrt(slope * slope + 1.0) + 1.0
+    low, high = F.greatest(low, F.floor(middle - spread)), F.least(high, F.ceil(middle + spread))
+    rows = rows.withColumn("px", F.explode(_range(clip(low, width), clip(high, width), width)))
     ux, uy = F.col("px") + 0.5 - F.col("x0"), F.col("py") + 0.5 - F.col("y0")
     along = (ux * dx + uy * dy) / F.when(size2 > 0, size2).otherwise(1.0)
     over = F.when(size2 > 0, half / F.sqrt(F.when(size2 > 0, size2).otherwise(1.0))).otherwise(0.0)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.operators import classify, cluster, labels, ranges, temporal
+from cartolake.operators import classify, cluster, labels, ranges, raster, temporal
 
 
 def dbscan_by_hand(pts, eps, least):
@@ -122,3 +122,38 @@ def test_labels_in_rounds_equal_one_pass(spark, seed, by_priority, lower_left):
     out = labels.place_labels(df, 600, 320, by_priority=by_priority, lower_left=lower_left, per_tile=12)
     assert {tuple(r) for r in out.collect()} == placed_by_hand(rows, 600, 320, 2.0, by_priority, lower_left)
     assert labels.place_labels(df.limit(0), 600, 320).count() == 0
+
+
+@pytest.mark.parametrize("smooth", [False, True])
+@pytest.mark.parametrize("cap", ["butt", "round", "square"])
+def test_strokes_equal_all_pixels_tried(spark, cap, smooth):
+    rng = random.Random(6)
+    lines = [(k, rng.uniform(-5, 45), rng.uniform(-5, 45), rng.uniform(-5, 45), rng.uniform(-5, 45), rng.choice([1.0, 2.5, 6.0])) for k in range(12)]
+    lines += [(20, 3.0, 3.0, 30.0, 3.0, 3.0), (21, 5.0, 2.0, 5.0, 30.0, 3.0), (22, 9.0, 9.0, 9.0, 9.0, 4.0), (23, -1e12, 0.0, 1e12, 40.0, 2.0), (24, 1.0, 20.0, 38.0, 20.5, 1.0)]
+    rgba = F.struct(*[F.lit(v).alias(c) for v, c in ((9, "r"), (9, "g"), (9, "b"), (200, "a"))])
+    df = spark.createDataFrame([("c", 0, *r) for r in lines], "canvas string, layer_ord int, fid long, x0 double, y0 double, x1 double, y1 double, line_width double").withColumn("rgba", rgba)
+    got = {(r["fid"], r["px"], r["py"]): r["rgba"]["a"] for r in raster.strokes(df, 40, 36, cap, smooth).collect()}
+    want = {}
+    for fid, x0, y0, x1, y1, w in lines:
+        dx, dy, half = x1 - x0, y1 - y0, w / 2
+        size = dx * dx + dy * dy
+        for px in range(40):
+            for py in range(36):
+                ux, uy = px + 0.5 - x0, py + 0.5 - y0
+                along = (ux * dx + uy * dy) / (size or 1)
+                t = min(1, max(0, along))
+                d = ((ux - dx * t) ** 2 + (uy - dy * t) ** 2) ** 0.5 if cap == "round" else abs(ux * dy - uy * dx) / (size or 1) ** 0.5
+                cover = min(1, half + 0.5 - d) if smooth else float(d <= half)
+                longer = half / size**0.5 if cap == "square" and size else 0
+                if cap != "round" and not (size > 0 and -longer <= along <= 1 + longer):
+                    cover = 0
+                if cover > 0:
+                    want[fid, px, py] = int(200 * cover) if smooth else 200
+    assert got == want
+
+
+def test_a_long_diagonal(spark):
+    n = 2000
+    df = spark.createDataFrame([("c", 0, 1, 0.0, 0.0, float(n), float(n), 2.0)], "canvas string, layer_ord int, fid long, x0 double, y0 double, x1 double, y1 double, line_width double").withColumn("rgba", F.struct(*[F.lit(9).alias(c) for c in "rgba"]))
+    out = raster.strokes(df, n, n)
+    assert n < out.count() < 6 * n

@@ -1,8 +1,8 @@
 """Pixels as rows: shapes become covered pixels, and pixels are blended in paint order.
 
 A drawing is a table (canvas, layer_ord, fid, px, py, rgba). Shapes are generated onto their
-pixels by expressions; one aggregation for each pixel sorts what lies there and folds it. So a
-canvas is never held by one task.
+pixels by expressions; what lies on a pixel is sorted and folded in streams. So neither a canvas
+nor a pixel is ever held by one task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolake.functions.values import byte, color
+from cartolake.operators.stacks import folded
 
 KEYS = ["canvas", "layer_ord", "fid"]
 #: Polygons that a task scans together.
@@ -189,25 +190,13 @@ def fills(polygons: DataFrame, width: int, height: int, samples: int = 1) -> Dat
     return hit.select(*KEYS, "px", "py", faded(F.col("rgba"), F.col("_c")).alias("rgba"))
 
 
-def over(under: Column, top: Column) -> Column:
-    """One colour over another, in single precision, channels cut to whole numbers."""
-    f = lambda c: c.cast("float") / F.lit(255.0).cast("float")
-    a, b = f(top["a"]), f(under["a"])
-    out = a + b * (F.lit(1.0).cast("float") - a)
-    safe = F.when(out > 0, out).otherwise(F.lit(1.0).cast("float"))
-    channel = lambda c: byte(((f(top[c]) * a + f(under[c]) * b * (F.lit(1.0).cast("float") - a)) / safe * F.lit(255.0).cast("float")).cast("double"))
-    return F.when(out > 0, color(channel("r"), channel("g"), channel("b"), byte((out * F.lit(255.0).cast("float")).cast("double")))).otherwise(color(0, 0, 0, 0))
-
-
 def blend(pixels: DataFrame) -> DataFrame:
     """(canvas, px, py, rgba): what lies on each pixel, folded in paint order. Rows with a true column `solid`, if there is one, take the pixel as they are.
 
-    A pixel's stack is one array: a canvas of tiles keeps it to what a tile draws there.
+    Sorted ranges are streamed, so a pixel's layers may be any number and lie in many tasks.
     """
     solid = F.coalesce(F.col("solid"), F.lit(False)) if "solid" in pixels.columns else F.lit(False)
-    stack = F.sort_array(F.collect_list(F.struct("layer_ord", "fid", "rgba", solid.alias("solid"))))
-    rows = pixels.groupBy("canvas", "px", "py").agg(stack.alias("s"))
-    return rows.select("canvas", "px", "py", F.aggregate("s", color(0, 0, 0, 0), lambda a, b: F.when(b["solid"], b["rgba"]).otherwise(over(a, b["rgba"]))).alias("rgba"))
+    return folded(pixels.withColumn("solid", solid))
 
 
 def overwrite(pixels: DataFrame) -> DataFrame:

@@ -445,7 +445,38 @@ def sparse_points_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("px", "py", color_text(F.col("rgba")).alias("color"))
 
 
-@query()
+def _over_sql(c: str, s: str = "s", t: str = "t") -> str:
+    """Channel c of colour t over s, or the alpha of both."""
+    a, b = f"({t}.a / 255e0)", f"({s}.a / 255e0)"
+    out = f"({a} + {b} * (1e0 - {a}))"
+    if c == "a":
+        return f"trunc({out} * 255e0)::INT"
+    return f"CASE WHEN {out} > 0 THEN trunc(({t}.{c} / 255e0 * {a} + {s}.{c} / 255e0 * {b} * (1e0 - {a})) / {out} * 255e0)::INT ELSE 0 END"
+
+
+def _fold_sql(stack: str) -> str:
+    colour = ", ".join(f"'{c}': {_over_sql(c)}" for c in "rgba")
+    return f"list_reduce({stack}, lambda s, t: {{{colour}}}, {{'r': 0, 'g': 0, 'b': 0, 'a': 0}})"
+
+
+BLEND_SQL = f"""
+WITH p AS (
+  SELECT fid, class, (x + 180) * (256 / 360e0) AS x, (85e0 - y) * (256 / 170e0) AS y FROM {POINTS_SQL}
+), d AS (
+  SELECT *, unnest(range(greatest(0, floor(y - 4.5e0)::INT), least(255, ceil(y + 4.5e0)::INT) + 1))::INT AS py FROM p
+), e AS (
+  SELECT *, unnest(range(greatest(0, floor(x - 4.5e0)::INT), least(255, ceil(x + 4.5e0)::INT) + 1))::INT AS px FROM d
+), c AS (
+  SELECT *, least(1e0, 4e0 - sqrt((px + 0.5e0 - x) * (px + 0.5e0 - x) + (py + 0.5e0 - y) * (py + 0.5e0 - y))) AS cover FROM e
+), s AS (
+  SELECT px, py, {_fold_sql("list({'r': CASE WHEN class = 'click' THEN 255 ELSE 0 END, 'g': 0, 'b': CASE WHEN class = 'click' THEN 0 ELSE 255 END, 'a': trunc(127 * cover)::INT} ORDER BY fid)")} AS k
+  FROM c WHERE cover > 0 GROUP BY px, py
+)
+SELECT px, py, 'rgba(' || k.r || ',' || k.g || ',' || k.b || ',' || k.a || ')' AS color FROM s
+"""
+
+
+@query(BLEND_SQL)
 def blended_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _screen(spark, sf_dir).withColumns({"radius": F.lit(3.5), "rgba": raster.faded(F.col("rgba"), F.lit(0.5))})
     return raster.blend(raster.discs(rows, 256, 256, smooth=True)).select("px", "py", color_text(F.col("rgba")).alias("color"))
@@ -460,7 +491,32 @@ def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("n").agg(F.count("*").alias("polygons"))
 
 
-@query()
+#: Each size of rectangle once: its dashes of 4 on and 2 off, the pixels within 1 of a dash, then how many outlines lie on each pixel.
+STROKE_SQL = f"""
+WITH o AS (
+  SELECT 'c' || (o_orderkey % 8) AS canvas, (1 + o_custkey % 7) * 4e0 AS w, (1 + o_orderkey % 5) * 4e0 AS h FROM orders
+), side AS (
+  SELECT w, h, unnest([{{'x': 4e0, 'y': 4e0, 'dx': 1, 'dy': 0, 'at': 0e0, 'len': w}}, {{'x': 4 + w, 'y': 4e0, 'dx': 0, 'dy': 1, 'at': w, 'len': h}},
+                       {{'x': 4 + w, 'y': 4 + h, 'dx': -1, 'dy': 0, 'at': w + h, 'len': w}}, {{'x': 4e0, 'y': 4 + h, 'dx': 0, 'dy': -1, 'at': 2 * w + h, 'len': h}}]) AS s
+  FROM (SELECT DISTINCT w, h FROM o)
+), dash AS (
+  SELECT w, h, s, greatest(s.at, 6 * k) - s.at AS a, least(s.at + s.len, 6 * k + 4) - s.at AS b FROM side, range(0, 20) r(k)
+), hit AS (
+  SELECT DISTINCT w, h, px, py
+  FROM (SELECT *, s.x + s.dx * least(b, greatest(a, (px + 0.5e0 - s.x) * s.dx + (py + 0.5e0 - s.y) * s.dy)) AS nx,
+                  s.y + s.dy * least(b, greatest(a, (px + 0.5e0 - s.x) * s.dx + (py + 0.5e0 - s.y) * s.dy)) AS ny
+        FROM dash, range(0, 64) i(px), range(0, 64) j(py) WHERE a < b)
+  WHERE (px + 0.5e0 - nx) * (px + 0.5e0 - nx) + (py + 0.5e0 - ny) * (py + 0.5e0 - ny) <= 1
+), n AS (
+  SELECT canvas, px::INT AS px, py::INT AS py, count(*)::INT AS n FROM o JOIN hit USING (w, h) GROUP BY ALL
+), k AS (
+  SELECT n, {_fold_sql("list_transform(range(n), lambda i: {'r': 0, 'g': 0, 'b': 0, 'a': 128})")} AS k FROM (SELECT DISTINCT n FROM n)
+)
+SELECT canvas, px, py, 'rgba(0,0,0,' || k.a || ')' AS color FROM n JOIN k USING (n)
+"""
+
+
+@query(STROKE_SQL)
 def line_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rings(spark, sf_dir).select(F.concat(F.lit("c"), (F.col("fid") % 8).cast("string")).alias("canvas"), F.lit(0).alias("layer_ord"), "fid", F.transform(geometry.vertices(F.col("geom")), lambda p: F.struct((p["x"] * 4 + 4).alias("x"), (p["y"] * 4 + 4).alias("y"))).alias("pts"), F.lit(2.0).alias("line_width"), values.color(0, 0, 0, 128).alias("rgba"))
     return raster.blend(raster.strokes(raster.segments(rows, [4, 2]), 64, 64, "round")).select("canvas", "px", "py", color_text(F.col("rgba")).alias("color"))

@@ -157,3 +157,53 @@ def test_a_long_diagonal(spark):
     df = spark.createDataFrame([("c", 0, 1, 0.0, 0.0, float(n), float(n), 2.0)], "canvas string, layer_ord int, fid long, x0 double, y0 double, x1 double, y1 double, line_width double").withColumn("rgba", F.struct(*[F.lit(9).alias(c) for c in "rgba"]))
     out = raster.strokes(df, n, n)
     assert n < out.count() < 6 * n
+
+
+def over_by_hand(under, top):
+    a, b = top[3] / 255, under[3] / 255
+    out = a + b * (1 - a)
+    if not out:
+        return (0, 0, 0, 0)
+    return (*[int((top[i] / 255 * a + under[i] / 255 * b * (1 - a)) / out * 255) for i in range(3)], int(out * 255))
+
+
+PIXEL = "canvas string, layer_ord int, fid long, px int, py int, rgba struct<r:int,g:int,b:int,a:int>, solid boolean"
+
+
+def test_stacks_over_many_ranges_equal_one_fold(spark):
+    rng = random.Random(8)
+    rows = []
+    for n, spot in ((900, ("a", 3, 3)), (400, (None, 0, 0)), (300, ("a", 4, 3)), (5, ("b", 9, 9))):
+        for i in range(n):
+            alpha = rng.choice([0, 1, 2, 3, 9, 40]) if spot[1] != 4 else rng.choice([0, 1, 2, 90, 255])
+            rows.append((spot[0], rng.randint(0, 3), i, spot[1], spot[2], (*[rng.randint(0, 255) for _ in range(3)], alpha), rng.random() < (0.01 if spot[1] == 4 else 0)))
+    rows += [("c", 0, i, rng.randint(0, 30), rng.randint(0, 30), (*[rng.randint(0, 255) for _ in range(3)], rng.choice([30, 128, 255])), rng.random() < 0.1) for i in range(3000)]
+    rows += rows[:50] + [("a", 1, 5, 3, 3, None, False), ("a", None, None, 3, 3, (1, 2, 3, 200), None)]
+    want = {}
+    for c, _, _, px, py, rgba, solid in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], -1 if r[2] is None else r[2], r[5] or (), bool(r[6]))):
+        if rgba:
+            want[c, px, py] = rgba if solid else over_by_hand(want.get((c, px, py), (0, 0, 0, 0)), rgba)
+    df = spark.createDataFrame(rows, PIXEL).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {(r["canvas"], r["px"], r["py"]): tuple(r["rgba"]) for r in raster.blend(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert raster.blend(df.limit(0)).count() == 0
+
+
+def test_a_million_layers_on_one_pixel(spark):
+    n = 1_000_000
+    channel = lambda k: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(256)).cast("int")
+    rows = spark.range(n).select(F.lit("a").alias("canvas"), F.lit(0).alias("layer_ord"), F.col("id").alias("fid"), F.lit(1).alias("px"), F.lit(1).alias("py"), F.struct(channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"), (channel(4) % 60).alias("a")).alias("rgba"))
+    last = sorted((r["fid"], tuple(r["rgba"])) for r in rows.filter(F.col("fid") >= n - 3000).collect())
+    want = (0, 0, 0, 0)
+    for _, rgba in last:  # 3,000 layers hide what is below them
+        want = over_by_hand(want, rgba)
+    assert [tuple(r["rgba"]) for r in raster.blend(rows).collect()] == [want]

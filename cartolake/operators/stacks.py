@@ -24,8 +24,8 @@ from cartolake.operators.scratch import kept
 CHANNELS = ("r", "g", "b", "a")
 #: Layers after which a function's equal values are put together.
 MERGE_EVERY = 4
-#: Where so many layers come at once, the last few may hide what is below them: these are tried as a function first.
-LONG, LAST = 1024, (64, 384)
+#: Values a function may have left for its layers to be folded value by value instead of as arrays.
+FEW = 24
 _RGBA = T.StructType([T.StructField(c, T.IntegerType()) for c in CHANNELS])
 
 
@@ -38,46 +38,67 @@ def _step(value: np.ndarray, alpha: np.ndarray, top: np.ndarray, top_alpha: np.n
     return np.where(out > 0, np.clip(mixed, 0, 255), 0).astype(np.int32), np.clip(out * 255.0, 0, 255).astype(np.int32)
 
 
+def _run(value: int, alpha: int, tops: list[int], alphas: list[int]) -> tuple[int, int]:
+    """The same for one colour and many layers, one after another."""
+    for top, top_alpha in zip(tops, alphas, strict=True):
+        a, b = top_alpha / 255.0, alpha / 255.0
+        out = a + b * (1.0 - a)
+        if out > 0:
+            value, alpha = int(min(255.0, (top / 255.0 * a + value / 255.0 * b * (1.0 - a)) / out * 255.0)), int(min(255.0, out * 255.0))
+        else:
+            value = alpha = 0
+    return value, alpha
+
+
 class _Open:
     """A pixel whose layers are still coming: a colour, or for each channel its values and alphas and where each start leads."""
 
     def __init__(self, key: tuple, head: bool) -> None:
-        self.key, self.layers = key, 0
+        self.key, self.first, self.layers = key, head, 0
         self.colour = np.zeros(4, np.int32)
         start = np.arange(65536, dtype=np.int32)
         self.functions = [[start & 255, start >> 8, start] for _ in range(3)] if head else None
 
     def add(self, rows: np.ndarray, solid: np.ndarray) -> None:
-        """The rows (r, g, b, a) over it, the last first row that hides all below taken as the start."""
+        """The rows (r, g, b, a) over it, from the last that hides all below it on."""
         hides = np.flatnonzero(solid | (rows[:, 3] == 255))
         if len(hides):
             self.functions, self.colour = None, np.zeros(4, np.int32)
             rows, solid = rows[hides[-1] :], solid[hides[-1] :]
             if solid[0]:
                 self.colour, rows = rows[0].astype(np.int32), rows[1:]
-        for n in LAST if len(rows) > LONG else ():
-            last = _Open(self.key, head=True)
-            last._each(rows[-n:])
-            if last.functions is None:
-                self.functions, self.colour = None, last.colour
-                return
-        self._each(rows)
-
-    def _each(self, rows: np.ndarray) -> None:
-        for row in rows:
-            if self.functions is None:
-                value, alpha = _step(self.colour[:3], self.colour[3:], row[:3], row[3:])
-                self.colour = np.append(value, alpha)
-                continue
-            self.layers += 1
+        done = self._narrowed(rows) if self.functions else 0
+        alphas = rows[done:, 3].tolist()
+        tops = [rows[done:, c].tolist() for c in range(3)]
+        if self.functions is None:
+            ends = [_run(int(self.colour[c]), int(self.colour[3]), tops[c], alphas) for c in range(3)]
+            self.colour = np.array([*[e[0] for e in ends], ends[0][1]], np.int32)
+        elif alphas:
+            for c, f in enumerate(self.functions):
+                ends = [_run(v, a, tops[c], alphas) for v, a in zip(f[0].tolist(), f[1].tolist(), strict=True)]
+                f[0], f[1] = (np.array(e, np.int32) for e in zip(*ends, strict=True))
+            self._merge()
+
+    def _narrowed(self, rows: np.ndarray) -> int:
+        """How many of the rows the functions took as arrays before few values were left."""
+        for i, row in enumerate(rows):
+            if self.functions is None or sum(len(f[0]) for f in self.functions) <= FEW:
+                return i
             for c, f in enumerate(self.functions):
                 f[0], f[1] = _step(f[0], f[1], row[c], row[3])
-                if len(f[0]) > 1 and self.layers % MERGE_EVERY == 0:
-                    ends, where = np.unique(f[1] * 256 + f[0], return_inverse=True)
-                    f[0], f[1], f[2] = ends & 255, ends >> 8, where.astype(np.int32)[f[2]]
-            if all(len(f[0]) == 1 for f in self.functions):
-                self.colour = np.array([*[f[0][0] for f in self.functions], self.functions[0][1][0]], np.int32)
-                self.functions = None
+            self.layers += 1
+            if self.layers % MERGE_EVERY == 0:
+                self._merge()
+        return len(rows)
+
+    def _merge(self) -> None:
+        """Equal values together; functions of one value are a colour."""
+        for f in self.functions:
+            ends, where = np.unique(f[1] * 256 + f[0], return_inverse=True)
+            f[0], f[1], f[2] = ends & 255, ends >> 8, where.astype(np.int32)[f[2]]
+        if all(len(f[0]) == 1 for f in self.functions):
+            self.colour = np.array([*[f[0][0] for f in self.functions], self.functions[0][1][0]], np.int32)
+            self.functions = None
 
     def piece(self) -> bytes | None:
         """The functions as bytes: for each channel, alpha and value that each start leads to."""
@@ -130,7 +151,6 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = lambda i: (canvas[int(i)].as_py(), int(px[i]), int(py[i]))
         if opened is None:
             opened = _Open(key(0), head=True)
-            opened.first = True
         if opened.key == key(0):
             opened.add(rows[: ends[0]], solid[: ends[0]])
             starts, ends = starts[1:], ends[1:]
@@ -145,7 +165,6 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns = [canvas.take(at), b.column("px").take(at), b.column("py").take(at), rgba, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["canvas", "px", "py", "rgba", "part", "first", "piece"])
             opened = _Open(key(starts[-1]), head=False)
-            opened.first = False
             opened.add(rows[starts[-1] :], solid[starts[-1] :])
     if opened is not None:
         yield pieces(opened)

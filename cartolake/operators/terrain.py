@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.values import byte, color
+from cartolake.operators.scratch import kept
 
 
 def hillshade(dem: DataFrame, width: int, height: int, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
@@ -64,10 +66,10 @@ def contour_class(elev: Column, index_interval: float = 50.0, tolerance: float =
     return F.when(F.abs(elev % index_interval) < tolerance, "index").otherwise("intermediate")
 
 
-def contour_lines(dem: DataFrame, interval: float = 10.0, index_interval: float = 50.0) -> DataFrame:
-    """(row, col, level, kind, x1, y1, x2, y2): the pieces of contour lines in each cell's two triangles.
+def _crossed(dem: DataFrame, interval: float) -> DataFrame:
+    """(row, col, t, level): each triangle t of each cell, once for each level that its heights reach.
 
-    A cell gets its corners from one aggregation; a level crosses a triangle between two edges.
+    A cell gets its corners from one aggregation.
     """
     corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
     sent = F.explode(F.array(*[F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(i).alias("i"), F.col("elev").alias("e")) for i, (dr, dc) in enumerate(corners)]))
@@ -79,15 +81,104 @@ def contour_lines(dem: DataFrame, interval: float = 10.0, index_interval: float
     heights = F.transform("t", lambda v: v["e"])
     first, last = F.ceil(F.array_min(heights) / interval), F.floor(F.array_max(heights) / interval)
     rows = rows.withColumn("level", F.explode(F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))))
-    rows = rows.withColumn("level", F.col("level") * float(interval))
+    return rows.withColumn("level", F.col("level") * float(interval))
+
+
+def _on_edge(a: Column, b: Column) -> Column:
+    """Where the level lies between two vertices."""
+    s = (F.col("level") - a["e"]) / F.when(a["e"] != b["e"], b["e"] - a["e"]).otherwise(1.0)
+    return F.struct((a["x"] + (b["x"] - a["x"]) * s).alias("x"), (a["y"] + (b["y"] - a["y"]) * s).alias("y"))
+
+
+def contour_lines(dem: DataFrame, interval: float = 10.0, index_interval: float = 50.0) -> DataFrame:
+    """(row, col, level, kind, x1, y1, x2, y2): the pieces of contour lines in each cell's two triangles.
+
+    A level crosses a triangle between two edges.
+    """
 
     def crossing(i: int, j: int) -> Column:
         a, b = F.get("t", F.lit(i)), F.get("t", F.lit(j))
-        hit = (a["e"] < F.col("level")) != (b["e"] < F.col("level"))
-        s = (F.col("level") - a["e"]) / F.when(hit, b["e"] - a["e"]).otherwise(1.0)
-        return F.when(hit, F.struct((a["x"] + (b["x"] - a["x"]) * s).alias("x"), (a["y"] + (b["y"] - a["y"]) * s).alias("y")))
+        return F.when((a["e"] < F.col("level")) != (b["e"] < F.col("level")), _on_edge(a, b))
 
     hits = F.filter(F.array(crossing(0, 1), crossing(1, 2), crossing(2, 0)), lambda h: h.isNotNull())
-    rows = rows.withColumn("h", hits).filter(F.size("h") == 2)
+    rows = _crossed(dem, interval).withColumn("h", hits).filter(F.size("h") == 2)
     p, q = F.get("h", F.lit(0)), F.get("h", F.lit(1))
     return rows.select("row", "col", "level", contour_class(F.col("level"), index_interval).alias("kind"), p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+
+
+#: Cells a side of the blocks whose pieces one task strings together.
+BLOCK = 256
+
+
+def _edge(a: Column, b: Column) -> Column:
+    """The number of a grid edge, the same from both its triangles; rows and columns from 0 to 2**29."""
+    direction = F.when(a["y"] == b["y"], 0).when(a["x"] == b["x"], 1).otherwise(2)
+    return (F.least(a["y"], b["y"]).cast("long") * (1 << 31) + F.least(a["x"], b["x"]).cast("long")) * 4 + direction
+
+
+def _strung(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of a block as chains: each as long as pieces follow one another here."""
+    out = []
+    for level, own in pieces.groupby("level", sort=False):
+        after = {p.s: (p.e, p.x1, p.y1, p.x2, p.y2) for p in own.itertuples()}
+        ends = {v[0] for v in after.values()}
+        # open chains from their first piece; what is left then are rings
+        for s in [*sorted(set(after) - ends), *sorted(set(after) & ends)]:
+            at, least, pts, last = s, s, [], None
+            while at in after:
+                piece = after.pop(at)
+                least = min(least, at)
+                pts.append({"x": piece[1], "y": piece[2]})
+                at, last = piece[0], {"x": piece[3], "y": piece[4]}
+            if pts:
+                out.append((level, s, at, least, [*pts, last]))
+    return pd.DataFrame(out, columns=["level", "s", "e", "least", "pts"])
+
+
+def _jumped(links: DataFrame) -> DataFrame:
+    """(level, s, e, least, hops) of links from s to e: e the end of the way that starts with each link, least the least on it, hops the links on it.
+
+    Pointers double their length each round, each round a written table. On a ring there is no
+    end; rounds stop when ends and leasts no longer change, which on a ring means that all know its least.
+    """
+    state = kept(links.select("level", "s", "e", "least", F.lit(1).cast("long").alias("hops"), F.lit(False).alias("ended")))
+    while True:
+        ahead = state.select("level", F.col("s").alias("e"), F.col("e").alias("_e"), F.col("least").alias("_least"), F.col("hops").alias("_hops"), F.col("ended").alias("_ended"))
+        moved = state.filter("NOT ended").join(ahead, ["level", "e"], "left")
+        ended = F.col("_e").isNull() | F.col("_ended")
+        least = F.least("least", "_least")
+        moved = moved.select("level", "s", F.coalesce("_e", "e").alias("e"), least.alias("least"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), ended.alias("ended"), (ended | (least < F.col("least"))).alias("_new"))
+        whole = kept(state.filter("ended").withColumn("_new", F.lit(False)).unionByName(moved))
+        state = whole.drop("_new")
+        if whole.filter("_new").isEmpty():
+            return state
+
+
+def contour_polylines(dem: DataFrame, interval: float = 10.0, index_interval: float = 50.0) -> DataFrame:
+    """(line, level, kind, closed, pts): contour lines as ordered points, higher ground on one side all along, a closed contour in one row.
+
+    Pieces go from the edge where their triangle falls below the level to the one where it rises
+    again, so pieces of neighbours follow one another by the edge they share. Blocks of cells
+    string their own pieces; chains that cross blocks are put in order by pointer jumping. line is
+    the last edge of an open line, the least of a closed one. Null heights have no cells; an empty
+    grid gives no lines.
+    """
+    t = [F.get("t", F.lit(i)) for i in range(3)]
+    side = lambda c: F.filter(F.array(*[F.when((a["e"] >= F.col("level")) == F.lit(c == "falls"), F.when((b["e"] >= F.col("level")) == F.lit(c != "falls"), F.struct(_edge(a, b).alias("k"), _on_edge(a, b).alias("p")))) for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]), lambda h: h.isNotNull())
+    rows = _crossed(dem, interval).withColumns({"_f": F.get(side("falls"), F.lit(0)), "_u": F.get(side("rises"), F.lit(0))}).filter("_f IS NOT NULL AND _u IS NOT NULL")
+    pieces = rows.select(F.floor(F.col("row") / BLOCK).alias("_r"), F.floor(F.col("col") / BLOCK).alias("_c"), "level", F.col("_f.k").alias("s"), F.col("_u.k").alias("e"), F.col("_f.p.x").alias("x1"), F.col("_f.p.y").alias("y1"), F.col("_u.p.x").alias("x2"), F.col("_u.p.y").alias("y2"))
+    chains = kept(pieces.groupBy("_r", "_c").applyInPandas(_strung, "level double, s long, e long, least long, pts array<struct<x:double,y:double>>"))
+    links = chains.filter("s != e").select("level", "s", "e", "least")
+    found = _jumped(links).withColumn("line", F.when(F.col("ended"), F.col("e")).otherwise(F.col("least"))).select("level", "s", "line", (~F.col("ended")).alias("closed"))
+    # a ring begins with the chain that has its least edge and ends before it
+    named = kept(links.join(found, ["level", "s"]))
+    begins = named.filter("closed AND least = line").select("level", F.col("s").alias("e"), F.lit(True).alias("_cut"))
+    cut = named.join(begins, ["level", "e"], "left").withColumn("e", F.when(F.col("_cut"), -1 - F.col("e")).otherwise(F.col("e")))
+    order = _jumped(cut).select("level", "s", "hops").join(named.select("level", "s", "line", "closed"), ["level", "s"])
+    parts = chains.filter("s != e").select("level", "s", "pts").join(order, ["level", "s"])
+    stacked = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("o"), "pts")), lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(F.when(a["o"] > b["o"], 1).otherwise(0)))
+    joined = parts.groupBy("level", "line", "closed").agg(stacked.alias("_p"))
+    pts = F.flatten(F.transform("_p", lambda p, i: F.when(i == 0, p["pts"]).otherwise(F.slice(p["pts"], F.lit(2), F.size(p["pts"])))))
+    own = chains.filter("s = e").select("level", F.col("least").alias("line"), F.lit(True).alias("closed"), "pts")
+    every = joined.select("level", "line", "closed", pts.alias("pts")).unionByName(own)
+    return every.select("line", "level", contour_class(F.col("level"), index_interval).alias("kind"), "closed", "pts")

@@ -415,6 +415,37 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.contour_lines(dem(spark, sf_dir))
 
 
+#: Pieces from edge to edge, then pointers that double twenty times; a line's pieces share its end, or on a ring its least edge.
+POLYLINE_SQL = CONTOUR_SQL[: CONTOUR_SQL.index("), hit AS (")].replace("WITH d AS", "WITH RECURSIVE d AS") + """), side AS (
+  SELECT level, unnest(list_transform([(1, 2), (2, 3), (3, 1)], lambda k: {
+           'k': ((least(t[k[1]].y, t[k[2]].y)::BIGINT * 2147483648 + least(t[k[1]].x, t[k[2]].x)::BIGINT) * 4 + CASE WHEN t[k[1]].y = t[k[2]].y THEN 0 WHEN t[k[1]].x = t[k[2]].x THEN 1 ELSE 2 END)::BIGINT,
+           'from': t[k[1]].e >= level, 'to': t[k[2]].e >= level,
+           'x': t[k[1]].x + (t[k[2]].x - t[k[1]].x) * ((level - t[k[1]].e) / CASE WHEN t[k[1]].e = t[k[2]].e THEN 1 ELSE t[k[2]].e - t[k[1]].e END),
+           'y': t[k[1]].y + (t[k[2]].y - t[k[1]].y) * ((level - t[k[1]].e) / CASE WHEN t[k[1]].e = t[k[2]].e THEN 1 ELSE t[k[2]].e - t[k[1]].e END)})) AS k, n
+  FROM (SELECT *, row_number() OVER () AS n FROM high)
+), piece AS (
+  SELECT f.level, f.k.k AS s, u.k.k AS e, sqrt((f.k.x - u.k.x) * (f.k.x - u.k.x) + (f.k.y - u.k.y) * (f.k.y - u.k.y)) AS size
+  FROM side f JOIN side u USING (n) WHERE f.k.from AND NOT f.k.to AND u.k.to AND NOT u.k.from
+), jump AS (
+  SELECT 0 AS i, level, s, e, s AS least FROM piece
+  UNION ALL SELECT a.i + 1, a.level, a.s, coalesce(b.e, a.e), least(a.least, coalesce(b.least, a.least)) FROM jump a LEFT JOIN jump b ON a.level = b.level AND a.e = b.s WHERE a.i < 20
+), last AS (
+  SELECT level, s, CASE WHEN e IN (SELECT s FROM piece p WHERE p.level = j.level) THEN least ELSE e END AS line, e IN (SELECT s FROM piece p WHERE p.level = j.level) AS closed FROM jump j WHERE i = 20
+)
+SELECT line, level, CASE WHEN abs(level % 50) < 0.01 THEN 'index' ELSE 'intermediate' END AS kind, closed, count(*) + 1 AS n_points, round(sum(size), 6) AS length
+FROM last JOIN piece USING (level, s) GROUP BY ALL
+"""
+
+
+@query(POLYLINE_SQL)
+def contour_polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each contour line once, with its points and its length along them."""
+    lines = terrain.contour_polylines(dem(spark, sf_dir))
+    a, b = lambda i: F.get("pts", i), lambda i: F.get("pts", i + 1)
+    steps = F.transform(F.sequence(F.lit(0), F.size("pts") - 2), lambda i: F.sqrt((a(i)["x"] - b(i)["x"]) * (a(i)["x"] - b(i)["x"]) + (a(i)["y"] - b(i)["y"]) * (a(i)["y"] - b(i)["y"])))
+    return lines.select("line", "level", "kind", "closed", F.size("pts").cast("long").alias("n_points"), F.round(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x), 6).alias("length"))
+
+
 @query("SELECT p_partkey, CASE WHEN d < 0 THEN 'DEPIT' WHEN d < 5 THEN 'DEPVS' WHEN d < 30 THEN 'DEPMD' ELSE 'DEPDW' END AS token, CASE WHEN d < 0 THEN 'rgba(93,133,120,255)' WHEN d < 5 THEN 'rgba(120,153,153,255)' WHEN d < 30 THEN 'rgba(133,150,163,255)' ELSE 'rgba(120,140,160,255)' END AS dusk, d < 30 AS danger FROM (SELECT p_partkey, p_size - 5e0 AS d FROM part)")
 def depth_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("p_size") - 5.0

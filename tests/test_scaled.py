@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.operators import classify, cluster, labels, ranges, raster, temporal
+from cartolake.operators import classify, cluster, labels, ranges, raster, temporal, terrain
 
 
 def dbscan_by_hand(pts, eps, least):
@@ -207,3 +207,39 @@ def test_a_million_layers_on_one_pixel(spark):
     for _, rgba in last:  # 3,000 layers hide what is below them
         want = over_by_hand(want, rgba)
     assert [tuple(r["rgba"]) for r in raster.blend(rows).collect()] == [want]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_contours_are_whole_lines_over_blocks(spark, block, monkeypatch):
+    """Two round hills and a slope: rings closed, each line's points follow the pieces, whatever the blocks."""
+    monkeypatch.setattr(terrain, "BLOCK", block)
+    height = lambda r, c: 40 * np.exp(-((r - 9) ** 2 + (c - 9) ** 2) / 30) + 33 * np.exp(-((r - 20) ** 2 + (c - 22) ** 2) / 40) + c * 0.31
+    grid = [(r, c, float(height(r, c))) for r in range(30) for c in range(32)] + [(31, 5, None)]
+    dem = spark.createDataFrame(grid, "row int, col int, elev double")
+    pieces = {}
+    for p in terrain.contour_lines(dem, 7.0, 14.0).collect():
+        ends = [(round(p["x1"], 9), round(p["y1"], 9)), (round(p["x2"], 9), round(p["y2"], 9))]
+        pieces.setdefault(p["level"], []).append(frozenset(ends))
+    got, lines = {}, terrain.contour_polylines(dem, 7.0, 14.0).collect()
+    for line in lines:
+        pts = [(round(p["x"], 9), round(p["y"], 9)) for p in line["pts"]]
+        assert (pts[0] == pts[-1]) == line["closed"]
+        got.setdefault(line["level"], []).extend(frozenset(s) for s in zip(pts, pts[1:], strict=False))
+    key = lambda s: sorted(s)
+    assert {k: sorted(map(key, v)) for k, v in got.items()} == {k: sorted(map(key, v)) for k, v in pieces.items()}
+    # a line for each component of the pieces
+    components = 0
+    for own in pieces.values():
+        parent = {}
+
+        def root(a, parent=parent):
+            while parent.setdefault(a, a) != a:
+                a = parent[a]
+            return a
+
+        for s in own:
+            ends = list(s)
+            parent[root(ends[0])] = root(ends[-1])
+        components += len({root(a) for a in list(parent)})
+    assert len(lines) == components and sum(x["closed"] for x in lines) >= 6
+    assert terrain.contour_polylines(dem.limit(0)).count() == 0

@@ -237,6 +237,42 @@ def stamps(points: DataFrame, pixels: list[tuple[int, int]], size: int, width: i
     return rows.select(*KEYS, px.alias("px"), py.alias("py"), "rgba").filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
 
 
+def icons(points: DataFrame, atlas: DataFrame, width: int, height: int, anchor: str = "center") -> DataFrame:
+    """Points (keys, x, y, icon, scale, rotation in degrees, dx, dy) as the pixels of their icons.
+
+    atlas (icon, u, v, rgba) has a row for each pixel of each icon; an icon is as large as its
+    greatest u and v, and pixels without a row are clear. A point's target pixels are generated
+    from the box of its turned icon and mapped back to the nearest pixel of it; these meet the atlas
+    by an equi-join, so a common icon spreads over its pixels. dx and dy move the anchor, about
+    which the icon turns. A null scale is 1, other nulls of size, turn and offset are 0; points
+    without a place, of an unknown icon or of a size below one pixel draw nothing.
+    """
+    whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
+    sizes = atlas.filter("icon IS NOT NULL").groupBy("icon").agg((F.max("u") + 1).alias("_iw"), (F.max("v") + 1).alias("_ih"))
+    placed = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*KEYS, "icon", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("_x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("_y"), F.coalesce("scale", F.lit(1.0)).alias("_s"), F.radians(F.coalesce("rotation", F.lit(0.0))).alias("_turn"))
+    placed = placed.join(sizes, "icon").withColumns({"_w": whole(F.col("_iw") * F.col("_s")), "_h": whole(F.col("_ih") * F.col("_s"))}).filter("_w > 0 AND _h > 0")
+    back_x = F.lit(0.0) if "left" in anchor else F.col("_w") if "right" in anchor else F.floor(F.col("_w") / 2)
+    back_y = F.lit(0.0) if "top" in anchor else F.col("_h") if "bottom" in anchor else F.floor(F.col("_h") / 2)
+    placed = placed.withColumns({"_x0": whole(F.col("_x")) - back_x, "_y0": whole(F.col("_y")) - back_y, "_sin": F.sin("_turn"), "_cos": F.cos("_turn")})
+    # the box of the turned corners
+    xs, ys = [], []
+    for right in (0, 1):
+        for low in (0, 1):
+            rx, ry = F.col("_x0") + F.col("_w") * right - F.col("_x"), F.col("_y0") + F.col("_h") * low - F.col("_y")
+            straight = F.col("_turn") == 0
+            xs.append(F.when(straight, F.col("_x0") + F.col("_w") * right).otherwise(F.col("_x") + rx * F.col("_cos") - ry * F.col("_sin")))
+            ys.append(F.when(straight, F.col("_y0") + F.col("_h") * low).otherwise(F.col("_y") + rx * F.col("_sin") + ry * F.col("_cos")))
+    clip = lambda v, n: F.least(F.lit(float(n)), F.greatest(F.lit(-1.0), v))
+    box = (clip(F.floor(F.least(*xs)), width), clip(F.floor(F.least(*ys)), height), clip(F.ceil(F.greatest(*xs)) - 1, width), clip(F.ceil(F.greatest(*ys)) - 1, height))
+    rows = _onto(placed, *box, width, height)
+    rx, ry = F.col("px") + 0.5 - F.col("_x"), F.col("py") + 0.5 - F.col("_y")
+    lx = F.when(F.col("_turn") == 0, F.col("px") - F.col("_x0")).otherwise(F.col("_x") + rx * F.col("_cos") + ry * F.col("_sin") - F.col("_x0"))
+    ly = F.when(F.col("_turn") == 0, F.col("py") - F.col("_y0")).otherwise(F.col("_y") - rx * F.col("_sin") + ry * F.col("_cos") - F.col("_y0"))
+    rows = rows.withColumns({"_lx": lx, "_ly": ly}).filter("_lx >= 0 AND _ly >= 0 AND _lx < _w AND _ly < _h")
+    rows = rows.select(*KEYS, "px", "py", "icon", F.least(F.floor(F.col("_lx") / F.col("_s")), F.col("_iw") - 1).cast("int").alias("u"), F.least(F.floor(F.col("_ly") / F.col("_s")), F.col("_ih") - 1).cast("int").alias("v"))
+    return rows.join(atlas.select("icon", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "rgba"), ["icon", "u", "v"]).select(*KEYS, "px", "py", "rgba")
+
+
 def extrude(ring: Column, height: float = 10.0, light: float = 0.7853981633974483, intensity: float = 0.6, scale: float = 0.5) -> Column:
     """struct<top, walls>: a ring moved along the light, and its walls as rings with a shade of 0.4 to 1."""
     import math

@@ -24,7 +24,7 @@ from cartolake.operators.scratch import kept
 CHANNELS = ("r", "g", "b", "a")
 #: Layers after which a function's equal values are put together.
 MERGE_EVERY = 4
-#: Values a function may have left for its layers to be folded value by value instead of as arrays.
+#: Values of a function, or stacks of a batch, that are folded one by one instead of as arrays.
 FEW = 24
 _RGBA = T.StructType([T.StructField(c, T.IntegerType()) for c in CHANNELS])
 
@@ -118,6 +118,13 @@ def _fold(rows: np.ndarray, solid: np.ndarray, starts: np.ndarray, sizes: np.nda
     out = np.zeros((len(starts), 4), np.int32)
     for layer in range(int(left[0])):
         n = int(np.searchsorted(-left, -layer, side="left"))
+        if layer and n <= FEW:  # only the first layer can be solid
+            for i in range(n):
+                rest = rows[first[i] + layer : first[i] + left[i]]
+                alphas = rest[:, 3].tolist()
+                ends = [_run(int(out[i, c]), int(out[i, 3]), rest[:, c].tolist(), alphas) for c in range(3)]
+                out[i] = [*[e[0] for e in ends], ends[0][1]]
+            break
         at = first[:n] + layer
         top = rows[at]
         value, alpha = _step(out[:n, :3], out[:n, 3:], top[:, :3], top[:, 3:])

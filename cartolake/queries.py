@@ -464,10 +464,10 @@ def sidc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pixels, labels, pages, sources
 
 
-def _screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _screen(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     df = points(spark, sf_dir)
     fill = F.when(F.col("class") == "click", values.color(255, 0, 0)).otherwise(values.color(0, 0, 255))
-    return df.select(F.lit("all").alias("canvas"), F.lit(0).alias("layer_ord"), "fid", ((F.col("x") + 180) * (256 / 360.0)).alias("x"), ((F.lit(85.0) - F.col("y")) * (256 / 170.0)).alias("y"), F.lit(1.0).alias("radius"), fill.alias("rgba"))
+    return df.select(F.lit("all").alias("canvas"), F.lit(0).alias("layer_ord"), "fid", ((F.col("x") + 180) * (256 / 360.0)).alias("x"), ((F.lit(85.0) - F.col("y")) * (256 / 170.0)).alias("y"), F.lit(1.0).alias("radius"), fill.alias("rgba"), *more)
 
 
 @query(f"WITH p AS (SELECT fid, trunc((x + 180) * (256 / 360e0))::INT AS cx, trunc((85 - y) * (256 / 170e0))::INT AS cy, class FROM {POINTS_SQL}), d AS (SELECT fid, cx + a AS px, cy + b AS py, class FROM p, range(-1, 2) s(a), range(-1, 2) t(b) WHERE a * a + b * b <= 1) SELECT px::INT AS px, py::INT AS py, arg_max(CASE WHEN class = 'click' THEN 'rgba(255,0,0,255)' ELSE 'rgba(0,0,255,255)' END, fid) AS color FROM d WHERE px BETWEEN 0 AND 255 AND py BETWEEN 0 AND 255 GROUP BY 1, 2")
@@ -553,6 +553,35 @@ def line_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.blend(raster.strokes(raster.segments(rows, [4, 2]), 64, 64, "round")).select("canvas", "px", "py", color_text(F.col("rgba")).alias("color"))
 
 
+#: Every pixel near an anchor tried against every icon's box; icons of 6 x 4 pixels, turned by 0 or 90 degrees.
+ICON_SQL = f"""
+WITH p AS (
+  SELECT fid, class, (x + 180) * (256 / 360e0) + (fid % 3) AS x, (85e0 - y) * (256 / 170e0) - 1 AS y, CASE fid % 4 WHEN 0 THEN 0.5e0 WHEN 1 THEN 1e0 WHEN 2 THEN 1.5e0 ELSE 2e0 END AS s, fid % 5 = 0 AS turned FROM {POINTS_SQL}
+), b AS (
+  SELECT *, trunc(6 * s) AS w, trunc(4 * s) AS h, trunc(x) - floor(trunc(6 * s) / 2) AS x0, trunc(y) - floor(trunc(4 * s) / 2) AS y0, cos(radians(90)) AS c, sin(radians(90)) AS n FROM p
+), t AS (
+  SELECT *, trunc(x)::INT + i AS px, trunc(y)::INT + j AS py FROM b, range(-9, 10) g(i), range(-9, 10) k(j)
+), l AS (
+  SELECT *, CASE WHEN turned THEN x + (px + 0.5e0 - x) * c + (py + 0.5e0 - y) * n - x0 ELSE px - x0 END AS lx, CASE WHEN turned THEN y - (px + 0.5e0 - x) * n + (py + 0.5e0 - y) * c - y0 ELSE py - y0 END AS ly
+  FROM t WHERE px BETWEEN 0 AND 255 AND py BETWEEN 0 AND 255
+)
+SELECT px::INT AS px, py::INT AS py, arg_max('rgba(' || (least(5, floor(lx / s)) * 40)::INT || ',' || (least(3, floor(ly / s)) * 60)::INT || ',' || length(class) * 9 || ',200)', fid) AS color
+FROM l WHERE lx >= 0 AND ly >= 0 AND lx < w AND ly < h GROUP BY ALL
+"""
+
+
+@query(ICON_SQL)
+def icon_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An icon for each class of event, drawn at four scales, every fifth turned by 90 degrees."""
+    k = F.col("fid")
+    classes = points(spark, sf_dir).select(F.col("class").alias("icon")).distinct()
+    atlas = classes.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    atlas = atlas.withColumn("rgba", values.color(F.col("u") * 40, F.col("v") * 60, F.length("icon") * 9, 200))
+    scale = F.element_at(F.array(*[F.lit(v) for v in (0.5, 1.0, 1.5, 2.0)]), (k % 4 + 1).cast("int"))
+    placed = _screen(spark, sf_dir, F.col("class").alias("icon")).withColumns({"scale": scale, "rotation": F.when(k % 5 == 0, 90.0).otherwise(0.0), "dx": (k % 3).cast("double"), "dy": F.lit(-1.0)})
+    return raster.overwrite(raster.icons(placed, atlas, 256, 256)).select("px", "py", color_text(F.col("rgba")).alias("color"))
+
+
 LABEL_SQL = f"""
 WITH RECURSIVE l AS (
   SELECT *, row_number() OVER (PARTITION BY canvas ORDER BY priority DESC, fid) AS k

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import random
 
 import numpy as np
@@ -243,3 +244,39 @@ def test_contours_are_whole_lines_over_blocks(spark, block, monkeypatch):
         components += len({root(a) for a in list(parent)})
     assert len(lines) == components and sum(x["closed"] for x in lines) >= 6
     assert terrain.contour_polylines(dem.limit(0)).count() == 0
+
+
+def icon_by_hand(x, y, w, h, scale, turn, anchor, width, height):
+    """Target pixel to icon pixel, every pixel of the canvas tried."""
+    sw, sh = int(w * scale), int(h * scale)
+    x0 = int(x) - (0 if "left" in anchor else sw if "right" in anchor else sw // 2)
+    y0 = int(y) - (0 if "top" in anchor else sh if "bottom" in anchor else sh // 2)
+    out = {}
+    for px in range(width):
+        for py in range(height):
+            lx, ly = px - x0, py - y0
+            if turn:
+                c, s = math.cos(math.radians(turn)), math.sin(math.radians(turn))
+                rx, ry = px + 0.5 - x, py + 0.5 - y
+                lx, ly = x + rx * c + ry * s - x0, y - rx * s + ry * c - y0
+            if 0 <= lx < sw and 0 <= ly < sh:
+                out[px, py] = (min(int(lx / scale), w - 1), min(int(ly / scale), h - 1))
+    return out
+
+
+@pytest.mark.parametrize("anchor", ["center", "top-left", "bottom", "right"])
+def test_icons_equal_all_pixels_tried(spark, anchor):
+    rng = random.Random(12)
+    rows = [("c", 0, i, rng.uniform(-4, 44), rng.uniform(-4, 40), rng.choice(["a", "b"]), rng.choice([0.3, 0.5, 1.0, 1.7, 3.0]), rng.choice([0.0, 90.0, 33.0, -120.0]), rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(60)]
+    odd = [("c", 0, 100, None, 1.0, "a", 1.0, 0.0, 0.0, 0.0), ("c", 0, 101, 5.0, 5.0, "none", 1.0, 0.0, 0.0, 0.0), ("c", 0, 102, 5.0, 5.0, None, 1.0, 0.0, 0.0, 0.0), ("c", 0, 103, 5.0, 5.0, "a", -2.0, 0.0, 0.0, 0.0), ("c", 0, 104, 1e13, -1e13, "a", 1.0, 20.0, 0.0, 0.0), ("c", 0, 105, 9.5, 9.5, "a", None, None, None, None)]
+    kind = "canvas string, layer_ord int, fid long, x double, y double, icon string, scale double, rotation double, dx double, dy double"
+    size = {"a": (5, 3), "b": (4, 6)}
+    pixels = [(k, u, v, (u, v, ord(k), 255)) for k, (w, h) in size.items() for u in range(w) for v in range(h) if (u, v) != (1, 1)]
+    atlas = spark.createDataFrame(pixels, "icon string, u int, v int, rgba struct<r:int,g:int,b:int,a:int>")
+    got = {(r["fid"], r["px"], r["py"]): tuple(r["rgba"])[:3] for r in raster.icons(spark.createDataFrame(rows + odd, kind), atlas, 40, 36, anchor).collect()}
+    want = {}
+    for _, _, fid, x, y, name, scale, turn, dx, dy in [*rows, ("c", 0, 105, 9.5, 9.5, "a", 1.0, 0.0, 0.0, 0.0)]:
+        for (px, py), (u, v) in icon_by_hand(x + dx, y + dy, *size[name], scale, turn, anchor, 40, 36).items():
+            if (u, v) != (1, 1):  # a clear pixel
+                want[fid, px, py] = (u, v, ord(name))
+    assert got == want

@@ -9,22 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.values import byte, color
+from cartolake.operators import grids
 from cartolake.operators.scratch import kept
 
 
+#: Fixed factors of Horn's slopes, by a neighbour's place relative to the cell.
+HORN = {
+    "dx": ((-1, -1, -1.0), (0, -1, -2.0), (1, -1, -1.0), (-1, 1, 1.0), (0, 1, 2.0), (1, 1, 1.0)),
+    "dy": ((-1, -1, -1.0), (-1, 0, -2.0), (-1, 1, -1.0), (1, -1, 1.0), (1, 0, 2.0), (1, 1, 1.0)),
+}
+
+
 def hillshade(dem: DataFrame, width: int, height: int, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
-    """(row, col, shade 0..255) for a grid (row, col, elev): Horn's slopes over the 3 x 3 neighbourhood, 128 at the edges.
+    """(row, col, shade 0..255) for a grid (row, col, elev): Horn's slopes over the 3 x 3 neighbourhood, 128 at the edges."""
+    return shade_blocks(grids.blocks(dem), width, height, cell, azimuth, altitude, z_factor)
 
-    Each cell sends its height to its nine neighbours and each cell sums up what it gets with the
-    slopes' factors: one aggregation with partial sums, so blocks need no halo and rows of any
-    length spread over tasks.
-    """
+
+def shade_blocks(blocks: DataFrame, width: int, height: int, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
+    """The same for a grid that is kept in blocks: only cells along block borders are shuffled."""
     zenith = math.radians(90.0 - altitude)
     direction = math.radians((360.0 - azimuth + 90.0) % 360.0)
-    # fixed factors of Horn's formula, from the neighbour's place relative to the cell
-    parts = [(dr, dc, float(dc * (2 if dr == 0 else 1)), float(dr * (2 if dc == 0 else 1))) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
-    sent = F.explode(F.array(*[F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), (F.col("elev") * fx).alias("dx"), (F.col("elev") * fy).alias("dy")) for dr, dc, fx, fy in parts]))
-    got = dem.select(sent.alias("s")).select("s.*").groupBy("row", "col").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    # the cell itself has no weight, but it is there if its height is
+    got = grids.stencil(blocks, {**HORN, "own": ((0, 0, 0.0),)})
     got = got.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     scale = z_factor / (8.0 * cell)
     dx, dy = F.col("dx") * scale, F.col("dy") * scale
@@ -32,7 +38,7 @@ def hillshade(dem: DataFrame, width: int, height: int, cell: float = 1.0, azimut
     aspect = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.atan2(dy, -dx))
     light = math.cos(zenith) * F.cos(slope) + math.sin(zenith) * F.sin(slope) * F.cos(F.lit(direction) - aspect)
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)
-    return got.select("row", "col", F.when(edge, 128).otherwise(byte(light * 255.0)).alias("shade"))
+    return got.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.when(edge, 128).otherwise(byte(light * 255.0)).alias("shade"))
 
 
 def shaded(rgba: Column, shade: Column, opacity: float) -> Column:
@@ -69,12 +75,11 @@ def contour_class(elev: Column, index_interval: float = 50.0, tolerance: float =
 def _crossed(dem: DataFrame, interval: float) -> DataFrame:
     """(row, col, t, level): each triangle t of each cell, once for each level that its heights reach.
 
-    A cell gets its corners from one aggregation.
+    A cell gets its corners from a stencil over blocks.
     """
     corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
-    sent = F.explode(F.array(*[F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(i).alias("i"), F.col("elev").alias("e")) for i, (dr, dc) in enumerate(corners)]))
-    got = dem.select(sent.alias("s")).select("s.*").groupBy("row", "col").agg(*[F.max(F.when(F.col("i") == i, F.col("e"))).alias(f"e{i}") for i in range(4)])
-    got = got.filter(" AND ".join(f"e{i} IS NOT NULL" for i in range(4)))
+    got = grids.stencil(grids.blocks(dem), {f"e{i}": ((dr, dc, 1.0),) for i, (dr, dc) in enumerate(corners)}).filter("n = 4")
+    got = got.withColumns({k: F.col(k).cast("int") for k in ("row", "col")})
     vertex = lambda i: F.struct((F.col("col") + corners[i][1]).cast("double").alias("x"), (F.col("row") + corners[i][0]).cast("double").alias("y"), F.col(f"e{i}").alias("e"))
     triangles = F.explode(F.array(F.array(vertex(0), vertex(1), vertex(2)), F.array(vertex(3), vertex(2), vertex(1))))
     rows = got.select("row", "col", triangles.alias("t"))

@@ -377,18 +377,37 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.floor(i / 50).cast("int").alias("row"), (i % 50).cast("int").alias("col"), (F.col("o_custkey") % 50).cast("double").alias("elev"))
 
 
-@query(f"WITH d AS {_DEM_SQL}, n AS (SELECT r, c, e, lag(e) OVER w AS w1, lead(e) OVER w AS e1 FROM d WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT r, c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m JOIN n u USING (c) JOIN n l USING (c, r) WHERE FALSE) SELECT m.r AS \"row\", m.c AS col, (CASE WHEN m.r IN (0, (SELECT max(r) FROM d)) OR m.c IN (0, 49) THEN 128 ELSE greatest(0, least(255, floor(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(dy, -dx) END)))))  END)::INT AS shade FROM (SELECT m.r, m.c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m LEFT JOIN n u ON u.r = m.r - 1 AND u.c = m.c LEFT JOIN n l ON l.r = m.r + 1 AND l.c = m.c) m")
+HILLSHADE_SQL = f"WITH d AS {_DEM_SQL}, n AS (SELECT r, c, e, lag(e) OVER w AS w1, lead(e) OVER w AS e1 FROM d WINDOW w AS (PARTITION BY r ORDER BY c)), g AS (SELECT r, c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m JOIN n u USING (c) JOIN n l USING (c, r) WHERE FALSE) SELECT m.r AS \"row\", m.c AS col, (CASE WHEN m.r IN (0, (SELECT max(r) FROM d)) OR m.c IN (0, 49) THEN 128 ELSE greatest(0, least(255, floor(255 * (cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(dy, -dx) END)))))  END)::INT AS shade FROM (SELECT m.r, m.c, ((u.e1 + 2 * m.e1 + l.e1) - (u.w1 + 2 * m.w1 + l.w1)) / 80e0 AS dx, ((l.w1 + 2 * l.e + l.e1) - (u.w1 + 2 * u.e + u.e1)) / 80e0 AS dy FROM n m LEFT JOIN n u ON u.r = m.r - 1 AND u.c = m.c LEFT JOIN n l ON l.r = m.r + 1 AND l.c = m.c) m"
+
+
+@query(HILLSHADE_SQL)
 def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").count() // 50
     return terrain.hillshade(dem(spark, sf_dir), 50, rows, cell=10.0)
 
 
-@query(f"WITH t AS (SELECT r, c, e, least(1, greatest(0, e / 49e0)) AS t FROM {_DEM_SQL}), q AS (SELECT *, least(3, floor(t * 4))::INT AS q FROM t), s AS (SELECT *, (t - q * 0.25) * 4 AS s FROM q) SELECT r AS \"row\", c AS col, 'rgba(' || floor(CASE q WHEN 0 THEN 40 + 150 * s WHEN 1 THEN 190 + 50 * s WHEN 2 THEN 240 - 40 * s ELSE 200 + 55 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 140 + 70 * s WHEN 1 THEN 210 - 60 * s WHEN 2 THEN 150 - 50 * s ELSE 100 + 155 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 40 + 20 * s WHEN 1 THEN 60 + 20 * s WHEN 2 THEN 80 + 50 * s ELSE 130 + 125 * s END)::INT || ',255)' AS color, CASE WHEN abs(e % 25) < 0.01 THEN 'index' ELSE 'intermediate' END AS contour FROM s")
+HYPSOMETRIC_SQL = f"WITH t AS (SELECT r, c, e, least(1, greatest(0, e / 49e0)) AS t FROM {_DEM_SQL}), q AS (SELECT *, least(3, floor(t * 4))::INT AS q FROM t), s AS (SELECT *, (t - q * 0.25) * 4 AS s FROM q) SELECT r AS \"row\", c AS col, 'rgba(' || floor(CASE q WHEN 0 THEN 40 + 150 * s WHEN 1 THEN 190 + 50 * s WHEN 2 THEN 240 - 40 * s ELSE 200 + 55 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 140 + 70 * s WHEN 1 THEN 210 - 60 * s WHEN 2 THEN 150 - 50 * s ELSE 100 + 155 * s END)::INT || ',' || floor(CASE q WHEN 0 THEN 40 + 20 * s WHEN 1 THEN 60 + 20 * s WHEN 2 THEN 80 + 50 * s ELSE 130 + 125 * s END)::INT || ',255)' AS color, CASE WHEN abs(e % 25) < 0.01 THEN 'index' ELSE 'intermediate' END AS contour FROM s"
+
+
+@query(HYPSOMETRIC_SQL)
 def hypsometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dem(spark, sf_dir)
     return d.select("row", "col", color_text(terrain.hypsometric(F.col("elev"), 0, 49)).alias("color"), terrain.contour_class(F.col("elev"), 25.0).alias("contour"))
 
 
+OVERLAY_SQL = f"""
+WITH shade AS ({HILLSHADE_SQL}), tint AS (SELECT "row", col, string_split(replace(replace(color, 'rgba(', ''), ')', ''), ',')::INT[] AS p FROM ({HYPSOMETRIC_SQL}))
+SELECT "row", col, 'rgba(' || array_to_string(list_transform(p[1:3], lambda v: floor(v * (1 - (1 - shade / 255e0) * 0.5e0))::INT), ',') || ',' || p[4] || ')' AS color FROM shade JOIN tint USING ("row", col)
+"""
+
+
+@query(OVERLAY_SQL)
+def hillshade_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation colours under half of the shade of their slopes."""
+    tint = dem(spark, sf_dir).withColumn("tint", terrain.hypsometric(F.col("elev"), 0, 49))
+    return tint.join(hillshade(spark, sf_dir), ["row", "col"]).select("row", "col", color_text(terrain.shaded(F.col("tint"), F.col("shade"), 0.5)).alias("color"))
+
+
 CONTOUR_SQL = f"""
 WITH d AS {_DEM_SQL}, cell AS (
   SELECT a.r, a.c, a.e AS e0, b.e AS e1, x.e AS e2, y.e AS e3

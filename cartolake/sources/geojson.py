@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.operators.geometry import GEOMETRY, POINTS
+from cartolake.sources.pieces import PIECE, feature_texts
 
 _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:variant>,properties:variant>"
 
@@ -23,7 +24,21 @@ def read_geojson(spark: SparkSession, path: str, points_only: bool = False, stri
 
 def features_of(docs: DataFrame, points_only: bool = False, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The same for rows with an array `features`, with the columns of keep; fid numbers the features of a document."""
-    rows = docs.select(*keep, F.posexplode("features").alias("fid", "f"))
+    return _shaped(docs.select(*keep, F.posexplode("features").alias("fid", "f")), points_only, strict, keep)
+
+
+def read_pieces(spark: SparkSession, path: str, points_only: bool = False, strict: bool = False, piece: int = PIECE) -> DataFrame:
+    """(path, fid, geometry_type, geom, props) as read_geojson has them, with each file read in pieces by many tasks.
+
+    Files may have any size. fid numbers the objects in a file's list of features.
+    """
+    texts = feature_texts(spark, path, piece)
+    f = F.from_json("text", _FEATURE, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    return _shaped(texts.select("path", "fid", f.alias("f")), points_only, strict, ("path",))
+
+
+def _shaped(rows: DataFrame, points_only: bool, strict: bool, keep: tuple[str, ...]) -> DataFrame:
+    """Features (fid, f) with the columns of keep as rows with geometry."""
     c = F.col("f.geometry.coordinates")
     as_points = lambda a: F.transform(a, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).cast(POINTS)
     cast = lambda depth: F.try_variant_get(c, "$", "array<" * depth + "double" + ">" * depth)

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.functions import values
-from cartolake.operators import classify, cluster, density, geometry, labels, raster, render, svg, temporal, tiles
+from cartolake.operators import classify, cluster, density, geometry, labels, raster, render, scratch, svg, temporal, tiles
 from cartolake.plans import sld
 from cartolake.plans.page import Page
 from cartolake.plans.rules import cascade
 from cartolake.plans.style import apply_style, color_text, parse_style
 from cartolake.queries import POINTS_SQL, expr, points, query, read
-from cartolake.sources import drawing_info, geojson, vector_tiles
+from cartolake.sources import canvases, drawing_info, geojson, vector_tiles
 
 # expressions
 
@@ -128,6 +128,19 @@ def scale_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sources
 
 
+@query(f"SELECT class || '.json' AS file, row_number() OVER (PARTITION BY class ORDER BY fid) - 1 AS place, fid, round(x, 6) AS x, round(y, 6) AS y, weight FROM {POINTS_SQL}")
+def geojson_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one collection file for each type, written in streams and read back in pieces that cut features anywhere."""
+    shape = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct("fid", "weight").alias("properties"))
+    folder = scratch.folder(spark)
+    canvases.write_collections(points(spark, sf_dir).select(F.col("class").alias("canvas"), "fid", F.to_json(feature).alias("text")), folder)
+    back = geojson.read_pieces(spark, folder + "/part-*", points_only=True, piece=1 << 20)
+    at = F.get("geom.paths", F.lit(0))["pts"][0]
+    value = lambda k, t: F.try_variant_get("props", f"$.{k}", t).alias(k)
+    return back.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.col("fid").alias("place"), value("fid", "long"), F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"), value("weight", "double"))
+
+
 @query(f"SELECT fid AS doc, 0 AS place, 'Point' AS shape, x, y, 0e0 AS length, 'v' || (fid % 3) AS tag FROM {POINTS_SQL} UNION ALL SELECT fid, 1, 'LineString', 0, 0, round(sqrt(x * x + y * y), 6), NULL FROM {POINTS_SQL} UNION ALL SELECT fid, 4, 'Polygon', 0, 0, 12, NULL FROM {POINTS_SQL}")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection of five features for each event, of which one has broken coordinates and one none."""

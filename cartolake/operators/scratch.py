@@ -17,16 +17,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; where that is unset, a temporary one in local mode and an error on a cluster."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, removed at exit; where that is unset, in a temporary one in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="cartolake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        shared = "file://" + tempfile.mkdtemp(prefix="cartolake-")
+        spark.sparkContext.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/kept-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read back."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,11 +41,19 @@ def label(x: Column, y: Column, size: Column, fill: Column, text: Column) -> Col
     return F.format_string('<text x="%.2f" y="%.2f" font-size="%.2f" fill="%s">%s</text>', x, y, size, fill, escape(text))
 
 
+#: What ends a document.
+TAIL = "\n</svg>"
+
+
+def head(width: float, height: float, title: str | None = None) -> str:
+    """What begins a document."""
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" viewBox="0 0 {width:g} {height:g}">' + (f"<title>{_escape(title)}</title>" if title else "")
+
+
 def documents(elements: DataFrame, width: float, height: float, title: str | None = None) -> DataFrame:
-    """(canvas, svg) from elements (canvas, layer_ord, fid, element): a canvas's document, so a canvas is a tile or a page."""
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}" viewBox="0 0 {width:g} {height:g}">' + (f"<title>{_escape(title)}</title>" if title else "")
+    """(canvas, svg) from elements (canvas, layer_ord, fid, element): small documents as values; sources.canvases streams large ones to files."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer_ord", "fid", "element"))), lambda s: s["element"]), "\n")
-    return elements.groupBy("canvas").agg(F.concat(F.lit(head + "\n"), body, F.lit("\n</svg>")).alias("svg"))
+    return elements.groupBy("canvas").agg(F.concat(F.lit(head(width, height, title) + "\n"), body, F.lit(TAIL)).alias("svg"))
 
 
 def graticule_interval(span: Column) -> Column:

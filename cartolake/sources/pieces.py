@@ -17,11 +17,19 @@ _QUOTE, _SLASH = 34, 92
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z')
 
 
-def opened(path: str):
-    """A file of any file system that pyarrow knows, for reading at any place."""
-    if path.startswith(("file:", "/")):
-        return fs.LocalFileSystem().open_input_file("/" + re.sub(r"^file:/*", "", path).lstrip("/"))
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path.rstrip("/")
     system, inside = fs.FileSystem.from_uri(path)
+    return system, inside.rstrip("/")
+
+
+def opened(path: str):
+    """A file for reading at any place."""
+    system, inside = located(path)
     return system.open_input_file(inside)
 
 

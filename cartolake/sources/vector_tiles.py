@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.types import StructType
 
 from cartolake.operators.geometry import GEOMETRY
+from cartolake.sources.pieces import located
 
 EXTENT = 4096
 _VALUE = "struct<kind:string,text:string,number:double,flag:boolean>"
@@ -130,11 +135,25 @@ def _geometry(kind: int, commands: list[int], extent: int) -> dict | None:
     return {"kind": ("Multi" if paths[-1]["part"] else "") + name, "paths": paths}
 
 
-def decode_tile(data: bytes) -> Iterator[tuple[str, int, int, dict, dict]]:
-    """(layer, extent, fid, geometry, props); coordinates are shares of the tile, y up. fid is the place in the layer."""
+def _layer_name(body: bytes) -> str:
+    """The name of a layer, its last one; a layer is skipped over field by field."""
+    name = ""
+    for field, wire, v in fields(body):
+        if field == 1 and wire == 2:
+            name = v.decode("utf-8")
+    return name
+
+
+def decode_tile(data: bytes, layers: frozenset[str] | None = None, names: frozenset[str] | None = None) -> Iterator[tuple[str, int, int, dict, dict]]:
+    """(layer, extent, fid, geometry, props); coordinates are shares of the tile, y up. fid is the place in the layer.
+
+    Of layers that are not asked for the name is all that is read, and of tags their numbers; None asks for all.
+    """
     for field, wire, body in fields(data):
         if field != 3 or wire != 2:
             continue
+        if layers is not None and _layer_name(body) not in layers:
+            continue
         name, keys, values, features, extent = "", [], [], [], EXTENT
         for f, w, v in fields(body):
             if f == 1 and w == 2:
@@ -160,7 +179,7 @@ def decode_tile(data: bytes) -> Iterator[tuple[str, int, int, dict, dict]]:
             geom = _geometry(kind, commands, extent)
             if geom:
                 pairs = zip(tags[::2], tags[1::2], strict=False)
-                props = {keys[k]: values[v] for k, v in pairs if k < len(keys) and v < len(values) and values[v]}
+                props = {keys[k]: values[v] for k, v in pairs if k < len(keys) and v < len(values) and values[v] and (names is None or keys[k] in names)}
                 yield name, extent, fid, geom, props
 
 
@@ -181,9 +200,81 @@ def decode_tiles(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_decoded, SCHEMA)
 
 
-def read_tiles(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    out = decode_tiles(spark.read.format("binaryFile").load(path))
-    return out.filter(F.col("layer") == layer) if layer else out
+@dataclass
+class _Files(InputPartition):
+    paths: list[str]
+
+
+class _Reader(DataSourceReader):
+    """Tiles of a folder; layers that are not asked for are not decoded."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.per_task = options["path"], int(options.get("files", 64))
+        self.tags = frozenset(options["tags"].split(",")) if "tags" in options else None
+        self.layers = frozenset([options["layer"]]) if "layer" in options else None
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = located(self.path)
+        found = [f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and not f.base_name.startswith(("_", "."))]
+        found.sort()
+        return [_Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        system, _ = located(self.path)
+        for path in partition.paths:
+            try:
+                with system.open_input_stream(path) as file:
+                    rows = list(decode_tile(file.read(), self.layers, self.tags))
+                yield from ((path, *r, None) for r in rows)
+            except (ValueError, UnicodeDecodeError) as e:
+                if self.layers is None:
+                    yield path, None, None, None, None, None, str(e)
+
+
+class _FilteredReader(_Reader):
+    """One that takes over equality and IN conditions on the layer."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            asked = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if asked is None or f.attribute != ("layer",):
+                yield f
+            else:
+                own = frozenset(x for x in asked if x is not None)
+                self.layers = own if self.layers is None else self.layers & own
+
+
+class TileFiles(DataSource):
+    """Features of the vector tiles under path: SCHEMA.
+
+    Options: layer, the one to read; tags, the properties to keep, split by commas; files, the
+    number a task reads; pushdown, true where spark.sql.python.filterPushdown.enabled is, so that
+    conditions on the layer reach the reader.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "vector_tiles"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return (_FilteredReader if self.options.get("pushdown") == "true" else _Reader)(dict(self.options))
+
+
+def read_tiles(spark: SparkSession, path: str, layer: str | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """Features of the tiles under path, all layers or one, with all properties or those named.
+
+    Layers that are not asked for are not decoded; where spark.sql.python.filterPushdown.enabled is
+    set, conditions on the layer of the result ask as well. A broken tile is one row with an error,
+    unless layers are asked for.
+    """
+    spark.dataSource.register(TileFiles)
+    reader = spark.read.format("vector_tiles").option("path", path).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled"))
+    if layer is not None:
+        reader = reader.option("layer", layer)
+    return (reader if tags is None else reader.option("tags", ",".join(tags))).load()
 
 
 def prop(name: str, kind: str) -> Column:

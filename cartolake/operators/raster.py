@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolake.functions.values import byte, color
+from cartolake.operators.scratch import kept, spread
 from cartolake.operators.stacks import folded
 
 KEYS = ["canvas", "layer_ord", "fid"]
 #: Polygons that a task scans together.
 POLYGONS = 2048
+#: Pixels that a task has at hand at a time.
+PIXELS = 1 << 18
 
 
 def _range(low: Column, high: Column, n: int) -> Column:
@@ -200,9 +203,23 @@ def blend(pixels: DataFrame) -> DataFrame:
 
 
 def overwrite(pixels: DataFrame) -> DataFrame:
-    """(canvas, px, py, rgba): the last in paint order, nothing blended; partial sums, so hot pixels are no matter."""
-    top = F.max_by("rgba", F.struct("layer_ord", "fid")).alias("rgba")
-    return pixels.groupBy("canvas", "px", "py").agg(top)
+    """(canvas, px, py, rgba): the last in paint order, nothing blended; partial sums, so hot pixels are no matter.
+
+    The last of each layer comes first, a colour as two numbers, so that rows are hashed and not
+    sorted where fid is a number. Null orders lie below all others.
+    """
+    half, low = 1 << 32, 1 << 31
+    whole = lambda c: F.coalesce(F.col(f"rgba.{c}").cast("long"), F.lit(-low))
+    two = lambda p, q: F.when(F.col("rgba").isNotNull(), whole(p) * half + whole(q) + low)
+    number = isinstance(pixels.schema["fid"].dataType, T.NumericType)
+    order = F.coalesce("fid", F.lit(0).cast(pixels.schema["fid"].dataType)) if number else F.struct("fid")
+    flat = pixels.select("canvas", "px", "py", "layer_ord", F.col("fid").isNotNull().alias("_some"), order.alias("_order"), two("r", "g").alias("_rg"), two("b", "a").alias("_ba"))
+    layers = flat.groupBy("canvas", "px", "py", "layer_ord", "_some").agg(F.max_by("_rg", "_order").alias("_rg"), F.max_by("_ba", "_order").alias("_ba"))
+    top = layers.groupBy("canvas", "px", "py").agg(F.max_by(F.struct("_rg", "_ba"), F.struct("layer_ord", "_some")).alias("_top"))
+    part = lambda v: F.nullif(v.cast("int"), F.lit(-low).cast("int"))
+    first, second = (lambda v: part(F.shiftright(v, 32))), (lambda v: part(F.pmod(v, F.lit(half)) - low))
+    rg, ba = F.col("_top._rg"), F.col("_top._ba")
+    return top.select("canvas", "px", "py", F.when(rg.isNotNull(), color(first(rg), second(rg), first(ba), second(ba))).alias("rgba"))
 
 
 def icon(shape: str, size: int) -> list[tuple[int, int]]:
@@ -237,39 +254,75 @@ def stamps(points: DataFrame, pixels: list[tuple[int, int]], size: int, width: i
     return rows.select(*KEYS, px.alias("px"), py.alias("py"), "rgba").filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
 
 
+def _icon_pixels(b: pa.RecordBatch, width: int, height: int) -> Iterator[pa.RecordBatch]:
+    """The pixels of placed icons with the place u, v in the icon that each shows."""
+    x, y, s, turn, iw, ih, w, h, x0, y0, sin, cos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", "_s", "_turn", "_iw", "_ih", "_w", "_h", "_x0", "_y0", "_sin", "_cos"))
+    straight = turn == 0
+    # the box of the turned corners
+    xs, ys = [], []
+    for right in (0, 1):
+        for low in (0, 1):
+            rx, ry = x0 + w * right - x, y0 + h * low - y
+            xs.append(np.where(straight, x0 + w * right, x + rx * cos - ry * sin))
+            ys.append(np.where(straight, y0 + h * low, y + rx * sin + ry * cos))
+    sound = np.isfinite(np.sum(xs, axis=0) + np.sum(ys, axis=0))
+    clip = lambda v, n: np.clip(np.where(sound, v, -1), -1, n).astype(np.int64)
+    ax, bx = np.maximum(clip(np.floor(np.min(xs, axis=0)), width), 0), np.minimum(clip(np.ceil(np.max(xs, axis=0)) - 1, width), width - 1)
+    ay, by = np.maximum(clip(np.floor(np.min(ys, axis=0)), height), 0), np.minimum(clip(np.ceil(np.max(ys, axis=0)) - 1, height), height - 1)
+    whose, py = _ranges(ay, np.where(bx >= ax, np.maximum(by - ay + 1, 0), 0))
+    across = (bx - ax + 1)[whose]
+    for at in _slices(across, PIXELS):
+        i, px = _ranges(ax[whose[at]], across[at])
+        line, i = py[at][i], whose[at][i]
+        rx, ry = px + 0.5 - x[i], line + 0.5 - y[i]
+        lx = np.where(straight[i], px - x0[i], x[i] + rx * cos[i] + ry * sin[i] - x0[i])
+        ly = np.where(straight[i], line - y0[i], y[i] - rx * sin[i] + ry * cos[i] - y0[i])
+        on = (lx >= 0) & (ly >= 0) & (lx < w[i]) & (ly < h[i])
+        i, lx, ly = i[on], lx[on], ly[on]
+        own = pa.array(i)
+        u, v = np.minimum(np.floor(lx / s[i]), iw[i] - 1), np.minimum(np.floor(ly / s[i]), ih[i] - 1)
+        cells = [pa.array(c.astype(np.int32)) for c in (px[on], line[on], u, v)]
+        yield pa.RecordBatch.from_arrays([*[b.column(k).take(own) for k in (*KEYS, "icon")], *cells], names=[*KEYS, "icon", "px", "py", "u", "v"])
+
+
+def _slices(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of n whose sums are at most `most`, or one entry."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        done = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, done + most, side="right")), at + 1)
+        yield slice(at, to)
+        at = to
+
+
 def icons(points: DataFrame, atlas: DataFrame, width: int, height: int, anchor: str = "center") -> DataFrame:
     """Points (keys, x, y, icon, scale, rotation in degrees, dx, dy) as the pixels of their icons.
 
     atlas (icon, u, v, rgba) has a row for each pixel of each icon; an icon is as large as its
     greatest u and v, and pixels without a row are clear. A point's target pixels are generated
     from the box of its turned icon and mapped back to the nearest pixel of it; these meet the atlas
-    by an equi-join, so a common icon spreads over its pixels. dx and dy move the anchor, about
+    by an equi-join, so a common icon spreads over its pixels. The atlas is written first: a small one
+    is known to be small and its joins need no shuffle of the pixels. dx and dy move the anchor, about
     which the icon turns. A null scale is 1, other nulls of size, turn and offset are 0; points
     without a place, of an unknown icon or of a size below one pixel draw nothing.
     """
     whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
-    sizes = atlas.filter("icon IS NOT NULL").groupBy("icon").agg((F.max("u") + 1).alias("_iw"), (F.max("v") + 1).alias("_ih"))
-    placed = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*KEYS, "icon", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("_x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("_y"), F.coalesce("scale", F.lit(1.0)).alias("_s"), F.radians(F.coalesce("rotation", F.lit(0.0))).alias("_turn"))
+    atlas = kept(atlas.select("icon", "u", "v", "rgba"))
+    sizes = kept(atlas.filter("icon IS NOT NULL").groupBy("icon").agg((F.max("u") + 1).alias("_iw"), (F.max("v") + 1).alias("_ih")))
+    placed = spread(points.filter("x IS NOT NULL AND y IS NOT NULL"), *KEYS).select(*KEYS, "icon", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("_x"), (F.col("y") + F.coalesce("dy", F.lit(0.0))).alias("_y"), F.coalesce("scale", F.lit(1.0)).alias("_s"), F.radians(F.coalesce("rotation", F.lit(0.0))).alias("_turn"))
     placed = placed.join(sizes, "icon").withColumns({"_w": whole(F.col("_iw") * F.col("_s")), "_h": whole(F.col("_ih") * F.col("_s"))}).filter("_w > 0 AND _h > 0")
     back_x = F.lit(0.0) if "left" in anchor else F.col("_w") if "right" in anchor else F.floor(F.col("_w") / 2)
     back_y = F.lit(0.0) if "top" in anchor else F.col("_h") if "bottom" in anchor else F.floor(F.col("_h") / 2)
     placed = placed.withColumns({"_x0": whole(F.col("_x")) - back_x, "_y0": whole(F.col("_y")) - back_y, "_sin": F.sin("_turn"), "_cos": F.cos("_turn")})
-    # the box of the turned corners
-    xs, ys = [], []
-    for right in (0, 1):
-        for low in (0, 1):
-            rx, ry = F.col("_x0") + F.col("_w") * right - F.col("_x"), F.col("_y0") + F.col("_h") * low - F.col("_y")
-            straight = F.col("_turn") == 0
-            xs.append(F.when(straight, F.col("_x0") + F.col("_w") * right).otherwise(F.col("_x") + rx * F.col("_cos") - ry * F.col("_sin")))
-            ys.append(F.when(straight, F.col("_y0") + F.col("_h") * low).otherwise(F.col("_y") + rx * F.col("_sin") + ry * F.col("_cos")))
-    clip = lambda v, n: F.least(F.lit(float(n)), F.greatest(F.lit(-1.0), v))
-    box = (clip(F.floor(F.least(*xs)), width), clip(F.floor(F.least(*ys)), height), clip(F.ceil(F.greatest(*xs)) - 1, width), clip(F.ceil(F.greatest(*ys)) - 1, height))
-    rows = _onto(placed, *box, width, height)
-    rx, ry = F.col("px") + 0.5 - F.col("_x"), F.col("py") + 0.5 - F.col("_y")
-    lx = F.when(F.col("_turn") == 0, F.col("px") - F.col("_x0")).otherwise(F.col("_x") + rx * F.col("_cos") + ry * F.col("_sin") - F.col("_x0"))
-    ly = F.when(F.col("_turn") == 0, F.col("py") - F.col("_y0")).otherwise(F.col("_y") - rx * F.col("_sin") + ry * F.col("_cos") - F.col("_y0"))
-    rows = rows.withColumns({"_lx": lx, "_ly": ly}).filter("_lx >= 0 AND _ly >= 0 AND _lx < _w AND _ly < _h")
-    rows = rows.select(*KEYS, "px", "py", "icon", F.least(F.floor(F.col("_lx") / F.col("_s")), F.col("_iw") - 1).cast("int").alias("u"), F.least(F.floor(F.col("_ly") / F.col("_s")), F.col("_ih") - 1).cast("int").alias("v"))
+    numbers = ["_x", "_y", "_s", "_turn", "_iw", "_ih", "_w", "_h", "_x0", "_y0", "_sin", "_cos"]
+    own = placed.select(*KEYS, "icon", *[F.col(c).cast("double").alias(c) for c in numbers])
+    schema = T.StructType([*[f for f in own.schema.fields if f.name not in numbers], *[T.StructField(k, T.IntegerType()) for k in ("px", "py", "u", "v")]])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _icon_pixels(b, width, height)
+
+    rows = own.mapInArrow(drawn, schema)
     return rows.join(atlas.select("icon", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "rgba"), ["icon", "u", "v"]).select(*KEYS, "px", "py", "rgba")
 
 

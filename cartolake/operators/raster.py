@@ -25,6 +25,8 @@ KEYS = ["canvas", "layer_ord", "fid"]
 POLYGONS = 2048
 #: Pixels that a task has at hand at a time.
 PIXELS = 1 << 18
+#: Pixel rows of a line that a task holds together.
+BAND = 256
 
 
 def _range(low: Column, high: Column, n: int) -> Column:
@@ -71,7 +73,7 @@ def segments(lines: DataFrame, dashes: list[float] | None = None) -> DataFrame:
 
     # lengths first, in one pass, so that a segment's row doesn't carry its line
     cut = F.aggregate(F.slice("pts", 2, F.size("pts") - 1), zero, grow, lambda s: s["segs"])
-    rows = lines.filter(F.size("pts") >= 2).withColumn("_s", cut).drop("pts")
+    rows = spread(lines.filter(F.size("pts") >= 2), *KEYS).withColumn("_s", cut).drop("pts")
     rows = rows.select(*[c for c in rows.columns if c != "_s"], F.posexplode("_s").alias("_i", "_seg"))
     rows = rows.select("*", *[F.col(f"_seg.{c}").alias("_len" if c == "len" else c) for c in ("x0", "y0", "x1", "y1", "at", "len")])
     if dashes is not None:
@@ -95,37 +97,101 @@ def strokes(segs: DataFrame, width: int, height: int, cap: str = "butt", smooth:
     A pixel is covered if its centre is within half the width of the segment; each row of pixels
     gives the span that the band of the segment has there. Round caps (and
     joins) come from the distance to the end points, square caps from segments that are longer by
-    half the width; smooth covers edges by distance.
+    half the width; smooth covers edges by distance. A column `cap` tells the caps of single
+    segments. Segments are dealt by line and band of BAND pixel rows, sorted and streamed: a task
+    holds the pixels of one line in one band. Segments without a finite place draw nothing.
     """
-    half = F.col("line_width") / 2.0
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    size2 = dx * dx + dy * dy
-    edge = 0.5 if smooth else 0.0
-    reach = half * (2.0 if cap == "square" else 1.0) + 1
-    clip = lambda v, n: F.least(F.lit(float(n)), F.greatest(F.lit(-1.0), v))
-    rows = segs.withColumn("py", F.explode(_range(clip(F.floor(F.least("y0", "y1") - reach), height), clip(F.ceil(F.greatest("y0", "y1") + reach), height), height)))
-    # the band of the segment's line meets a row of pixels in one span; only that is tried, not the segment's box
-    low, high = F.floor(F.least("x0", "x1") - reach), F.ceil(F.greatest("x0", "x1") + reach)
-    slope = F.when(dy != 0, dx / F.when(dy != 0, dy).otherwise(1.0))
-    middle = F.col("x0") + (F.col("py") + 0.5 - F.col("y0")) * slope
-    spread = (half + edge) * F.sqrt(slope * slope + 1.0) + 1.0
-    low, high = F.greatest(low, F.floor(middle - spread)), F.least(high, F.ceil(middle + spread))
-    rows = rows.withColumn("px", F.explode(_range(clip(low, width), clip(high, width), width)))
-    ux, uy = F.col("px") + 0.5 - F.col("x0"), F.col("py") + 0.5 - F.col("y0")
-    along = (ux * dx + uy * dy) / F.when(size2 > 0, size2).otherwise(1.0)
-    over = F.when(size2 > 0, half / F.sqrt(F.when(size2 > 0, size2).otherwise(1.0))).otherwise(0.0)
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
-    d = F.sqrt(F.pow(ux - dx * t, 2) + F.pow(uy - dy * t, 2))
-    across = F.abs(ux * dy - uy * dx) / F.sqrt(F.when(size2 > 0, size2).otherwise(1.0))
-    cover = F.least(F.lit(1.0), half + edge - (d if cap == "round" else across)) if smooth else F.when((d if cap == "round" else across) <= half, 1.0).otherwise(0.0)
-    if cap != "round":
-        longer = over if cap == "square" else F.lit(0.0)
-        cover = F.when((size2 > 0) & (along >= -longer) & (along <= longer + 1.0), cover).otherwise(0.0)
-    rows = rows.withColumn("_c", cover).filter("_c > 0")
-    hit = rows.groupBy(*KEYS, "px", "py").agg(F.max("_c").alias("_c"), F.first("rgba").alias("rgba"))
+    segs = segs if "cap" in segs.columns else segs.withColumn("cap", F.lit(cap))
+    reach = F.col("line_width") + 1.5
+    first, last = (F.floor(f("y0", "y1") / BAND + d * reach / BAND) for f, d in ((F.least, -1), (F.greatest, 1)))
+    first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit((height - 1) // BAND))
+    bands = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "line_width")]
+    own = segs.select(*KEYS, "rgba", *numbers, F.col("cap").isin("round").alias("_round"), F.col("cap").isin("square").alias("_square"), F.explode(bands).alias("_band"))
+    own = spread(own, *KEYS, "_band").sortWithinPartitions(*KEYS, "_band")
+    schema = T.StructType([*[own.schema[k] for k in (*KEYS, "rgba")], T.StructField("px", T.IntegerType()), T.StructField("py", T.IntegerType()), T.StructField("_c", T.DoubleType())])
+    hit = own.mapInArrow(lambda batches: _stroked(batches, width, height, 0.5 if smooth else 0.0), schema)
     return hit.select(*KEYS, "px", "py", faded(F.col("rgba"), F.col("_c")).alias("rgba") if smooth else "rgba")
 
 
+def _stroked(batches: Iterator[pa.RecordBatch], width: int, height: int, edge: float) -> Iterator[pa.RecordBatch]:
+    """Pixels of sorted segments, each pixel of a line and band once with its most cover; edge 0 covers whole pixels."""
+    names = [*KEYS, "rgba", "_band"]
+    before: pa.RecordBatch | None = None  # a row of the line and band that is still coming
+    codes, covers = np.zeros(0, np.int64), np.zeros(0)
+
+    def once(code: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not edge:
+            code = np.unique(code)
+            return code, np.ones(len(code))
+        by = np.lexsort((cover, code))
+        code, cover = code[by], cover[by]
+        top = np.append(code[1:] != code[:-1], True) if len(code) else np.zeros(0, bool)
+        return code[top], cover[top]
+
+    def rows(source: pa.RecordBatch, first: np.ndarray, code: np.ndarray, cover: np.ndarray) -> pa.RecordBatch:
+        own, inside = pa.array(first[code // (BAND * width)]), code % (BAND * width)
+        band = source.column("_band").take(own).to_numpy(zero_copy_only=False)
+        cells = [pa.array((inside % width).astype(np.int32)), pa.array((band * BAND + inside // width).astype(np.int32)), pa.array(cover)]
+        return pa.RecordBatch.from_arrays([*[source.column(k).take(own) for k in (*KEYS, "rgba")], *cells], names=[*KEYS, "rgba", "px", "py", "_c"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        source = pa.Table.from_batches(([b.slice(0, 1).select(names)] if before is None else [before]) + [b.select(names)]).combine_chunks().to_batches()[0]
+        other = np.zeros(b.num_rows, bool)
+        for k in (*KEYS, "_band"):
+            code = source.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            other |= code[1:] != code[:-1]
+        group = np.cumsum(other)
+        first = np.append(0, np.flatnonzero(other) + 1)
+        x0, y0, x1, y1, half = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1", "line_width"))
+        half = half / 2.0
+        band = b.column("_band").to_numpy(zero_copy_only=False)
+        rounded, squared = (b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_round", "_square"))
+        dx, dy = x1 - x0, y1 - y0
+        size2 = dx * dx + dy * dy
+        sound = np.isfinite(size2 + x0 + y0 + half)
+        reach = half * np.where(squared, 2.0, 1.0) + 1
+        clip = lambda v, n, ok: np.clip(np.where(ok, v, -1), -1, n).astype(np.int64)
+        low = np.maximum(clip(np.floor(np.minimum(y0, y1) - reach), height, sound), band * BAND)
+        high = np.minimum(np.minimum(clip(np.ceil(np.maximum(y0, y1) + reach), height, sound), height - 1), band * BAND + BAND - 1)
+        i, py = _ranges(low, np.where(sound, np.maximum(high - low + 1, 0), 0))
+        # the band of the segment's line meets a row of pixels in one span; only that is tried, not the segment's box
+        level = dy[i] == 0
+        slope = dx[i] / np.where(level, 1.0, dy[i])
+        middle, wide = x0[i] + (py + 0.5 - y0[i]) * slope, (half[i] + edge) * np.sqrt(slope * slope + 1.0) + 1.0
+        left, right = np.floor(np.minimum(x0, x1) - reach)[i], np.ceil(np.maximum(x0, x1) + reach)[i]
+        left = np.maximum(clip(np.where(level, left, np.maximum(left, np.floor(middle - wide))), width, True), 0)
+        right = np.minimum(clip(np.where(level, right, np.minimum(right, np.ceil(middle + wide))), width, True), width - 1)
+        across = np.maximum(right - left + 1, 0)
+        for at in _slices(across, PIXELS):
+            k, px = _ranges(left[at], across[at])
+            line, k = py[at][k], i[at][k]
+            ux, uy, some = px + 0.5 - x0[k], line + 0.5 - y0[k], size2[k] > 0
+            size = np.where(some, size2[k], 1.0)
+            along = (ux * dx[k] + uy * dy[k]) / size
+            t = np.minimum(1.0, np.maximum(0.0, along))
+            ex, ey = ux - dx[k] * t, uy - dy[k] * t
+            away = np.where(rounded[k], np.sqrt(ex * ex + ey * ey), np.abs(ux * dy[k] - uy * dx[k]) / np.sqrt(size))
+            cover = np.minimum(1.0, half[k] + edge - away) if edge else (away <= half[k]).astype(np.float64)
+            longer = np.where(some & squared[k], half[k] / np.sqrt(size), 0.0)
+            on = (cover > 0) & (rounded[k] | some & (along >= -longer) & (along <= longer + 1.0))
+            k, px, line = k[on], px[on], line[on]
+            codes, covers = once(np.append(codes, group[k] * (BAND * width) + (line - band[k] * BAND) * width + px), np.append(covers, cover[on]))
+            done = int(np.searchsorted(codes, group[i[at][-1]] * (BAND * width)))
+            if done:
+                yield rows(source, first, codes[:done], covers[:done])
+                codes, covers = codes[done:], covers[done:]
+        done = int(np.searchsorted(codes, group[-1] * (BAND * width)))
+        if done:
+            yield rows(source, first, codes[:done], covers[:done])
+        codes, covers = codes[done:] - group[-1] * (BAND * width), covers[done:]
+        before = source.slice(source.num_rows - 1, 1)
+    if len(codes):
+        yield rows(before, np.zeros(1, np.int64), codes, covers)
+
+
 def _spans(rings: pa.Array, width: int, height: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Polygon, scan line, first pixel and number of pixels of each span of the polygons, even-odd, by polygon and line."""
     owner = pc.list_parent_indices(rings).to_numpy()

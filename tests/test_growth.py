@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolake import queries
 from cartolake.functions.values import color
-from cartolake.operators import raster
+from cartolake.operators import raster, stacks
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +27,28 @@ def test_the_last_colour_of_a_pixel_is_hashed_and_null_orders_lie_below(spark):
 def test_pixels_of_icons_meet_a_small_atlas_without_a_shuffle(spark):
     text = plan(queries.icon_marks(spark, SF))
     assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text and "REPARTITION_BY_NUM" in text
+
+
+def test_pixels_of_strokes_are_not_shuffled(spark):
+    lines = spark.range(40).select(F.lit("a").alias("canvas"), F.lit(0).alias("layer_ord"), F.col("id").alias("fid"), F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((2.0, 2.0), (9.0, 2.0), (9.0, 300.0))]).alias("pts"), F.lit(2.0).alias("line_width"), color(1, 2, 3).alias("rgba"))
+    out = raster.strokes(raster.segments(lines), 16, 400, "round")
+    assert "Aggregate" not in plan(out)
+    rows = out.groupBy("fid").agg(F.count("*").alias("n"), F.countDistinct("px", "py").alias("d")).collect()
+    assert len(rows) == 40 and {(r["n"], r["d"]) for r in rows} == {(rows[0]["n"], rows[0]["n"])} and rows[0]["n"] > 600
+
+
+def test_last_layers_settle_a_pixel_or_leave_it_to_the_stream(spark, monkeypatch):
+    rows = [(px, i, (i * 37 + px) % 256, 3 if px < 4 else 100 + i % 30, 255 if px == 7 and i == 90 else None) for px in range(8) for i in range(200)]
+    df = spark.createDataFrame(rows, "px int, fid long, v int, a int, full int").repartition(5)
+    df = df.select(F.lit("c").alias("canvas"), F.lit(0).alias("layer_ord"), "fid", "px", F.lit(0).alias("py"), color(F.col("v"), 255 - F.col("v"), 0, F.coalesce("full", "a")).alias("rgba"))
+    streamed = []
+    whole = stacks._whole_stacks
+    monkeypatch.setattr(stacks, "_whole_stacks", lambda flat, place: streamed.extend(r["px"] for r in flat.select("px").distinct().collect()) or whole(flat, place))
+    got = {r["px"]: tuple(r["rgba"]) for r in raster.blend(df).collect()}
+    for px in range(8):
+        own = [r for r in rows if r[0] == px]
+        alphas = [r[4] or r[3] for r in own]
+        ends = [stacks._run(0, 0, tops, alphas) for tops in ([r[2] for r in own], [255 - r[2] for r in own], [0] * 200)]
+        assert got[px] == (ends[0][0], ends[1][0], ends[2][0], ends[0][1])
+    # faint layers are streamed whole; most others need their last layers only
+    assert {0, 1, 2, 3} <= set(streamed) and len(set(streamed)) < 8

@@ -40,15 +40,14 @@ def _bevels(lines: DataFrame) -> DataFrame:
 
 def _line_pixels(lines: DataFrame, width: int, height: int, cap: str, join: str, dashes: list[float] | None) -> DataFrame:
     """Strokes with joins; each pixel of a line once. Miter joins are drawn round."""
-    segs = raster.segments(lines, dashes)
-    parts = [raster.strokes(segs, width, height, cap)]
-    if dashes is None:
-        if join == "bevel":
-            parts.append(raster.fills(_bevels(lines), width, height).select(*raster.KEYS, "px", "py", "rgba"))
-        else:
-            inner = segs.filter("seg > 0").withColumns({"x1": F.col("x0"), "y1": F.col("y0")})
-            parts.append(raster.strokes(inner, width, height, "round"))
-    every = reduce(DataFrame.unionByName, parts)
+    segs = raster.segments(lines, dashes).withColumn("cap", F.lit(cap))
+    if dashes is None and join != "bevel":
+        inner = segs.filter("seg > 0").withColumns({"x1": F.col("x0"), "y1": F.col("y0"), "cap": F.lit("round")})
+        segs = segs.unionByName(inner)
+    drawn = raster.strokes(segs, width, height)
+    if dashes is not None or join != "bevel":
+        return drawn
+    every = drawn.unionByName(raster.fills(_bevels(lines), width, height).select(*raster.KEYS, "px", "py", "rgba"))
     return every.groupBy(*raster.KEYS, "px", "py").agg(F.first("rgba").alias("rgba"))
 
 

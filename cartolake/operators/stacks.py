@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -198,6 +199,7 @@ def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+@lru_cache(maxsize=1)
 def _caps() -> np.ndarray:
     """The most alpha that layers of at most each alpha can come to; 255 only over an opaque one."""
     alphas, out = np.arange(255), np.zeros(256, np.int32)

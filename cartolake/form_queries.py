@@ -211,7 +211,7 @@ def _part_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @query("SELECT p_partkey::VARCHAR AS path, fid, kind, vertices, length * k AS length, area * k * k AS area, CASE WHEN named THEN p_brand END AS a, c, b FROM (VALUES (0, 'MultiPoint', 2, 0e0, 0e0, TRUE, NULL::DOUBLE, NULL::BOOLEAN), (1, 'LineString', 3, 1e0, 0e0, NULL, NULL, NULL), (2, 'MultiLineString', 4, 0.75e0, 0e0, NULL, 2.5e0, NULL), (3, 'Polygon', 5, 2e0, 0.25e0, NULL, NULL, NULL), (4, 'Polygon', 10, 3e0, 0.1875e0, NULL, NULL, TRUE), (5, 'MultiPolygon', 10, 2e0, 0.125e0, NULL, 0.25e0, NULL)) t(fid, kind, vertices, length, area, named, c, b), (SELECT *, 1 + p_partkey % 3 AS k FROM part)")
 def mvt_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile a part: points, lines, a hole by its winding, and two parts, in a layer found by name; tags that point nowhere are dropped."""
-    files = read(spark, sf_dir, "part").select("p_partkey", "p_brand").mapInPandas(_part_tiles, "path string, content binary")
+    files = scratch.spread(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").mapInPandas(_part_tiles, "path string, content binary")
     g = F.col("geom")
     out = vector_tiles.decode_tiles(files).filter(F.col("layer") == "shapes")
     return out.select("path", "fid", F.col("geom.kind").alias("kind"), F.size(geometry.vertices(g)).alias("vertices"), geometry.length(g).alias("length"), geometry.area(g).alias("area"), vector_tiles.prop("a", "string").alias("a"), vector_tiles.prop("c", "number").alias("c"), vector_tiles.prop("b", "boolean").alias("b"))
@@ -227,7 +227,7 @@ def _esri_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [("u", "Line", _UNIQUE), ("f", "Polygon", _FILL), ("m", "Point", _LABEL)]
     every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("g"), F.lit(d).alias("d")) for k, g, d in kinds])).alias("s")
     text = F.replace(F.replace("s.d", F.lit("x-1"), "p_brand"), F.lit("[1,2,3,"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(",2,3,")))
-    return read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", every).select(F.concat("s.k", "p_partkey").alias("id"), F.col("s.g").alias("geometry"), text.alias("info_json"))
+    return scratch.spread(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", "p_brand", "p_size", every).select(F.concat("s.k", "p_partkey").alias("id"), F.col("s.g").alias("geometry"), text.alias("info_json"))
 
 
 _MATCH = """'["match",["concat",["to-string",["get","A"]],"-",["to-string",["get","B"]]],"' || p_brand || '",'"""
@@ -267,7 +267,7 @@ _WH = "(SELECT o_orderkey AS fid, (1 + o_custkey % 7)::DOUBLE AS w, (1 + o_order
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fid"), (1 + F.col("o_custkey") % 7).cast("double").alias("w"), (1 + F.col("o_orderkey") % 5).cast("double").alias("h"))
+    return scratch.spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_orderkey").alias("fid"), (1 + F.col("o_custkey") % 7).cast("double").alias("w"), (1 + F.col("o_orderkey") % 5).cast("double").alias("h"))
 
 
 @query(f"SELECT fid, w * 10 AS screen_x, (6 - h) * 10 AS screen_y, w > 1.5 AND h > 0.5 AS inside, w AS mid_x, h / 2 AS mid_y, round(pi() / 2, 9) AS angle, TRUE AS beyond, round(w - sqrt(2e0), 9) AS off_x, round(sqrt(2e0), 9) AS off_y, w - 2 AS end_x FROM {_WH}")

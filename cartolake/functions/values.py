@@ -66,7 +66,7 @@ def number_text(x: Column) -> Column:
         .when(F.isnan(x), "NaN")
         .when(x == float("inf"), "inf")
         .when(x == float("-inf"), "-inf")
-        .when((x == F.floor(x)) & (size < 1e15), F.format_string("%.0f", F.when(x == 0, F.lit(0.0)).otherwise(x)))
+        .when((x == F.floor(x)) & (size < 1e15), x.cast("long").cast("string"))
         .when(size >= 1e15, F.format_string("%.0f", x))
         .when(size < 1e-3, F.when(size >= 1e-37, trimmed(37)).otherwise("0"))
         .when(size >= 1e7, trimmed(18))

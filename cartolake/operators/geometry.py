@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +21,7 @@ GEOMETRY = f"struct<kind:string,paths:array<struct<part:int,hole:boolean,pts:{PO
 _POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 _PATH_TYPE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("hole", T.BooleanType()), T.StructField("pts", T.ArrayType(_POINT_TYPE))])
 GEOMETRY_TYPE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("paths", T.ArrayType(_PATH_TYPE))])
+_ARROW_GEOMETRY = pa.struct([("kind", pa.string()), ("paths", pa.list_(pa.struct([("part", pa.int32()), ("hole", pa.bool_()), ("pts", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])))])
 KINDS = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
 
 
@@ -245,7 +246,8 @@ def from_wkt(wkt: Column) -> Column:
         "MultiPolygon": rf"MULTIPOLYGON\s*\(\s*\(\s*{rings}\s*\)(?:\s*,\s*\(\s*{rings}\s*\))*+\s*\)",
     }
     s = F.btrim(wkt)
-    numbers = lambda t: F.transform(F.regexp_extract_all(t, F.lit(pair), F.lit(0)), lambda p: point(F.get(F.split(p, r"\s+"), F.lit(0)), F.get(F.split(p, r"\s+"), F.lit(1))))
+    split = lambda t: F.transform(F.regexp_extract_all(t, F.lit(pair), F.lit(0)), lambda p: F.split(p, r"\s+"))
+    numbers = lambda t: F.transform(split(t), lambda p: point(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
     all_rings = lambda t: F.regexp_extract_all(t, F.lit(ring), F.lit(0))
     path = lambda part, hole, pts: F.struct(part.cast("int").alias("part"), hole.alias("hole"), pts.alias("pts"))
     no = F.lit(False)
@@ -301,17 +303,17 @@ class _Reader:
         return kind, [p for i in range(n) for p in self.geometry(i)[1]]
 
 
-@F.pandas_udf(GEOMETRY_TYPE)
-def from_wkb(data: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(GEOMETRY_TYPE)
+def from_wkb(data: pa.Array) -> pa.Array:
     """Geometries from WKB of types 1 to 6, either byte order; null where bytes are missing or the type is another."""
     out = []
-    for x in data:
+    for x in data.to_pylist():
         try:
             kind, paths = _Reader(bytes(x)).geometry()
             out.append({"kind": kind, "paths": paths})
         except (ValueError, TypeError):
             out.append({"kind": None, "paths": None})
-    return pd.DataFrame(out, columns=["kind", "paths"])
+    return pa.array(out, _ARROW_GEOMETRY)
 
 
 def _wkb(kind: str, paths: list) -> bytes:
@@ -330,7 +332,7 @@ def _wkb(kind: str, paths: list) -> bytes:
     return head + struct.pack("<I", len(parts)) + b"".join(_wkb(kind[5:], p) for p in parts.values())
 
 
-@F.pandas_udf(T.BinaryType())
-def to_wkb(geom: pd.DataFrame) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def to_wkb(geom: pa.Array) -> pa.Array:
     """Little-endian WKB; null where the geometry is."""
-    return pd.Series([None if k is None else _wkb(k, list(p)) for k, p in zip(geom["kind"], geom["paths"], strict=True)])
+    return pa.array([None if g is None or g["kind"] is None else _wkb(g["kind"], g["paths"]) for g in geom.to_pylist()], pa.binary())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cartolake.functions import symbology, values
 from cartolake.functions.expressions import Context, compile_expression
 from cartolake.functions.registry import FunctionRegistry
-from cartolake.operators import classify, cluster, density, geometry, labels, raster, svg, temporal, terrain, tiles
+from cartolake.operators import classify, cluster, density, geometry, labels, raster, scratch, svg, temporal, terrain, tiles
 from cartolake.operators.filters import FilterBuilder
 from cartolake.plans.rules import Rule, cascade
 from cartolake.plans.style import apply_style, color_text, parse_style, with_sprites
@@ -48,7 +48,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as closed rectangles."""
-    o = read(spark, sf_dir, "orders")
+    o = scratch.spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     w, h = F.lit(1) + F.col("o_custkey") % 7, F.lit(1) + F.col("o_orderkey") % 5
     corner = lambda x, y: geometry.point(x, y)
     zero = F.lit(0)
@@ -659,7 +659,7 @@ def _event_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @query("SELECT event_id::VARCHAR AS path, CASE WHEN ok THEN 'places' END AS layer, CASE WHEN ok THEN (event_id * 37 % 4096) / 4096e0 END AS x, CASE WHEN ok THEN 1 - (event_id * 91 % 4096) / 4096e0 END AS y, CASE WHEN ok THEN event_type END AS name, CASE WHEN NOT ok THEN 'broken field' END AS error FROM (SELECT *, event_id % 10 <> 3 AS ok FROM events)")
 def mvt_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tile an event, one in ten of them broken."""
-    files = read(spark, sf_dir, "events").select("event_id", "event_type").mapInPandas(_event_tiles, "path string, content binary")
+    files = scratch.spread(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").mapInPandas(_event_tiles, "path string, content binary")
     out = vector_tiles.decode_tiles(files)
     p = F.get(geometry.vertices(F.col("geom")), F.lit(0))
     return out.select("path", "layer", p["x"].alias("x"), p["y"].alias("y"), vector_tiles.prop("name", "string").alias("name"), "error")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartolake import queries
+from cartolake import form_queries, queries  # noqa: F401
 from cartolake.functions.values import color
 from cartolake.operators import raster, stacks
 
@@ -52,3 +52,8 @@ def test_last_layers_settle_a_pixel_or_leave_it_to_the_stream(spark, monkeypatch
         assert got[px] == (ends[0][0], ends[1][0], ends[2][0], ends[0][1])
     # faint layers are streamed whole; most others need their last layers only
     assert {0, 1, 2, 3} <= set(streamed) and len(set(streamed)) < 8
+
+
+def test_rows_of_one_file_are_dealt_before_they_grow(spark):
+    for q in ("geom_kinds", "geom_places", "wkt_wkb_roundtrip", "smooth_fill", "mvt_shapes", "mvt_decode", "esri_layers", "esri_losses"):
+        assert "REPARTITION_BY_NUM" in plan(queries.QUERIES[q](spark, SF)), q

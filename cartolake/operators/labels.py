@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.operators.geometry import at_distance, path_length
@@ -44,7 +44,11 @@ _DECIDED = "uid long, px double, py double"
 
 
 def _decide(width: float, height: float, pad: float, by_priority: bool, lower_left: bool):
-    """One tile's part of a round: its own labels in order, as far as no earlier label nearby is open."""
+    """One tile's part of a round: its own labels in order, as far as no room that they want may go to an earlier open label.
+
+    Room that is taken stays so. A label without free room left is out, whatever waits, and an open
+    one keeps others from its free room only. What is out at a spot is out for all later labels of its size there.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = ["priority", "fid", "uid"] if by_priority else ["fid", "uid"]
@@ -52,32 +56,58 @@ def _decide(width: float, height: float, pad: float, by_priority: bool, lower_le
         pdf = pdf[pdf["kind"] != PLACED].sort_values(order, ascending=[False, True, True] if by_priority else True, kind="stable")
         taken: dict[tuple[int, int], list[Box]] = {}
         waiting: dict[tuple[int, int], list[Box]] = {}
+        full: set[Box] = set()
         for r in there.itertuples(index=False):
             _add(taken, (r.x0, r.y0, r.x1, r.y1))
         out = []
         for r in pdf.itertuples(index=False):
-            reach = (r.x0, r.y0, r.x1, r.y1)
-            if r.kind == FOREIGN or _overlaps(waiting, reach):
-                _add(waiting, reach)
-                continue
-            dx, dy = r.width + 2 * pad, r.height + 2 * pad
-            moves = [(0, 0), (dx, 0), (-dx, 0), (0, -dy), (0, dy), (dx, -dy), (-dx, -dy), (dx, dy)] + ([(-dx, dy)] if lower_left else [])
-            at = (None, None)
-            for mx, my in moves if by_priority else moves[:1]:
-                x, y = r.x + mx, r.y + my
-                if by_priority and (x < 0 or y < 0 or x + r.width > width or y + r.height > height):
-                    continue
+            spot = (r.x, r.y, r.width, r.height)
+            free = []
+            for x, y in () if spot in full else _spots(spot, width, height, pad, by_priority, lower_left):
                 box = (x - pad, y - pad, x + r.width + pad, y + r.height + pad)
                 if not _overlaps(taken, box):
-                    _add(taken, box)
-                    at = (x, y)
-                    break
-            out.append((r.uid, *at))
+                    free.append((x, y, box))
+                    if r.kind == OWN and len(free) == 1 and not _overlaps(waiting, box):
+                        break
+            else:
+                if free:
+                    for _, _, box in free:
+                        _add(waiting, box)
+                    continue
+            if free:
+                _add(taken, free[0][2])
+            else:
+                full.add(spot)
+            if r.kind == OWN:
+                out.append((r.uid, *(free[0][:2] if free else (None, None))))
         return pd.DataFrame(out, columns=["uid", "px", "py"]).astype({"uid": "int64", "px": "float64", "py": "float64"})
 
     return run
 
 
+def _spots(label: Box, width: float, height: float, pad: float, by_priority: bool, lower_left: bool) -> list[tuple[float, float]]:
+    """The places that a label (x, y, width, height) tries, in order."""
+    x, y, w, h = label
+    if not by_priority:
+        return [(x, y)]
+    dx, dy = w + 2 * pad, h + 2 * pad
+    moves = [(0, 0), (dx, 0), (-dx, 0), (0, -dy), (0, dy), (dx, -dy), (-dx, -dy), (dx, dy)] + ([(-dx, dy)] if lower_left else [])
+    return [(x + mx, y + my) for mx, my in moves if not (x + mx < 0 or y + my < 0 or x + mx + w > width or y + my + h > height)]
+
+
+def _eligible(rows: DataFrame, pad: float, by_priority: bool, most: int) -> DataFrame:
+    """The first labels of each size at each spot, as many as there are places to try.
+
+    Labels of one size at one spot try the same places: each that is placed takes one of them, and
+    after one that is not no other is. A box without extent takes nothing, so such labels all stay.
+    """
+    solid = (F.col("width") + 2 * pad > 0) & (F.col("height") + 2 * pad > 0)
+    order = ([F.desc_nulls_last("priority")] if by_priority else []) + [F.asc_nulls_last("fid"), F.col("uid")]
+    inside = Window.partitionBy("sheet", "x", "y", "width", "height").orderBy(*order)
+    first = rows.filter(solid).withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= most).drop("_rank")
+    return first.unionByName(rows.filter(~solid))
+
+
 def place_labels(labels: DataFrame, width: float, height: float, padding: float = PADDING, by_priority: bool = True, lower_left: bool = True, per_tile: int = LABELS_A_TILE) -> DataFrame:
     """Labels (canvas, fid, text, x, y, width, height, priority) that find room, with their place.
 
@@ -85,9 +115,10 @@ def place_labels(labels: DataFrame, width: float, height: float, padding: float
     above, below, and the corners). Else in order of fid at the wanted place alone, ignoring
     priority and the canvas's edge. Boxes are padded on both sides. Without lower_left that
     corner isn't tried. The result is that of one pass over all labels of a canvas, but goes in
-    rounds: a label is decided once all earlier labels that could touch it are. Each tile of a
+    rounds: a label is decided once no earlier one that is open could take its room. Each tile of a
     canvas decides its own labels as far as none waits for a label of another tile; tiles lie
-    elsewhere in the next round. Tiles hold about per_tile labels, more where many stand on one spot. Labels
+    elsewhere in the next round. Of labels of one size on one spot only as many go into the rounds
+    as there are places to try. Tiles hold about per_tile labels, more where many spots lie close. Labels
     without a place or a size are left out.
     """
     pad = float(padding) if by_priority else 0.0
@@ -96,6 +127,7 @@ def place_labels(labels: DataFrame, width: float, height: float, padding: float
     rows = rows.dropna(subset=["x", "y", "width", "height"])
     reach = {"x0": F.col("x") - dx - pad, "y0": F.col("y") - dy - pad, "x1": F.col("x") + F.col("width") + dx + pad, "y1": F.col("y") + F.col("height") + dy + pad}
     rows = kept(rows.withColumns(reach).withColumns({"uid": F.monotonically_increasing_id(), "sheet": F.coalesce(F.concat(F.lit("="), F.col("canvas")), F.lit(""))}))
+    rows = kept(_eligible(rows, pad, by_priority, 8 + lower_left if by_priority else 1))
     most = rows.agg(F.max(F.greatest(F.col("x1") - F.col("x"), F.col("x") - F.col("x0"))).alias("rx"), F.max(F.greatest(F.col("y1") - F.col("y"), F.col("y") - F.col("y0"))).alias("ry"), F.max("x").alias("hx"), F.min("x").alias("lx"), F.max("y").alias("hy"), F.min("y").alias("ly"), F.count("*").alias("n"), F.approx_count_distinct("sheet").alias("sheets")).first()
     if not most["n"]:
         return rows.select("canvas", "fid", "text", "x", "y", "width", "height", "priority")

@@ -125,6 +125,23 @@ def test_labels_in_rounds_equal_one_pass(spark, seed, by_priority, lower_left):
     assert labels.place_labels(df.limit(0), 600, 320).count() == 0
 
 
+@pytest.mark.parametrize("by_priority", [True, False])
+def test_a_crowd_on_few_spots_enters_the_rounds_with_few_labels(spark, by_priority, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), i, "t", 25.0 * (i % 12), 9.0 * (i % 5), 20.0, 8.0, rng.choice([None, 0, 1])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "canvas string, fid long, text string, x double, y double, width double, height double, priority int")
+    tables, keep = [], labels.kept
+    monkeypatch.setattr(labels, "kept", lambda d: tables.append(keep(d)) or tables[-1])
+    out = {tuple(r) for r in labels.place_labels(df, 320, 90, by_priority=by_priority).collect()}
+    # null priorities come last
+    want = placed_by_hand([(*r[:7], -1 if r[7] is None else r[7]) for r in rows], 320, 90, 2.0, by_priority)
+    assert {(*r[:7], -1 if r[7] is None else r[7]) for r in out} == want
+    assert tables[1].count() <= 2 * 60 * (9 if by_priority else 1)
+    # labels without extent take no room, so all stay
+    flat = df.withColumns({"width": F.lit(0.0), "height": F.lit(0.0)})
+    assert labels.place_labels(flat, 320, 90, by_priority=False).count() == 3000
+
+
 @pytest.mark.parametrize("smooth", [False, True])
 @pytest.mark.parametrize("cap", ["butt", "round", "square"])
 def test_strokes_equal_all_pixels_tried(spark, cap, smooth):

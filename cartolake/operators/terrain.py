@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,31 +114,101 @@ def contour_lines(dem: DataFrame, interval: float = 10.0, index_interval: float
 
 #: Cells a side of the blocks whose pieces one task strings together.
 BLOCK = 256
+_CHAINS = "level double, s long, e long, least long, crosses boolean, pts array<struct<x:double,y:double>>"
 
 
-def _edge(a: Column, b: Column) -> Column:
-    """The number of a grid edge, the same from both its triangles; rows and columns from 0 to 2**29."""
-    direction = F.when(a["y"] == b["y"], 0).when(a["x"] == b["x"], 1).otherwise(2)
-    return (F.least(a["y"], b["y"]).cast("long") * (1 << 31) + F.least(a["x"], b["x"]).cast("long")) * 4 + direction
+def _ways(after: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece, whose follower is after (-1 for none): the last piece of its way, the pieces on it after this one, the least s from here on, and whether the way ends.
+
+    Pointers double their length each round. On a ring all know the least s when nothing changes.
+    """
+    ended, at = after < 0, np.where(after < 0, np.arange(len(after)), after)
+    hops, least = (~ended).astype(np.int64), s
+    least = np.minimum(least, least[at])
+    while True:
+        # one step beyond what at has: the piece at `at` counts from its own way
+        now_ended, now_least = ended | ended[at], np.minimum(least, least[at])
+        if (now_ended == ended).all() and (now_least == least).all():
+            return at, hops, least, ended
+        hops = np.where(ended, hops, hops + hops[at])
+        at, ended, least = np.where(ended, at, at[at]), now_ended, now_least
 
 
-def _strung(pieces: pd.DataFrame) -> pd.DataFrame:
-    """The pieces of a block as chains: each as long as pieces follow one another here."""
-    out = []
-    for level, own in pieces.groupby("level", sort=False):
-        after = {p.s: (p.e, p.x1, p.y1, p.x2, p.y2) for p in own.itertuples()}
-        ends = {v[0] for v in after.values()}
-        # open chains from their first piece; what is left then are rings
-        for s in [*sorted(set(after) - ends), *sorted(set(after) & ends)]:
-            at, least, pts, last = s, s, [], None
-            while at in after:
-                piece = after.pop(at)
-                least = min(least, at)
-                pts.append({"x": piece[1], "y": piece[2]})
-                at, last = piece[0], {"x": piece[3], "y": piece[4]}
-            if pts:
-                out.append((level, s, at, least, [*pts, last]))
-    return pd.DataFrame(out, columns=["level", "s", "e", "least", "pts"])
+def _strung(level: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a block in order, chain after chain, and where chains begin: each as long as pieces follow one another here.
+
+    A ring begins with its least edge.
+    """
+    steps, edges = np.unique(level, return_inverse=True)[1], np.unique(np.concatenate([s, e]), return_inverse=True)[1]
+    starts, ends = steps * len(s) * 2 + edges[: len(s)], steps * len(s) * 2 + edges[len(s) :]
+    order = np.argsort(starts)
+    found = np.minimum(np.searchsorted(starts[order], ends), len(s) - 1)
+    after = np.where(starts[order][found] == ends, order[found], -1)
+    last, hops, least, ended = _ways(after, s)
+    if not ended.all():
+        closing = ~ended & (e == least)
+        last, hops, _, _ = _ways(np.where(closing, -1, after), s)
+    order = np.lexsort((-hops, last))
+    return order, np.flatnonzero(np.diff(last[order], prepend=-1))
+
+
+def _chains(interval: float, side: int):
+    """The chains of one block from its cells (place, h) and the first row and column of its neighbours'."""
+    wide = side + 1
+    schema = pa.schema([("level", pa.float64()), ("s", pa.int64()), ("e", pa.int64()), ("least", pa.int64()), ("crosses", pa.bool_()), ("pts", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))])
+
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        place, h = cells.column("place").to_numpy(), cells.column("h").to_numpy()
+        height, there = np.full(wide * wide, -np.inf), np.zeros((wide, wide), bool)
+        np.maximum.at(height, place, h)
+        there.ravel()[place] = True
+        r, c = np.nonzero(there[:-1, :-1] & there[:-1, 1:] & there[1:, :-1] & there[1:, 1:])
+        height = height.reshape(wide, wide)
+        corner = [(c + dc + key[1].as_py() * side, r + dr + key[0].as_py() * side, height[r + dr, c + dc]) for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1))]
+        # vertices of both triangles of each cell
+        x, y, z = (np.concatenate([np.stack([corner[v][k] for v in t], 1) for t in ((0, 1, 2), (3, 2, 1))]) for k in range(3))
+        first, end = np.ceil(z.min(1) / interval).astype(np.int64), np.floor(z.max(1) / interval).astype(np.int64) + 1
+        n = np.maximum(end - first, 0)
+        own = np.repeat(np.arange(len(n)), n)
+        level = (first[own] + np.arange(len(own)) - (np.cumsum(n) - n)[own]) * float(interval)
+        above = z[own] >= level[:, None]
+        falls, rises = above & ~np.roll(above, -1, 1), ~above & np.roll(above, -1, 1)
+        met = falls.any(1)
+        own, level, falls, rises = own[met], level[met], falls[met].argmax(1), rises[met].argmax(1)
+        if not len(own):
+            return schema.empty_table()
+
+        def crossing(a: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The number of the edge from vertex a, the same from both its triangles; whether it is on a seam; where the level lies on it. Rows and columns from 0 to 2**29."""
+            b = (a + 1) % 3
+            (ax, bx), (ay, by), (az, bz) = ((v[own, a], v[own, b]) for v in (x, y, z))
+            k = (np.minimum(ay, by) * (1 << 31) + np.minimum(ax, bx)) * 4 + np.where(ay == by, 0, np.where(ax == bx, 1, 2))
+            part = (level - az) / (bz - az)
+            return k, (ay == by) & (ay % side == 0) | (ax == bx) & (ax % side == 0), ax + (bx - ax) * part, ay + (by - ay) * part
+
+        s, s_seam, x1, y1 = crossing(falls)
+        e, e_seam, x2, y2 = crossing(rises)
+        order, begin = _strung(level, s, e)
+        stop = np.append(begin[1:], len(order))
+        head, tail = order[begin], order[stop - 1]
+        # a chain has one point more than it has pieces
+        pts = pa.StructArray.from_arrays([pa.array(np.insert(a[order], stop, b[tail])) for a, b in ((x1, x2), (y1, y2))], names=["x", "y"])
+        offsets = pa.array(np.append(begin + np.arange(len(begin)), len(order) + len(begin)).astype(np.int32))
+        crosses = (s[head] != e[tail]) & (s_seam[head] | e_seam[tail])
+        columns = [level[head], s[head], e[tail], np.minimum.reduceat(s[order], begin), crosses]
+        return pa.Table.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(offsets, pts)], schema=schema)
+
+    return run
+
+
+def _dealt(dem: DataFrame, side: int) -> DataFrame:
+    """(block_row, block_col, place, h): cells with those of the row and column after each block, places in side + 1 columns."""
+    rows = dem.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("elev").cast("double").alias("h")).dropna()
+    inside = {k: F.pmod(k, F.lit(side)) for k in ("row", "col")}
+    blocks = F.array(*[F.when(on, F.struct((F.floor(F.col("row") / side) - up).alias("block_row"), (F.floor(F.col("col") / side) - left).alias("block_col"))) for up, left, on in ((0, 0, F.lit(True)), (1, 0, inside["row"] == 0), (0, 1, inside["col"] == 0), (1, 1, (inside["row"] == 0) & (inside["col"] == 0)))])
+    rows = rows.withColumn("b", F.explode(F.filter(blocks, lambda b: b.isNotNull()))).select("b.*", "row", "col", "h")
+    place = (F.col("row") - F.col("block_row") * side) * (side + 1) + F.col("col") - F.col("block_col") * side
+    return rows.select("block_row", "block_col", place.cast("int").alias("place"), "h")
 
 
 def _jumped(links: DataFrame) -> DataFrame:
@@ -164,26 +235,25 @@ def contour_polylines(dem: DataFrame, interval: float = 10.0, index_interval: fl
 
     Pieces go from the edge where their triangle falls below the level to the one where it rises
     again, so pieces of neighbours follow one another by the edge they share. Blocks of cells
-    string their own pieces; chains that cross blocks are put in order by pointer jumping. line is
-    the last edge of an open line, the least of a closed one. Null heights have no cells; an empty
-    grid gives no lines.
+    string their own pieces as arrays, with one shuffle of the cells; only chains with an end on a
+    seam of blocks are put in order by pointer jumping. line is the last edge of an open line, the
+    least of a closed one. Null heights and those that are no numbers have no cells; an empty grid
+    gives no lines.
     """
-    t = [F.get("t", F.lit(i)) for i in range(3)]
-    side = lambda c: F.filter(F.array(*[F.when((a["e"] >= F.col("level")) == F.lit(c == "falls"), F.when((b["e"] >= F.col("level")) == F.lit(c != "falls"), F.struct(_edge(a, b).alias("k"), _on_edge(a, b).alias("p")))) for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]), lambda h: h.isNotNull())
-    rows = _crossed(dem, interval).withColumns({"_f": F.get(side("falls"), F.lit(0)), "_u": F.get(side("rises"), F.lit(0))}).filter("_f IS NOT NULL AND _u IS NOT NULL")
-    pieces = rows.select(F.floor(F.col("row") / BLOCK).alias("_r"), F.floor(F.col("col") / BLOCK).alias("_c"), "level", F.col("_f.k").alias("s"), F.col("_u.k").alias("e"), F.col("_f.p.x").alias("x1"), F.col("_f.p.y").alias("y1"), F.col("_u.p.x").alias("x2"), F.col("_u.p.y").alias("y2"))
-    chains = kept(pieces.groupBy("_r", "_c").applyInPandas(_strung, "level double, s long, e long, least long, pts array<struct<x:double,y:double>>"))
-    links = chains.filter("s != e").select("level", "s", "e", "least")
+    chains = kept(_dealt(dem, BLOCK).groupBy("block_row", "block_col").applyInArrow(_chains(interval, BLOCK), _CHAINS))
+    crossing = chains.filter("crosses")
+    links = crossing.select("level", "s", "e", "least")
     found = _jumped(links).withColumn("line", F.when(F.col("ended"), F.col("e")).otherwise(F.col("least"))).select("level", "s", "line", (~F.col("ended")).alias("closed"))
     # a ring begins with the chain that has its least edge and ends before it
     named = kept(links.join(found, ["level", "s"]))
     begins = named.filter("closed AND least = line").select("level", F.col("s").alias("e"), F.lit(True).alias("_cut"))
     cut = named.join(begins, ["level", "e"], "left").withColumn("e", F.when(F.col("_cut"), -1 - F.col("e")).otherwise(F.col("e")))
     order = _jumped(cut).select("level", "s", "hops").join(named.select("level", "s", "line", "closed"), ["level", "s"])
-    parts = chains.filter("s != e").select("level", "s", "pts").join(order, ["level", "s"])
+    parts = crossing.select("level", "s", "pts").join(order, ["level", "s"])
     stacked = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("o"), "pts")), lambda a, b: F.when(a["o"] < b["o"], -1).otherwise(F.when(a["o"] > b["o"], 1).otherwise(0)))
     joined = parts.groupBy("level", "line", "closed").agg(stacked.alias("_p"))
     pts = F.flatten(F.transform("_p", lambda p, i: F.when(i == 0, p["pts"]).otherwise(F.slice(p["pts"], F.lit(2), F.size(p["pts"])))))
-    own = chains.filter("s = e").select("level", F.col("least").alias("line"), F.lit(True).alias("closed"), "pts")
+    ring = F.col("s") == F.col("e")
+    own = chains.filter("NOT crosses").select("level", F.when(ring, F.col("least")).otherwise(F.col("e")).alias("line"), ring.alias("closed"), "pts")
     every = joined.select("level", "line", "closed", pts.alias("pts")).unionByName(own)
     return every.select("line", "level", contour_class(F.col("level"), index_interval).alias("kind"), "closed", "pts")

@@ -263,6 +263,19 @@ def test_contours_are_whole_lines_over_blocks(spark, block, monkeypatch):
     assert terrain.contour_polylines(dem.limit(0)).count() == 0
 
 
+def test_only_chains_on_seams_are_jumped_and_doubled_cells_count_once(spark, monkeypatch):
+    grid = [(r, c, c * 3.1 + r % 5 * 0.4) for r in range(1, 31) for c in range(1, 33)]
+    odd = [(r, c, e - 9.0) for r, c, e in grid[::7]] + [(40, 3, float("nan")), (40, 4, 1.0), (41, 3, 20.0), (41, 4, 9.0), (None, 3, 1.0)]
+    dem = spark.createDataFrame(grid + odd, "row int, col int, elev double")
+    jumped, jump = [], terrain._jumped
+    monkeypatch.setattr(terrain, "_jumped", lambda links: jumped.append(links.count()) or jump(links))
+    whole = sorted(terrain.contour_polylines(dem, 7.0, 14.0).collect())
+    assert jumped == [0, 0] and len(whole) == 14 and not any(x["closed"] for x in whole)
+    assert min(len(x["pts"]) for x in whole) >= 30
+    monkeypatch.setattr(terrain, "BLOCK", 4)
+    assert sorted(terrain.contour_polylines(dem, 7.0, 14.0).collect()) == whole and jumped[2] > 14
+
+
 def icon_by_hand(x, y, w, h, scale, turn, anchor, width, height):
     """Target pixel to icon pixel, every pixel of the canvas tried."""
     sw, sh = int(w * scale), int(h * scale)

@@ -7,8 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -16,6 +20,8 @@ from cartolake.operators import raster, svg
 from cartolake.sources.pieces import located
 
 _BUFFER = 1 << 20
+#: Bytes of contents that many tasks join before one task writes a canvas's file.
+_CHUNK = 1 << 14
 
 
 @dataclass
@@ -96,11 +102,36 @@ class CanvasFiles(DataSource):
         return _Writer(dict(self.options))
 
 
+def _joined(between: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring contents of a canvas as one, about _CHUNK bytes each, numbered in order."""
+    number = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        canvas, content = b.column("canvas"), b.column("content")
+        names = pc.fill_null(canvas.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(content), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _CHUNK
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(names) != 0) | (np.diff(upto) != 0)]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, b.num_rows).astype(np.int32)), content)
+        whole = pc.binary_join(lists, pa.scalar(between).cast(content.type))
+        at = pa.array(begin)
+        yield pa.RecordBatch.from_arrays([canvas.take(at), b.column("place").take(at), b.column("part").take(at), pa.array(np.arange(number, number + len(begin)))] + [whole], names=["canvas", "place", "part", "number", "content"])
+        number += len(begin)
+
+
+def _chunks(rows: DataFrame, order: tuple[str, ...], between: str) -> DataFrame:
+    """(canvas, place, part, number, content): contents sorted and joined in ranges of canvas and order, so that a canvas is spread over tasks; part and number tell their order."""
+    sorted_ = rows.repartitionByRange("canvas", *order).sortWithinPartitions("canvas", *order)
+    return sorted_.select("canvas", "place", F.spark_partition_id().alias("part"), "content").mapInArrow(lambda batches: _joined(between, batches), "canvas string, place int, part int, number long, content string")
+
+
 def write_files(rows: DataFrame, path: str, suffix: str, order: tuple[str, ...], **options: str | int) -> None:
     """Rows (canvas, place, content) as path/part-*/<canvas><suffix>, a file's contents in the order of the columns named.
 
-    head, between and tail stand before, between and after the contents. Canvases are dealt to
-    tasks by name and rows are sorted on disk where needed; a task holds one row at a time. A task
+    head, between and tail stand before, between and after the contents, which are texts unless
+    there is a height. Texts are sorted and joined to chunks over ranges of canvas and order, so
+    the task that writes a file moves chunks, not rows. Canvases are dealt to tasks by name and
+    rows are sorted on disk where needed; a task holds one batch of rows at a time. A task
     fills a folder of its own, and the driver moves one folder a task when all are done, so a lost
     or repeated task leaves nothing behind. Characters of a canvas that file names can't hold are
     written as %XX, and a null canvas as %00. No rows give a folder without files. path must be
@@ -111,6 +142,8 @@ def write_files(rows: DataFrame, path: str, suffix: str, order: tuple[str, ...],
     if system.get_file_info(root).type != fs.FileType.NotFound:
         raise FileExistsError(path)
     spark.dataSource.register(CanvasFiles)
+    if not options.get("height"):
+        rows, order = _chunks(rows, order, str(options.get("between", ""))), ("part", "number")
     dealt = rows.repartition("canvas").sortWithinPartitions("canvas", *order).select("canvas", "place", "content")
     dealt.write.format("canvas_files").mode("append").options(path=path, suffix=suffix, **options).save()
 

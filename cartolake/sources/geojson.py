@@ -34,11 +34,15 @@ def read_pieces(spark: SparkSession, path: str, points_only: bool = False, stric
     """
     texts = feature_texts(spark, path, piece)
     f = F.from_json("text", _FEATURE, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
-    return _shaped(texts.select("path", "fid", f.alias("f")), points_only, strict, ("path",))
+    return _shaped(texts.select("path", "fid", F.explode(F.array(f)).alias("f")), points_only, strict, ("path",))
 
 
 def _shaped(rows: DataFrame, points_only: bool, strict: bool, keep: tuple[str, ...]) -> DataFrame:
-    """Features (fid, f) with the columns of keep as rows with geometry."""
+    """Features (fid, f) with the columns of keep as rows with geometry.
+
+    A text and its geometry are made once, by explode, which the filter on them stays above: below
+    it, both would be made again for each use.
+    """
     c = F.col("f.geometry.coordinates")
     as_points = lambda a: F.transform(a, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).cast(POINTS)
     cast = lambda depth: F.try_variant_get(c, "$", "array<" * depth + "double" + ">" * depth)
@@ -60,7 +64,8 @@ def _shaped(rows: DataFrame, points_only: bool, strict: bool, keep: tuple[str, .
             continue
         value = F.struct(F.lit(name).alias("kind"), paths.alias("paths")).cast(GEOMETRY)
         geom = F.when(kind == name, value) if geom is None else geom.when(kind == name, value)
-    out = rows.select(*keep, "fid", F.regexp_replace(kind, "^Multi", "").alias("geometry_type"), geom.alias("geom"), F.col("f.properties").alias("props"))
+    shaped = F.struct(F.regexp_replace(kind, "^Multi", "").alias("geometry_type"), geom.alias("geom"), F.col("f.properties").alias("props"))
+    out = rows.select(*keep, "fid", F.explode(F.array(shaped)).alias("_s")).select(*keep, "fid", "_s.*")
     good = F.col("geom").isNotNull() & F.coalesce(F.size("geom.paths") > 0, F.lit(False)) & ~F.exists(F.flatten(F.transform("geom.paths", lambda p: p["pts"])), lambda p: p["x"].isNull() | p["y"].isNull())
     if strict:
         return out.withColumn("geom", F.when(good | F.lit(points_only) & (F.col("geometry_type") != "Point"), F.col("geom")).otherwise(F.raise_error(F.lit("a feature without usable geometry")).cast(GEOMETRY))).filter(F.col("geom").isNotNull())

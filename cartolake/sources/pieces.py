@@ -11,8 +11,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a piece, and the most tasks that pieces are dealt to.
-PIECE, MOST_TASKS = 16 << 20, 20_000
+#: Bytes of a piece, the most pieces that a task reads one after another, and the most tasks that pieces are dealt to.
+PIECE, PIECES_A_TASK, MOST_TASKS = 16 << 20, 64, 20_000
 _QUOTE, _SLASH = 34, 92
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\Z')
 
@@ -160,7 +160,8 @@ def feature_texts(spark: SparkSession, path: str, piece: int = PIECE) -> DataFra
     A file is cut into pieces of bytes, whatever stands at the cuts. Whether a piece begins inside
     a string and how deep it lies follows from the summaries of the pieces before it: one small row
     a piece is added up over the file, so files are read three times, but by as many tasks as they
-    have pieces, and a task holds a piece and the longest feature that begins in it. Lists named
+    have pieces, or several pieces a task if there are more than shuffle partitions. A task holds
+    one piece at a time and the longest feature that begins in it. Lists named
     otherwise than features, and strings or properties that look like features, are left alone.
     Elements of the list that are no objects are left out and not numbered. Files are UTF-8. An
     empty file has no features.
@@ -168,7 +169,8 @@ def feature_texts(spark: SparkSession, path: str, piece: int = PIECE) -> DataFra
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     cuts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / piece).cast("long"))).alias("piece"))
     pieces = cuts.select("path", "piece", (F.col("piece") * piece).alias("start"), F.least(F.col("length"), (F.col("piece") + 1) * piece).alias("stop"))
-    tasks = max(1, min(pieces.count(), MOST_TASKS))
+    n, few = pieces.count(), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(n, max(few, -(-n // PIECES_A_TASK)), MOST_TASKS))
     before = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     place = "path string, piece long, start long, stop long, "
     found = pieces.repartition(tasks, "path", "piece").mapInPandas(_summaries, place + "quotes int, plain long, within long")

@@ -121,3 +121,24 @@ def test_collections_come_back(spark, tmp_path):
     canvases.write_collections(spark.createDataFrame(rows, "canvas string, fid long, text string"), str(tmp_path / "out"))
     got = sorted((r["path"].rsplit("/", 1)[1], r["fid"], json.loads(r["text"])["properties"]["i"]) for r in pieces.feature_texts(spark, str(tmp_path / "out" / "part-*"), 300).collect())
     assert got == [(f"c{k}.json", n, 3 * n + k) for k in range(3) for n in range(20)]
+
+
+def test_a_large_canvas_is_joined_over_tasks_and_features_are_parsed_once(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), F.col("fid"), F.lit(',0.5]},"properties":{"n":"'), F.repeat(F.lit("é"), (F.col("fid") % 90).cast("int")), F.lit('"}}'))
+        rows = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, None).otherwise("big").alias("canvas"), (F.lit(20_000) - F.col("id")).alias("fid")).withColumn("text", one).repartition(3)
+        chunks = canvases._chunks(rows.selectExpr("canvas", "fid", "CAST(NULL AS INT) AS place", "text AS content"), ("fid",), ",\n").filter("canvas = 'big'")
+        assert chunks.select("part").distinct().count() > 1 and chunks.count() < 300
+        canvases.write_collections(rows, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    texts = {}
+    for r in sorted(rows.collect(), key=lambda r: r["fid"]):
+        texts.setdefault(r["canvas"], []).append(r["text"])
+    want = {name: ('{"type":"FeatureCollection","features":[' + ",\n".join(texts[canvas]) + "]}").encode() for name, canvas in (("big.json", "big"), ("%00.json", None))}
+    assert files(tmp_path / "out") == want
+    back = geojson.read_pieces(spark, str(tmp_path / "out" / "part-*"), piece=1 << 18)
+    assert back.count() == 20_000
+    # the filter on a geometry stays above the step that parses its text
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1

@@ -85,18 +85,21 @@ def _segment_costs(key: tuple, ends: pd.DataFrame, starts: pd.DataFrame) -> pd.D
     e, e1, e2 = (ends[c].to_numpy() for c in ("i", "s1", "s2"))
     i, s1, s2, before = (starts[c].to_numpy() for c in ("i", "s1", "s2", "cost"))
     cost, first = np.full(len(e), np.inf), np.zeros(len(e), dtype=np.int64)
-    open_ = [(0, len(e) - 1, 0, len(i) - 1)]
-    while open_:
-        low, high, left, right = open_.pop()
-        if low > high:
-            continue
+    low, high, left, right = (np.array([v]) for v in (0, len(e) - 1, 0, len(i) - 1))
+    while len(low):
+        # all middles of a depth at once: their stretches of starts lie end to end
         mid = (low + high) // 2
-        last = min(right, int(np.searchsorted(i, e[mid])) - 1)
-        x = slice(left, last + 1)
-        total = before[x] + _spread(s1[x], s2[x], i[x], e[mid], e1[mid], e2[mid])
-        at = left + int(np.argmin(total))
-        cost[mid], first[mid] = total[at - left], i[at]
-        open_ += [(low, mid - 1, left, at), (mid + 1, high, at, right)]
+        n = np.minimum(right, np.searchsorted(i, e[mid]) - 1) - left + 1
+        begin, own = np.cumsum(n) - n, np.repeat(np.arange(len(mid)), n)
+        x, end = left[own] + np.arange(len(own)) - begin[own], mid[own]
+        total = before[x] + _spread(s1[x], s2[x], i[x], e[end], e1[end], e2[end])
+        best = np.minimum.reduceat(total, begin)
+        hits = np.flatnonzero((total == best[own]) | np.isnan(total))
+        at = x[hits[np.diff(own[hits], prepend=-1) > 0]]
+        cost[mid], first[mid] = best, i[at]
+        low, high, left, right = (np.concatenate(v) for v in ((low, mid + 1), (mid - 1, high), (left, at), (at, right)))
+        some = low <= high
+        low, high, left, right = low[some], high[some], left[some], right[some]
     return pd.DataFrame({"i": e, "s1": e1, "s2": e2, "cost": cost, "start": first})
 
 
@@ -162,7 +165,8 @@ def natural_breaks(df: DataFrame, column: str, k: int, rows: int = SEGMENT_ROWS)
     carried over them, and each layer is a few jobs over tables, tasks of `rows` ends. Only places
     and bounds of segments come to the driver, one for `rows` values.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").distinct()
+    # written, as four jobs read them
+    values = kept(df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").distinct())
     middle = values.agg(F.avg("v").alias("m"), F.count("*").alias("n")).first()
     n = middle["n"]
     if n <= k or k < 2:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cartolake import form_queries, queries  # noqa: F401
 from cartolake.functions.values import color
-from cartolake.operators import raster, stacks
+from cartolake.operators import classify, raster, stacks
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +59,20 @@ def test_last_layers_settle_a_pixel_or_leave_it_to_the_stream(spark, monkeypatch
 def test_rows_of_one_file_are_dealt_before_they_grow(spark):
     for q in ("geom_kinds", "geom_places", "wkt_wkb_roundtrip", "smooth_fill", "mvt_shapes", "mvt_decode", "esri_layers", "esri_losses"):
         assert "REPARTITION_BY_NUM" in plan(queries.QUERIES[q](spark, SF)), q
+
+
+def test_a_segment_of_natural_breaks_takes_a_step_a_depth(monkeypatch):
+    v = np.sort(np.random.default_rng(3).normal(size=400)).round(1)
+    s1, s2 = (np.concatenate([[0.0], np.cumsum(x)]) for x in (v, v * v))
+    i = np.arange(401)
+    before = np.concatenate([[0.0], np.maximum(s2[1:] - s1[1:] ** 2 / i[1:], 0.0)])
+    starts = pd.DataFrame({"i": i, "s1": s1, "s2": s2, "cost": before}).iloc[1:400]
+    ends = pd.DataFrame({"i": i, "s1": s1, "s2": s2}).iloc[2:]
+    steps, spread = [], classify._spread
+    monkeypatch.setattr(classify, "_spread", lambda *a: steps.append(1) or spread(*a))
+    got = classify._segment_costs((0,), ends.sample(frac=1, random_state=1), starts.sample(frac=1, random_state=2))
+    assert len(steps) <= 9
+    for e, cost, start in zip(got["i"], got["cost"], got["start"], strict=True):
+        x = slice(1, e)
+        total = before[x] + spread(s1[x], s2[x], i[x], np.full(e - 1, e), s1[e], s2[e])
+        assert cost == total.min() and start == 1 + int(np.argmin(total))

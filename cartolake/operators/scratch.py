@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by its keys over several tasks a core: for short rows that become many or long ones, whose file is read by few tasks."""
     spark = df.sparkSession
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def once(df: DataFrame, key: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that `of` adds to rows of its key alone: each value is worked once, null too.
+
+    The values are written, so that few of them are known to be few and joined without a shuffle of
+    df; values that hardly repeat are shuffled, twice as many rows as df has.
+    """
+    values = kept(of(spread(df.select(key).distinct(), key)))
+    own = values.withColumnRenamed(key, "_value")
+    return df.join(own, df[key].eqNullSafe(own["_value"]), "left").drop("_value")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cartolake.functions.values import byte, color
 from cartolake.operators.scratch import kept, spread
-from cartolake.operators.stacks import folded
+from cartolake.operators.stacks import folded, uppermost
 
 KEYS = ["canvas", "layer_ord", "fid"]
 #: Polygons that a task scans together.
@@ -268,6 +268,20 @@ def blend(pixels: DataFrame) -> DataFrame:
     return folded(pixels.withColumn("solid", solid))
 
 
+def blended_strokes(lines: DataFrame, width: int, height: int, cap: str = "butt", smooth: bool = False, dashes: list[float] | None = None) -> DataFrame:
+    """blend(strokes(segments(lines))): of lines (keys, pts, line_width, rgba) equal in all but their order, only the last ones are drawn.
+
+    All are drawn only where those leave a pixel open. A line of which more lie below tells their
+    alpha to its pixels by a clear layer at the bottom.
+    """
+    drawn = lambda rows: strokes(segments(rows, dashes), width, height, cap, smooth).withColumn("solid", F.lit(False))
+    last, more = uppermost(lines)
+    # lines of one alpha are one layer here, whose order carries the alpha
+    below = more.filter("rgba IS NOT NULL").withColumns({"layer_ord": F.col("rgba.a"), "fid": F.lit(None).cast(lines.schema["fid"].dataType), "rgba": color(0, 0, 0, 0)}).dropDuplicates()
+    marks = drawn(below).withColumn("low", F.col("layer_ord")).withColumn("layer_ord", F.lit(None).cast(lines.schema["layer_ord"].dataType))
+    return folded(drawn(lines), drawn(last).withColumn("low", F.lit(-1)).unionByName(marks))
+
+
 def overwrite(pixels: DataFrame) -> DataFrame:
     """(canvas, px, py, rgba): the last in paint order, nothing blended; partial sums, so hot pixels are no matter.
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,17 +340,31 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(rest.combine_chunks(), np.array([0]), np.array([rest.num_rows]))
 
 
-def folded(pixels: DataFrame) -> DataFrame:
+def uppermost(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of shapes (canvas, layer_ord, fid and what tells their pixels and colour) that are equal but for layer_ord and fid, the last TOP in paint order, and one shape for each more of them, where there are more.
+
+    A pixel's last TOP layers are among the first's. Shapes are told by 128 bits of hashes; what is kept is written.
+    """
+    own = [c for c in shapes.columns if c not in ("layer_ord", "fid")]
+    hashed = shapes.withColumns({"_h1": F.xxhash64(*own), "_h2": F.xxhash64(F.lit("second"), *own)})
+    latest = Window.partitionBy("_h1", "_h2").orderBy(F.desc_nulls_last("layer_ord"), F.desc_nulls_last("fid"))
+    ranked = kept(hashed.withColumn("_rank", F.dense_rank().over(latest)).filter(F.col("_rank") <= TOP + 1).drop("_h1", "_h2"))
+    return ranked.filter(F.col("_rank") <= TOP).drop("_rank"), ranked.filter(F.col("_rank") > TOP).drop("_rank")
+
+
+def folded(pixels: DataFrame, upper: DataFrame | None = None) -> DataFrame:
     """(canvas, px, py, rgba) of pixels (canvas, layer_ord, fid, px, py, rgba, solid): each pixel's colours one over another in paint order, null orders first.
 
     Solid rows take the pixel as they are; rows without a colour draw nothing. Each task keeps the
     last TOP layers of its pixels, which hold the last TOP of all; where these end in one colour
     whatever lies below, that is the pixel's. Pixels whose last layers leave it open are streamed
-    whole. An empty table gives an empty one.
+    whole. An empty table gives an empty one. upper: rows that hold the last TOP of each pixel, with
+    a column `low`, the most alpha of what is left out on that pixel or -1.
     """
     order = ["canvas", "py", "px", "layer_ord", "fid", *CHANNELS, "solid"]
-    flat = pixels.filter("rgba IS NOT NULL").select("canvas", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "layer_ord", "fid", *[F.col(f"rgba.{c}").alias(c) for c in CHANNELS], "solid")
-    lower = flat.withColumn("low", F.lit(-1))
+    plain = lambda rows, *more: rows.filter("rgba IS NOT NULL").select("canvas", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "layer_ord", "fid", *[F.col(f"rgba.{c}").alias(c) for c in CHANNELS], "solid", *more)
+    flat = plain(pixels)
+    lower = flat.withColumn("low", F.lit(-1)) if upper is None else plain(upper, "low")
     place = T.StructType([T.StructField("canvas", pixels.schema["canvas"].dataType), T.StructField("px", T.IntegerType()), T.StructField("py", T.IntegerType()), T.StructField("rgba", _RGBA)])
     tops = spread(lower.mapInArrow(_tops, lower.schema), "canvas", "py", "px").sortWithinPartitions(*order).select("canvas", "px", "py", *CHANNELS, "solid", "low")
     told = kept(tops.mapInArrow(_settled, T.StructType([*place.fields, T.StructField("sure", T.BooleanType())])))

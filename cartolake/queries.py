@@ -569,7 +569,7 @@ SELECT canvas, px, py, 'rgba(0,0,0,' || k.a || ')' AS color FROM n JOIN k USING
 @query(STROKE_SQL)
 def line_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rings(spark, sf_dir).select(F.concat(F.lit("c"), (F.col("fid") % 8).cast("string")).alias("canvas"), F.lit(0).alias("layer_ord"), "fid", F.transform(geometry.vertices(F.col("geom")), lambda p: F.struct((p["x"] * 4 + 4).alias("x"), (p["y"] * 4 + 4).alias("y"))).alias("pts"), F.lit(2.0).alias("line_width"), values.color(0, 0, 0, 128).alias("rgba"))
-    return raster.blend(raster.strokes(raster.segments(rows, [4, 2]), 64, 64, "round")).select("canvas", "px", "py", color_text(F.col("rgba")).alias("color"))
+    return raster.blended_strokes(rows, 64, 64, "round", dashes=[4, 2]).select("canvas", "px", "py", color_text(F.col("rgba")).alias("color"))
 
 
 #: Every pixel near an anchor tried against every icon's box; icons of 6 x 4 pixels, turned by 0 or 90 degrees.

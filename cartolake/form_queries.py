@@ -360,16 +360,16 @@ def render_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, zero = F.col("w"), F.col("h"), F.lit(0)
     ring = geometry.geometry("Polygon", F.array(corner(zero, zero), corner(w, zero), corner(w, h), corner(zero, h), corner(zero, zero)))
     line = geometry.geometry("LineString", F.array(corner(F.lit(10), F.lit(2)), corner(w + 10, F.lit(2))))
-    features = rows.select("fid", F.col("fid").cast("string").alias("canvas_id"), F.explode(F.array(ring, line)).alias("geom"))
+    own = lambda geom: rows.select("fid", F.col("fid").cast("string").alias("canvas_id"), geom.alias("geom"))
     style = parse_style({"layers": [{"id": "shapes", "paint": {"fill-color": "blue"}}, {"id": "lines", "paint": {"line-color": "red", "line-width": 2, "line-opacity": 0.5}}]})
-    features = features.filter("geom.kind = 'Polygon'"), features.filter("geom.kind = 'LineString'")
-    one = lambda f, s: render.render(f, s, (0.0, 0.0, 20.0, 8.0), 40, 16, canvas_col="canvas_id")
+    one = lambda f, s: render.render_runs(f, s, (0.0, 0.0, 20.0, 8.0), 40, 16, 0.0, "canvas_id")
     first, second = style.layers
     style.layers = [first]
-    filled = one(features[0], style)
+    filled = one(own(ring), style)
     style.layers = [second]
-    out = filled.unionByName(one(features[1], style))
-    return out.groupBy(F.col("canvas").cast("long").alias("fid"), color_text(F.col("rgba")).alias("color")).agg(F.count("*").alias("pixels"))
+    out = filled.unionByName(one(own(line), style))
+    pixels = out.groupBy("canvas", "rgba").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels"))
+    return pixels.select(F.col("canvas").cast("long").alias("fid"), color_text(F.col("rgba")).alias("color"), "pixels")
 
 
 # labels, pages

@@ -1,20 +1,18 @@
 """Phrase collocations: words that stand together more often than their counts let expect.
 
-Identical pieces become one row with a multiplicity. Level by level, blocks of pieces send each
-distinct n-gram once with its weight to the bucket of its hash, where duckdb sums it out-of-core
-and answers the blocks that asked; blocks then cut their pieces where an n-gram is too rare, so
-only pieces all of whose n-grams are frequent reach the next level. Counts of a phrase's parts
+Blocks of documents become numbers of words, zeros between pieces. Level by level, a block sends its
+distinct n-grams once with their counts to the buckets of their hashes; a bucket sums them, numbers
+those that are frequent and answers each block in its own order. An n-gram is told by the numbers of
+its two parts of a word less, so from the second level on only numbers travel, and only where both
+parts are frequent. Texts come back by joins over the frequent n-grams. Counts of a phrase's parts
 come to it by shuffled lookup requests.
 """
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,204 +20,308 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartolake.llm.common import ascii_lower, saved, table
+from cartolake.llm.blocks import mixed, n_buckets, text_bytes
+from cartolake.llm.common import saved, table
 
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 NO_LANG = "und"
-BREAK = r"[.,;:!?\x0A-\x0D]"
-#: Bytes of pieces in a block: the unit that a task holds at once.
+BREAK = b".,;:!?\n\x0b\x0c\r"
+BLANK = b" \t"
+#: Bytes of text in a block: the unit that a task holds at once.
 BLOCK_BYTES = 6 << 20
-#: What duckdb may hold in memory for a bucket; the rest goes to the task's temporary folder.
-DUCKDB_MEMORY = "256MB"
 
-PIECES = "lang string, run string, m long, block long"
-#: A message from a block to a bucket: n-grams by language, a line feed between, and the weights of all.
-REQUESTS = "bucket int, block long, asked array<struct<lang:string,grams:string>>, w array<long>"
-#: To a block: those of its n-grams that are frequent; without a block: one n-gram and its count.
-ANSWERS = "block long, known array<struct<lang:string,grams:string>>, lang string, gram string, f long"
-_REQUEST_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("asked", pa.list_(pa.struct([("lang", pa.string()), ("grams", pa.string())]))), ("w", pa.list_(pa.int64()))])
-_FLAT_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string()), ("w", pa.int64())])
+#: A block: its text as places of words from 1, 0 between pieces; its languages and how many words of each it has; its distinct words in the order of their hashes, a line feed between, and the place of each one's language.
+BLOCKS = "block long, seq binary, langs array<string>, sizes array<long>, words binary, tongue binary"
+#: Messages of blocks to buckets: words with languages, or n-grams as numbers, and how often the block has each.
+WORDS = "bucket int, block long, langs array<string>, asked binary, tongue binary, w binary"
+PAIRS = "bucket int, block long, asked binary, w binary"
+#: Of a bucket: to each block the numbers of what it asked for, 0 if rare; without a block one frequent n-gram.
+ANSWERS = "block long, bucket int, ids binary, id long, lang string, phrase string, a long, b long, f long"
+_ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("id", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("f", pa.int64())])
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("tongue", pa.binary())])
+_WORD_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("asked", pa.binary()), ("tongue", pa.binary()), ("w", pa.binary())])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[list(BLANK)], _KIND[list(BREAK)] = 1, 2
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the block of each row: rows of one task, in their order, of BLOCK_BYTES together."""
-    before, first = 0, TaskContext.get().partitionId() << 32
-    for b in batches:
-        if b.num_rows:
-            size = before + np.cumsum(pc.binary_length(b.column("run")).to_numpy(zero_copy_only=False) + 16)
-            before = int(size[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first + size // BLOCK_BYTES, pa.int64())], names=[*b.schema.names, "block"])
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    """Pieces (lang, run, m) with equal ones as one, in blocks, written."""
-    merged = rows.groupBy("lang", "run").agg(F.sum("m").alias("m"))
-    return saved(merged.mapInArrow(_numbered, PIECES), compression="zstd")
-
-
-def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, run, m, block): the distinct pieces with a word, words joined by a space, and how often each occurs."""
-    parts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), BREAK, -1)).alias("part"))
-    wide = F.contains("part", F.lit("  ")) | F.contains("part", F.lit("\t"))
-    run = F.when(wide, F.regexp_replace("part", r"[\x20\x09]+", " ")).otherwise(F.col("part"))
-    parts = parts.select("lang", F.btrim(run).alias("run")).filter(F.col("run") != "")
-    return _merged(parts.withColumn("m", F.lit(1).cast("long")))
-
-
-class _Grams:
-    """The n-grams of a block's pieces: where they start, which are equal, and their words."""
-
-    def __init__(self, lang: pa.Array, run: pa.Array, n: int) -> None:
-        lists = pc.split_pattern(run, " ")
-        words, tongues = lists.flatten().dictionary_encode(), lang.dictionary_encode()
-        self.code, self.words = words.indices.to_numpy(zero_copy_only=False), words.dictionary
-        self.tongue, self.langs = tongues.indices.to_numpy(zero_copy_only=False), tongues.dictionary
-        self.row = np.repeat(np.arange(len(run), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        size = max(len(self.words), 1)
-        at, key = np.arange(len(self.code), dtype=np.int32), self.tongue[self.row].astype(np.int64) * size + self.code
-        for j in range(1, n):
-            _, key = np.unique(key, return_inverse=True)
-            fits = at < len(self.code) - j
-            fits[fits] = self.row[at[fits] + j] == self.row[at[fits]]
-            at, key = at[fits], key[fits] * size + self.code[at[fits] + j]
-        _, first, self.key = np.unique(key, return_index=True, return_inverse=True)
-        self.at, self.start, self.n = at, at[first], n
-
-    def names(self) -> pa.Array:
-        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.code[self.start + j])) for j in range(self.n)], " ")
-
-    def buckets(self, count: int) -> np.ndarray:
-        """The bucket of each distinct n-gram, the same in every block."""
-        word = np.array([zlib.crc32(w.encode()) for w in self.words.to_pylist()], dtype=np.uint64)
-        h = np.zeros(len(self.start), dtype=np.uint64)
-        for j in range(self.n):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[self.code[self.start + j]]
-        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % count
+def _packed(values: np.ndarray) -> bytes:
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype=kind)
 
 
 def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _joined(offsets: np.ndarray, texts: pa.Array, by: str) -> pa.Array:
-    """The texts between offsets, joined."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), by)
+def _text(words: list[str]) -> bytes:
+    """Words as one text, a line feed between; no word has one."""
+    return _packed(np.frombuffer("\n".join(words).encode(), np.uint8))
+
+
+def _words(data: bytes) -> list[str]:
+    return _unpacked(data, np.uint8).tobytes().decode().split("\n")
+
+
+def _hashes(words: list[str], tongue: np.ndarray, langs: list[str]) -> np.ndarray:
+    """32 bits of each word and its language."""
+    seeds = [zlib.crc32(x.encode()) for x in langs]
+    out = [zlib.crc32(w.encode(), seeds[t]) for w, t in zip(words, tongue.tolist(), strict=True)]
+    return mixed(np.array(out, dtype=np.uint64)) >> np.uint64(32)
+
+
+def _bounds(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin, and the end."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]]) if len(columns[0]) else np.zeros(1, np.int64)
+
+
+def _block(rows: pa.Table, number: int) -> pa.RecordBatch | None:
+    """A block of documents (lang, text)."""
+    flat, offsets = text_bytes(rows.column("text"))
+    kind = _KIND[flat]
+    word = kind == 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    firsts = offsets[:-1][np.diff(offsets) > 0]
+    begins[firsts] = word[firsts]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return None
+    # only bytes of words are left, so a word ends where the next one begins
+    places = np.cumsum(word, dtype=np.int32)
+    ends = np.append(places[starts] - 1, places[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[flat[word]])]).dictionary_encode()
+    code, size = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+    tongues = _plain(rows.column("lang")).dictionary_encode()
+    own = np.searchsorted(starts, offsets)
+    tongue = np.repeat(tongues.indices.to_numpy(zero_copy_only=False), np.diff(own))
+    breaks = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    new = np.append(True, breaks[1:] != breaks[:-1])
+    new[own[:-1][np.diff(own) > 0]] = True
+    code += tongue.astype(np.int64) * size
+    if len(tongues.dictionary) * size <= 16 * len(code) + (1 << 16):
+        seen = np.bincount(code, minlength=len(tongues.dictionary) * size) > 0
+        distinct, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
+    else:
+        distinct, code = np.unique(code, return_inverse=True)
+    _, own_tongue = np.unique(distinct // size, return_inverse=True)
+    langs = tongues.dictionary.take(pa.array(np.unique(distinct // size))).to_pylist()
+    names = words.dictionary.take(pa.array(distinct % size)).to_pylist()
+    # in the order of their hashes, so that buckets answer in the order of the words
+    order = np.argsort(_hashes(names, own_tongue, langs), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    seq = np.zeros(len(code) + int(new.sum()), np.uint32)
+    seq[np.arange(len(code)) + np.cumsum(new)] = rank[code] + 1
+    sizes = np.bincount(tongue, minlength=len(tongues.dictionary))
+    row = {"block": number, "seq": _packed(seq), "langs": langs, "sizes": sizes[sizes > 0].tolist(), "words": _text([names[i] for i in order]), "tongue": _packed(own_tongue[order].astype(np.uint32))}
+    return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of one task, in their order, in blocks of BLOCK_BYTES."""
+    held, before, block = [], 0, 0
+    first = TaskContext.get().partitionId() << 32
+
+    def done() -> Iterator[pa.RecordBatch]:
+        out = _block(pa.Table.from_batches(held), first + block) if held else None
+        if out is not None:
+            yield out
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = before + np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        before, numbers = int(ends[-1]), ends // BLOCK_BYTES
+        bounds = _bounds(numbers)
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            if numbers[x] != block:
+                yield from done()
+                held, block = [], int(numbers[x])
+            held.append(b.slice(x, y - x))
+    yield from done()
+
+
+def tokens(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The words of documents in blocks, written (BLOCKS). Documents that few tasks would read are dealt first."""
+    spark = docs.sparkSession
+    rows = docs.filter(F.octet_length(text_col) > 0).select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
+    shares = docs.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    cores = spark.sparkContext.defaultParallelism
+    if shares["most"] and shares["most"] * cores > 2 * shares["all"]:
+        deal = rows.withColumn("_at", F.monotonically_increasing_id()).repartition(max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_at")
+        rows = deal.drop("_at")
+    return saved(rows.mapInArrow(_blocks, BLOCKS))
+
+
+def _word_requests(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                words, tongue = _words(row["words"]), _unpacked(row["tongue"], np.uint32)
+                weight = np.bincount(_unpacked(row["seq"], np.uint32), minlength=len(words) + 1)[1:]
+                to = ((_hashes(words, tongue, row["langs"]) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                heads = _bounds(to)
+                spans = [slice(x, y) for x, y in zip(heads, heads[1:], strict=False)]
+                out = [{"bucket": int(to[x.start]), "block": row["block"], "langs": row["langs"], "asked": _text(words[x]), "tongue": _packed(tongue[x]), "w": _packed(weight[x].astype(np.int64))} for x in spans]
+                yield pa.RecordBatch.from_pylist(out, schema=_WORD_SCHEMA)
 
-def _requests(n: int, buckets: int):
-    """For each block, its distinct n-grams with their weights, sent to the buckets."""
+    return run
 
-    def of(rows: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        g = _Grams(_plain(t.column("lang")), _plain(t.column("run")), n)
-        weight = np.zeros(len(g.start), dtype=np.int64)
-        np.add.at(weight, g.key, t.column("m").to_numpy()[g.row[g.at]])
-        tongues = max(len(g.langs), 1)
-        to = g.buckets(buckets) * tongues + g.tongue[g.row[g.start]]
-        order = np.argsort(to, kind="stable")
-        kinds, heads = np.unique(to[order], return_index=True)
-        grams = _joined(np.append(heads, len(order)), g.names().take(pa.array(order)), "\n")
-        told, first = np.unique(kinds // tongues, return_index=True)
-        parts = pa.StructArray.from_arrays([g.langs.take(pa.array(kinds % tongues)), grams], ["lang", "grams"])
-        asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(kinds)), pa.int32()), parts)
-        w = pa.ListArray.from_arrays(pa.array(np.append(heads[first], len(order)), pa.int32()), pa.array(weight[order]))
-        return pa.RecordBatch.from_arrays([pa.array(told.astype(np.int32)), pa.array(np.full(len(told), block)), asked, w], schema=_REQUEST_SCHEMA)
 
+def _answers(t: pa.Table, sizes: list[int], which: np.ndarray, f: np.ndarray, min_count: int, buckets: int, **told: pa.Array) -> Iterator[pa.RecordBatch]:
+    """What a bucket says of its n-grams with counts f; which are those asked for, message by message; told are columns of the n-grams."""
+    good = np.flatnonzero(f >= min_count)
+    bucket = t.column("bucket")[0].as_py()
+    ids = np.zeros(len(f), np.uint32)
+    numbers = np.arange(len(good), dtype=np.int64) * buckets + bucket + 1
+    if len(good) and numbers[-1] >= 1 << 32:
+        raise ValueError("more frequent phrases than numbers")
+    ids[good] = numbers
+    rest = {"id": pa.array(numbers), "f": pa.array(f[good], pa.int64())} | {k: v.take(pa.array(good)) for k, v in told.items()}
+    yield from pa.Table.from_arrays([rest[n] if n in rest else pa.nulls(len(good), kind) for n, kind in zip(_ANSWER_SCHEMA.names, _ANSWER_SCHEMA.types, strict=True)], schema=_ANSWER_SCHEMA).to_batches(1 << 16)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), 64):
+        some = slice(at, at + 64)
+        packed = [_packed(ids[which[e - n : e]]) for n, e in zip(sizes[some], ends[some], strict=True)]
+        rest = {"block": _plain(t.column("block").slice(at, 64)), "bucket": _plain(t.column("bucket").slice(at, 64)), "ids": pa.array(packed, pa.binary())}
+        yield pa.RecordBatch.from_arrays([rest[n] if n in rest else pa.nulls(len(packed), kind) for n, kind in zip(_ANSWER_SCHEMA.names, _ANSWER_SCHEMA.types, strict=True)], schema=_ANSWER_SCHEMA)
+
+
+def _counted_words(min_count: int, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = [], None
-        for b in batches:
-            numbers = b.column("block").to_numpy()
-            bounds = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1), len(numbers)]
-            for x, y in zip(bounds, bounds[1:], strict=False):
-                if y > x and numbers[x] != block:
-                    if held:
-                        yield of(held, block)
-                    held, block = [], int(numbers[x])
-                if y > x:
-                    held.append(b.slice(x, y - x))
-        if held:
-            yield of(held, block)
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows)
+        w = [_unpacked(x.as_py(), np.int64) for x in t.column("w")]
+        langs: dict[str, int] = {}
+        of = [np.array([langs.setdefault(x, len(langs)) for x in told.as_py()])[_unpacked(y.as_py(), np.uint32)] for told, y in zip(t.column("langs"), t.column("tongue"), strict=True)]
+        names = pc.split_pattern(pa.array([_unpacked(x.as_py(), np.uint8).tobytes().decode() for x in t.column("asked")]), "\n").flatten().dictionary_encode()
+        size = len(names.dictionary)
+        keys, which = np.unique(np.concatenate(of) * size + names.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        f = np.bincount(which, weights=np.concatenate(w), minlength=len(keys)).astype(np.int64)
+        yield from _answers(t, [len(x) for x in w], which, f, min_count, buckets, lang=pa.array(list(langs)).take(pa.array(keys // size)), phrase=names.dictionary.take(pa.array(keys % size)))
 
     return run
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Messages as rows of one n-gram."""
-    for b in batches:
-        parts = b.column("asked").flatten()
-        grams = pc.split_pattern(parts.field("grams"), "\n")
-        part = pc.list_parent_indices(grams)
-        yield pa.RecordBatch.from_arrays([b.column("block").take(pc.list_parent_indices(b.column("asked"))).take(part), parts.field("lang").take(part), grams.flatten(), b.column("w").flatten()], schema=_FLAT_SCHEMA)
+def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent n-grams begin one after another, and both as one number: the n-grams of a word more."""
+    at = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+    return at, seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
+
 
+def _pair_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by bucket and key, and their buckets in it."""
+    to = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, to[order]
 
-def _counted(min_count: int):
-    """Sums a bucket's requests in duckdb, tells n-grams of min_count at least and answers each block with those that it asked for."""
 
+def _pair_requests(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = tempfile.mkdtemp(prefix="cartolake-")
-        con = duckdb.connect(f"{folder}/bucket.duckdb", config={"threads": "1", "memory_limit": DUCKDB_MEMORY, "temp_directory": folder, "preserve_insertion_order": "false"})
-        try:
-            asked = pa.RecordBatchReader.from_batches(_FLAT_SCHEMA, _flat(batches))  # noqa: F841  duckdb reads it by name
-            con.execute("CREATE TABLE requests AS SELECT * FROM asked")
-            con.execute(f"CREATE TABLE counts AS SELECT lang, gram, sum(w)::BIGINT AS f FROM requests GROUP BY lang, gram HAVING sum(w) >= {int(min_count)}")
-            yield from con.sql("SELECT NULL::BIGINT AS block, NULL::STRUCT(lang VARCHAR, grams VARCHAR)[] AS known, lang, gram, f FROM counts").to_arrow_reader(1 << 16)
-            known = "SELECT block, lang, string_agg(gram, chr(10)) AS grams FROM requests JOIN counts USING (lang, gram) GROUP BY block, lang"
-            yield from con.sql(f"SELECT block, list({{'lang': lang, 'grams': grams}}) AS known, NULL::VARCHAR AS lang, NULL::VARCHAR AS gram, NULL::BIGINT AS f FROM ({known}) GROUP BY block").to_arrow_reader(1 << 8)
-        finally:
-            con.close()
-            shutil.rmtree(folder, ignore_errors=True)
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, weight = np.unique(_pairs(_unpacked(b.column("seq")[i].as_py(), np.uint32))[1], return_counts=True)
+                order, to = _pair_buckets(keys, buckets)
+                keys, weight, heads = keys[order], weight[order].astype(np.uint32), _bounds(to)
+                spans = list(zip(heads, heads[1:], strict=False))
+                # sorted keys as differences, which are short
+                asked = [_packed(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in spans]
+                w = [_packed(weight[x:y]) for x, y in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(to[heads[:-1]], pa.int32()), pa.array(np.full(len(w), b.column("block")[i].as_py())), pa.array(asked, pa.binary()), pa.array(w, pa.binary())], names=["bucket", "block", "asked", "w"])
 
     return run
 
 
-def _cut(n: int):
-    """A block's pieces, cut where an n-gram has no answer: what is left has n + 1 words at least, all its n-grams frequent."""
+def _counted_pairs(min_count: int, buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows)
+        w = [_unpacked(x.as_py(), np.uint32) for x in t.column("w")]
+        keys, which = np.unique(np.concatenate([np.cumsum(_unpacked(x.as_py(), np.uint64)) for x in t.column("asked")]), return_inverse=True)
+        f = np.bincount(which, weights=np.concatenate(w), minlength=len(keys)).astype(np.int64)
+        yield from _answers(t, [len(x) for x in w], which, f, min_count, buckets, a=pa.array((keys >> np.uint64(32)).astype(np.int64)), b=pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+
+    return run
+
+
+def _told(answers: pa.Table) -> np.ndarray:
+    """The answers to a block, by bucket."""
+    ids = answers.column("ids")
+    parts = [_unpacked(ids[int(i)].as_py(), np.uint32) for i in np.argsort(answers.column("bucket").to_numpy())]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _next(seq: np.ndarray) -> np.ndarray:
+    """The sequence with zeros where an n-gram has no neighbour, and one zero between the others."""
+    on = np.concatenate([[False], seq > 0, [False]])
+    on[1:-1] &= on[:-2] | on[2:]
+    keep = on[1:-1] | on[:-2]
+    return np.where(on[1:-1], seq, 0)[keep].astype(np.uint32)
+
+
+def _renumbered(words: bool, buckets: int) -> Callable:
+    """A block's sequence with the numbers of its frequent n-grams in place of words, or of pairs of shorter ones."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        lang, m = _plain(rows.column("lang")), rows.column("m").to_numpy()
-        g = _Grams(lang, _plain(rows.column("run")), n)
-        known = _plain(answers.column("known")).flatten()
-        told = pc.split_pattern(known.field("grams"), "\n")
-        whose = known.field("lang").take(pc.list_parent_indices(told))
-        # an n-gram has no line feed, so the last one parts it from the language
-        known = pc.is_in(pc.binary_join_element_wise(lang.take(pa.array(g.row[g.start])), g.names(), "\n"), value_set=pc.binary_join_element_wise(whose, told.flatten(), "\n"))
-        start = g.at[np.asarray(known)[g.key]] if len(g.at) else g.at
-        follows = np.zeros(len(start), dtype=bool)
-        follows[1:] = (start[1:] == start[:-1] + 1) & (g.row[start[1:]] == g.row[start[:-1]])
-        heads = np.flatnonzero(~follows)
-        ends = np.append(heads[1:], len(start))
-        long = ends - heads > 1
-        first, size = start[heads[long]], (ends - heads)[long] + n - 1
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        inside = np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])
-        joined = _joined(offsets, g.words.take(pa.array(g.code[inside])), " ")
-        return pa.table({"lang": lang.take(pa.array(g.row[first])), "run": joined, "m": pa.array(m[g.row[first]], pa.int64())})
+        out = []
+        for i in range(rows.num_rows):
+            seq = _unpacked(rows.column("seq")[i].as_py(), np.uint32)
+            if words:
+                seq = np.append(np.uint32(0), _told(answers))[seq]
+            else:
+                at, keys = _pairs(seq)
+                keys, which = np.unique(keys, return_inverse=True)
+                ids = np.zeros(len(keys), np.uint32)
+                ids[_pair_buckets(keys, buckets)[0]] = _told(answers)
+                seq = np.zeros(len(seq), np.uint32)
+                seq[at] = ids[which]
+            out.append(_packed(_next(seq)))
+        return pa.table({"block": rows.column("block"), "seq": pa.array(out, pa.binary())})
 
     return run
 
 
-def frequent_phrases(parts: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
-    """(lang, phrase, words, f) for every phrase of 1 to max_words words that occurs min_count times within pieces(docs).
+def frequent_phrases(blocks: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
+    """(lang, phrase, words, f) for every phrase of 1 to max_words words that occurs min_count times within pieces of tokens(docs).
 
-    Parts of a phrase are as frequent as it at least, so cut pieces lose no such phrase.
+    Parts of a phrase are as frequent as it at least, so no such phrase is lost. There are a quarter as many
+    buckets as blocks, or as many as shuffle partitions if those are more; a block sends each one message at most.
     """
-    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    levels = []
+    buckets = max(n_buckets(blocks.count()), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    levels, rows = [], blocks
     for n in range(1, max_words + 1):
-        asked = parts.mapInArrow(_requests(n, partitions), REQUESTS).repartitionById(partitions, F.col("bucket"))
-        answers = saved(asked.mapInArrow(_counted(min_count), ANSWERS), compression="zstd")
-        levels.append(answers.filter("block IS NULL").select("lang", F.col("gram").alias("phrase"), F.lit(n).alias("words"), "f"))
+        asked = rows.mapInArrow(_word_requests(buckets), WORDS) if n == 1 else rows.mapInArrow(_pair_requests(buckets), PAIRS)
+        counted = (_counted_words if n == 1 else _counted_pairs)(min_count, buckets)
+        answers = saved(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(counted, ANSWERS))
+        found = answers.filter("block IS NULL")
+        if n == 1:
+            level = found.select("id", "lang", "phrase", "f")
+        else:
+            first, second = (levels[-1].select(F.col("id").alias(k), "lang", F.col("phrase").alias(f"_{k}")) for k in "ab")
+            level = found.select("id", "a", "b", "f").join(first, "a").join(second.drop("lang"), "b")
+            level = level.select("id", "lang", F.concat_ws(" ", "_a", F.substring_index("_b", " ", -1)).alias("phrase"), "f")
+        levels.append(saved(level))
         if n < max_words:
-            # later pieces have a word more than n anyway
-            long = parts.filter(F.contains("run", F.lit(" "))) if n == 1 else parts
-            cut = long.groupBy("block").cogroup(answers.filter("block IS NOT NULL").select("block", "known").groupBy("block")).applyInArrow(_cut(n), "lang string, run string, m long")
-            parts = _merged(cut)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return saved(out)
+            told = answers.filter("block IS NOT NULL").select("block", "bucket", "ids")
+            rows = saved(rows.select("block", "seq").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_renumbered(n == 1, buckets), "block long, seq binary"))
+    out = None
+    for n, level in enumerate(levels, 1):
+        level = level.select("lang", "phrase", F.lit(n).alias("words"), "f")
+        out = level if out is None else out.unionByName(level)
+    return out
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int | None = TOP) -> DataFrame:
@@ -232,10 +334,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     language is NO_LANG and one with it; null and empty texts have no words; repeated rows count
     again; an empty table gives no rows; further columns are not read. top = None keeps all.
     """
-    parts = pieces(docs, text_col, lang_col)
-    size = F.length("run") - F.length(F.replace("run", F.lit(" "))) + 1
-    totals = parts.groupBy("lang").agg(F.sum(F.col("m") * size).alias("n"))
-    counts = frequent_phrases(parts, max_words, min_count)
+    blocks = tokens(docs, text_col, lang_col)
+    totals = blocks.select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("sizes").alias("size")))).groupBy("lang").agg(F.sum("size").alias("n"))
+    counts = frequent_phrases(blocks, max_words, min_count)
     found = counts.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     # each cut asks for the counts of its two parts, where those are
     asked = found.select("lang", "phrase", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"), "words")

@@ -31,6 +31,8 @@ BREAK = b".,;:!?\n\x0b\x0c\r"
 BLANK = b" \t"
 #: Bytes of text in a block: the unit that a task holds at once.
 BLOCK_BYTES = 6 << 20
+#: Bytes of packed sequences whose pairs a bucket counts.
+BUCKET_BYTES = 8 << 20
 
 #: A block: its text as places of words from 1, 0 between pieces; its languages and how many words of each it has; its distinct words in the order of their hashes, a line feed between, and the place of each one's language.
 BLOCKS = "block long, seq binary, langs array<string>, sizes array<long>, words binary, tongue binary"
@@ -297,12 +299,15 @@ def _renumbered(words: bool, buckets: int) -> Callable:
 def frequent_phrases(blocks: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, words, f) for every phrase of 1 to max_words words that occurs min_count times within pieces of tokens(docs).
 
-    Parts of a phrase are as frequent as it at least, so no such phrase is lost. There are a quarter as many
-    buckets as blocks, or as many as shuffle partitions if those are more; a block sends each one message at most.
+    Parts of a phrase are as frequent as it at least, so no such phrase is lost. Words have a quarter as many
+    buckets as blocks, pairs one for BUCKET_BYTES of what the level before has left; both as many as shuffle
+    partitions if those are more. A block sends each bucket one message at most.
     """
-    buckets = max(n_buckets(blocks.count()), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels, rows = [], blocks
     for n in range(1, max_words + 1):
+        wanted = n_buckets(blocks.count()) if n == 1 else (rows.agg(F.sum(F.octet_length("seq"))).first()[0] or 0) // BUCKET_BYTES
+        buckets = max(int(wanted), least)
         asked = rows.mapInArrow(_word_requests(buckets), WORDS) if n == 1 else rows.mapInArrow(_pair_requests(buckets), PAIRS)
         counted = (_counted_words if n == 1 else _counted_pairs)(min_count, buckets)
         answers = saved(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(counted, ANSWERS))
